@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tickforge.llm import substring
+from tickforge.llm import jaccard, substring
 
 
 def queries() -> dict:
-    return {"op5_substring_dedup": substring.op5_substring_dedup}
+    return {
+        "op5_substring_dedup": substring.op5_substring_dedup,
+        "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**substring.ORACLE}
+    return {**substring.ORACLE, **jaccard.ORACLE}
