@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tickforge.llm import jaccard, substring
+from tickforge.llm import hmm, jaccard, substring
 
 
 def queries() -> dict:
     return {
         "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
+        "op10_hmm_scoring": hmm.op10_hmm_scoring,
     }
 
 
