@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickforge.llm import hmm, jaccard, substring
+from tickforge.llm import hmm, jaccard, quality, substring
 
 
 def queries() -> dict:
     return {
+        "op3_quality_rules": quality.op3_quality_rules,
         "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
         "op10_hmm_scoring": hmm.op10_hmm_scoring,
@@ -14,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**substring.ORACLE, **jaccard.ORACLE}
+    return {**quality.ORACLE, **substring.ORACLE, **jaccard.ORACLE}
