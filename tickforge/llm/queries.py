@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tickforge.llm import hmm, jaccard, quality, substring
+from tickforge.llm import hmm, jaccard, kneser_ney, quality, substring
 
 
 def queries() -> dict:
     return {
         "op3_quality_rules": quality.op3_quality_rules,
+        "op4_quality_classifier": kneser_ney.op4_quality_classifier,
         "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
         "op10_hmm_scoring": hmm.op10_hmm_scoring,
