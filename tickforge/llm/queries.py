@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickforge.llm import hmm, jaccard, kneser_ney, quality, substring
+from tickforge.llm import hmm, jaccard, kneser_ney, packing, quality, substring
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_quality_classifier": kneser_ney.op4_quality_classifier,
         "op5_substring_dedup": substring.op5_substring_dedup,
