@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickforge.llm import chat, decontaminate, hmm, jaccard, kneser_ney, packing, quality, substring
+from tickforge.llm import chat, decontaminate, hmm, jaccard, kneser_ney, packing, quality, substring, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_quality_classifier": kneser_ney.op4_quality_classifier,
         "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_hmm_scoring": hmm.op10_hmm_scoring,
