@@ -11,7 +11,8 @@ with the corpus, are joined by key.
 
 1. Chunks send their distinct tokens with training counts to buckets, which
    answer with the totals; vocabulary and class totals are sums over buckets.
-2. Each Baum-Welch round broadcasts the parameters; tasks run the scaled
+2. The classes of all training documents are written once, two bytes a token.
+   Each Baum-Welch round broadcasts the parameters; tasks run the scaled
    forward-backward recursion over all training documents and add up expected
    counts, which are summed by slot and normalised on the driver.
 3. The scaled forward recursion gives each document's exact log likelihood.
@@ -33,11 +34,11 @@ from pyspark.sql import functions as F
 from tickforge.llm import chunks as C
 from tickforge.llm.words import U, mix, runs
 
-TOP, HASHED, STATES, ROUNDS = 2000, 2048, 8, 4
+TOP, HASHED, STATES, ROUNDS = 2000, 2048, 8, 6
 #: Slots in which partial sums meet before the driver adds them.
 SLOTS = 16
-#: Padded cells of a batch of sequences.
-CELLS = 300_000
+#: Padded cells of a batch of sequences (a longer sequence is a batch by itself), and tokens among which batches are formed.
+CELLS, HELD = 1_000_000, 2_000_000
 END = mix(np.array([0x656E64], U))[0]
 _KINDS = TOP + HASHED + 1
 
@@ -178,60 +179,97 @@ def _batches(kinds: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator
         yield own, n, kinds[at]
 
 
-def forward(model: Model, n: np.ndarray, kinds: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Natural log likelihood of each sequence by the scaled forward recursion; the scaled alphas and scales if kept."""
+def forward(model: Model, n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Natural log likelihood of each sequence by the scaled forward recursion."""
     longest, count = kinds.shape
     alive = np.searchsorted(-n, -np.arange(1, longest + 1), side="right")
-    scales = np.ones((longest, count))
-    alphas = np.zeros((longest, count, len(model.start))) if keep else None
-    a = np.broadcast_to(model.start, (count, len(model.start))) * model.emit[kinds[0]]
+    out = np.zeros(count)
+    a = np.broadcast_to(model.start, (count, len(model.start)))
     for t in range(longest):
         m = alive[t]
-        if t:
-            a = (a[:m] @ model.move) * model.emit[kinds[t, :m]]
+        a = (a[:m] @ model.move if t else a) * model.emit[kinds[t, :m]]
         s = a.sum(1)
-        a = a / s[:, None]
-        scales[t, :m] = s
-        if keep:
-            alphas[t, :m] = a
-    return np.log(scales).sum(0), alphas, scales
+        a /= s[:, None]
+        out[:m] += np.log(s)
+    return out
 
 
 def expected(model: Model, n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Expected counts of starts, moves and emissions, flat."""
+    """Expected counts of starts, moves and emissions, flat (single precision inside, the sums double)."""
     longest, count = kinds.shape
     k = len(model.start)
-    _, alphas, scales = forward(model, n, kinds, keep=True)
+    start, move, emit = (x.astype(np.float32) for x in (model.start, model.move, model.emit))
     alive = np.searchsorted(-n, -np.arange(1, longest + 1), side="right")
-    betas = np.zeros_like(alphas)
-    ahead = np.zeros_like(alphas)
+    first = np.concatenate(([0], np.cumsum(alive)))  # cells by time, those of living sequences only
+    flat = np.concatenate([kinds[t, : alive[t]] for t in range(longest)])
+    seen = emit[flat]
+    scaled = np.empty(len(flat), np.float32)
+    alphas, gamma, ahead = (np.empty((len(flat), k), np.float32) for _ in range(3))
+    a = np.broadcast_to(start, (count, k))
+    for t in range(longest):
+        here = slice(first[t], first[t + 1])
+        a = (a[: alive[t]] @ move if t else a) * seen[here]
+        s = a.sum(1)
+        a /= s[:, None]
+        scaled[here], alphas[here] = s, a
+    seen /= scaled[:, None]
+    back = np.ascontiguousarray(move.T)
     for t in range(longest - 1, -1, -1):
-        m = alive[t]
-        betas[t, :m] = 1
-        if t + 1 < longest and (more := alive[t + 1]):
-            betas[t, :more] = ahead[t + 1, :more] @ model.move.T
-        ahead[t, :m] = model.emit[kinds[t, :m]] * betas[t, :m] / scales[t, :m, None]
-    gamma = (alphas * betas).reshape(-1, k)
-    move = model.move * (alphas[:-1].reshape(-1, k).T @ ahead[1:].reshape(-1, k))
-    flat = kinds.ravel()
-    emit = np.stack([np.bincount(flat, weights=gamma[:, j], minlength=len(model.emit)) for j in range(k)], axis=1)
-    return np.concatenate((gamma[:count].sum(0), move.ravel(), emit.ravel()))
-
-
-def _expect(vocabulary, model):
+        here, m = slice(first[t], first[t + 1]), alive[t]
+        b = np.ones((m, k), np.float32)
+        if t + 1 < longest:
+            more = alive[t + 1]
+            b[:more] = ahead[first[t + 1] : first[t + 2]] @ back
+        ahead[here] = seen[here] * b
+        gamma[here] = b
+    gamma *= alphas
+    counts = np.zeros((k, k))
+    follows = np.flatnonzero(np.repeat(np.arange(longest), alive) > 0)
+    before = follows - np.repeat(np.concatenate(([0], alive[:-1])), alive)[follows]
+    for at in range(0, len(follows), 1 << 16):  # in parts, so that the sums stay accurate
+        part = slice(at, at + (1 << 16))
+        counts += alphas[before[part]].T.astype(float) @ ahead[follows[part]].astype(float)
+    out = np.stack([np.bincount(flat, weights=gamma[:, j], minlength=len(emit)) for j in range(k)], axis=1)
+    return np.concatenate((gamma[:count].sum(0, dtype=float), (model.move * counts).ravel(), out.ravel()))
+
+
+def _classes(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total = None
         for chunk in C.unpack(batches, lower=True):
             hashes, doc = _tokens(chunk)
-            first, size = runs(doc)
             train = _train(chunk)
-            kinds = vocabulary.value.classes(hashes)
-            for _, n, block in _batches(kinds, first[train], size[train]):
-                part = expected(model.value, n, block)
-                total = part if total is None else total + part
-        if total is not None:
+            kinds = vocabulary.value.classes(hashes)[train[doc]].astype(np.int16)
+            size = np.bincount(doc, minlength=len(train))[train]
+            yield pa.RecordBatch.from_arrays([pa.array([kinds.tobytes()], pa.binary()), pa.array([size.astype(np.int64).tobytes()], pa.binary())], ["kinds", "sizes"])
+
+    return run
+
+
+def _expect(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total, some = 0.0, False
+        kinds, sizes = [], []
+
+        def flush() -> None:
+            nonlocal total
+            flat, size = np.concatenate(kinds), np.concatenate(sizes)
+            for _, n, block in _batches(flat, np.cumsum(size) - size, size):
+                total = total + expected(model.value, n, block)
+            kinds.clear()
+            sizes.clear()
+
+        for batch in batches:
+            for k, v in zip(batch["kinds"].to_pylist(), batch["sizes"].to_pylist(), strict=True):
+                some = some or bool(v)
+                kinds.append(np.frombuffer(k, np.int16))
+                sizes.append(np.frombuffer(v, np.int64))
+                if sum(map(len, kinds)) >= HELD:
+                    flush()
+        if kinds:
+            flush()
+        if some:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "vals"])
 
     return run
@@ -252,7 +290,7 @@ def _score(n_buckets: int, vocabulary, model):
         inner[hashed] = np.log10((count[hashed] + 1) / voc.share[kinds[hashed] - TOP])
         score = np.bincount(doc, weights=inner, minlength=d)
         for own, n, block in _batches(kinds, first, size):
-            score[own] += forward(model.value, n, block)[0] / np.log(10)
+            score[own] += forward(model.value, n, block) / np.log(10)
         return pa.table(
             {
                 "doc_id": C.id_array(chunk.ids), "held_out": pa.array(~_train(chunk)), "n_tokens": pa.array(size, pa.int64()),
@@ -276,9 +314,10 @@ def score_hmm(docs: DataFrame, train: Column, states: int = STATES, rounds: int
     voc = Vocabulary(reply)
     model = Model.initial(voc.unigram, states)
     shared = spark.sparkContext.broadcast(voc)
+    written = C.durable(packed.mapInArrow(_classes(shared), "kinds binary, sizes binary"), "hmm-classes")
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
-        parts = packed.mapInArrow(_expect(shared, sent), "part int, vals binary")
+        parts = written.mapInArrow(_expect(sent), "part int, vals binary")
         model = Model.of_counts(_summed(parts, F.col("part"), float, states + states * states + _KINDS * states), states)
         sent.unpersist()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
