@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tickforge.llm import chat, decontaminate, hmm, jaccard, kneser_ney, packing, quality, substring, toxicity
+from tickforge.llm import chat, decontaminate, hmm, html, jaccard, kneser_ney, packing, quality, substring, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_html_extraction": html.op2_html_extraction,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_quality_classifier": kneser_ney.op4_quality_classifier,
         "op5_substring_dedup": substring.op5_substring_dedup,
