@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths written since the innermost ``written`` began, if any.
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def written() -> Iterator[list[str]]:
+    """Collects the paths of the tables that are written inside, for ``remove``."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield paths
+    finally:
+        _open.remove(paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that no DataFrame will be read from any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
