@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from tickforge import registry
+
+MODULES = ("scans", "joins", "features", "evaluation")
+
 
 def register() -> None:
-    pass
+    for module in MODULES:
+        for name, (query, oracle) in import_module(f"tickforge.plans.{module}").QUERIES.items():
+            registry.add(name, query, oracle)
