@@ -26,24 +26,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.llm.storage import durable
-from tickforge.llm.words import hash_words
+from tickforge.llm.words import LOWER, SPACE, hash_words
 
 #: Pieces of a group on average.
 GROUP = 20_000
 #: Distinct words of which a Python worker remembers the ids (then it starts anew).
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Bytes of text that are tokenized at once (a longer text: all of it).
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 #: Most rounds of local search in a group; a round without a step ends it sooner.
 ROUNDS = 100
 
 
+def _part_marks(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Put a space before the ASCII marks that end a word, where a Latin letter or a digit comes before them.
+
+    The tokenizer parts such marks from the word anyway, and drops the space.
+    """
+    place = np.arange(len(buf))
+    space = SPACE[buf]
+    last = np.flatnonzero(space[1:] & ~space[:-1])  # last byte of each word
+    solid = np.maximum.accumulate(np.where(_MARK[buf], -1, place))
+    at = solid[last]
+    before = buf[np.maximum(at - 1, 0)]
+    letter = _PLAIN[buf[at]] | ((before == 0xC3) & (buf[at] >= 0x80) & (buf[at] != 0x97) & (buf[at] != 0xB7))
+    cut = at[(at < last) & (at >= 0) & ~space[at] & letter] + 1
+    return np.insert(buf, cut, 0x20), ends + np.searchsorted(cut, ends)
+
+
 class BlockTokenizer:
     """Ids of a ``tokenizers`` file for many texts at once.
 
     The file's tokenizer splits at white space before anything else that could
     depend on neighbours, so a text's ids are those of its words in a row: each
-    distinct word of a block is encoded once, and remembered.
+    distinct word of a block (A-Z lower-cased, as the tokenizer does) is encoded
+    once, and remembered.
     """
 
     def __init__(self, path: str):
@@ -53,24 +70,49 @@ class BlockTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
+        self.mark = next(t.content for t in self.whole.get_added_tokens_decoder().values() if t.special)
+        self.mark_id = self.whole.token_to_id(self.mark)
         self.known: dict[int, bytes] = {}
 
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, many words a call, parted by a special token (words with its mark go alone)."""
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if "<|" not in w]
+        groups = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+        for group, found in zip(groups, self.whole.encode_batch_fast([self.mark.join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark_id)
+            data, lo = ids.tobytes(), np.concatenate(([0], 4 * cut + 4)).tolist()
+            hi = np.concatenate((4 * cut, [4 * len(ids)])).tolist()
+            for i, x, y in zip(group, lo, hi, strict=True):
+                out[i] = data[x:y]
+        odd = sorted(set(range(len(words))) - set(plain))
+        for i, found in zip(odd, self.whole.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, "<u4").tobytes()
+        return out
+
     def __call__(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ``end_id`` after each text; and the offset after each text."""
         ends = np.cumsum([len(x) + 1 for x in texts])
         raw = b"\n".join([*texts, b""])
-        start, end, hashes = hash_words(np.frombuffer(raw, np.uint8))
+        buf = np.frombuffer(raw, np.uint8)
+        if b"<|" not in raw:  # lower-casing must not make a special token
+            buf = LOWER[buf]
+        buf, ends = _part_marks(buf, ends)
+        raw = buf.tobytes()
+        start, end, hashes = hash_words(buf)
         uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, keys = self.known, uniq.tolist()
         new = [i for i, h in enumerate(keys) if h not in known]
-        words = [raw[start[first[i]] : end[first[i]]].decode() for i in new]
-        for i, e in zip(new, self.whole.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            known[keys[i]] = np.array(e.ids, "<u4").tobytes()
-        parts = [known[h] for h in keys]
+        if new:
+            a, b = start[first[new]].tolist(), end[first[new]].tolist()
+            for i, ids in zip(new, self._encode([raw[x:y].decode() for x, y in zip(a, b, strict=True)]), strict=True):
+                known[keys[i]] = ids
+        parts = list(map(known.__getitem__, keys))
         ids = np.frombuffer(b"".join(parts), "<u4")
-        size = np.array([len(x) // 4 for x in parts], np.int64)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         at = np.cumsum(size) - size
         # a last "word" for the end of each text
         ids, size, at = np.append(ids, np.array([end_id], "<u4")), np.append(size, 1), np.append(at, len(ids))
@@ -83,6 +125,12 @@ class BlockTokenizer:
         return out, stop[np.cumsum(count + 1) - 1]
 
 
+_MARK = np.zeros(256, bool)
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+_MARK[[ord(c) for c in "'<|>"]] = False  # contractions, special tokens
+_PLAIN = np.zeros(256, bool)
+_PLAIN[97:123] = _PLAIN[48:58] = True
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
