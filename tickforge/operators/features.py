@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tickforge.functions.numeric import full, percent_rank_average
 
@@ -24,15 +24,17 @@ GROUPS = {
 }
 FLAGS = GROUPS["trade_state"]
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("timestamp")
+
+def by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("timestamp")
 
 
 def rows(n: int):
-    return BY_SYMBOL.rowsBetween(1 - n, 0)
+    return by_symbol().rowsBetween(1 - n, 0)
 
 
 def difference(x: Column, k: int) -> Column:
-    return x - F.lag(x, k).over(BY_SYMBOL)
+    return x - F.lag(x, k).over(by_symbol())
 
 
 def rolling_std(x: Column, n: int) -> Column:
@@ -75,16 +77,15 @@ def bar_v1(bars: DataFrame, gap_column: str | None = None) -> DataFrame:
     bars = bars.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in bars.columns else F.lit(v) for k, v in flags.items()})
     price = {k: signal_price(k, bars.columns) for k in ("open", "high", "low", "close")}
     base = bars.select("timestamp", "symbol", "volume", *flags, *(v.alias(f"_{k}") for k, v in price.items()), *([F.col(gap_column).alias("_seq")] if gap_column else []))
-    by_symbol = ["symbol"]
     if gap_column:
-        new = F.when(F.col("_seq") - F.lag("_seq").over(BY_SYMBOL) > 1, 1).otherwise(0)
-        base = base.withColumn("_new", new).withColumn("_run", F.sum("_new").over(BY_SYMBOL)).withColumn("symbol", F.struct("symbol", "_run"))
+        new = F.when(F.col("_seq") - F.lag("_seq").over(by_symbol()) > 1, 1).otherwise(0)
+        base = base.withColumn("_new", new).withColumn("_run", F.sum("_new").over(by_symbol())).withColumn("symbol", F.struct("symbol", "_run"))
     base = base.withColumns({"_lc": F.ln("_close"), "_lo": F.ln("_open")})
     base = base.withColumn("log_return_1", difference(F.col("_lc"), 1)).withColumn("log_volume", F.log1p(F.col("volume").cast("double")))
     close, r1 = F.col("_close"), F.col("log_return_1")
     out = base.withColumns(
         {f"log_return_{k}": difference(F.col("_lc"), k) for k in (5, 10, 20)}
-        | {"intraday_range": F.ln("_high") - F.ln("_low"), "close_open_return": F.col("_lc") - F.col("_lo"), "overnight_gap": F.col("_lo") - F.lag("_lc").over(BY_SYMBOL)}
+        | {"intraday_range": F.ln("_high") - F.ln("_low"), "close_open_return": F.col("_lc") - F.col("_lo"), "overnight_gap": F.col("_lo") - F.lag("_lc").over(by_symbol())}
         | {"volume_zscore_20": zscore(F.col("log_volume"), 20)}
         | {f"volatility_{n}": rolling_std(r1, n) for n in (5, 10, 20, 60)}
         | {f"ma_deviation_{n}": ma_deviation(close, n) for n in (5, 10, 20)}
@@ -133,7 +134,7 @@ def moving_average_cross(bars: DataFrame, short: int, long: int) -> DataFrame:
     """Changes of sign of (short - long average) once both windows are full; the first full row only sets the state."""
     a, b = F.avg("close").over(rows(short)), F.avg("close").over(rows(long))
     above = full(F.col("close"), rows(long), long, a > b)
-    out = bars.withColumn("above", above).withColumn("before", F.lag("above").over(BY_SYMBOL))
+    out = bars.withColumn("above", above).withColumn("before", F.lag("above").over(by_symbol()))
     return out.filter("before is not null and above <> before").select("timestamp", "symbol", F.when(F.col("above"), "BUY").otherwise("SELL").alias("signal"))
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickforge.functions.numeric import average_rank, sigmoid
-from tickforge.operators.features import BY_SYMBOL
+from tickforge.operators.features import by_symbol
 
 
 def next_open(bars: DataFrame, horizon: int = 1) -> DataFrame:
     """Entry at the next open, exit at the close ``horizon`` bars later: log return, direction, volatility, validity."""
-    entry, exit_ = F.lead("open", 1).over(BY_SYMBOL), F.lead("close", horizon + 1).over(BY_SYMBOL)
+    entry, exit_ = F.lead("open", 1).over(by_symbol()), F.lead("close", horizon + 1).over(by_symbol())
     out = bars.select("timestamp", "symbol", entry.alias("entry_open"), exit_.alias("exit_close"))
     ok = (F.col("entry_open") > 0) & (F.col("exit_close") > 0)
     r = F.when(ok, F.ln(F.col("exit_close") / F.col("entry_open")))
@@ -21,17 +21,17 @@ def next_open(bars: DataFrame, horizon: int = 1) -> DataFrame:
 
 def next_close(bars: DataFrame) -> DataFrame:
     """Simple return to the next close, and when it becomes known."""
-    out = bars.select("timestamp", "symbol", (F.lead("close", 1).over(BY_SYMBOL) / F.col("close") - 1).alias("label"), F.lead("timestamp", 1).over(BY_SYMBOL).alias("known_at"))
+    out = bars.select("timestamp", "symbol", (F.lead("close", 1).over(by_symbol()) / F.col("close") - 1).alias("label"), F.lead("timestamp", 1).over(by_symbol()).alias("known_at"))
     return out.filter("label is not null")
 
 
 def v2(bars: DataFrame, lag: int = 1, horizon: int = 5, threshold: float = 0.0, temperature: float = 0.01, cost: float = 0.001, floor: float = 1e-4, limits: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
     """Soft direction, path volatility, downside deviation, risk-adjusted return, winsorised rank utility and relevance."""
-    entry, exit_ = F.lead("open", lag).over(BY_SYMBOL), F.lead("close", lag + horizon).over(BY_SYMBOL)
-    step = F.ln(F.col("close") / F.lag("close").over(BY_SYMBOL))
+    entry, exit_ = F.lead("open", lag).over(by_symbol()), F.lead("close", lag + horizon).over(by_symbol())
+    step = F.ln(F.col("close") / F.lag("close").over(by_symbol()))
     base = bars.withColumn("_step", step).withColumn("_first", F.ln(F.col("close") / F.col("open")))
     path = F.concat(
-        F.collect_list("_first").over(BY_SYMBOL.rowsBetween(lag, lag)), F.collect_list("_step").over(BY_SYMBOL.rowsBetween(lag + 1, lag + horizon))
+        F.collect_list("_first").over(by_symbol().rowsBetween(lag, lag)), F.collect_list("_step").over(by_symbol().rowsBetween(lag + 1, lag + horizon))
     )
     out = base.select("timestamp", "symbol", entry.alias("entry_open"), exit_.alias("exit_close"), path.alias("_path"))
     out = out.withColumn("label_valid", F.coalesce((F.col("entry_open") > 0) & (F.col("exit_close") > 0), F.lit(False)))

@@ -8,10 +8,10 @@ from pyspark.sql.window import Window
 from tickforge.functions.numeric import average_rank, full, percent_rank_average, ratio, rounded
 from tickforge.operators import features as X
 from tickforge.operators import labels as L
+from tickforge.operators.features import by_symbol
 from tickforge.plans.common import FROM, SCORED, r, rounded_columns, scored
 from tickforge.sources.tables import BARS, monthly_bars
 
-W = Window.partitionBy("symbol").orderBy("timestamp")
 _W = "OVER (PARTITION BY symbol ORDER BY timestamp)"
 
 
@@ -31,11 +31,11 @@ def _ma(n: int) -> str:
     return _full("close", n, f"ln(close) - ln(avg(close) {_rows(n)})")
 
 
-def one(column: str, expression, sql: str, extra: str = ""):
+def one(column: str, expression, sql: str):
     """A query of one window column over the bars, rounded."""
     return (
-        lambda s, d: monthly_bars(s, d).withColumn("r1", F.ln("close") - F.ln(F.lag("close").over(W))).select("timestamp", "symbol", rounded(expression).alias(column)),
-        f"WITH {BARS}, x AS (SELECT *, ln(close) - ln(lag(close) {_W}) AS r1 FROM bars) SELECT timestamp, symbol, {r(sql)} AS {column} FROM x{extra}",
+        lambda s, d: monthly_bars(s, d).withColumn("r1", F.ln("close") - F.ln(F.lag("close").over(by_symbol()))).select("timestamp", "symbol", rounded(expression()).alias(column)),
+        f"WITH {BARS}, x AS (SELECT *, ln(close) - ln(lag(close) {_W}) AS r1 FROM bars) SELECT timestamp, symbol, {r(sql)} AS {column} FROM x",
     )
 
 
@@ -140,14 +140,14 @@ SELECT timestamp, {r("mean", 5)} AS mean, n, {r("growth", 5)} AS growth, {r("gro
         lambda s, d: X.bar_v1(monthly_bars(s, d).filter("volume % 6 <> 0").withColumn("seq", F.months_between(F.timestamp_seconds(F.col("timestamp") / 1000000000), F.lit("1990-01-01")).cast("long")), "seq").groupBy("symbol").agg(F.sum(F.col("valid").cast("long")).alias("n_valid"), F.count_if(F.col("log_return_1") != 0).alias("n_returns")),
         None,
     ),
-    "win_diff_k": one("d5", F.ln("close") - F.lag(F.ln("close"), 5).over(W), f"ln(close) - lag(ln(close), 5) {_W}"),
-    "win_overnight_gap": one("gap", F.ln("open") - F.lag(F.ln("close")).over(W), f"ln(open) - lag(ln(close)) {_W}"),
-    "win_rolling_std_pop": one("std20", X.rolling_std(F.col("r1"), 20), _std("r1", 20)),
-    "win_rolling_zscore": one("z", X.zscore(F.col("close"), 20), _full("close", 20, f"(close - avg(close) {_rows(20)}) / nullif(stddev_pop(close) {_rows(20)}, 0)")),
-    "win_ma_deviation": one("ma10", X.ma_deviation(F.col("close"), 10), _ma(10)),
-    "win_price_position": one("pos", X.price_position(F.col("close"), 20), _full("close", 20, f"(close - min(close) {_rows(20)}) / nullif(max(close) {_rows(20)} - min(close) {_rows(20)}, 0)")),
-    "win_breakout": one("b", X.breakout(F.col("close"), 20), _full("close", 20, f"ln(close) - ln(max(close) {_rows(20)})")),
-    "win_cs_pct_rank": one("rank", percent_rank_average(F.col("r1"), "timestamp"), _RANK),
+    "win_diff_k": one("d5", lambda: F.ln("close") - F.lag(F.ln("close"), 5).over(by_symbol()), f"ln(close) - lag(ln(close), 5) {_W}"),
+    "win_overnight_gap": one("gap", lambda: F.ln("open") - F.lag(F.ln("close")).over(by_symbol()), f"ln(open) - lag(ln(close)) {_W}"),
+    "win_rolling_std_pop": one("std20", lambda: X.rolling_std(F.col("r1"), 20), _std("r1", 20)),
+    "win_rolling_zscore": one("z", lambda: X.zscore(F.col("close"), 20), _full("close", 20, f"(close - avg(close) {_rows(20)}) / nullif(stddev_pop(close) {_rows(20)}, 0)")),
+    "win_ma_deviation": one("ma10", lambda: X.ma_deviation(F.col("close"), 10), _ma(10)),
+    "win_price_position": one("pos", lambda: X.price_position(F.col("close"), 20), _full("close", 20, f"(close - min(close) {_rows(20)}) / nullif(max(close) {_rows(20)} - min(close) {_rows(20)}, 0)")),
+    "win_breakout": one("b", lambda: X.breakout(F.col("close"), 20), _full("close", 20, f"ln(close) - ln(max(close) {_rows(20)})")),
+    "win_cs_pct_rank": one("rank", lambda: percent_rank_average(F.col("r1"), "timestamp"), _RANK),
     "win_rank_relevance": (
         lambda s, d: scored(s, d).withColumn("n", F.count("*").over(Window.partitionBy("timestamp"))).select("timestamp", "symbol", rounded(F.when(F.col("n") == 1, 0.5).otherwise((average_rank(F.col("label"), "timestamp") - 1) / F.nullif(F.col("n") - 1, F.lit(0)))).alias("relevance")),
         f"WITH {SCORED} SELECT timestamp, symbol, {r('CASE WHEN count(*) OVER t = 1 THEN 0.5 ELSE (rank() OVER (PARTITION BY timestamp ORDER BY label) + (count(*) OVER (PARTITION BY timestamp, label) - 1) / 2.0 - 1) / nullif(count(*) OVER t - 1, 0) END')} AS relevance FROM scored WINDOW t AS (PARTITION BY timestamp)",
@@ -156,7 +156,7 @@ SELECT timestamp, {r("mean", 5)} AS mean, n, {r("growth", 5)} AS growth, {r("gro
         lambda s, d: scored(s, d).join(scored(s, d).groupBy("timestamp").agg(F.percentile("label", 0.05).alias("lo"), F.percentile("label", 0.95).alias("hi")), "timestamp").select("timestamp", "symbol", rounded(F.greatest(F.least("label", "hi"), F.col("lo"))).alias("x")),
         f"WITH {SCORED}, q AS (SELECT timestamp, quantile_cont(label, 0.05) AS lo, quantile_cont(label, 0.95) AS hi FROM scored GROUP BY 1) SELECT timestamp, symbol, {r('greatest(least(label, hi), lo)')} AS x FROM scored JOIN q USING (timestamp)",
     ),
-    "win_lead_labels": one("fwd", F.lead("close", 6).over(W) / F.lead("open", 1).over(W), f"lead(close, 6) {_W} / lead(open, 1) {_W}"),
+    "win_lead_labels": one("fwd", lambda: F.lead("close", 6).over(by_symbol()) / F.lead("open", 1).over(by_symbol()), f"lead(close, 6) {_W} / lead(open, 1) {_W}"),
     "label_next_open": (
         lambda s, d: rounded_columns(L.next_open(monthly_bars(s, d), 3), 5),
         f"WITH {BARS}, x AS (SELECT timestamp, symbol, lead(open, 1) {_W} AS eo, lead(close, 4) {_W} AS xc FROM bars) SELECT timestamp, symbol, {r('eo', 5)} AS entry_open, {r('xc', 5)} AS exit_close, {r('ln(xc / eo)', 5)} AS expected_return, CASE WHEN ln(xc / eo) > 0 THEN 1.0 WHEN ln(xc / eo) <= 0 THEN 0.0 END::DOUBLE AS direction, {r('abs(ln(xc / eo))', 5)} AS volatility, xc IS NOT NULL AND eo IS NOT NULL AS label_valid FROM x",
@@ -199,16 +199,16 @@ SELECT timestamp, {r("mean", 5)} AS mean, n, {r("growth", 5)} AS growth, {r("gro
         lambda s, d: rounded_columns(X.bollinger(monthly_bars(s, d), 12, 1.5), 4),
         f"WITH {BARS}, x AS (SELECT timestamp, symbol, close, {_full('close', 12, f'avg(close) {_rows(12)} - 1.5 * stddev_pop(close) {_rows(12)}')} AS lo, {_full('close', 12, f'avg(close) {_rows(12)} + 1.5 * stddev_pop(close) {_rows(12)}')} AS hi FROM bars) SELECT timestamp, symbol, {r('close', 4)} AS close, {r('lo', 4)} AS lower, {r('hi', 4)} AS upper, CASE WHEN close < lo THEN 'BUY' ELSE 'SELL' END AS signal FROM x WHERE close < lo OR close > hi",
     ),
-    "win_running_peak": one("dd", F.col("close") / F.max("close").over(W.rowsBetween(Window.unboundedPreceding, 0)) - 1, f"close / max(close) {_W} - 1"),
-    "win_period_return": one("ret", F.coalesce(F.col("close") / F.lag("close").over(W) - 1, F.lit(0.0)), f"coalesce(close / lag(close) {_W} - 1, 0.0)"),
-    "win_rolling_sharpe": one("sharpe", full(F.col("r1"), X.rows(20), 20, (F.avg("r1").over(X.rows(20)) - 0.02 / 252) / F.nullif(F.stddev_samp("r1").over(X.rows(20)), F.lit(0.0)) * F.sqrt(F.lit(252.0))), _full("r1", 20, f"(avg(r1) {_rows(20)} - 0.02 / 252) / nullif(stddev_samp(r1) {_rows(20)}, 0) * sqrt(252.0)")),
-    "win_cum_growth": one("growth", F.exp(F.sum("r1").over(W)), f"exp(sum(r1) {_W})"),
+    "win_running_peak": one("dd", lambda: F.col("close") / F.max("close").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)) - 1, f"close / max(close) {_W} - 1"),
+    "win_period_return": one("ret", lambda: F.coalesce(F.col("close") / F.lag("close").over(by_symbol()) - 1, F.lit(0.0)), f"coalesce(close / lag(close) {_W} - 1, 0.0)"),
+    "win_rolling_sharpe": one("sharpe", lambda: full(F.col("r1"), X.rows(20), 20, (F.avg("r1").over(X.rows(20)) - 0.02 / 252) / F.nullif(F.stddev_samp("r1").over(X.rows(20)), F.lit(0.0)) * F.sqrt(F.lit(252.0))), _full("r1", 20, f"(avg(r1) {_rows(20)} - 0.02 / 252) / nullif(stddev_samp(r1) {_rows(20)}, 0) * sqrt(252.0)")),
+    "win_cum_growth": one("growth", lambda: F.exp(F.sum("r1").over(by_symbol())), f"exp(sum(r1) {_W})"),
     "win_drawdown_duration": (
         lambda s, d: _longest(s, d),
         f"WITH {BARS}, x AS (SELECT symbol, timestamp, close < max(close) {_W} AS down FROM bars), y AS (SELECT *, count(*) FILTER (NOT down) {_W} AS island FROM x), z AS (SELECT symbol, island, count(*) FILTER (down) AS n FROM y GROUP BY 1, 2) SELECT symbol, max(n) AS longest FROM z GROUP BY 1",
     ),
     "win_transitions": (
-        lambda s, d: scored(s, d).withColumn("flag", F.col("score") < -0.2).withColumn("before", F.lag("flag").over(W)).filter("before is not null").groupBy("before", "flag").agg(F.count("*").alias("n")),
+        lambda s, d: scored(s, d).withColumn("flag", F.col("score") < -0.2).withColumn("before", F.lag("flag").over(by_symbol())).filter("before is not null").groupBy("before", "flag").agg(F.count("*").alias("n")),
         f"WITH {SCORED}, x AS (SELECT score < -0.2 AS flag, lag(score < -0.2) {_W} AS before FROM scored) SELECT before, flag, count(*) AS n FROM x WHERE before IS NOT NULL GROUP BY 1, 2",
     ),
     "win_autocorr": (
@@ -232,8 +232,8 @@ def _disjoint(s, d):
 
 
 def _longest(s, d):
-    peak = F.max("close").over(W)
-    x = monthly_bars(s, d).withColumn("down", F.col("close") < peak).withColumn("island", F.count_if(~F.col("down")).over(W))
+    peak = F.max("close").over(by_symbol())
+    x = monthly_bars(s, d).withColumn("down", F.col("close") < peak).withColumn("island", F.count_if(~F.col("down")).over(by_symbol()))
     return x.groupBy("symbol", "island").agg(F.count_if("down").alias("n")).groupBy("symbol").agg(F.max("n").alias("longest"))
 
 
@@ -243,7 +243,7 @@ def _centred(s, d):
 
 
 def _lagged(df):
-    return df.withColumns({f"p{k}": F.col("c") * F.lag("c", k).over(W) for k in range(1, 4)})
+    return df.withColumns({f"p{k}": F.col("c") * F.lag("c", k).over(by_symbol()) for k in range(1, 4)})
 
 
 def _autocorr(s, d):
