@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.llm.storage import durable
+from tickforge.llm.words import LOWER, U, hash_words, mix
 
 #: Text bytes of a chunk (a longer document is a chunk of its own).
 CHUNK_BYTES = 4 << 20
@@ -97,8 +98,6 @@ class Chunk:
     """One row of a packed corpus, unpacked."""
 
     def __init__(self, row: dict, lower: bool = False):
-        from tickforge.llm.words import LOWER
-
         self.key = row["chunk"]
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.ends = np.frombuffer(row["ends"], np.int64)
@@ -111,8 +110,6 @@ class Chunk:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, end, hash and document index of every word."""
-        from tickforge.llm.words import hash_words
-
         start, end, hashes = hash_words(self.buf)
         return start, end, hashes, np.searchsorted(self.ends, start, side="right")
 
@@ -132,13 +129,24 @@ def buckets_for(chunks: DataFrame, keys_per_byte: float, least: int = 1) -> int:
 
 def by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts distinct sorted keys by bucket, and the ``n + 1`` bounds of the buckets in it."""
-    bucket = (keys % np.uint64(n)).astype(np.int64)
+    bucket = (mix(keys) % U(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def requests(key: int, keys: np.ndarray, vals: np.ndarray | None, n: int) -> pa.RecordBatch:
-    """Rows of REQUEST for one chunk: only buckets that get a key."""
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys that lie close together, as compressed differences."""
+    step = np.diff(keys, prepend=U(0))
+    return zstandard.ZstdCompressor(level=6).compress(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def open_keys(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
+
+
+def requests(key: int, keys: np.ndarray, vals: np.ndarray | None, n: int, dense: bool = False) -> pa.RecordBatch:
+    """Rows of REQUEST for one chunk: only buckets that get a key; with ``dense``, keys and values are compressed."""
     order, bounds = by_bucket(keys, n)
     some = np.flatnonzero(bounds[1:] > bounds[:-1])
     keys, vals = keys[order], None if vals is None else vals[order]
@@ -146,8 +154,8 @@ def requests(key: int, keys: np.ndarray, vals: np.ndarray | None, n: int) -> pa.
     return pa.RecordBatch.from_arrays(
         [
             pa.array(some, pa.int32()), pa.array(np.full(len(some), key, np.int64)),
-            pa.array([keys[c].tobytes() for c in cut], pa.binary()),
-            pa.array([None if vals is None else vals[c].tobytes() for c in cut], pa.binary()),
+            pa.array([squeeze_keys(keys[c]) if dense else keys[c].tobytes() for c in cut], pa.binary()),
+            pa.array([None if vals is None else zstandard.compress(vals[c].tobytes()) if dense else vals[c].tobytes() for c in cut], pa.binary()),
         ],
         ["bucket", "chunk", "keys", "vals"],
     )

@@ -12,12 +12,14 @@ empty).  Two documents link when ``100 * |A & B| >= percent * |A | B|``.
    shingles.
 3. Under the first order, documents are listed by prefix shingle.  Each list
    names its smallest document the pivot and proposes (pivot, document) only.
-   A proposal must share prefix shingles under the other orders as well; what
-   passes is verified on the whole sets.
+   Links must share prefix shingles under the other orders as well, before the
+   whole sets are compared.
 4. Linked pairs give first components.  Pairs of one list that lie in different
-   components are the only ones that could still change anything; all of them
-   are filtered and verified, so components are exact while a group of copies
-   costs pairs in proportion to its size.
+   components are the only ones that could still change anything.  The places of
+   the shingle in both, and what each shares with the list's pivot, bound what
+   they can share; all pairs that the bounds leave are filtered and verified.
+   Components are exact, while a group of copies costs pairs in proportion to
+   its size.
 
 Null and empty texts have the empty set and link with nothing.  A null id is
 larger than any other and comes back null.  Rows that share an id are one
@@ -31,15 +33,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.llm import chunks as C
 from tickforge.llm.storage import durable
 from tickforge.llm.words import U, fold, hash_words, mix, runs
 
-#: Counters of the sketch (4 bytes each while counting, 1 byte as levels): its size never depends on the corpus.
-SKETCH = 1 << 20
+#: Counters of the sketch (2 bytes each while counting, 1 byte as levels): its size never depends on the corpus.
+SKETCH = 1 << 24
 SLICES = 16
 #: Hash seeds of the token orders.
 ORDERS = (U(0x2545F4914F6CDD1D), U(0x9E6C63D0876A9A47), U(0xD1342543DE82EF95))
@@ -70,12 +72,12 @@ def need(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefixes(grams: np.ndarray, size: np.ndarray, level: np.ndarray, seed: np.uint64, percent: int) -> np.ndarray:
-    """Mask of the prefix shingles of every set under one order."""
+    """Place of every shingle in its set under one order, or -1 beyond the prefix."""
     owner = np.repeat(np.arange(len(size)), size)
-    order = np.lexsort((mix(grams ^ seed), level[(grams >> U(40)).astype(np.int64) % SKETCH], owner))
+    order = np.lexsort((mix(grams ^ seed), level[(grams >> U(40)).astype(np.int64)], owner))
     nth = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
-    out = np.zeros(len(grams), bool)
-    out[order] = nth < np.repeat(size - need(size, percent) + 1, size)
+    out = np.empty(len(grams), np.int64)
+    out[order] = np.where(nth < np.repeat(size - need(size, percent) + 1, size), nth, -1)
     return out
 
 
@@ -137,17 +139,30 @@ def _equal(table: pa.Table) -> pa.Table:
 EQUAL = "chunk long, at int, id long, size long, rep long, stands boolean"
 
 
+def _squeezed(counts: np.ndarray) -> bytes:
+    """Mostly small counts as a bit for each and the rest of the positive ones."""
+    squeeze = zstandard.ZstdCompressor(level=6)
+    return squeeze.compress(np.packbits(counts > 0).tobytes()) + squeeze.compress((counts[counts > 0] - 1).tobytes())
+
+
+def _opened(blob: bytes, n: int) -> np.ndarray:
+    out = np.zeros(n, np.uint16)
+    first = zstandard.ZstdDecompressor().decompressobj()
+    some = np.unpackbits(np.frombuffer(first.decompress(blob), np.uint8)).astype(bool)
+    out[some] = np.frombuffer(zstandard.ZstdDecompressor().decompress(first.unused_data), np.uint16) + np.uint16(1)
+    return out
+
+
 def _count(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.uint32)
+        total = np.zeros(SKETCH, np.uint16)
         some = False
         for chunk in C.unpack(batches, lower=True):
             some = True
-            total += np.bincount((_Sets(chunk, n).grams >> U(40)).astype(np.int64) % SKETCH, minlength=SKETCH).astype(np.uint32)
+            at, count = np.unique((_Sets(chunk, n).grams >> U(40)).astype(np.int64), return_counts=True)
+            total[at] = np.minimum(total[at] + count, 65535)
         if some:
-            squeeze = zstandard.ZstdCompressor(level=3)
-            cut = np.split(total, SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([squeeze.compress(x.tobytes()) for x in cut], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([_squeezed(x) for x in np.split(total, SLICES)], pa.binary())], ["slice", "counts"])
 
     return run
 
@@ -155,7 +170,7 @@ def _count(n: int):
 def _sum_slice(table: pa.Table) -> pa.Table:
     total = np.zeros(SKETCH // SLICES, np.uint64)
     for x in table["counts"].to_pylist():
-        total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32)
+        total += _opened(x, SKETCH // SLICES)
     level = np.floor(2 * np.log2(total + 1.0)).astype(np.uint8)
     return pa.table({"slice": table["slice"][:1], "counts": pa.array([level.tobytes()], pa.binary())})
 
@@ -177,12 +192,12 @@ def _list(n: int, buckets: int, percent: int, level):
         stands[table["at"].to_numpy()] = table["stands"].to_numpy(zero_copy_only=False)
         keep = np.repeat(stands, s.size)
         grams, size, ids = s.grams[keep], s.size[stands], chunk.ids[stands]
-        first = prefixes(grams, size, level.value, ORDERS[0], percent)
-        owner = np.repeat(np.arange(len(size)), size)[first]
-        grams = grams[first]
+        nth = prefixes(grams, size, level.value, ORDERS[0], percent)
+        sel = np.flatnonzero(nth >= 0)
+        grams, nth, owner = grams[sel], nth[sel], np.repeat(np.arange(len(size)), size)[sel]
         bucket = (grams % U(buckets)).astype(np.int64)
-        order = np.lexsort((owner, bucket))
-        grams, owner, bucket = grams[order], owner[order], bucket[order]
+        order = np.lexsort((nth, owner, bucket))
+        grams, nth, owner, bucket = grams[order], nth[order], owner[order], bucket[order]
         squeeze = zstandard.ZstdCompressor(level=3)
         out = []
         for a, k in zip(*runs(bucket), strict=True):
@@ -190,40 +205,67 @@ def _list(n: int, buckets: int, percent: int, level):
             at, count = runs(own)
             docs = np.empty(len(at), _DOC)
             docs["id"], docs["size"], docs["count"] = ids[own[at]], size[own[at]], count
-            out.append((int(bucket[a]), chunk.key, grams[a : a + k].tobytes(), squeeze.compress(docs.tobytes())))
+            step = np.diff(nth[a : a + k], prepend=0).astype(np.int32)  # places rise within a document
+            out.append((int(bucket[a]), chunk.key, grams[a : a + k].tobytes(), squeeze.compress(docs.tobytes() + step.tobytes())))
         cols = list(zip(*out, strict=True)) or [[]] * 4
         return pa.table({k: pa.array(v, t) for k, v, t in zip(["bucket", "chunk", "keys", "vals"], cols, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)})
 
     return run
 
 
-LISTED = "token long, id long, size long, chunk long, pivot long"
-
-
-def _pivots(table: pa.Table) -> pa.Table:
-    """The lists of two or more documents, equal lists of this bucket once."""
-    grams, ids, sizes, chunks = [], [], [], []
-    for keys, vals, chunk in zip(table["keys"].to_pylist(), table["vals"].to_pylist(), table["chunk"].to_pylist(), strict=True):
-        docs = np.frombuffer(zstandard.ZstdDecompressor().decompress(vals), _DOC)
-        grams.append(np.frombuffer(keys, U))
-        ids.append(np.repeat(docs["id"], docs["count"]))
-        sizes.append(np.repeat(docs["size"], docs["count"]))
-        chunks.append(np.full(len(grams[-1]), chunk))
-    grams, ids, sizes, chunks = (np.concatenate(x) for x in (grams, ids, sizes, chunks))
-    many = np.unique(grams, return_inverse=True, return_counts=True)
-    sel = np.flatnonzero(many[2][many[1]] > 1)
-    order = sel[np.lexsort((chunks[sel], ids[sel], grams[sel]))]
-    grams, ids, sizes, chunks = grams[order], ids[order], sizes[order].astype(np.int64), chunks[order]
-    first, count = runs(grams)
-    if not len(first):
-        return pa.table({k: pa.array([], pa.int64()) for k in ("token", "id", "size", "chunk", "pivot")})
-    a, b = (np.add.reduceat(mix(ids.astype(U) ^ U(k)), first) for k in (11, 13))
-    _, one = np.unique(np.stack((a, b), axis=1), axis=0, return_index=True)
-    mask = np.zeros(len(first), bool)
-    mask[one] = True
-    pivot = np.repeat(ids[first], count)
-    rows = np.repeat(mask, count)
-    return pa.table({"token": grams.view(np.int64)[rows], "id": ids[rows], "size": sizes[rows], "chunk": chunks[rows], "pivot": pivot[rows]})
+LISTED = "token long, id long, size long, place long, chunk long, pivot long, pivot_size long, pivot_place long"
+
+
+def _pivots(percent: int):
+    """The lists of two or more documents, equal lists of this bucket once; a list is named by its documents.
+
+    Lists of two that the places rule out are left out (see ``_alike``).
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = []
+        for keys, vals, chunk in zip(table["keys"].to_pylist(), table["vals"].to_pylist(), table["chunk"].to_pylist(), strict=True):
+            grams = np.frombuffer(keys, U)
+            data = zstandard.ZstdDecompressor().decompress(vals)
+            docs = np.frombuffer(data[: len(data) - 4 * len(grams)], _DOC)
+            place = np.cumsum(np.frombuffer(data[len(data) - 4 * len(grams) :], np.int32), dtype=np.int64)
+            rows.append((grams, np.repeat(docs["id"], docs["count"]), np.repeat(docs["size"], docs["count"]).astype(np.int64), place, np.full(len(grams), chunk)))
+        grams, ids, sizes, places, chunks = (np.concatenate(x) for x in zip(*rows, strict=True))
+        many = np.unique(grams, return_inverse=True, return_counts=True)
+        sel = np.flatnonzero(many[2][many[1]] > 1)
+        order = sel[np.lexsort((chunks[sel], ids[sel], grams[sel]))]
+        grams, ids, sizes, places, chunks = (x[order] for x in (grams, ids, sizes, places, chunks))
+        first, count = runs(grams)
+        two = first[count == 2]
+        most = np.minimum(sizes[two] - places[two], sizes[two + 1] - places[two + 1])
+        far = two[100 * most < percent * (sizes[two] + sizes[two + 1] - most)]
+        keep = np.ones(len(grams), bool)
+        keep[far] = keep[far + 1] = False
+        grams, ids, sizes, places, chunks = (x[keep] for x in (grams, ids, sizes, places, chunks))
+        first, count = runs(grams)
+        if not len(first):
+            return pa.table({x.split()[0]: pa.array([], pa.int64()) for x in LISTED.split(", ")})
+        a, b = (np.add.reduceat(mix(ids.astype(U) ^ U(k)), first) for k in (11, 13))
+        name = mix(a + mix(b))
+        # of equal lists, the one whose shingle comes first in the order (it does so in each of their documents)
+        order = np.lexsort((places[first], name))
+        mask = np.zeros(len(first), bool)
+        mask[order[runs(name[order])[0]]] = True
+        rows = np.repeat(mask, count)
+        out = {"token": np.repeat(name, count).view(np.int64), "id": ids, "size": sizes, "place": places, "chunk": chunks}
+        out |= {k: np.repeat(v[first], count) for k, v in (("pivot", ids), ("pivot_size", sizes), ("pivot_place", places))}
+        return pa.table({k: v[rows] for k, v in out.items()})
+
+    return run
+
+
+def _alike(percent: int, size_x: Column, place_x: Column, size_y: Column, place_y: Column) -> Column:
+    """Whether sets may link if the shingle at these places is the first they share.
+
+    A linked pair passes at its first common shingle; other shingles only make the bound tighter.
+    """
+    most = F.least(size_x - place_x, size_y - place_y)
+    return 100 * most >= percent * (size_x + size_y - most)
 
 
 def _extract(chunk: C.Chunk, table: pa.Table) -> pa.Table:
@@ -234,7 +276,17 @@ def _extract(chunk: C.Chunk, table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(chunk.ids[wanted]), "body": pa.array([squeeze.compress(raw[chunk.starts[i] : chunk.ends[i]]) for i in wanted], pa.binary())})
 
 
-def _verify(n: int, percent: int, level):
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def _verify(n: int, percent: int, level, count: bool):
+    """Whether pairs link, and how many shingles they share: for all, or only for those that pass the filters."""
+
     def sets(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         open_ = zstandard.ZstdDecompressor()
         texts = [open_.decompress(x) for x in bodies]
@@ -253,17 +305,18 @@ def _verify(n: int, percent: int, level):
                 bodies = batch["body_a"].to_pylist() + batch["body_b"].to_pylist()
                 uniq = {x: i for i, x in enumerate(dict.fromkeys(bodies))}
                 grams, size, at = sets(list(uniq))
-                masks = [prefixes(grams, size, level.value, seed, percent) for seed in ORDERS[1:]]
-                linked = np.zeros(len(a), bool)
+                masks = [prefixes(grams, size, level.value, seed, percent) >= 0 for seed in ORDERS[1:]]
+                linked, shared = np.zeros(len(a), bool), np.full(len(a), -1)
                 for k in range(len(a)):
                     i, j = uniq[bodies[k]], uniq[bodies[len(a) + k]]
                     if 100 * min(size[i], size[j]) < percent * max(size[i], size[j]):
                         continue
                     x, y = slice(at[i], at[i + 1]), slice(at[j], at[j + 1])
-                    if all(len(np.intersect1d(grams[x][m[x]], grams[y][m[y]], assume_unique=True)) for m in masks):
-                        both = len(np.intersect1d(grams[x], grams[y], assume_unique=True))
-                        linked[k] = 100 * both >= percent * (size[i] + size[j] - both)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(linked)], ["a", "b", "linked"])
+                    passed = all(_common(grams[x][m[x]], grams[y][m[y]]) for m in masks)
+                    if passed or count:
+                        shared[k] = _common(grams[x], grams[y])
+                        linked[k] = passed and 100 * shared[k] >= percent * (size[i] + size[j] - shared[k])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(linked), pa.array(shared, mask=shared < 0)], ["a", "b", "linked", "shared"])
 
     return run
 
@@ -296,34 +349,39 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     equal = durable(packed.mapInArrow(_ask_equal(n, n_docs), C.REQUEST).groupBy("bucket").applyInArrow(_equal, EQUAL), "jaccard-equal")
     level = spark.sparkContext.broadcast(levels(packed, n))
     asked = C.gather(packed, equal.select("chunk", "at", "stands"), _list(n, buckets, percent, level), C.REQUEST, lower=True)
-    listed = durable(asked.groupBy("bucket").applyInArrow(_pivots, LISTED), "jaccard-lists")
-    fits = 100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size")
-    pivot_size = F.min(F.when(F.col("id") == F.col("pivot"), F.col("size"))).alias("pivot_size")
-    heads = listed.groupBy(F.col("pivot")).agg(pivot_size)
+    listed = durable(asked.groupBy("bucket").applyInArrow(_pivots(percent), LISTED), "jaccard-lists")
     stars = durable(
-        listed.filter("id <> pivot").select("id", "size", "pivot").distinct().join(heads, "pivot").filter(fits).select(F.col("pivot").alias("a"), F.col("id").alias("b")),
+        listed.filter("id <> pivot").filter(_alike(percent, F.col("size"), F.col("place"), F.col("pivot_size"), F.col("pivot_place")))
+        .select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(),
         "jaccard-stars",
-    )
+    )
     wanted = listed.select("chunk", "id").distinct()
     bodies = durable(C.gather(packed, wanted, _extract, "id long, body binary", lower=True), "jaccard-bodies")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame, name: str, count: bool) -> DataFrame:
         texts = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
-        return durable(texts.select("a", "b", "body_a", "body_b").mapInArrow(_verify(n, percent, level), "a long, b long, linked boolean"), name)
+        return durable(texts.select("a", "b", "body_a", "body_b").mapInArrow(_verify(n, percent, level, count), "a long, b long, linked boolean, shared long"), name)
 
-    first = verified(stars, "jaccard-first")
+    first = verified(stars, "jaccard-first", True)
     links = first.filter("linked").select("a", "b")
     labels = components(links)
     # lists whose documents lie in several components
-    placed = listed.select("token", "id", "size").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lists = listed.groupBy("token", "id", "size", "pivot").agg(F.min("place").alias("place"))
+    placed = lists.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2").select("token")
-    rest = placed.join(mixed, "token", "left_semi")
-    x, y = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "component"))) for s in "xy")
-    pairs = x.join(y, (x.token == y.token) & (x.id_x < y.id_y) & (x.component_x != y.component_y) & (100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y")))
+    known = first.groupBy(F.col("a").alias("pivot"), F.col("b").alias("id")).agg(F.max("shared").alias("shared"))
+    rest = placed.join(mixed, "token", "left_semi").join(known, ["pivot", "id"], "left")
+    rest = rest.withColumn("shared", F.when(F.col("id") == F.col("pivot"), F.col("size")).otherwise(F.col("shared")))
+    x, y = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "place", "component", "shared"))) for s in "xy")
+    # what both share with the pivot, and what both may share beyond it
+    most = F.least("shared_x", "shared_y") + F.least(x.size_x - x.shared_x, y.size_y - y.shared_y)
+    close = F.coalesce(100 * most >= percent * (x.size_x + y.size_y - most), F.lit(True))
+    alike = _alike(percent, x.size_x, x.place_x, y.size_y, y.place_y)
+    pairs = x.join(y, (x.token == y.token) & (x.id_x < y.id_y) & (x.component_x != y.component_y) & alike & close)
     pairs = pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     pairs = durable(pairs, "jaccard-pairs")
     if pairs.limit(1).count():
-        second = verified(pairs, "jaccard-second").filter("linked").select("a", "b")
+        second = verified(pairs, "jaccard-second", False).filter("linked").select("a", "b")
         if second.limit(1).count():
             labels = components(links.union(second))
     null = F.lit(int(C.NULL_ID))
