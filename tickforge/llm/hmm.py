@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tickforge.llm import chunks as C
 from tickforge.llm.words import U, mix, runs
 
-TOP, HASHED, STATES, ROUNDS = 2000, 2048, 8, 6
+TOP, HASHED, STATES, ROUNDS, PRIOR = 2000, 2048, 8, 6, 50
 #: Slots in which partial sums meet before the driver adds them.
 SLOTS = 16
 #: Padded cells of a batch of sequences (a longer sequence is a batch by itself), and tokens among which batches are formed.
@@ -159,10 +159,12 @@ class Model:
         return cls(np.full(states, 1 / states), 0.9 * np.eye(states) + 0.1 / states, emit / emit.sum(0))
 
     @classmethod
-    def of_counts(cls, flat: np.ndarray, states: int) -> Model:
-        """Normalised expected counts; 0.1 more for every event keeps all probabilities above 0."""
-        start, move, emit = np.split(flat + 0.1, [states, states + states * states])
-        move, emit = move.reshape(states, states), emit.reshape(-1, states)
+    def of_counts(cls, flat: np.ndarray, unigram: np.ndarray, states: int) -> Model:
+        """Normalised expected counts; 0.1 more for starts and moves, and PRIOR tokens of the unigram
+        distribution for each state, keep all probabilities above 0."""
+        start, move, emit = np.split(flat, [states, states + states * states])
+        start, move = start + 0.1, move.reshape(states, states) + 0.1
+        emit = emit.reshape(-1, states) + (PRIOR * (unigram + 0.1) / (unigram + 0.1).sum())[:, None]
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
@@ -318,7 +320,7 @@ def score_hmm(docs: DataFrame, train: Column, states: int = STATES, rounds: int
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         parts = written.mapInArrow(_expect(sent), "part int, vals binary")
-        model = Model.of_counts(_summed(parts, F.col("part"), float, states + states * states + _KINDS * states), states)
+        model = Model.of_counts(_summed(parts, F.col("part"), float, states + states * states + _KINDS * states), voc.unigram, states)
         sent.unpersist()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return C.gather(packed, reply.filter("chunk >= 0"), _score(n, shared, spark.sparkContext.broadcast(model)), schema, lower=True)
