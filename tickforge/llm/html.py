@@ -13,7 +13,7 @@ A text slot is known by its path of open elements.  Slots under menus, headers,
 footers, sidebars, notices, adverts, forms and comments (by element, role, class
 or id) are not main text.  Of the others, those inside the wrapper's article or
 main element are, if it has one; else those inside the element that holds most
-text outside links, except slots whose text is the same on all of three or more
+text outside links, except blocks whose text is the same on all of three or more
 pages.  Pages of hosts without a wrapper cannot occur: one page is a wrapper.
 
 Null and empty html give the empty text; null urls are one host.  Repeated ids
@@ -268,7 +268,15 @@ def choose(paths: set[str], stats: dict[str, tuple[int, int, int, int]]) -> list
         return sorted(good)
     box = max(sorted(weight), key=lambda k: weight[k])
     inside = {p for p in good if p == box or not box or p.startswith(box + "/")}
-    return sorted(p for p in inside if not (stats.get(p, (0, 0, 0, 0))[2] >= 3 and stats[p][3] == 1))
+
+    def block(p: str) -> str:
+        parts = p.split("/")
+        while len(parts) > 1 and parts[-1].split(".")[0] in INLINE:
+            parts.pop()
+        return "/".join(parts)
+
+    varies = {block(p) for p in inside if not (stats.get(p, (0, 0, 0, 0))[2] >= 3 and stats[p][3] == 1)}
+    return sorted(p for p in inside if block(p) in varies)
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
