@@ -107,11 +107,11 @@ PAGE = """<!DOCTYPE html><html><head><title>T{n}</title><style>p{{}}</style><scr
 @pytest.mark.parametrize("box", ["article", 'div class="content"'])
 def test_html(spark, box):
     tag = box.split()[0]
-    pages = [(i, f"http://h.example/{i}", PAGE.format(n=i, box="@", extra="<ul><li>one</li><li>two</li></ul>" if i % 2 else "").replace("<@>", f"<{box}>").replace("</@>", f"</{tag}>")) for i in range(6)]
+    pages = [(i, f"http://h.example/{i}", PAGE.format(n=i, box="@", extra=f"<ul><li>one</li><li>two{i}</li></ul>" if i % 2 else "").replace("<@>", f"<{box}>").replace("</@>", f"</{tag}>")) for i in range(6)]
     pages += [(90, None, None), (91, "http://h.example/e", ""), (92, "nonsense", "<p>alone")]
     out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     for i in range(6):
-        assert out[i] == f"Head {i} First bold & more{i} Second block after" + (" one two" if i % 2 else "")
+        assert out[i] == f"Head {i} First bold & more{i} Second block after" + (f" one two{i}" if i % 2 else "")
     assert out[90] == out[91] == "" and out[92] in ("", "alone")
 
 
