@@ -30,11 +30,12 @@ by one.  Extra columns are ignored.  Whole texts are scored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.llm.words import LOWER, SPACE, U, mix
@@ -74,11 +75,12 @@ class Strings:
         space = SPACE[buf]
         edge = np.diff(np.concatenate(([True], space, [True])).view(np.int8))
         start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        place = np.arange(len(buf))
-        after = np.minimum.accumulate(np.where(solid, place, len(buf))[::-1])[::-1]
-        before = np.maximum.accumulate(np.where(solid, place, -1))
+        place = np.arange(len(buf), dtype=np.int32)
         if len(start):
-            start, end = after[start], before[end - 1] + 1
+            after = np.minimum.accumulate(np.where(solid, place, np.int32(len(buf)))[::-1])[::-1][start]
+            before = np.maximum.accumulate(np.where(solid, place, np.int32(-1)))[end - 1]
+            start, end = after.astype(np.int64), before.astype(np.int64) + 1
+        del place, solid, space
         some = end > start
         start, end = start[some], end[some]
         doc = np.searchsorted(ends, start, side="right")
@@ -94,15 +96,16 @@ class Strings:
         start, end, doc = start[first], end[last] if len(first) else end[:0], doc[first]
         size = end - start
         code = CODE[buf]
-        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        at = np.repeat((start - (np.cumsum(size) - size)).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)
         # punctuation and spaces inside a string do not count
         real = code[at] != _INSERTED
-        owner = np.repeat(np.arange(len(size)), size)
-        at, size = at[real], np.bincount(owner[real], minlength=len(size))
+        size = np.add.reduceat(real, np.cumsum(size) - size) if len(size) else size
+        at, size = at[real], size.astype(np.int64)
         flat = code[at].astype(U)
         power = np.cumprod(np.full(int(size.max(initial=0)) + 1, _BASE))
-        nth = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        nth = np.arange(len(flat), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
         sums = np.concatenate(([U(0)], np.cumsum(mix(flat + U(1)) * power[nth], dtype=U)))
+        del flat, nth
         stop = np.cumsum(size)
         hashes = mix(sums[stop] - sums[stop - size] + size.astype(U))
         self.hashes, one, self.inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -173,11 +176,11 @@ def kernel(strings: Strings, which: np.ndarray, landmarks: np.ndarray) -> np.nda
     table = np.zeros((len(vocabulary) + 1, len(landmarks)))
     np.add.at(table, (np.searchsorted(vocabulary, key), owner), weight)
     out = np.zeros((len(which), len(landmarks)))
-    for lo in range(0, len(which), 512):
-        owner, key, weight = strings.triples(which[lo : lo + 512])
+    for lo in range(0, len(which), 128):
+        owner, key, weight = strings.triples(which[lo : lo + 128])
         at = np.minimum(np.searchsorted(vocabulary, key), len(vocabulary) - 1)
         hit = vocabulary[at] == key
-        np.add.at(out[lo : lo + 512], owner[hit], weight[hit, None] * table[at[hit]])
+        np.add.at(out[lo : lo + 128], owner[hit], weight[hit, None] * table[at[hit]])
     return out
 
 
@@ -222,9 +225,11 @@ class Machine:
         self.weights, self.bias = np.zeros(1 << 18, np.float32), 0.0
         rate = (labels.sum() + 0.5) / (len(labels) + 1)
         self.calibration = np.array([0, 0, 0, np.log(rate / (1 - rate))])
-        if labels.min(initial=1) == labels.max(initial=0):
+        if not (labels.any() and (labels == 0).any()):
             return
         s = Strings(texts)
+        if not len(s.size):
+            return
         rng = np.random.default_rng(7)
         n = len(s.size)
         pair = np.unique(s.doc * np.int64(n) + s.inverse)
@@ -233,14 +238,17 @@ class Machine:
         in_clean = np.bincount(string, minlength=n) - in_toxic
         owner, gram = s.grams()
         gram, gram_id = np.unique(gram, return_inverse=True)
-        # documents of either label in which a gram occurs, by way of its strings
-        order = np.argsort(owner, kind="stable")
-        begin = np.searchsorted(owner[order], np.arange(n + 1))
-        count = begin[string + 1] - begin[string]
-        at = np.repeat(begin[string] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        seen = np.unique(np.repeat(doc, count) * np.int64(len(gram)) + gram_id[order][at])
-        g, lab = seen % len(gram), labels[seen // len(gram)]
-        toxic, clean = (np.bincount(g, weights=w, minlength=len(gram)) for w in (lab, 1 - lab))
+        # documents of either label in which a gram occurs, by way of its strings, some documents at a time
+        begin = np.searchsorted(owner, np.arange(n + 1))
+        toxic, clean = np.zeros(len(gram)), np.zeros(len(gram))
+        for lo in range(0, s.docs, 100):
+            here = slice(*np.searchsorted(doc, (lo, lo + 100)))
+            count = begin[string[here] + 1] - begin[string[here]]
+            at = np.repeat(begin[string[here]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            seen = np.unique(np.repeat(doc[here], count) * np.int64(len(gram)) + gram_id[at])
+            lab = labels[seen // len(gram)]
+            toxic += np.bincount(seen % len(gram), weights=lab, minlength=len(gram))
+            clean += np.bincount(seen % len(gram), weights=1 - lab, minlength=len(gram))
         a, b = (toxic + 0.5) / (labels.sum() + 1), (clean + 0.5) / ((1 - labels).sum() + 1)
         z = (a - b) / np.sqrt((a + b) / 2 * (1 - (a + b) / 2) * (1 / labels.sum() + 1 / (1 - labels).sum()))
         value = np.full(n, -np.inf)
@@ -303,11 +311,23 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(docs: DataFrame, label: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """A machine from at most ``sample`` documents of either label (1 or 0; null: not labelled)."""
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), label.cast("int").alias("label"), F.xxhash64(id_col).alias("h")).filter("label is not null")
-    chosen = [r for k in (0, 1) for r in rows.filter(F.col("label") == k).orderBy("h", "text").limit(sample).collect()]
-    return Machine([r["text"].encode() for r in chosen], np.array([r["label"] for r in chosen], float))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+    """A machine from the documents of at most ``sample`` rows of ``labels`` (``id_col, label``: 1 or 0) of either kind."""
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col("label").cast("int").alias("label")).dropna()
+    known = known.withColumn("h", F.xxhash64("id"))
+    ids = [known.filter(F.col("label") == k).orderBy("h", "id").limit(sample) for k in (0, 1)]
+    # at most 2 * sample ids: the texts of all other documents stay where they are
+    few = F.broadcast(ids[0].unionByName(ids[1]))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(few, "id")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(row for batch in batches for row in zip(*(batch[k].to_pylist() for k in ("label", "h", "text")), strict=True))
+        machine = Machine([t.encode() for _, _, t in found], np.array([k for k, _, _ in found], float))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
+
+    # one task learns from the bounded sample, away from the driver
+    row = rows.select("text", "label", "h").repartition(1).mapInArrow(fit, "machine binary").first()
+    return Machine([], np.zeros(0)) if row is None else pickle.loads(bytes(row["machine"]))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +357,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    machine = train(docs.join(labels, "doc_id"), F.col("toxic"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    machine = train(docs, labels)
     out = score(docs, machine).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
