@@ -68,7 +68,7 @@ def categorical(reference: DataFrame, current: DataFrame, column: str) -> DataFr
     js = 0.5 * F.col("pa") * F.ln(F.col("pa") / m) + 0.5 * F.col("pb") * F.ln(F.col("pb") / m)
     return rows.agg(
         F.sum(psi_terms(F.col("pa"), F.col("pb"))).alias("psi"), F.sum(js).alias("js"), (0.5 * F.sum(F.abs(F.col("pa") - F.col("pb")))).alias("tv"),
-        (F.sum(F.when(F.col("a") == 0, F.col("b")).otherwise(0)) / F.sum("b")).alias("new_rate"),
+        (F.sum(F.when(F.col("a") == 0, F.col("b")).otherwise(0)) / F.nullif(F.sum("b"), F.lit(0))).alias("new_rate"),
     )
 
 

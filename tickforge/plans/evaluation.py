@@ -256,7 +256,7 @@ c AS (SELECT bin, count(*) FILTER (side = 0) * 1.0 AS a, count(*) FILTER (side =
     ),
     "drift_categorical": (
         lambda s, d: rounded_columns(D.categorical(table(s, d, "events").filter("event_id < 5000 and event_type <> 'error'"), table(s, d, "events").filter("event_id >= 5000"), "event_type")),
-        f"WITH c AS (SELECT event_type, count(*) FILTER (event_id < 5000 AND event_type <> 'error') AS a, count(*) FILTER (event_id >= 5000) AS b FROM events GROUP BY 1), p AS (SELECT a AS ca, b AS cb, (a + 0.5) / (sum(a) OVER () + 0.5 * count(*) OVER ()) AS a, (b + 0.5) / (sum(b) OVER () + 0.5 * count(*) OVER ()) AS b FROM c) SELECT {r('sum((b - a) * ln(b / a))')} AS psi, {r('sum(0.5 * a * ln(a / ((a + b) / 2)) + 0.5 * b * ln(b / ((a + b) / 2)))')} AS js, {r('0.5 * sum(abs(a - b))')} AS tv, {r('sum(CASE WHEN ca = 0 THEN cb ELSE 0 END) * 1.0 / sum(cb)')} AS new_rate FROM p",
+        f"WITH c AS (SELECT event_type, count(*) FILTER (event_id < 5000 AND event_type <> 'error') AS a, count(*) FILTER (event_id >= 5000) AS b FROM events WHERE event_id >= 5000 OR event_type <> 'error' GROUP BY 1), p AS (SELECT a AS ca, b AS cb, (a + 0.5) / (sum(a) OVER () + 0.5 * count(*) OVER ()) AS a, (b + 0.5) / (sum(b) OVER () + 0.5 * count(*) OVER ()) AS b FROM c) SELECT {r('sum((b - a) * ln(b / a))')} AS psi, {r('sum(0.5 * a * ln(a / ((a + b) / 2)) + 0.5 * b * ln(b / ((a + b) / 2)))')} AS js, {r('0.5 * sum(abs(a - b))')} AS tv, {r('sum(CASE WHEN ca = 0 THEN cb ELSE 0 END) * 1.0 / nullif(sum(cb), 0)')} AS new_rate FROM p",
     ),
     "drift_concept": (
         lambda s, d: rounded_columns(M.by_time(scored(s, d)).withColumn("half", (F.col("timestamp") >= FROM).cast("int")).groupBy("half").agg(F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"), F.avg((F.col("ic") > 0).cast("double")).alias("sign_rate"), F.count("*").alias("n"))),

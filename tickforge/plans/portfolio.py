@@ -25,10 +25,10 @@ _RET = SCORED + ", ret AS (SELECT timestamp, symbol, floor(score / 10 * 1e6 + 0.
 
 def _active(s, d):
     x = _returns(s, d)
-    return x.withColumn("b", rounded(F.avg("r").over(Window.partitionBy("timestamp"))))
+    return x.withColumn("b", rounded(F.avg("r").over(Window.partitionBy("timestamp")), 8))
 
 
-_ACTIVE = _RET + f", act AS (SELECT *, {r('avg(r) OVER (PARTITION BY timestamp)')} AS b FROM ret)"
+_ACTIVE = _RET + f", act AS (SELECT *, {r('avg(r) OVER (PARTITION BY timestamp)', 8)} AS b FROM ret)"
 
 
 def _groups(s, d):
