@@ -36,7 +36,7 @@ REPLY = "chunk long, bucket int, vals binary"
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    extras: dict[str, Column] | None = None, chunk_bytes: int = CHUNK_BYTES, name: str = "chunks",
+    extras: dict[str, Column] | None = None, chunk_bytes: int = CHUNK_BYTES, name: str = "chunks", level: int = 6,
 ) -> DataFrame:
     """Write ``docs`` as chunks: ``chunk, n_docs, n_bytes, ids, ends, body`` and arrays of ``extras``.
 
@@ -58,7 +58,7 @@ def pack(
     def to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        squeeze = zstandard.ZstdCompressor(level=6)
+        squeeze = zstandard.ZstdCompressor(level=level)
         at, count = TaskContext.get().partitionId() << 32, 0
         held: list[pa.RecordBatch] = []
         size = 0

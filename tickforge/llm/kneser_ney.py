@@ -29,17 +29,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.llm import chunks as C
-from tickforge.llm.storage import durable
-from tickforge.llm.words import U, mix
+from tickforge.llm.storage import discard, durable
+from tickforge.llm.words import U
 
 ORDER = 5
 #: Trusted documents from which a language gets a threshold of its own.
 LEAST = 20
-#: Bytes that are turned into grams at once.
+#: Log probabilities travel in 16 bits, in steps of 1/STEPS up to 64: a perplexity is exact to 0.05 %.
+STEPS = 1024
+#: Text bytes of a chunk: larger ones ask for the same gram less often.
+CHUNK_BYTES = 16 << 20
+#: Trusted ids up to which they are broadcast rather than the texts shuffled to them (16 bytes each).
+BROADCAST_ROWS = 2_000_000
+#: Bytes that are turned into grams at once (a longer document: all of it).
 BLOCK = 1 << 20
 _START = 2
 
@@ -52,8 +59,8 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(chunk: C.Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Grams of the texts and their documents, some documents (or a part of a long one) at a time."""
+def _blocks(chunk: C.Chunk) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Grams of the texts, some documents at a time, with the first document's index and the grams of each."""
     pad = bytes([_START]) * (ORDER - 1)
     i = 0
     while i < len(chunk.ids):
@@ -61,10 +68,10 @@ def _blocks(chunk: C.Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         parts = [pad + chunk.raw[chunk.starts[k] : chunk.ends[k] - 1] for k in range(i, j)]
         data = np.frombuffer(b"".join(parts), np.uint8)
         sizes = np.array([len(x) for x in parts])
-        doc = np.repeat(np.arange(i, j), sizes)[ORDER - 1 :]
-        nth = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[ORDER - 1 :]
-        real = nth >= ORDER - 1
-        yield _grams(data)[real], doc[real]
+        real = np.ones(len(data), bool)
+        for k in range(ORDER - 1):
+            real[np.cumsum(sizes) - sizes + k] = False
+        yield _grams(data)[real[ORDER - 1 :]], i, sizes - (ORDER - 1)
         i = j
 
 
@@ -72,38 +79,29 @@ def _counted(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of a chunk and their trusted counts."""
     trusted = np.array(chunk.row["trusted"], bool)
     keys, counts = [], []
-    for grams, doc in _blocks(chunk):
+    for grams, first, sizes in _blocks(chunk):
         uniq, inverse = np.unique(grams, return_inverse=True)
         keys.append(uniq)
-        counts.append(np.bincount(inverse, weights=trusted[doc], minlength=len(uniq)))
+        counts.append(np.bincount(inverse, weights=np.repeat(trusted[first : first + len(sizes)], sizes), minlength=len(uniq)))
     uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     return uniq, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.uint32)
 
 
-def _bucket_of(keys: np.ndarray) -> np.ndarray:
-    return mix(keys)
-
-
 def _ask(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in C.unpack(batches):
             keys, counts = _counted(chunk)
-            mixed = _bucket_of(keys)  # a bijection: buckets are even although grams are not
-            order = np.argsort(mixed)
             if len(keys):
-                yield C.requests(chunk.key, mixed[order], np.stack((keys[order], counts[order].astype(U)), axis=1), n)
+                yield C.requests(chunk.key, keys, counts, n, dense=True)
 
     return run
 
 
-def _pairs(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table["vals"].to_pylist()), U).reshape(-1, 2)
-
-
 def _totals(table: pa.Table) -> pa.Table:
-    pairs = _pairs(table)
-    uniq, inverse = np.unique(pairs[:, 0], return_inverse=True)
-    total = np.bincount(inverse, weights=pairs[:, 1], minlength=len(uniq)).astype(np.int64)
+    keys = np.concatenate([C.open_keys(x) for x in table["keys"].to_pylist()])
+    counts = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint32) for x in table["vals"].to_pylist()])
+    uniq, inverse = np.unique(keys, return_inverse=True)
+    total = np.bincount(inverse, weights=counts, minlength=len(uniq)).astype(np.int64)
     return pa.table({"bucket": pa.array(np.full(len(uniq), table["bucket"][0].as_py(), np.int32)), "gram": uniq.view(np.int64), "c": total})
 
 
@@ -144,32 +142,37 @@ def probabilities(totals: DataFrame, order: int = ORDER) -> DataFrame:
         rows = rows.join(counted[k], "gram", "left").join(sums, "context", "left").join(lower, "low")
         own = F.coalesce(F.greatest(c - cut, F.lit(0.0)) / F.col("total"), F.lit(0.0))
         p = own + F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0)) * F.col("q")
-        lower = durable(rows.select(F.col("gram").alias("low"), p.alias("q")), "kn-probabilities")
+        above = durable(rows.select(F.col("gram").alias("low"), p.alias("q")), "kn-probabilities")
+        discard(*([lower] if k > 1 else []), *([counted[k]] if k < order else []))
+        lower = above
     return lower.select(F.col("low").alias("gram"), F.col("q").alias("p"))
 
 
 def _reply(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Log probabilities in the order of each chunk's request."""
+    """Negative log probabilities in the order of each chunk's request."""
     gram = right["gram"].to_numpy().view(U)
     order = np.argsort(gram)
-    gram, log = gram[order], np.log(right["p"].to_numpy()[order]).astype(np.float32)
-    out = [log[np.searchsorted(gram, np.frombuffer(v, U).reshape(-1, 2)[:, 0])].tobytes() for v in left["vals"].to_pylist()]
+    gram, log = gram[order], np.rint(-np.log(right["p"].to_numpy()[order]) * STEPS).astype(np.uint16)
+    out = [log[np.searchsorted(gram, C.open_keys(k))].tobytes() for k in left["keys"].to_pylist()]
     return pa.table({"chunk": left["chunk"], "bucket": left["bucket"], "vals": pa.array(out, pa.binary())})
 
 
-def _perplexity(n: int, names: list[str]):
+def _perplexity(n: int):
     def run(chunk: C.Chunk, table: pa.Table) -> pa.Table:
         d = len(chunk.ids)
         total, count = np.zeros(d), np.zeros(d, np.int64)
         if table.num_rows:
-            keys, _ = _counted(chunk)
-            mixed = _bucket_of(keys)
-            order = np.argsort(mixed)
-            log = np.empty(len(keys), np.float32)
-            log[order] = C.replies(table, np.float32, mixed[order], n)
-            for grams, doc in _blocks(chunk):
-                total += np.bincount(doc, weights=log[np.searchsorted(keys, grams)], minlength=d)
-                count += np.bincount(doc, minlength=d)
+            blocks = []
+            for grams, first, sizes in _blocks(chunk):
+                uniq, inverse = np.unique(grams, return_inverse=True)
+                blocks.append((uniq, inverse.astype(np.int32), first, sizes))
+            keys = np.unique(np.concatenate([uniq for uniq, _, _, _ in blocks]))
+            log = C.replies(table, np.uint16, keys, n) / -STEPS
+            for uniq, inverse, first, sizes in blocks:
+                sums = np.concatenate(([0], np.cumsum(log[np.searchsorted(keys, uniq)][inverse])))
+                stop = np.cumsum(sizes)
+                total[first : first + len(sizes)] = sums[stop] - sums[stop - sizes]
+                count[first : first + len(sizes)] = sizes
         value = np.exp(-total / np.maximum(count, 1))
         return pa.table({"doc_id": C.id_array(chunk.ids), "lang": pa.array(chunk.row["lang"], pa.string()), "trusted": pa.array(chunk.row["trusted"], pa.bool_()), "n_symbols": count, "perplexity": pa.array(value, pa.float64(), mask=count == 0)})
 
@@ -179,13 +182,13 @@ def _perplexity(n: int, names: list[str]):
 def score_kneser_ney(docs: DataFrame, trusted: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, lang, trusted, n_symbols, perplexity`` of every document under the model of the trusted ones."""
     extras = {"lang": docs[lang_col].cast("string"), "trusted": F.coalesce(trusted, F.lit(False))}
-    packed = C.pack(docs, id_col, text_col, extras, name="kn-chunks")
+    packed = C.pack(docs, id_col, text_col, extras, chunk_bytes=CHUNK_BYTES, name="kn-chunks", level=12)
     n = C.buckets_for(packed, 0.02)
-    asked = durable(packed.mapInArrow(_ask(n), C.REQUEST).select("bucket", "chunk", F.lit(None).cast("binary").alias("keys"), "vals"), "kn-asked")
+    asked = durable(packed.mapInArrow(_ask(n), C.REQUEST), "kn-asked")
     totals = durable(asked.groupBy("bucket").applyInArrow(_totals, "bucket int, gram long, c long"), "kn-totals")
     known = probabilities(totals).join(totals.select("gram", "bucket"), "gram")
-    reply = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_reply, C.REPLY)
-    return C.gather(packed, reply, _perplexity(n, []), "doc_id long, lang string, trusted boolean, n_symbols long, perplexity double")
+    reply = asked.select("bucket", "chunk", "keys").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_reply, C.REPLY)
+    return C.gather(packed, reply, _perplexity(n), "doc_id long, lang string, trusted boolean, n_symbols long, perplexity double")
 
 
 def classify(scored: DataFrame, quantile: float = 0.99, margin: float = 1.5) -> DataFrame:
@@ -202,8 +205,9 @@ def classify(scored: DataFrame, quantile: float = 0.99, margin: float = 1.5) ->
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    marked = docs.join(labels, "doc_id", "left")
-    scored = durable(score_kneser_ney(marked, F.col("quality") == 1), "kn-scored")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    if labels.count() <= BROADCAST_ROWS:
+        labels = F.broadcast(labels)
+    scored = durable(score_kneser_ney(docs.join(labels, "doc_id", "left"), F.col("good")), "kn-scored")
     out = classify(scored)
     return out.select("doc_id", "lang", "trusted", F.col("n_symbols").alias("n_bytes"), F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")

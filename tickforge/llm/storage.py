@@ -57,4 +57,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     if _open:
         _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``durable`` wrote for tables that nothing will read any more."""
+    for table in tables:
+        remove(table.sparkSession, [table._written_path])
