@@ -7,10 +7,10 @@ What needs no cash is plain columns and windows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -283,25 +283,63 @@ class Engine:
 RUN = "run string, kind string, timestamp long, symbol string, side string, order_id long, quantity long, price double, fee double, status string, value double"
 
 
+def _facts(name: str, out: dict[str, list[dict]]) -> list[tuple]:
+    """What an engine has put out so far, as rows of RUN; takes it out of the engine."""
+    rows = [(name, "fill", x["timestamp"], x["symbol"], x["side"], x["order_id"], x["quantity"], x["price"], x["fee"], None, None) for x in out["fill"]]
+    rows += [(name, "order", x["timestamp"], x["symbol"], x["side"], x["order_id"], x["quantity"], None, None, x["status"], None) for x in out["order"]]
+    rows += [(name, "round_trip", x["timestamp"], x["symbol"], None, None, x["quantity"], x["exit_price"], None, None, x["net_pnl"]) for x in out["round_trip"]]
+    rows += [(name, "equity", x["timestamp"], None, None, None, None, None, None, None, x["equity"]) for x in out["equity"]]
+    for kind in out.values():
+        kind.clear()
+    return rows
+
+
 def run_groups(bars: DataFrame, strategy_of: Callable[[str], Strategy], rules: Rules, run: str = "run") -> DataFrame:
-    """Fold each run's bars through an engine: fills, closed orders, round trips and equity points as rows of RUN."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = str(pdf[run].iloc[0])
-        engine = Engine(rules, strategy_of(name))
-        pdf = pdf.sort_values(["timestamp", "symbol"])
-        columns = [c for c in pdf.columns if c != run]
-        for ts, frame in pdf.groupby("timestamp", sort=True):
-            engine.step(int(ts), {row["symbol"]: row for row in frame[columns].to_dict("records")})
-        out = engine.finish()
-        rows = [(name, "fill", x["timestamp"], x["symbol"], x["side"], x["order_id"], x["quantity"], x["price"], x["fee"], None, None) for x in out["fill"]]
-        rows += [(name, "order", x["timestamp"], x["symbol"], x["side"], x["order_id"], x["quantity"], None, None, x["status"], None) for x in out["order"]]
-        rows += [(name, "round_trip", x["timestamp"], x["symbol"], None, None, x["quantity"], x["exit_price"], None, None, x["net_pnl"]) for x in out["round_trip"]]
-        rows += [(name, "equity", x["timestamp"], None, None, None, None, None, None, None, x["equity"]) for x in out["equity"]]
-        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in RUN.split(", ")])
-        return frame.astype({"order_id": "Int64", "quantity": "Int64"})
-
-    return bars.groupBy(run).applyInPandas(fold, RUN)
+    """Fold each run's bars through an engine: fills, closed orders, round trips and equity points as rows of RUN.
+
+    Partitions hold whole runs, sorted; a task streams through them and keeps
+    one engine and one cross-section, however many runs and bars there are.
+    """
+    fields = [c for c in bars.columns if c != run]
+    names = [c.split()[0] for c in RUN.split(", ")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = engine = ts = None
+        section: dict[str, dict] = {}
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        for incoming in batches:
+            out: list[tuple] = []
+            columns = [incoming[c].to_pylist() for c in fields]
+            at = fields.index("timestamp"), fields.index("symbol")
+            for key, *values in zip(incoming[run].to_pylist(), *columns, strict=True):
+                if key != name or values[at[0]] != ts:
+                    if section:
+                        engine.step(ts, section)
+                        section = {}
+                    if key != name:
+                        if engine is not None:
+                            out += _facts(name, engine.finish())
+                        name, engine = key, Engine(rules, strategy_of(key))
+                    ts = values[at[0]]
+                section[values[at[1]]] = dict(zip(fields, values, strict=True))
+            if engine is not None:
+                out += _facts(name, engine.out)
+            if out:
+                yield batch(out)
+        if engine is not None:
+            if section:
+                engine.step(ts, section)
+            if rows := _facts(name, engine.finish()):
+                yield batch(rows)
+
+    keyed = bars.withColumn(run, F.col(run).cast("string"))
+    # a stated number of partitions: runs cost time, not bytes, so they must not be merged by size
+    n = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(n, run).sortWithinPartitions(run, "timestamp", "symbol").mapInArrow(fold, RUN)
 
 
 def cross_strategy(short: int, long: int, lots: int = 100) -> Strategy:

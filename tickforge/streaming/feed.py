@@ -201,7 +201,8 @@ def order_states(reports: DataFrame) -> DataFrame:
             yield pd.DataFrame([(now, state.status, state.cumulative, state.duplicates, state.invalid, state.status in TERMINAL)], columns=names)
 
     # one sorted stream a partition: no group is materialised, and a group costs no call of its own
-    return reports.repartition("order_id").sortWithinPartitions("order_id", "position").mapInPandas(run, ORDER)
+    n = int(reports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reports.repartition(n, "order_id").sortWithinPartitions("order_id", "position").mapInPandas(run, ORDER)
 
 
 def order_states_stream(reports: DataFrame) -> DataFrame:
