@@ -124,6 +124,14 @@ def test_html_wrapper_is_inferred():
     assert html.slots(html.align(a, b)) == {"a1", "b", "ul/li"}
 
 
+def test_html_wrappers_of_many_streams_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(html, "FAN", 3)
+    shapes = ["<i>x</i>" * (i % 5) + "<em>y</em>" * (i // 5) for i in range(20)]
+    pages = spark.createDataFrame([(i, "http://h/x", f"<article><p>t{i}{shapes[i]}</p></article>") for i in range(20)], "page_id long, url string, html string")
+    found = html.wrappers(pages.withColumn("host", F.lit("h"))).collect()
+    assert len(found) == 1 and set(found[0].main) == {"article/p", "article/p/i", "article/p/em"}
+
+
 def test_html_empty(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

@@ -175,4 +175,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFr
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "contaminated", "items", "n_equal")
+    return out.select("doc_id", "contaminated", (~F.col("contaminated")).alias("kept"), "items", "n_equal")

@@ -5,9 +5,9 @@ texts.  Equal neighbouring groups of tokens fold into one repeated group.  The
 folded streams of a host's pages are aligned one after another into a wrapper, a
 regular expression without unions: what matches stays, a text against a text is
 a text slot, and what only one side has becomes an optional group.  Equal
-streams count once, streams are first aligned in up to ``SALTS`` groups a host
-and the groups' wrappers then with each other, so a host of any size is spread
-over tasks.
+streams count once; of a host with more than ``FAN`` different streams, groups
+of about so many are aligned first and their wrappers then with each other,
+level by level, so a host of any size is spread over tasks.
 
 A text slot is known by its path of open elements.  Slots under menus, headers,
 footers, sidebars, notices, adverts, forms and comments (by element, role, class
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from tickforge.llm.storage import durable
 
-SALTS = 64
+#: Streams that one task aligns, on average.
+FAN = 256
 #: Longest group of tokens that is looked for as a repetition.
 FOLD = 24
 
@@ -320,9 +321,14 @@ def _roles(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 def wrappers(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``host, wrapper, main`` of a table with ``host``: the inferred expression and its main-text paths."""
     seen = durable(pages.select("host", F.col(html_col).alias("html")).mapInArrow(_skeletons, "host string, stream string, paths array<struct<path:string,chars:long,linked:long,text:string>>").select("host", "stream", F.transform("paths", lambda x: F.struct(x.path.alias("path"), x.chars.alias("chars"), x.linked.alias("linked"), F.xxhash64(x.text).alias("text"))).alias("paths")), "pages-seen")
-    streams = seen.select("host", "stream").distinct()
-    salted = streams.groupBy("host", F.pmod(F.xxhash64("stream"), F.lit(SALTS)).alias("salt")).applyInArrow(_infer, "host string, stream string")
-    merged = salted.groupBy("host").applyInArrow(_infer, "host string, stream string")
+    merged = seen.select("host", "stream").distinct()
+    while True:
+        most = merged.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        groups = -(-most // FAN)
+        salt = F.pmod(F.xxhash64("stream"), F.lit(max(1, groups)))
+        merged = durable(merged.groupBy("host", salt.alias("salt")).applyInArrow(_infer, "host string, stream string"), "pages-wrapped")
+        if groups <= 1:
+            break
     rows = seen.select("host", F.explode("paths").alias("p"))
     stats = rows.groupBy("host", F.col("p.path").alias("path")).agg(
         F.sum("p.chars").alias("chars"), F.sum("p.linked").alias("linked"), F.count("*").alias("pages"),
