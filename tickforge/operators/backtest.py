@@ -7,6 +7,7 @@ What needs no cash is plain columns and windows.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -315,7 +316,7 @@ def run_groups(bars: DataFrame, strategy_of: Callable[[str], Strategy], rules: R
             out: list[tuple] = []
             columns = [incoming[c].to_pylist() for c in fields]
             at = fields.index("timestamp"), fields.index("symbol")
-            for key, *values in zip(incoming[run].to_pylist(), *columns, strict=True):
+            for key, values in zip(incoming[run].to_pylist(), zip(*columns, strict=True), strict=True):
                 if key != name or values[at[0]] != ts:
                     if section:
                         engine.step(ts, section)
@@ -325,7 +326,7 @@ def run_groups(bars: DataFrame, strategy_of: Callable[[str], Strategy], rules: R
                             out += _facts(name, engine.finish())
                         name, engine = key, Engine(rules, strategy_of(key))
                     ts = values[at[0]]
-                section[values[at[1]]] = dict(zip(fields, values, strict=True))
+                section[values[at[1]]] = dict(zip(fields, values))
             if engine is not None:
                 out += _facts(name, engine.out)
             if out:
@@ -343,25 +344,31 @@ def run_groups(bars: DataFrame, strategy_of: Callable[[str], Strategy], rules: R
 
 
 def cross_strategy(short: int, long: int, lots: int = 100) -> Strategy:
-    """Buy when the short average rises over the long one, sell all when it falls below."""
-    seen: dict[str, list[float]] = {}
-    state: dict[str, bool] = {}
+    """Buy when the short average rises over the long one, sell all when it falls below; sums run along."""
+    seen: dict[str, list] = {}  # closes, short sum, long sum, short above long
 
     def act(ts: int, bars: dict[str, dict], held: dict[str, int], cash: float) -> list[dict]:
         out = []
         for s in sorted(bars):
-            closes = seen.setdefault(s, [])
-            closes.append(bars[s]["close"])
-            if len(closes) < long:
+            close = bars[s]["close"]
+            state = seen.get(s)
+            if state is None:
+                state = seen[s] = [deque(maxlen=long), 0.0, 0.0, None]
+            closes = state[0]
+            n = len(closes)
+            state[1] += close - (closes[-short] if n >= short else 0.0)
+            state[2] += close - (closes[0] if n == long else 0.0)
+            closes.append(close)
+            if n + 1 < long:
                 continue
-            del closes[:-long]
-            above = sum(closes[-short:]) / short > sum(closes) / long
-            if s in state and above != state[s]:
-                if above and cash >= bars[s]["close"] * lots:
-                    out.append({"symbol": s, "side": "BUY", "quantity": lots})
-                elif not above and held.get(s, 0) > 0:
-                    out.append({"symbol": s, "side": "SELL", "quantity": held[s]})
-            state[s] = above
+            above = state[1] * long > state[2] * short
+            if above is not state[3]:
+                if state[3] is not None:
+                    if above and cash >= close * lots:
+                        out.append({"symbol": s, "side": "BUY", "quantity": lots})
+                    elif not above and held.get(s, 0) > 0:
+                        out.append({"symbol": s, "side": "SELL", "quantity": held[s]})
+                state[3] = above
         return out
 
     return act

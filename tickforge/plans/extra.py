@@ -24,6 +24,7 @@ from tickforge.plans.common import FROM, SCORED, r, rounded_columns, scored
 from tickforge.plans.feeds import _lake, _reports
 from tickforge.plans.portfolio import _panel, _returns, _scalars, _weights
 from tickforge.sources import files
+from tickforge.sources import generate as G
 from tickforge.sources.tables import BARS, FILLS, fills, monthly_bars, table
 from tickforge.streaming import feed
 
@@ -219,7 +220,54 @@ def _log(s, d):
 
 
 
+def _minute_run(s, d, rules=B.Rules(cash=1e7)):
+    """1,000 symbols, 240 minutes, one portfolio: moving averages cross, market orders at the next open."""
+    bars = G.minute_fixture(s, 1000, 1, 240)
+    wave = F.sin(F.col("timestamp") / 60e9 / 7 + F.col("symbol").cast("long")) / 10
+    bars = bars.withColumn("close", F.col("close") + wave).withColumns({c: F.col("close") for c in ("open", "high", "low")}).withColumn("run", F.lit("5-20"))
+    out = B.run_groups(bars, lambda name: B.cross_strategy(*map(int, name.split("-")), 10), rules)
+    return out.groupBy("kind").agg(F.count("*").alias("n"), rounded(F.max_by("value", "timestamp"), 2).alias("last"))
+
+
+def _model_strategy(s, d):
+    """Scores to targets to orders to fills, each a DataFrame stage; the risk gate stands before execution."""
+    px = scored(s, d).select("timestamp", "symbol", "score").join(monthly_bars(s, d).select("timestamp", "symbol", "close"), ["timestamp", "symbol"])
+    targets = B.top_k_targets(px, 5, 1_000_000.0, 0.1, 10)
+    none = targets.select("timestamp", "symbol", F.lit(0).cast("long").alias("position"))
+    orders = B.targets_to_orders(targets, none)
+    bars = monthly_bars(s, d).select("timestamp", "symbol", F.lit(True).alias("is_trusted"), (F.col("volume") % 50 == 0).alias("is_suspended"))
+    passed = P.risk_gate(orders, bars, 1_000_000, 10).filter("decision = 'ACCEPT'").drop("decision")
+    return B.next_open_fills(passed, monthly_bars(s, d)).groupBy("side").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
+
+
+def _portfolio_grid(s, d):
+    """Rule x slippage, replayed as independent runs, and the metrics of each."""
+    out = None
+    for bps in (0.0, 5.0, 10.0):
+        bars = monthly_bars(s, d).filter("symbol < '000004'").withColumn("run", F.explode(F.array(F.lit("3-10"), F.lit("5-20"))))
+        rows = B.run_groups(bars, lambda name: B.cross_strategy(*map(int, name.split("-")), 10), B.Rules(slippage_bps=bps)).filter("kind = 'equity'").select("run", "timestamp", F.col("value").alias("equity"))
+        part = B.equity_metrics(rows, 1_000_000.0, "run").withColumn("slippage", F.lit(bps))
+        out = part if out is None else out.unionByName(part)
+    return rounded_columns(out.select("run", "slippage", "total_return", "max_drawdown", "n_days"))
+
+
+def _recorded(s, d):
+    """Messages decoded in pieces of any size equal those decoded at once."""
+    rows = [{"kind": "T", "sequence": i, "timestamp": i, "symbol": "A", "price": 1 + i / 100, "size": i, "side": "S"} for i in range(200)]
+    data, rest, found = feed.encode(rows), b"", []
+    for at in range(0, len(data), 17):
+        part, rest = feed.decode(rest + data[at : at + 17])
+        found += part
+    return s.createDataFrame([(len(found), found == feed.decode(data)[0])], "n long, same boolean")
+
+
 QUERIES = {
+    "bt_runner": (_minute_run, None),
+    "bt_model_strategy": (_model_strategy, None),
+    "eval_portfolio_benchmark": (_portfolio_grid, None),
+    "st_capture_replay": (_recorded, "SELECT CAST(200 AS BIGINT) AS n, true AS same"),
+    "feat_groups": (lambda s, d: s.createDataFrame([(k, n) for k, v in X.GROUPS.items() for n in v], "feature_group string, feature string"), None),
+    "pm_research_policy": (_weights(lambda x: _sub_budget(x)), None),
     "model_ridge": (_ridge, f"WITH {SCORED}, s AS (SELECT count(*) AS n, sum(score) AS sx, sum(label) AS sy, sum(score * score) + 1.0 AS sxx, sum(score * label) AS sxy FROM scored) SELECT 'intercept' AS name, {r('(sxx * sy - sx * sxy) / (n * sxx - sx * sx)')} AS value FROM s UNION ALL SELECT 'score', {r('(n * sxy - sx * sy) / (n * sxx - sx * sx)')} FROM s"),
     "model_logistic": (_logistic, None),
     "model_rules": (_rules, f"WITH {_RULES} SELECT model, {r('avg(ic)')} AS ic FROM i GROUP BY 1"),
@@ -390,6 +438,14 @@ def _recon(s, d):
     return T.reconcile(o, o.filter("order_id % 4 <> 0")).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _sub_budget(x):
+    """Risk-budget weights of the four best last returns, 0 elsewhere."""
+    best = np.sort(np.argsort(-x[-1], kind="stable")[:4])
+    out = np.zeros(x.shape[1])
+    out[best] = K.risk_budget(K.sample_cov(x[:, best]))
+    return out
+
+
 def _ordered(batches):
     """Pass batches on; an error if keys do not rise strictly across them."""
     before = None
