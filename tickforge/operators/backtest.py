@@ -41,9 +41,10 @@ def top_k_targets(frame: DataFrame, k: int, equity: float, weight: float, lot: i
     target = (F.floor(equity * weight / F.col("close") / lot) * lot).cast("long")
     now = chosen.select("timestamp", "symbol", target.alias("target"))
     times = frame.select("timestamp").distinct().withColumn("next", F.lead("timestamp").over(Window.orderBy("timestamp")))
-    held = now.join(times, "timestamp").filter("next is not null").select(F.col("next").alias("timestamp"), "symbol")
-    exits = held.join(frame.select("timestamp", "symbol"), ["timestamp", "symbol"], "left_semi").join(now, ["timestamp", "symbol"], "left_anti").withColumn("target", F.lit(0).cast("long"))
-    return now.unionByName(exits)
+    following = F.lead("timestamp").over(Window.partitionBy("symbol").orderBy("timestamp"))
+    dropped = now.withColumn("following", following).join(times, "timestamp").filter("next is not null and (following is null or following <> next)")
+    exits = dropped.select(F.col("next").alias("timestamp"), "symbol").join(frame.select("timestamp", "symbol"), ["timestamp", "symbol"], "left_semi")
+    return now.unionByName(exits.withColumn("target", F.lit(0).cast("long")))
 
 
 def targets_to_orders(targets: DataFrame, positions: DataFrame) -> DataFrame:

@@ -22,11 +22,11 @@ def rounded_columns(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(rounded(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Bars as predictions: the score is the last log return, the label the next simple return, relevance its fifth."""
     w = Window.partitionBy("symbol").orderBy("timestamp")
     out = monthly_bars(spark, sf_dir).select(
-        "timestamp", "symbol", rounded(F.ln("close") - F.ln(F.lag("close").over(w))).alias("score"), rounded(F.lead("close").over(w) / F.col("close") - 1).alias("label")
+        "timestamp", "symbol", *keep, rounded(F.ln("close") - F.ln(F.lag("close").over(w))).alias("score"), rounded(F.lead("close").over(w) / F.col("close") - 1).alias("label")
     )
     out = out.filter("score is not null and label is not null")
     by = Window.partitionBy("timestamp")

@@ -231,7 +231,7 @@ def _minute_run(s, d, rules=B.Rules(cash=1e7)):
 
 def _model_strategy(s, d):
     """Scores to targets to orders to fills, each a DataFrame stage; the risk gate stands before execution."""
-    px = scored(s, d).select("timestamp", "symbol", "score").join(monthly_bars(s, d).select("timestamp", "symbol", "close"), ["timestamp", "symbol"])
+    px = scored(s, d, "close").select("timestamp", "symbol", "score", "close")
     targets = B.top_k_targets(px, 5, 1_000_000.0, 0.1, 10)
     none = targets.select("timestamp", "symbol", F.lit(0).cast("long").alias("position"))
     orders = B.targets_to_orders(targets, none)

@@ -145,7 +145,7 @@ def _fold(s, d):
 
 
 def _prices(s, d):
-    return scored(s, d).select("timestamp", "symbol", "score").join(monthly_bars(s, d).select("timestamp", "symbol", "close"), ["timestamp", "symbol"])
+    return scored(s, d, "close").select("timestamp", "symbol", "score", "close")
 
 
 _TARGETS = SCORED + """, px AS (SELECT s.timestamp, s.symbol, s.score, b.close FROM scored s JOIN bars b USING (timestamp, symbol)),
