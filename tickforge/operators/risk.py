@@ -386,6 +386,12 @@ def stationary_bootstrap(x: np.ndarray, length: float, replicates: int, seed: in
     return mean, float(p), float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975))
 
 
+def evenly(x: np.ndarray, most: int = 512) -> np.ndarray:
+    """Rows in lexicographic order, at most ``most`` evenly spaced ones."""
+    x = x[np.lexsort(x.T[::-1])]
+    return x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).astype(int)]
+
+
 def mmd(a: np.ndarray, b: np.ndarray) -> float:
     """Squared RBF maximum mean discrepancy, bandwidth by the median distance."""
     z = np.vstack((a, b))

@@ -69,7 +69,7 @@ def _concentration(s, d):
 
 
 def _softsort(s, d, k: int = 3, tau: float = 0.1):
-    x = scored(s, d).filter(F.col("timestamp") >= FROM).select("timestamp", "symbol", "score")
+    x = scored(s, d).select("timestamp", "symbol", "score")
     top = M.top_k(x, k).select("timestamp", F.col("score").alias("at"), "rank")
     rows = x.join(top, "timestamp").withColumn("e", F.exp(-F.abs(F.col("at") - F.col("score")) / tau))
     rows = rows.withColumn("w", F.col("e") / F.sum("e").over(Window.partitionBy("timestamp", "rank")))
@@ -189,7 +189,7 @@ SELECT {r('avg(ndcg)')} AS ndcg, {r('avg(rank_ic)')} AS rank_ic, {r('avg(precisi
     "topk_per_session": (lambda s, d: M.top_k(scored(s, d), 3).select("timestamp", "symbol", F.col("rank").cast("int")), f"WITH {SCORED} SELECT timestamp, symbol, CAST(u AS INTEGER) AS rank FROM (SELECT *, {_POS} AS u FROM scored) WHERE u <= 3"),
     "topk_softsort": (
         _softsort,
-        f"WITH {SCORED}, x AS (SELECT timestamp, symbol, score, {_POS} AS u FROM scored WHERE timestamp >= {FROM}), j AS (SELECT x.timestamp, x.symbol, t.u, exp(-abs(t.score - x.score) / 0.1) AS e FROM x JOIN x t ON x.timestamp = t.timestamp AND t.u <= 3), w AS (SELECT *, e / sum(e) OVER (PARTITION BY timestamp, u) AS w FROM j) SELECT timestamp, symbol, {r('sum(w) / 3')} AS weight FROM w GROUP BY 1, 2",
+        f"WITH {SCORED}, x AS (SELECT timestamp, symbol, score, {_POS} AS u FROM scored), j AS (SELECT x.timestamp, x.symbol, t.u, exp(-abs(t.score - x.score) / 0.1) AS e FROM x JOIN x t ON x.timestamp = t.timestamp AND t.u <= 3), w AS (SELECT *, e / sum(e) OVER (PARTITION BY timestamp, u) AS w FROM j) SELECT timestamp, symbol, {r('sum(w) / 3')} AS weight FROM w GROUP BY 1, 2",
     ),
     "topk_stability_penalty": (
         lambda s, d: _penalty(s, d),

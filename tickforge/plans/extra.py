@@ -22,7 +22,7 @@ from tickforge.operators import risk as K
 from tickforge.operators import scan as S
 from tickforge.plans.common import FROM, SCORED, r, rounded_columns, scored
 from tickforge.plans.feeds import _lake, _reports
-from tickforge.plans.portfolio import _panel, _returns, _scalars, _weights
+from tickforge.plans.portfolio import NATIONS, _nations, _panel, _returns, _scalars, _weights
 from tickforge.sources import files
 from tickforge.sources import generate as G
 from tickforge.sources.tables import BARS, FILLS, fills, monthly_bars, table
@@ -101,10 +101,11 @@ _POLICY = BARS + ", l AS (SELECT symbol, arg_max(close, timestamp) AS close, arg
 
 
 def _trials(s, d):
-    x = _returns(s, d).filter("symbol < '000006'")
+    x = _nations(s, d)
     a, b = (x.select("timestamp", F.col("symbol").alias(k), F.col("r").alias(f"r{k}")) for k in "ab")
     pairs = a.join(b, "timestamp").filter("a < b").groupBy("a", "b").agg(F.abs(F.corr("ra", "rb")).alias("c"))
-    return pairs.agg(F.avg("c").alias("c")).select(rounded(F.lit(6.0) / (1 + 5 * F.col("c"))).alias("trials"))
+    n = F.lit(x.select("symbol").distinct().count())
+    return pairs.agg(F.avg("c").alias("c")).select(rounded(n / (1 + (n - 1) * F.col("c"))).alias("trials"))
 
 
 def _deflated(s, d):
@@ -118,8 +119,8 @@ def _deflated(s, d):
 
 def _embedding(s, d):
     e = table(s, d, "embeddings").select(F.expr("vec_id % 2").cast("int").alias("panel"), F.col("vec_id").alias("timestamp"), F.posexplode("embedding"))
-    rows = e.filter("pos < 8").select("panel", "timestamp", F.lpad(F.col("pos").cast("string"), 2, "0").alias("symbol"), F.col("col").cast("double").alias("r"))
-    return K.per_group(rows, lambda x, names: [("rank", K.effective_rank(K.sample_cov(x))), ("mmd", K.mmd(x[:100], x[100:200]))]).select("panel", "name", rounded(F.col("value")).alias("value"))
+    rows = e.select("panel", "timestamp", F.lpad(F.col("pos").cast("string"), 2, "0").alias("symbol"), F.col("col").cast("double").alias("r"))
+    return K.per_group(rows, lambda x, names: [("rank", K.effective_rank(K.sample_cov(x))), ("mmd", K.mmd(K.evenly(x[: len(x) // 2]), K.evenly(x[len(x) // 2 :])))]).select("panel", "name", rounded(F.col("value")).alias("value"))
 
 
 def _engine(prices, plan, rules, actions=None):
@@ -151,7 +152,7 @@ def _reserve(s, d):
 
 
 def _shared(s, d):
-    bars = monthly_bars(s, d).filter("symbol < '000006'").withColumn("run", F.lit("shared"))
+    bars = monthly_bars(s, d).withColumn("run", F.lit("shared"))
     return B.run_groups(bars, lambda _: B.cross_strategy(3, 8, 20), B.Rules(cash=50_000.0)).filter("kind = 'equity'").agg(F.count("*").alias("n"), rounded(F.max_by("value", "timestamp"), 2).alias("equity"))
 
 
@@ -244,7 +245,7 @@ def _portfolio_grid(s, d):
     """Rule x slippage, replayed as independent runs, and the metrics of each."""
     out = None
     for bps in (0.0, 5.0, 10.0):
-        bars = monthly_bars(s, d).filter("symbol < '000004'").withColumn("run", F.explode(F.array(F.lit("3-10"), F.lit("5-20"))))
+        bars = monthly_bars(s, d).withColumn("run", F.explode(F.array(F.lit("3-10"), F.lit("5-20"))))
         rows = B.run_groups(bars, lambda name: B.cross_strategy(*map(int, name.split("-")), 10), B.Rules(slippage_bps=bps)).filter("kind = 'equity'").select("run", "timestamp", F.col("value").alias("equity"))
         part = B.equity_metrics(rows, 1_000_000.0, "run").withColumn("slippage", F.lit(bps))
         out = part if out is None else out.unionByName(part)
@@ -297,7 +298,7 @@ QUERIES = {
     "bt_policy_to_orders": (_policy, f"WITH {_POLICY}"),
     "stat_effective_trials": (
         _trials,
-        f"WITH {SCORED}, ret AS (SELECT timestamp, symbol, floor(score / 10 * 1e6 + 0.5) / 1e6 AS r FROM scored WHERE symbol < '000006'), c AS (SELECT abs(corr(a.r, b.r)) AS c FROM ret a JOIN ret b ON a.timestamp = b.timestamp AND a.symbol < b.symbol GROUP BY a.symbol, b.symbol) SELECT {r('6.0 / (1 + 5 * avg(c))')} AS trials FROM c",
+        f"WITH {NATIONS}, n AS (SELECT count(DISTINCT symbol) AS n FROM nat), c AS (SELECT abs(corr(a.r, b.r)) AS c FROM nat a JOIN nat b ON a.timestamp = b.timestamp AND a.symbol < b.symbol GROUP BY a.symbol, b.symbol) SELECT {r('max(n) / (1 + (max(n) - 1) * avg(c))')} AS trials FROM c, n",
     ),
     "stat_deflated_sharpe": (_deflated, None),
     "stat_mbb_ci": (_scalars(lambda x: list(zip(("mean", "p", "lo", "hi"), K.stationary_bootstrap(x[:, 0], 6.0, 99, 11), strict=True))), None),
@@ -316,7 +317,7 @@ QUERIES = {
         f"WITH {SCORED}, x AS (SELECT timestamp, label AS y, s_acctbal / 10000 AS x FROM scored JOIN supplier ON CAST(symbol AS BIGINT) = s_suppkey) SELECT timestamp, {r('regr_intercept(y, x)')} AS market, {r('regr_slope(y, x)')} AS size FROM x GROUP BY 1",
     ),
     "drift_embedding": (_embedding, None),
-    "drift_corr_mmd_variant": (lambda s, d: K.per_group(_panel(s, d).withColumn("panel", F.lit(0)), lambda x, names: [("frobenius", float(np.linalg.norm(np.corrcoef(x[: len(x) // 2].T) - np.corrcoef(x[len(x) // 2 :].T)))), ("mmd", K.mmd(x[: len(x) // 2], x[len(x) // 2 :]))]), None),
+    "drift_corr_mmd_variant": (lambda s, d: K.per_group(_panel(s, d).withColumn("panel", F.lit(0)), lambda x, names: [("frobenius", float(np.linalg.norm(np.corrcoef(x[: len(x) // 2].T) - np.corrcoef(x[len(x) // 2 :].T)))), ("mmd", K.mmd(K.evenly(x[: len(x) // 2]), K.evenly(x[len(x) // 2 :])))]), None),
     "drift_report": (lambda s, d: _drift_report(s, d), None),
     "audit_noise_flip": (
         lambda s, d: _flip(s, d),
@@ -349,8 +350,8 @@ QUERIES = {
     ),
     "bt_proxy_replay": (_proxy, None),
     "bt_event_queue": (
-        lambda s, d: table(s, d, "events").orderBy("ts", "event_id").select("event_id").limit(1000),
-        "SELECT event_id FROM events ORDER BY ts, event_id LIMIT 1000",
+        lambda s, d: table(s, d, "events").orderBy("ts", "event_id").select("event_id"),
+        "SELECT event_id FROM events",
     ),
     "bt_decision_log": (_log, "SELECT 'target' AS kind, i AS n FROM range(100) t(i)"),
     "src_replay_log": (_log, "SELECT 'target' AS kind, i AS n FROM range(100) t(i)"),

@@ -9,20 +9,15 @@ from tickforge.operators import scan as S
 from tickforge.plans.common import FROM
 from tickforge.sources import files, generate
 from tickforge.sources.lake import FeatureCache, Lake, ResultStore, scratch
-from tickforge.sources.tables import BARS, FILLS, fills, monthly_bars, table
+from tickforge.sources.tables import BARS, DAILY, FILLS, daily_bars, fills, monthly_bars, table
 from tickforge.streaming import feed
 
 _COLS = "timestamp, symbol, open, high, low, close, volume"
-_FEW = "symbol < '000005'"
-
-
-def _few(s, d):
-    return monthly_bars(s, d).filter(F.col("symbol") < "000005")
 
 
 def _lake(s, d):
-    lake = Lake(s, scratch(s, "lake"), buckets=4)
-    b = _few(s, d)
+    lake = Lake(s, scratch(s, "lake"), buckets=1)
+    b = monthly_bars(s, d)
     lake.ingest(b.filter(F.col("timestamp") < FROM))
     lake.ingest(b.filter(F.col("timestamp") >= FROM), b.filter(F.col("timestamp") < FROM))  # the second one is known
     return lake
@@ -30,15 +25,15 @@ def _lake(s, d):
 
 def _csv(s, d):
     path = scratch(s, "csv")
-    _few(s, d).write.option("header", True).csv(path)
+    monthly_bars(s, d).write.option("header", True).csv(path)
     return files.csv_bars(s, path)
 
 
 def _hive(s, d):
     root = scratch(s, "hive")
     year = F.year(F.timestamp_seconds(F.col("timestamp") / 1000000000))
-    _few(s, d).withColumns({"ticker": F.concat(F.lit("t"), "symbol"), "year": year}).write.partitionBy("ticker", "year").parquet(root)
-    return files.hive_bars(s, root, [1997, 1998]).select("timestamp", "symbol", "close", F.col("year").cast("int"))
+    daily_bars(s, d).withColumns({"ticker": F.concat(F.lit("t"), "symbol"), "year": year}).write.partitionBy("ticker", "year").parquet(root)
+    return files.hive_bars(s, root, [2023, 2024]).select("timestamp", "symbol", "close", F.col("year").cast("int"))
 
 
 def _reference(s, d):
@@ -52,14 +47,14 @@ def _calendar(s, d):
 
 
 def _cache(s, d):
-    cache, b = FeatureCache(s, scratch(s, "features")), _few(s, d)
+    cache, b = FeatureCache(s, scratch(s, "features")), monthly_bars(s, d)
     cache.materialise(lambda x: x.select("timestamp", "symbol", rounded(F.ln("close")).alias("x")), b, "source", "logs")
     return cache.materialise(lambda x: x.limit(0), b, "source", "logs")
 
 
 def _store(s, d):
     store = ResultStore(s, scratch(s, "store"))
-    f = fills(s, d).filter("symbol < '000003'").select("order_id", "symbol", "side", "quantity")
+    f = fills(s, d).select("order_id", "symbol", "side", "quantity")
     store.persist("a", 1, trades=f)
     store.persist("b", 5, trades=f.filter("side = 'SELL'"))
     return store
@@ -96,8 +91,8 @@ def _wire(s, d):
 
 
 QUERIES = {
-    "src_csv_bars": (_csv, f"WITH {BARS} SELECT {_COLS} FROM bars WHERE {_FEW}"),
-    "src_hive_partition_scan": (_hive, f'WITH {BARS}, x AS (SELECT timestamp, symbol, close, CAST(year(to_timestamp(timestamp / 1000000000)) AS INTEGER) AS "year" FROM bars WHERE {_FEW}) SELECT * FROM x WHERE "year" IN (1997, 1998)'),
+    "src_csv_bars": (_csv, f"WITH {BARS} SELECT {_COLS} FROM bars"),
+    "src_hive_partition_scan": (_hive, f'WITH {DAILY} SELECT timestamp, symbol, close, CAST(2024 AS INTEGER) AS "year" FROM daily'),
     "src_reference_rows": (_reference, "SELECT s_suppkey AS k, s_nationkey % 2 = 0 AS flag, CAST(s_nationkey AS BIGINT) AS lot FROM supplier"),
     "src_calendar_file": (_calendar, "SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE isodow(ts) < 6"),
     "src_sample_gen": (lambda s, d: generate.sample_daily(s), None),
@@ -106,17 +101,17 @@ QUERIES = {
         "SELECT CAST(0 AS BIGINT) AS n_duplicate, CAST(0 AS BIGINT) AS n_bad",
     ),
     "src_wire_decoder": (_wire, None),
-    "snk_ingest_file": (lambda s, d: _lake(s, d).scan(columns=_COLS.split(", ")), f"WITH {BARS} SELECT {_COLS} FROM bars WHERE {_FEW}"),
+    "snk_ingest_file": (lambda s, d: _lake(s, d).scan(columns=_COLS.split(", ")), f"WITH {BARS} SELECT {_COLS} FROM bars"),
     "snk_ingest_many": (lambda s, d: s.createDataFrame([(len(_lake(s, d).snapshot()["sources"]),)], "n_sources long"), "SELECT CAST(2 AS BIGINT) AS n_sources"),
     "snk_partitioned_write": (
         lambda s, d: _lake(s, d).scan().groupBy(F.col("year").cast("int"), F.col("month").cast("int")).agg(F.count("*").alias("n")),
-        f'WITH {BARS} SELECT CAST(year(to_timestamp(timestamp / 1000000000 + 28800)) AS INTEGER) AS "year", CAST(month(to_timestamp(timestamp / 1000000000 + 28800)) AS INTEGER) AS "month", count(*) AS n FROM bars WHERE {_FEW} GROUP BY 1, 2',
+        f'WITH {BARS} SELECT CAST(year(to_timestamp(timestamp / 1000000000 + 28800)) AS INTEGER) AS "year", CAST(month(to_timestamp(timestamp / 1000000000 + 28800)) AS INTEGER) AS "month", count(*) AS n FROM bars GROUP BY 1, 2',
     ),
-    "snk_copy_parquet": (lambda s, d: _copied(s, d), f"WITH {BARS} SELECT {_COLS} FROM bars WHERE {_FEW}"),
-    "meta_snapshot": (lambda s, d: (lambda lake: lake.scan(lake.snapshot(1), columns=["timestamp", "symbol"]))(_lake(s, d)), f"WITH {BARS} SELECT timestamp, symbol FROM bars WHERE {_FEW} AND timestamp < {FROM}"),
-    "snk_catalog_commit": (lambda s, d: s.createDataFrame([(_lake(s, d).summary()["generation"], _lake(s, d).summary()["n_rows"])], "generation long, n_rows long"), f"WITH {BARS} SELECT CAST(2 AS BIGINT) AS generation, count(*) AS n_rows FROM bars WHERE {_FEW}"),
-    "snk_feature_cache": (_cache, f"WITH {BARS} SELECT timestamp, symbol, floor(ln(close) * 1e6 + 0.5) / 1e6 AS x FROM bars WHERE {_FEW}"),
-    "snk_result_store": (lambda s, d: _store(s, d).read("trades").groupBy("run_id").agg(F.count("*").alias("n")), f"WITH {FILLS}, f AS (SELECT * FROM fills WHERE symbol < '000003') SELECT 'a' AS run_id, count(*) AS n FROM f UNION ALL SELECT 'b', count(*) FROM f WHERE side = 'SELL'"),
+    "snk_copy_parquet": (lambda s, d: _copied(s, d), f"WITH {BARS} SELECT {_COLS} FROM bars"),
+    "meta_snapshot": (lambda s, d: (lambda lake: lake.scan(lake.snapshot(1), columns=["timestamp", "symbol"]))(_lake(s, d)), f"WITH {BARS} SELECT timestamp, symbol FROM bars WHERE timestamp < {FROM}"),
+    "snk_catalog_commit": (lambda s, d: s.createDataFrame([(_lake(s, d).summary()["generation"], _lake(s, d).summary()["n_rows"])], "generation long, n_rows long"), f"WITH {BARS} SELECT CAST(2 AS BIGINT) AS generation, count(*) AS n_rows FROM bars"),
+    "snk_feature_cache": (_cache, f"WITH {BARS} SELECT timestamp, symbol, floor(ln(close) * 1e6 + 0.5) / 1e6 AS x FROM bars"),
+    "snk_result_store": (lambda s, d: _store(s, d).read("trades").groupBy("run_id").agg(F.count("*").alias("n")), f"WITH {FILLS}, f AS (SELECT * FROM fills) SELECT 'a' AS run_id, count(*) AS n FROM f UNION ALL SELECT 'b', count(*) FROM f WHERE side = 'SELL'"),
     "snk_run_lifecycle": (lambda s, d: _store(s, d).runs(), "SELECT * FROM (VALUES ('b', 'SUCCEEDED', CAST(6 AS BIGINT)), ('a', 'SUCCEEDED', CAST(2 AS BIGINT))) t(run_id, status, created_at)"),
     "snk_metrics_upsert": (
         lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")),
@@ -136,8 +131,8 @@ QUERIES = {
         "SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS session, count(*) AS n FROM events GROUP BY 1",
     ),
     "st_event_merge": (
-        lambda s, d: feed.merged_events(_few(s, d), fills(s, d).filter("symbol < '000002' and side = 'SELL'").select("timestamp", "symbol")).groupBy("kind").agg(F.count("*").alias("n")),
-        f"WITH {BARS}, {FILLS} SELECT 'BAR' AS kind, count(*) AS n FROM bars WHERE {_FEW} UNION ALL SELECT 'ACTION', count(*) FROM fills WHERE symbol < '000002' AND side = 'SELL' UNION ALL SELECT k, count(DISTINCT timestamp) FROM bars, (VALUES ('OPEN'), ('CLOSE')) v(k) WHERE {_FEW} GROUP BY 1",
+        lambda s, d: feed.merged_events(monthly_bars(s, d), fills(s, d).filter("side = 'SELL'").select("timestamp", "symbol")).groupBy("kind").agg(F.count("*").alias("n")),
+        f"WITH {BARS}, {FILLS} SELECT 'BAR' AS kind, count(*) AS n FROM bars UNION ALL SELECT 'ACTION', count(*) FROM fills WHERE side = 'SELL' UNION ALL SELECT k, count(DISTINCT timestamp) FROM bars, (VALUES ('OPEN'), ('CLOSE')) v(k) GROUP BY 1",
     ),
     "st_atomic_cross_section": (lambda s, d: feed.cross_sections(monthly_bars(s, d)).select("timestamp", "n"), f"WITH {BARS} SELECT timestamp, count(*) AS n FROM bars GROUP BY 1"),
     "st_latency": (
@@ -149,5 +144,5 @@ QUERIES = {
 
 def _copied(s, d):
     path = scratch(s, "copy")
-    S.query(_few(s, d)).write.parquet(path)
+    S.query(monthly_bars(s, d)).write.parquet(path)
     return files.parquet_bars(s, path)

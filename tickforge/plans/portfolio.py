@@ -67,7 +67,7 @@ def _securities(s, d):
 
 
 def _ledger(s, d):
-    b = monthly_bars(s, d).filter("symbol = '000001'")
+    b = monthly_bars(s, d)
     start = F.lag("close").over(by_symbol())
     x = b.withColumn("s", start).filter("s is not null").withColumn("fee", rounded(F.col("s") * 0.001))
     return x.select(
@@ -87,9 +87,17 @@ def _factor_rows(s, d):
     return A.factor_attribution(holdings, ex, factors)
 
 
-def _panel(s, d, n: int = 8):
-    x = _returns(s, d).filter(F.col("symbol") < f"{n:06d}")
-    return x.withColumn("panel", (F.col("timestamp") >= FROM).cast("int"))
+def _nations(s, d):
+    """Mean return of each nation's suppliers and month: a panel of 25 assets from the whole table."""
+    dims = table(s, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("symbol"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("nation"))
+    return _returns(s, d).join(dims, "symbol").groupBy("timestamp", F.col("nation").alias("symbol")).agg(F.avg("r").alias("r"))
+
+
+NATIONS = _RET + ", nat AS (SELECT timestamp, lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS symbol, avg(r) AS r FROM ret JOIN supplier ON CAST(symbol AS BIGINT) = s_suppkey GROUP BY 1, 2), whole AS (SELECT timestamp FROM nat GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM nat))"
+
+
+def _panel(s, d):
+    return _nations(s, d).withColumn("panel", (F.col("timestamp") >= FROM).cast("int"))
 
 
 def _weights(kernel):
@@ -131,8 +139,7 @@ def _lr(n, p):
 
 
 def _runs(s, d):
-    b = monthly_bars(s, d).filter("symbol < '000004'")
-    return b.withColumn("run", F.explode(F.array(F.lit("3-10"), F.lit("5-20"))))
+    return monthly_bars(s, d).withColumn("run", F.explode(F.array(F.lit("3-10"), F.lit("5-20"))))
 
 
 def _strategy(run: str):
@@ -192,7 +199,7 @@ SELECT symbol, {r('ag', 5)} AS active_growth, {r('te', 5)} AS tracking_error, {r
     ),
     "pa_return_ledger": (
         lambda s, d: A.return_ledger(_ledger(s, d), "symbol").groupBy("status").agg(F.count("*").alias("n")),
-        f"WITH {BARS}, x AS (SELECT timestamp, close, volume, lag(close) OVER (ORDER BY timestamp) AS s FROM bars WHERE symbol = '000001'), y AS (SELECT *, close + CASE WHEN volume % 9 = 0 THEN 5 ELSE 0 END AS e FROM x WHERE s IS NOT NULL), z AS (SELECT *, lag(e) OVER (ORDER BY timestamp) AS pe FROM y) SELECT CASE WHEN abs(pe - s) > 1e-6 THEN 'DISCONTINUITY' WHEN abs(e - close) > 1e-6 * greatest(1, e) THEN 'IDENTITY' ELSE 'OK' END AS status, count(*) AS n FROM z GROUP BY 1",
+        f"WITH {BARS}, x AS (SELECT symbol, timestamp, close, volume, lag(close) OVER (PARTITION BY symbol ORDER BY timestamp) AS s FROM bars), y AS (SELECT *, close + CASE WHEN volume % 9 = 0 THEN 5 ELSE 0 END AS e FROM x WHERE s IS NOT NULL), z AS (SELECT *, lag(e) OVER (PARTITION BY symbol ORDER BY timestamp) AS pe FROM y) SELECT CASE WHEN abs(pe - s) > 1e-6 THEN 'DISCONTINUITY' WHEN abs(e - close) > 1e-6 * greatest(1, e) THEN 'IDENTITY' ELSE 'OK' END AS status, count(*) AS n FROM z GROUP BY 1",
     ),
     "pa_brinson": (
         lambda s, d: rounded_columns(_effects(s, d), 8),
@@ -225,8 +232,8 @@ SELECT period, 'SIZE' AS factor, {r('s', 5)} AS contribution, 'OK' AS status FRO
         f"WITH {_RET}, h AS (SELECT symbol, timestamp, r, CAST(-r > 0.05 + 1e-12 AS INTEGER) AS h, lag(CAST(-r > 0.05 + 1e-12 AS INTEGER)) OVER (PARTITION BY symbol ORDER BY timestamp) AS b FROM ret), c AS (SELECT symbol, count(*) AS n, CAST(sum(h) AS BIGINT) AS k, count(*) FILTER (h = 1 AND -r > 0.08) AS ev, count(*) FILTER (b = 0 AND h = 1) AS n01, count(*) FILTER (b = 1 AND h = 1) AS n11 FROM h GROUP BY 1) SELECT symbol, n, k AS exceptions, ev AS es_violations, n01, n11, {r(f'2 * greatest(0, {_lr("(n - k)", "1 - k * 1.0 / n")} + {_lr("k", "k * 1.0 / n")} - {_lr("(n - k)", "0.95")} - {_lr("k", "0.05")})', 5)} AS kupiec_lr FROM c",
     ),
     "pm_sample_cov": (
-        lambda s, d: K.per_group(_panel(s, d, 6).withColumn("panel", F.lit(0)), _pairs).select("name", rounded(F.col("value"), 8).alias("value")),
-        f"WITH {_RET}, x AS (SELECT * FROM ret WHERE symbol < '000006'), k AS (SELECT timestamp FROM x GROUP BY 1 HAVING count(*) = 6) SELECT a.symbol || '-' || b.symbol AS name, {r('covar_pop(a.r, b.r)', 8)} AS value FROM x a JOIN x b ON a.timestamp = b.timestamp AND a.symbol <= b.symbol WHERE a.timestamp IN (SELECT timestamp FROM k) GROUP BY 1",
+        lambda s, d: K.per_group(_nations(s, d).withColumn("panel", F.lit(0)), _pairs).select("name", rounded(F.col("value"), 8).alias("value")),
+        f"WITH {NATIONS} SELECT a.symbol || '-' || b.symbol AS name, {r('covar_pop(a.r, b.r)', 8)} AS value FROM nat a JOIN nat b ON a.timestamp = b.timestamp AND a.symbol <= b.symbol WHERE a.timestamp IN (SELECT timestamp FROM whole) GROUP BY 1",
     ),
     "pm_prior": (
         lambda s, d: scored(s, d).groupBy("symbol").agg(F.count("*").alias("n"), rounded(F.avg("label")).alias("mean"), rounded(F.var_samp("label")).alias("variance"), rounded(F.min("label")).alias("lo"), rounded(F.max("label")).alias("hi")),
@@ -250,8 +257,8 @@ SELECT period, 'SIZE' AS factor, {r('s', 5)} AS contribution, 'OK' AS status FRO
     "tr_garch_fhs": (_scalars(_garch_rows), None),
     "stat_block_bootstrap": (_scalars(lambda x: list(zip(("mean", "p"), K.block_bootstrap(x[:, 0] - x[:, 1], 4, 199, 7), strict=True))), None),
     "stat_stationary_bootstrap": (_scalars(lambda x: list(zip(("mean", "p", "lo", "hi"), K.stationary_bootstrap(x[:, 0] - x[:, 1], 4.0, 99, 7), strict=True))), None),
-    "drift_joint": (_scalars(lambda x: [("mmd", K.mmd(x[: len(x) // 2], x[len(x) // 2 :])), ("rank", K.effective_rank(_kernel_cov(x)))]), None),
-    "drift_cka": (_scalars(lambda x: [("cka", K.linear_cka(x[:, :4], x[:, 4:8]))]), None),
+    "drift_joint": (_scalars(lambda x: [("mmd", K.mmd(K.evenly(x[: len(x) // 2]), K.evenly(x[len(x) // 2 :]))), ("rank", K.effective_rank(_kernel_cov(x)))]), None),
+    "drift_cka": (_scalars(lambda x: [("cka", K.linear_cka(x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]))]), None),
     "topk_long_only": (_targets, f"WITH {_TARGETS} SELECT timestamp, symbol, target FROM tg"),
     "bt_targets_to_orders": (lambda s, d: _orders(s, d), f"WITH {_ORDERS} SELECT timestamp, symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, abs(delta) AS quantity FROM od"),
     "order_planner_sort": (lambda s, d: _orders(s, d).filter(F.col("timestamp") == FROM).select("side", "symbol"), f"WITH {_ORDERS} SELECT CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, symbol FROM od WHERE timestamp = {FROM}"),

@@ -102,8 +102,8 @@ QUERIES = {
         f"WITH {BARS} SELECT count(*) AS n FROM bars WHERE timestamp BETWEEN {FROM} AND {TO}",
     ),
     "order_guard": (
-        lambda s, d: S.order_violations(table(s, d, "events").select("event_id", F.col("user_id").alias("u"), "event_type").filter("event_id < 3000"), "event_id", "u", "event_type").agg(F.count("*").alias("n")),
-        "SELECT count(*) AS n FROM (SELECT user_id AS u, event_type AS e, lag(user_id) OVER w AS pu, lag(event_type) OVER w AS pe FROM events WHERE event_id < 3000 WINDOW w AS (ORDER BY event_id)) WHERE pu IS NOT NULL AND (u < pu OR (u = pu AND e <= pe))",
+        lambda s, d: S.order_violations(table(s, d, "events").select("event_id", F.col("user_id").alias("u"), "event_type"), "event_id", "u", "event_type").agg(F.count("*").alias("n")),
+        "SELECT count(*) AS n FROM (SELECT user_id AS u, event_type AS e, lag(user_id) OVER w AS pu, lag(event_type) OVER w AS pe FROM events WINDOW w AS (ORDER BY event_id)) WHERE pu IS NOT NULL AND (u < pu OR (u = pu AND e <= pe))",
     ),
     "trading_minute_filter": (
         lambda s, d: _minute(s, d).withColumn("session", S.session_of(F.col("minute"))).filter("session is not null").groupBy("session").agg(F.count("*").alias("n")),
