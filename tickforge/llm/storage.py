@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="tickforge-")
     spark.conf.set("spark.checkpoint.dir", path)
