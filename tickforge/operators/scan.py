@@ -140,7 +140,8 @@ def late_knowledge(df: DataFrame, known_at: str = "known_at", at: str = "timesta
     return df.agg(F.count("*").alias("n_rows"), F.count_if(F.col(known_at) > F.col(at)).alias("n_future"))
 
 
-#: (from, to, session) of a trading day in minutes after midnight; END-labelled bars close the range.
+# The sessions of a trading day.
+#: (from, to, session) in minutes after midnight; END-labelled bars close the range.
 SESSIONS = ((9 * 60 + 15, 9 * 60 + 25, "OPENING_AUCTION"), (9 * 60 + 30, 11 * 60 + 30, "MORNING"), (13 * 60, 14 * 60 + 57, "AFTERNOON"), (14 * 60 + 57, 15 * 60, "CLOSING_AUCTION"))
 
 
