@@ -270,3 +270,30 @@ def test_order_stream_equals_replay(spark, tmp_path):
     whole.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     assert sorted(map(tuple, _run(feed.order_states_stream(stream), str(tmp_path), "update"))) == want
+
+
+def test_feature_stream_equals_batch(spark, tmp_path):
+    import time
+
+    from tickforge.operators import features as X
+    from tickforge.streaming import features as SF
+
+    rng = np.random.default_rng(3)
+    rows = [(DAY * t, f"S{k}", *(float(p * m) for p in [10 + rng.random()] for m in (1.0, 1.02, 0.98, 1.01)), int(rng.integers(1, 99))) for t in range(1, 71) for k in range(3)]
+    for i, part in enumerate((rows[:90], rows[90:180], rows[180:])):
+        spark.createDataFrame(part, files.BARS).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        time.sleep(1.1)
+    stream = spark.readStream.schema(files.BARS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = {(r.timestamp, r.symbol): r for r in _run(SF.feature_stream(stream), str(tmp_path), "append")}
+    want = X.bar_v1(spark.createDataFrame(rows, files.BARS)).collect()
+    assert len(got) == len(want) == 210
+    for w in want:
+        g = got[w.timestamp, w.symbol]
+        for f in SF.NUMBERS:
+            value = g[f]
+            assert (0.0 if value is None or np.isnan(value) else value) == pytest.approx(w[f], abs=1e-9), f
+    ranked = SF.with_rank(spark.createDataFrame(list(got.values()))).filter("log_return_1 is not null").collect()
+    ranks = {(w.timestamp, w.symbol): w.cross_section_return_rank for w in want}
+    assert ranked and all(r.cross_section_return_rank == pytest.approx(ranks[r.timestamp, r.symbol]) for r in ranked)
+    with pytest.raises(ValueError):
+        SF.History(5).push(5, 1, 1, 1, 1, 1)

@@ -21,11 +21,13 @@ from tickforge.operators import policy as P
 from tickforge.operators import risk as K
 from tickforge.operators import scan as S
 from tickforge.plans.common import FROM, SCORED, r, rounded_columns, scored
+from tickforge.plans.features import _V1
 from tickforge.plans.feeds import _lake, _reports
 from tickforge.plans.portfolio import NATIONS, _nations, _panel, _returns, _scalars, _weights
 from tickforge.sources import files
 from tickforge.sources import generate as G
 from tickforge.sources.tables import BARS, FILLS, fills, monthly_bars, table
+from tickforge.streaming import features as SF
 from tickforge.streaming import feed
 
 _NUMBERS = ["log_return_1", "volatility_20", "ma_deviation_10", "price_position_20"]
@@ -262,7 +264,16 @@ def _recorded(s, d):
     return s.createDataFrame([(len(found), found == feed.decode(data)[0])], "n long, same boolean")
 
 
+def _replayed(s, d):
+    out = SF.replay(monthly_bars(s, d))
+    return out.select("timestamp", "symbol", *(rounded(F.when(F.isnan(c) | F.col(c).isNull(), 0.0).otherwise(F.col(c)), 5).alias(c) for c in SF.NUMBERS))
+
+
+_REPLAYED = f"WITH {_V1} SELECT timestamp, symbol, {', '.join(f'{r(f'coalesce({c}, 0)', 5)} AS {c}' for c in SF.NUMBERS)} FROM f"
+
 QUERIES = {
+    "feat_bar_v1_stream": (_replayed, _REPLAYED),
+    "st_features": (_replayed, _REPLAYED),
     "bt_runner": (_minute_run, None),
     "bt_model_strategy": (_model_strategy, None),
     "eval_portfolio_benchmark": (_portfolio_grid, None),
