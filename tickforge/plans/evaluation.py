@@ -51,7 +51,7 @@ def _step_up(c: str) -> str:
 
 
 def _alert_rows(s, d):
-    by = M.by_time(scored(s, d)).select("timestamp", F.col("ic"), F.col("rank_ic"))
+    by = M.by_time(scored(s, d)).select("timestamp", rounded(F.col("ic"), 8).alias("ic"), rounded(F.col("rank_ic"), 8).alias("rank_ic"))
     return by.select("timestamp", (F.abs("ic") > 0.9).alias("hard_failure"), (F.col("ic") < -0.3).alias("marginal"), (F.col("rank_ic") < -0.4).alias("joint"), (F.col("rank_ic") < -0.2).alias("concept"))
 
 
@@ -292,7 +292,7 @@ c AS (SELECT bin, count(*) FILTER (side = 0) * 1.0 AS a, count(*) FILTER (side =
     ),
     "drift_alert_machine": (
         lambda s, d: D.alerts(_alert_rows(s, d), "timestamp").select("timestamp", "state", "streak"),
-        f"WITH {SCORED}, {_BY_TIME}, f AS (SELECT timestamp, abs(ic) > 0.9 AS h, ic < -0.3 AS m, rank_ic < -0.4 AS j, rank_ic < -0.2 AS c FROM bt), g AS (SELECT *, (m OR j) AND c AS b FROM f), i AS (SELECT *, count(*) FILTER (NOT b) OVER (ORDER BY timestamp) AS isl FROM g), k AS (SELECT *, count(*) FILTER (b) OVER (PARTITION BY isl ORDER BY timestamp) AS streak FROM i) SELECT timestamp, CASE WHEN h OR streak >= 2 THEN 'CRITICAL' WHEN m OR j OR c THEN 'WARN' ELSE 'INFO' END AS state, streak FROM k",
+        f"WITH {SCORED}, {_BY_TIME}, f AS (SELECT timestamp, abs(ic) > 0.9 AS h, ic < -0.3 AS m, rank_ic < -0.4 AS j, rank_ic < -0.2 AS c FROM (SELECT timestamp, {r('ic', 8)} AS ic, {r('rank_ic', 8)} AS rank_ic FROM bt)), g AS (SELECT *, (m OR j) AND c AS b FROM f), i AS (SELECT *, count(*) FILTER (NOT b) OVER (ORDER BY timestamp) AS isl FROM g), k AS (SELECT *, count(*) FILTER (b) OVER (PARTITION BY isl ORDER BY timestamp) AS streak FROM i) SELECT timestamp, CASE WHEN h OR streak >= 2 THEN 'CRITICAL' WHEN m OR j OR c THEN 'WARN' ELSE 'INFO' END AS state, streak FROM k",
     ),
     "stat_bh_by": (lambda s, d: rounded_columns(D.adjusted(_tests(s, d)).withColumnRenamed("q", "bh").join(D.adjusted(_tests(s, d), dependent=True).select("id", F.col("q").alias("by")), "id")), f"WITH {_TESTS}, {_step_up('1.0')}, o2 AS (SELECT id, p, k, n FROM o), q2 AS (SELECT id, least(min(p * n * (SELECT sum(1.0 / i) FROM range(1, 1000) t(i) WHERE i <= n) / k) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS b FROM o2) SELECT id, {r('p')} AS p, {r('q')} AS bh, {r('b')} AS \"by\" FROM q JOIN q2 USING (id)"),
     "stat_storey": (
