@@ -132,6 +132,31 @@ def test_html_wrappers_of_many_streams_in_levels(spark, monkeypatch):
     assert len(found) == 1 and set(found[0].main) == {"article/p", "article/p/i", "article/p/em"}
 
 
+def extracted(spark, pages):
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_html_constant_blocks_are_slots_of_the_wrapper(spark):
+    """Template text at the same path as main text is known by its place in the wrapper only."""
+    page = "<div class=content><p>Welcome to us<h1>Head {n}</h1><p>Text {n} of {n}</p>{extra}<hr><p>All rights reserved</div>"
+    out = extracted(spark, [(i, "http://h/x", page.format(n=i, extra="<ul><li>a<li>b%d</ul>" % i if i % 2 else "")) for i in range(6)])
+    assert out == {i: f"Head {i} Text {i} of {i}" + (f" a b{i}" if i % 2 else "") for i in range(6)}
+
+
+def test_html_matches_every_stream_it_was_inferred_from():
+    rng = random.Random(1)
+    for _ in range(200):
+        streams = [["<u"] + [t for _ in range(rng.randrange(5)) for t in rng.choice((["<a", "#", ">a"], ["<b", "#", ">b"], ["#", "<br"], ["<a", "<b", "#", ">b", ">a"]))] + [">u"] for _ in range(6)]
+        streams = [html._joined(s) for s in streams]
+        nodes = html.fold(list(streams[0]))
+        for s in streams[1:]:
+            nodes = html.align(nodes, html.fold(list(s)))
+        steps = html.program(nodes)
+        for s in streams:
+            at = html.match(steps, s)
+            assert at is not None and [steps[k] for k in at] == [("token", t) for t in s]
+
+
 def test_html_empty(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

@@ -9,12 +9,19 @@ streams count once; of a host with more than ``FAN`` different streams, groups
 of about so many are aligned first and their wrappers then with each other,
 level by level, so a host of any size is spread over tasks.
 
-A text slot is known by its path of open elements.  Slots under menus, headers,
-footers, sidebars, notices, adverts, forms and comments (by element, role, class
-or id) are not main text.  Of the others, those inside the wrapper's article or
-main element are, if it has one; else those inside the element that holds most
-text outside links, except blocks whose text is the same on all of three or more
-pages.  Pages of hosts without a wrapper cannot occur: one page is a wrapper.
+A template is the pages of a host that declare main text at the same article or
+main elements or, of those without one, have text in the same set of boxes.  Each
+template has its own wrapper.  Every page's stream is matched against it, which
+gives each text its place in the wrapper.
+
+Texts under menus, headers, footers, sidebars, notices, adverts, forms and
+comments (by element, role, class or id) are not main text.  Of the others, those
+inside the article or main elements are, if the template has them; else those
+inside the element that holds most text outside links.  There the wrapper
+decides: a block is constant if three or more pages of different texts have it
+and all the same.  Constant blocks before the first and after the last varying
+block are template text, and so are those between them whose element never
+varies.  A page that would lose all its text keeps what is inside the element.
 
 Null and empty html give the empty text; null urls are one host.  Repeated ids
 are extracted row by row; extra columns are ignored.  Character references are
@@ -24,6 +31,7 @@ space.  Pages are parsed whole.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -55,6 +63,7 @@ MAIN_WORDS = frozenset("main articlebody".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_LINK = re.compile(r"(^|/)a(\.|/|$)")
 
 
 def _signature(tag: str, attributes: str) -> str:
@@ -238,6 +247,69 @@ def slots(nodes: list) -> set[str]:
     return found
 
 
+def program(nodes: list) -> list[tuple[str, object]]:
+    """The wrapper as steps: a token, "skip" (or go to a step) around each optional token, "loop" back to a step."""
+    steps: list = []
+
+    def emit(items: list) -> None:
+        for x in items:
+            if isinstance(x, str):
+                steps.append(("token", x))
+            elif x[0] == "+":
+                start = len(steps)
+                emit(x[1])
+                steps.append(("loop", start))
+            else:
+                for y in x[1]:
+                    at = len(steps)
+                    steps.append(None)
+                    emit([y])
+                    steps[at] = ("skip", len(steps))
+
+    emit(nodes)
+    return steps
+
+
+def match(steps: list[tuple[str, object]], tokens: list[str]) -> list[int] | None:
+    """The step that each token matches; repetitions and optional tokens are taken where they fit."""
+    n, m = len(steps), len(tokens)
+    came: dict[tuple[int, int], tuple[int, int] | None] = {}
+    stack: list[tuple] = [(0, 0, None)]
+    while stack:
+        step, at, before = stack.pop()
+        if (step, at) in came:
+            continue
+        came[step, at] = before
+        if step == n:
+            if at < m:
+                continue
+            out, now = [0] * m, (step, at)
+            while (before := came[now]) is not None:
+                if before[1] < now[1]:
+                    out[before[1]] = before[0]
+                now = before
+            return out
+        kind, value = steps[step]
+        if kind == "token":
+            if at < m and tokens[at] == value:
+                stack.append((step + 1, at + 1, (step, at)))
+        elif kind == "skip":
+            stack += [(value, at, (step, at)), (step + 1, at, (step, at))]
+        else:
+            stack += [(step + 1, at, (step, at)), (value, at, (step, at))]
+    return None
+
+
+def places(steps: list[tuple[str, object]]) -> list[int]:
+    """The block of each step: steps with only inline elements between them are one block."""
+    out, block = [], 0
+    for kind, value in steps:
+        if kind == "token" and value != "#" and value[1:].split(".")[0] not in INLINE:
+            block += 1
+        out.append(block)
+    return out
+
+
 def _words(sig: str) -> set[str]:
     _, *words = sig.split(".")
     return {p for w in words for p in re.split(r"[-_:]+", w)} | set(words)
@@ -251,55 +323,175 @@ def _is_main(sig: str) -> bool:
     return sig.split(".")[0] in ("article", "main") or bool(_words(sig) & MAIN_WORDS)
 
 
-def choose(paths: set[str], stats: dict[str, tuple[int, int, int, int]]) -> list[str]:
-    """Main-text paths of a wrapper; ``stats``: characters, characters in links, pages, distinct texts of each path."""
+def _box(path: str) -> str:
+    parts = path.split("/")
+    while parts and parts[-1].split(".")[0] in INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "td", "tr", "pre"}:
+        parts.pop()
+    return "/".join(parts)
+
+
+def _element(path: str) -> str:
+    parts = path.split("/")
+    while len(parts) > 1 and parts[-1].split(".")[0] in INLINE:
+        parts.pop()
+    return "/".join(parts)
+
+
+def _good(paths: set[str]) -> tuple[set[str], bool]:
+    """The paths that can be main text, and whether they are inside article or main elements."""
     good = {p for p in paths if p and not is_bad(p)}
     main = {p for p in good if any(_is_main(s) for s in p.split("/"))}
-    if main:
-        return sorted(main)
-    weight: dict[str, int] = {}
+    return (main, True) if main else (good, False)
+
+
+def template(paths: set[str]) -> str:
+    """What pages of one template share: their outermost main elements, or the boxes of their texts."""
+    good, declared = _good(paths)
+    if not declared:
+        return json.dumps(sorted({_box(p) for p in good}))
+    tops = set()
     for p in good:
-        chars, linked, _, _ = stats.get(p, (0, 0, 0, 0))
         parts = p.split("/")
-        while parts and parts[-1].split(".")[0] in INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "td", "tr", "pre"}:
-            parts.pop()
-        box = "/".join(parts)
-        weight[box] = weight.get(box, 0) + chars - 2 * linked
+        tops.add("/".join(parts[: 1 + next(i for i, s in enumerate(parts) if _is_main(s))]))
+    return json.dumps(["main", *sorted(tops)])
+
+
+def choose(stats: list[dict]) -> tuple[set[tuple[int, str]], set[tuple[int, str]]]:
+    """Main-text slots of a wrapper (block and path), and those inside its main element.
+
+    ``stats`` of each slot: characters, characters in links, different pages (3 for
+    more) and whether its block has the same text on all.
+    """
+    good, declared = _good({r["path"] for r in stats})
+    if declared:
+        kept = {(r["block"], r["path"]) for r in stats if r["path"] in good}
+        return kept, kept
+    weight: dict[str, int] = {}
+    for r in stats:
+        if r["path"] in good:
+            weight[_box(r["path"])] = weight.get(_box(r["path"]), 0) + r["chars"] - 2 * r["linked"]
     if not weight:
-        return sorted(good)
+        return set(), set()
     box = max(sorted(weight), key=lambda k: weight[k])
-    inside = {p for p in good if p == box or not box or p.startswith(box + "/")}
+    inside = [r for r in stats if r["path"] in good and (r["path"] == box or not box or r["path"].startswith(box + "/"))]
+    texts: dict[int, set] = {}
+    pages: dict[int, set] = {}
+    for r in inside:
+        texts.setdefault(r["block"], set()).update((r["least"], r["most"]))
+        pages.setdefault(r["block"], set()).update(r["pages"])
+    varying = {b for b in texts if len(texts[b]) > 1 or len(pages[b]) < 3}
+    elements = {_element(r["path"]) for r in inside if r["block"] in varying}
+    all_inside = {(r["block"], r["path"]) for r in inside}
+    kept = {(b, p) for b, p in all_inside if b in varying or varying and min(varying) < b < max(varying) and _element(p) in elements}
+    return kept or all_inside, all_inside
 
-    def block(p: str) -> str:
-        parts = p.split("/")
-        while len(parts) > 1 and parts[-1].split(".")[0] in INLINE:
-            parts.pop()
-        return "/".join(parts)
 
-    varies = {block(p) for p in inside if not (stats.get(p, (0, 0, 0, 0))[2] >= 3 and stats[p][3] == 1)}
-    return sorted(p for p in inside if block(p) in varies)
+SEEN = "page_id long, url string, host string, template string, stream string, tokens string, paths array<string>, texts array<string>"
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's folded stream, and its texts by path."""
+    """Each page's template, folded stream, tokens (blank texts as a space) and texts with their paths."""
+    folded: dict[str, str] = {}
     for batch in batches:
-        hosts, streams, paths = [], [], []
-        for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            tokens: list = []
-            texts: dict[str, list[str]] = {}
+        out: dict[str, list] = {c: [] for c in ("template", "stream", "tokens", "paths", "texts")}
+        for page in batch["html"].to_pylist():
+            tokens, paths, texts = [], [], []
             for kind, path, value in parse(page or ""):
                 if kind == "#":
-                    if not value.strip():
-                        continue
-                    texts.setdefault(path, []).append(value)
-                    if tokens and tokens[-1] == "#":
-                        continue
+                    paths.append(path)
+                    texts.append(value)
+                    kind = "#" if value.strip() else " "
                 tokens.append(kind)
-            hosts.append(host)
-            streams.append(json.dumps(fold(tokens)))
-            paths.append([{"path": p, "chars": sum(map(len, v)), "linked": sum(map(len, v)) if re.search(r"(^|/)a(\.|/|$)", p) else 0, "text": " ".join("".join(v).split())} for p, v in texts.items()])
-        kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("linked", pa.int64()), ("text", pa.string())]))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(streams, pa.string()), pa.array(paths, kind)], ["host", "stream", "paths"])
+            key = json.dumps(tokens)
+            if key not in folded:
+                if len(folded) > 5000:
+                    folded.clear()
+                folded[key] = json.dumps(fold(_joined(tokens)))
+            out["template"].append(template({p for p, t in zip(paths, texts, strict=True) if t.strip()}))
+            out["stream"].append(folded[key])
+            out["tokens"].append(key)
+            out["paths"].append(paths)
+            out["texts"].append(texts)
+        text, texts = pa.string(), pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], *(pa.array(v, texts if c in ("paths", "texts") else text) for c, v in out.items())], ["page_id", "url", "host", *out])
+
+
+def _joined(tokens: list[str]) -> list[str]:
+    """Tokens without blank texts, neighbouring texts as one."""
+    out: list[str] = []
+    for t in tokens:
+        if t != " " and not (t == "#" and out and out[-1] == "#"):
+            out.append(t)
+    return out
+
+
+class _Matcher:
+    """The block in the wrapper of each text of a page (-1: blank, or no match)."""
+
+    def __init__(self) -> None:
+        self.wrappers: dict[str, tuple[list, list[int]]] = {}
+        self.known: dict[tuple[str, str], list[int]] = {}
+
+    def __call__(self, nodes: str, tokens: str) -> list[int]:
+        if (found := self.known.get((nodes, tokens))) is not None:
+            return found
+        if len(self.known) > 5000:
+            self.known.clear()
+            self.wrappers.clear()
+        if nodes not in self.wrappers:
+            steps = program(json.loads(nodes))
+            self.wrappers[nodes] = steps, places(steps)
+        steps, blocks = self.wrappers[nodes]
+        items = json.loads(tokens)
+        at = match(steps, _joined(items))
+        out, k, last = [], -1, ""
+        for t in items:
+            if t == " ":
+                out.append(-1)
+                continue
+            k += not (t == "#" and last == "#")
+            last = t
+            if t == "#":
+                out.append(-1 if at is None else blocks[at[k]])
+        self.known[nodes, tokens] = out
+        return out
+
+
+SLOTS = "host string, template string, block int, path string, chars long, linked long, least long, most long, pages array<long>"
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch and slot: characters, characters in links, least and most hash of its block's text, up to three different pages."""
+    matcher = _Matcher()
+    for batch in batches:
+        found: dict[tuple, list] = {}
+        for row in batch.to_pylist():
+            blocks = matcher(row["nodes"], row["tokens"])
+            texts = [(b, p, t) for b, p, t in zip(blocks, row["paths"], row["texts"], strict=True) if t.strip()]
+            good, _ = _good({p for _, p, _ in texts})
+            page = _hash("\0".join(t for _, p, t in texts if p in good))
+            whole: dict[int, str] = {}
+            for b, p, t in texts:
+                if p in good:
+                    whole[b] = whole.get(b, "") + " ".join(t.split()) + " "
+            hashes = {b: _hash(t) for b, t in whole.items()}
+            for b, p, t in texts:
+                if p in good:
+                    h = hashes[b]
+                    r = found.setdefault((row["host"], row["template"], b, p), [0, 0, h, h, set()])
+                    r[0] += len(t)
+                    r[1] += len(t) if _LINK.search(p) else 0
+                    r[2], r[3] = min(r[2], h), max(r[3], h)
+                    if len(r[4]) < 3:
+                        r[4].add(page)
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        rows = [(*k, *v[:4], sorted(v[4])) for k, v in found.items()]
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in SLOTS.split(", ")])
 
 
 def _infer(key: tuple, table: pa.Table) -> pa.Table:
@@ -307,45 +499,63 @@ def _infer(key: tuple, table: pa.Table) -> pa.Table:
     for stream in sorted(table["stream"].to_pylist(), key=lambda s: (len(s), s)):
         own = json.loads(stream)
         nodes = own if nodes is None else align(nodes, own)
-    return pa.table({"host": table["host"][:1], "stream": pa.array([json.dumps(nodes)], pa.string())})
+    return pa.table({"host": table["host"][:1], "template": table["template"][:1], "stream": pa.array([json.dumps(nodes)], pa.string())})
+
+
+WRAPPERS = "host string, template string, nodes string, wrapper string, main array<string>, kept array<string>, inside array<string>"
 
 
 def _roles(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    texts = pa.list_(pa.string())
     if not left.num_rows:
-        return pa.table({"host": pa.array([], pa.string()), "wrapper": pa.array([], pa.string()), "main": pa.array([], pa.list_(pa.string()))})
-    nodes = json.loads(left["stream"][0].as_py())
-    stats = {r["path"]: (r["chars"], r["linked"], r["pages"], r["texts"]) for r in right.to_pylist()}
-    return pa.table({"host": left["host"], "wrapper": pa.array([pattern(nodes)], pa.string()), "main": pa.array([choose(slots(nodes) | set(stats), stats)], pa.list_(pa.string()))})
+        return pa.table([pa.array([], texts if "array" in c else pa.string()) for c in WRAPPERS.split(", ")], [c.split()[0] for c in WRAPPERS.split(", ")])
+    kept, inside = choose(right.to_pylist())
+    nodes = left["nodes"][0].as_py()
+    lists = [sorted({p for _, p in kept}), sorted(f"{b} {p}" for b, p in kept), sorted(f"{b} {p}" for b, p in inside)]
+    return pa.table({"host": left["host"], "template": left["template"], "nodes": left["nodes"], "wrapper": pa.array([pattern(json.loads(nodes))], pa.string())} | {c: pa.array([v], texts) for c, v in zip(("main", "kept", "inside"), lists, strict=True)})
 
 
-def wrappers(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``host, wrapper, main`` of a table with ``host``: the inferred expression and its main-text paths."""
-    seen = durable(pages.select("host", F.col(html_col).alias("html")).mapInArrow(_skeletons, "host string, stream string, paths array<struct<path:string,chars:long,linked:long,text:string>>").select("host", "stream", F.transform("paths", lambda x: F.struct(x.path.alias("path"), x.chars.alias("chars"), x.linked.alias("linked"), F.xxhash64(x.text).alias("text"))).alias("paths")), "pages-seen")
-    merged = seen.select("host", "stream").distinct()
+def _seen(pages: DataFrame) -> DataFrame:
+    return durable(pages.select("page_id", "url", "host", "html").mapInArrow(_skeletons, SEEN), "pages-seen")
+
+
+def _wrappers(seen: DataFrame) -> DataFrame:
+    merged = seen.select("host", "template", "stream").distinct()
     while True:
-        most = merged.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        most = merged.groupBy("host", "template").count().agg(F.max("count")).first()[0] or 0
         groups = -(-most // FAN)
         salt = F.pmod(F.xxhash64("stream"), F.lit(max(1, groups)))
-        merged = durable(merged.groupBy("host", salt.alias("salt")).applyInArrow(_infer, "host string, stream string"), "pages-wrapped")
+        merged = durable(merged.groupBy("host", "template", salt.alias("salt")).applyInArrow(_infer, "host string, template string, stream string"), "pages-wrapped")
         if groups <= 1:
             break
-    rows = seen.select("host", F.explode("paths").alias("p"))
-    stats = rows.groupBy("host", F.col("p.path").alias("path")).agg(
-        F.sum("p.chars").alias("chars"), F.sum("p.linked").alias("linked"), F.count("*").alias("pages"),
-        F.when(F.min("p.text") == F.max("p.text"), 1).otherwise(2).cast("long").alias("texts"),
+    nodes = merged.withColumnRenamed("stream", "nodes")
+    rows = seen.join(nodes, ["host", "template"]).select("host", "template", "nodes", "tokens", "paths", "texts").mapInArrow(_slots, SLOTS)
+    stats = rows.groupBy("host", "template", "block", "path").agg(
+        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("pages")))), 1, 3).alias("pages"),
     )
-    return durable(merged.groupBy("host").cogroup(stats.groupBy("host")).applyInArrow(_roles, "host string, wrapper string, main array<string>"), "wrappers")
+    return durable(nodes.groupBy("host", "template").cogroup(stats.groupBy("host", "template")).applyInArrow(_roles, WRAPPERS), "wrappers")
+
+
+def wrappers(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """``host, template, wrapper, main`` of a table with ``host``: the inferred expression and its main-text paths."""
+    empty = F.lit(None)
+    return _wrappers(_seen(pages.select(empty.cast("long").alias("page_id"), empty.cast("string").alias("url"), "host", F.col(html_col).alias("html")))).select("host", "template", "wrapper", "main")
 
 
-def main_text(page: str, main: set[str]) -> str:
-    """The texts at main paths, block by block."""
+def main_text(tokens: list[str], slots: list[tuple[int, str]], texts: list[str], kept: set[str]) -> str:
+    """The texts at kept slots, block by block."""
+    paths = {k.split(" ", 1)[1] for k in kept}
     blocks: list[str] = []
     now: list[str] = []
-    for kind, path, value in parse(page):
-        if kind == "#":
-            if path in main:
-                now.append(html.unescape(value))
-        elif value and now:
+    k = 0
+    for t in tokens:
+        if t in ("#", " "):
+            block, path = slots[k]
+            if f"{block} {path}" in kept or t == " " and path in paths:
+                now.append(html.unescape(texts[k]))
+            k += 1
+        elif now and t[1:].split(".")[0] not in INLINE:
             blocks.append("".join(now))
             now = []
     blocks.append("".join(now))
@@ -353,22 +563,27 @@ def main_text(page: str, main: set[str]) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    matcher = _Matcher()
     for batch in batches:
-        known: dict[tuple, set[str]] = {}
+        sets: dict[tuple, set[str]] = {}
         out = []
-        for page, main in zip(batch["html"].to_pylist(), batch["main"].to_pylist(), strict=True):
-            key = tuple(main or ())
-            out.append(main_text(page or "", known.setdefault(key, set(key))))
+        for row in batch.drop_columns(["page_id", "url"]).to_pylist():
+            slots = list(zip(matcher(row["nodes"], row["tokens"]), row["paths"], strict=True))
+            tokens, text = json.loads(row["tokens"]), ""
+            for column in ("kept", "inside"):
+                key = tuple(row[column])
+                text = text or main_text(tokens, slots, row["texts"], sets.setdefault(key, set(key)))
+            out.append(text)
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text`` of every page."""
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    known = wrappers(rows).select("host", "main")
+    seen = _seen(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host")))
+    known = _wrappers(seen).select("host", "template", "nodes", "kept", "inside")
     # the wrappers are a written table, so Spark knows their size: it broadcasts them below its threshold only
-    joined = rows.join(known, "host", "left").select("page_id", "url", "html", "main")
+    joined = seen.join(known, ["host", "template"]).select("page_id", "url", "tokens", "paths", "texts", "nodes", "kept", "inside")
     return joined.mapInArrow(_extract, "page_id long, url string, text string")
 
 
