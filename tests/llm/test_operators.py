@@ -143,6 +143,19 @@ def test_html_constant_blocks_are_slots_of_the_wrapper(spark):
     assert out == {i: f"Head {i} Text {i} of {i}" + (f" a b{i}" if i % 2 else "") for i in range(6)}
 
 
+def test_html_templates_of_one_host(spark):
+    """Pages without article beside one with it, two templates without it, and copies of one page."""
+    pages = [(0, "http://h/0", "<article><p>In the article</p></article>")]
+    pages += [(i, "http://h/x", f"<div class=story><p>A long story number {i} of many words</p></div>") for i in range(1, 5)]
+    pages += [(i, "http://h/x", f"<section class=note><p>Note {i}</p></section>") for i in range(5, 9)]
+    pages += [(i, "http://copies/x", f"<nav>{i}</nav><div class=story><p>One page, copied</p></div>") for i in range(9, 14)]
+    pages += [(i, None, f"<main><p>M{i}</p></main>" if i % 2 else f"<div><p>D{i}</p></div>") for i in range(14, 20)]
+    out = extracted(spark, pages)
+    assert out[0] == "In the article"
+    assert all(out[i] == f"A long story number {i} of many words" for i in range(1, 5)) and all(out[i] == f"Note {i}" for i in range(5, 9))
+    assert all(out[i] == "One page, copied" for i in range(9, 14)) and all(out[i] == ("M%d" if i % 2 else "D%d") % i for i in range(14, 20))
+
+
 def test_html_matches_every_stream_it_was_inferred_from():
     rng = random.Random(1)
     for _ in range(200):
