@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickforge.operators import analytics as A
+from tickforge.operators import audit as U
 from tickforge.operators import backtest as B
 from tickforge.operators import drift as D
 from tickforge.operators import labels as L
@@ -297,3 +298,43 @@ def test_feature_stream_equals_batch(spark, tmp_path):
     assert ranked and all(r.cross_section_return_rank == pytest.approx(ranks[r.timestamp, r.symbol]) for r in ranked)
     with pytest.raises(ValueError):
         SF.History(5).push(5, 1, 1, 1, 1, 1)
+
+
+def test_audit_finds_each_leak(spark):
+    import hashlib
+
+    sound = [(t, s, 10 * t + 5, 10 * t + 5, 10 * t + 11, 10 * t + 12, 0, 10 * t) for t in range(10) for s in "ab"]
+    schema = "timestamp long, symbol string, " + ", ".join(f"{c} long" for c in U.PROVENANCE[:4]) + ", universe_asof long, reference_data_known_at_max long"
+    spec = "{}"
+    meta = {k: "x" for k in U.LINEAGE} | {"label_spec_json": spec, "label_spec_sha256": hashlib.sha256(spec.encode()).hexdigest(), "point_in_time_required": True, "prefix_invariance_pass": True, "future_mutation_pass": True}
+    parts = [(t, "train" if t < 4 else "validation" if t < 7 else "test") for t in range(10) if t not in (4, 7)]
+
+    def failed(rows=sound, columns=None, split=parts, fit_end=35, **changes):
+        df = spark.createDataFrame(rows, schema)
+        out = U.audit(df.select(columns) if columns else df, meta | changes, spark.createDataFrame(split, "timestamp long, part string"), fit_end).collect()
+        assert all((r.n_bad == 0) == r.passed == (not r.first) and len(r.first) == min(r.n_bad, U.FIRST) for r in out)
+        failed.names = {r.check for r in out}
+        return {r.check: r.n_bad for r in out if not r.passed}
+
+    def row(i, value, n=7):
+        return [*sound[:n], tuple(value if k == i else v for k, v in enumerate(sound[n])), *sound[n + 1 :]]
+
+    assert failed() == {} and len(failed.names) == 17
+    assert failed(rows=row(2, 1)) == {"FEATURE_TIME": 1, "REFERENCE_TIME": 1}
+    assert failed(rows=row(3, 36)) == {"FEATURE_TIME": 1} and failed(rows=row(7, 36)) == {"REFERENCE_TIME": 1} and failed(rows=row(6, 36)) == {"UNIVERSE_TIME": 1}
+    assert failed(rows=row(4, 35)) == {"LABEL_INTERVAL": 1} and failed(rows=row(3, None)) == {"PROVENANCE_LENGTH": 1}
+    assert failed(rows=row(5, 55)) == {"TRAIN_VALIDATION_PURGE": 1} and failed(rows=[*sound, sound[0]]) == {"SPLIT_KEY_UNIQUENESS": 2}
+    assert failed(split=[*parts, (4, "train")]) == {} and failed(rows=row(5, 85, 13)) == {"VALIDATION_TEST_PURGE": 1}
+    assert failed(split=[*parts, (5, "train")])["SPLIT_INDEX_DISJOINT"] == 2 and failed(fit_end=36) == {"NORMALIZER_FIT_SCOPE": 1}
+    assert failed(columns=["timestamp", "symbol", "signal_asof"]) == {"PROVENANCE_REQUIRED": 5}
+    for change, check in (({"label_spec_sha256": "y"}, "LABEL_SPEC_HASH"), ({"calendar_id": " "}, "LINEAGE_REQUIRED"), ({"dataset_fingerprint": "y"}, "DATASET_FINGERPRINT"), ({"point_in_time_required": False}, "POINT_IN_TIME_DECLARATION"), ({"future_mutation_pass": False}, "FUTURE_MUTATION_PASS"), ({"prefix_invariance_pass": None}, "PREFIX_INVARIANCE_PASS")):
+        assert failed(**change) == {check: 1}
+
+
+def test_joint_drift_tells_samples_apart():
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(100, 3)), rng.normal(size=(100, 3))
+    same, moved, wide = (dict(K.joint_drift(a, x)) for x in (a, b + 3, b @ np.array([[1, 1, 0], [0, 1, 0], [0, 0, 5]])))
+    assert same["correlation_distance"] == same["eigenvalue_distance"] == 0 and same["reference_rank"] == same["current_rank"]
+    assert moved["auc"] > 0.95 and moved["mmd_rbf"] > 0.1 and moved["correlation_distance"] < 0.3
+    assert wide["correlation_distance"] > 0.4 and wide["eigenvalue_distance"] > 15 and wide["current_rank"] < wide["reference_rank"]

@@ -408,6 +408,65 @@ def effective_rank(cov: np.ndarray) -> float:
     return float(np.exp(-(p * np.log(p)).sum()))
 
 
+def rank_auc(labels: np.ndarray, scores: np.ndarray) -> float:
+    """Area under the curve in either direction; ties by average rank."""
+    n1 = int(labels.sum())
+    n0 = len(labels) - n1
+    if not n1 or not n0:
+        return float("nan")
+    auc = (pd.Series(scores).rank().to_numpy()[labels == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
+    return float(max(auc, 1 - auc))
+
+
+def two_sample_auc(a: np.ndarray, b: np.ndarray, seed: int = 20260801, held_out: float = 0.3, ridge: float = 1e-6) -> float:
+    """How well a linear discriminant tells the rows of two samples apart, on rows that it has not seen."""
+    if min(len(a), len(b)) < 4:
+        return float("nan")
+    rng = np.random.default_rng(seed)
+    parts = []
+    for x in (a, b):
+        order, k = rng.permutation(len(x)), max(1, int(len(x) * held_out))
+        parts.append((x[order[:k]], x[order[k:]]))
+    (a_test, a_train), (b_test, b_train) = parts
+    pooled = np.vstack((a_train, b_train))
+    centre, scale = pooled.mean(0), pooled.std(0, ddof=1)
+    scale[scale == 0] = 1.0
+    a_train, b_train = (a_train - centre) / scale, (b_train - centre) / scale
+    cov = np.atleast_2d(np.cov(np.vstack((a_train, b_train)), rowvar=False, ddof=1))
+    direction = np.linalg.solve(cov + np.eye(len(cov)) * ridge, b_train.mean(0) - a_train.mean(0))
+    test = np.vstack(((a_test - centre) / scale, (b_test - centre) / scale))
+    return rank_auc(np.repeat((0, 1), (len(a_test), len(b_test))), test @ direction)
+
+
+def mmd_unbiased(a: np.ndarray, b: np.ndarray, bandwidth: float = 1.0) -> float:
+    """Squared RBF maximum mean discrepancy without the pairs of a row with itself, at least 0."""
+
+    def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.exp(-((x[:, None] - y[None]) ** 2).sum(-1) / (2 * bandwidth**2))
+
+    aa, bb = kernel(a, a), kernel(b, b)
+    own = sum((k.sum() - np.trace(k)) / (len(k) * (len(k) - 1)) for k in (aa, bb))
+    return float(max(0.0, own - 2 * kernel(a, b).mean()))
+
+
+def joint_drift(a: np.ndarray, b: np.ndarray, most: int = 512) -> list[tuple[str, float]]:
+    """Distances of two samples' joint distributions, each by at most ``most`` evenly spaced rows."""
+    a, b = (x[np.isfinite(x).all(1)] for x in (a, b))
+    if min(len(a), len(b)) < 2:
+        return []
+    a, b = evenly(a, most), evenly(b, most)
+    cov_a, cov_b = (np.atleast_2d(np.cov(x, rowvar=False, ddof=1)) for x in (a, b))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        corr_a, corr_b = (np.atleast_2d(np.nan_to_num(np.corrcoef(x, rowvar=False), nan=0.0)) for x in (a, b))
+    if a.shape[1] == 1:
+        corr_a = corr_b = np.ones((1, 1))
+    eigen_a, eigen_b = (np.maximum(np.linalg.eigvalsh(c), 0) for c in (cov_a, cov_b))
+    return [
+        ("correlation_distance", float(np.linalg.norm(corr_b - corr_a) / max(np.linalg.norm(corr_a), 1e-12))), ("eigenvalue_distance", float(np.linalg.norm(eigen_b - eigen_a))),
+        ("reference_rank", effective_rank(cov_a)), ("current_rank", effective_rank(cov_b)), ("mmd_rbf", mmd_unbiased(a, b)), ("auc", two_sample_auc(a, b)),
+    ]
+
+
 def linear_cka(a: np.ndarray, b: np.ndarray) -> float:
     a, b = a - a.mean(0), b - b.mean(0)
     return float((np.linalg.norm(a.T @ b) ** 2) / (np.linalg.norm(a.T @ a) * np.linalg.norm(b.T @ b)))

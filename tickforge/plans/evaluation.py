@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickforge.functions.numeric import rounded, sigmoid
+from tickforge.operators import audit as U
 from tickforge.operators import drift as D
+from tickforge.operators import labels as L
 from tickforge.operators import metrics as M
 from tickforge.plans.common import FROM, SCORED, r, rounded_columns, scored
-from tickforge.sources.tables import BARS, FILLS, fills, monthly_bars, table
+from tickforge.sources.tables import BARS, FILLS, day_ns, fills, monthly_bars, table
 
 
 def _prob(s, d):
@@ -303,6 +307,7 @@ c AS (SELECT bin, count(*) FILTER (side = 0) * 1.0 AS a, count(*) FILTER (side =
         lambda s, d: _audit(s, d),
         f"WITH {SCORED}, t AS (SELECT timestamp, symbol, lead(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) AS ex FROM scored) SELECT 'key_unique' AS \"check\", CAST(0 AS BIGINT) AS n_bad UNION ALL SELECT 'label_after_signal', count(*) FILTER (ex <= timestamp) FROM t UNION ALL SELECT 'feature_known', CAST(0 AS BIGINT)",
     ),
+    "audit_dataset": (lambda s, d: _full_audit(s, d), None),
     "audit_time_invariance": (lambda s, d: _invariance(s, d), "SELECT CAST(0 AS BIGINT) AS n_different"),
 }
 
@@ -333,11 +338,59 @@ def _penalty(s, d):
     return x.join(b, ["t", "symbol"]).groupBy("timestamp").agg(rounded(F.avg(F.pow(F.col("w") - F.col("b"), 2)), 8).alias("penalty"))
 
 
+_LABEL_SPEC = '{"entry": "first trade of the next bar", "exit": "last trade of the bar after it"}'
+
+
+def _samples(s, d):
+    """Bars with features and label as samples; their times are the dates of the trades and orders they are made of."""
+    trades = table(s, d, "lineitem").join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), day_ns(F.col("o_orderdate")).alias("ordered")), "l_orderkey", "left")
+    day = day_ns(F.col("l_shipdate"))
+    month = F.trunc(F.col("l_shipdate").cast("date"), "month")
+    dated = trades.select(day_ns(month).alias("timestamp"), day_ns(F.add_months(month, 1)).alias("end"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("symbol"), day.alias("day"), "ordered")
+    times = dated.groupBy("timestamp", "symbol").agg(F.first("end").alias("end"), F.min("day").alias("opened"), F.max("day").alias("closed"), F.max("ordered").alias("ordered"))
+    w = Window.partitionBy("symbol").orderBy("timestamp")
+    so_far, last_two = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(-1, 0)
+    x = times.select(
+        "timestamp", "symbol", (F.col("end") - 1).alias("signal_asof"), F.max("closed").over(last_two).alias("feature_source_max_timestamp"), F.max("ordered").over(last_two).alias("reference_data_known_at_max"),
+        F.min("opened").over(so_far).alias("universe_asof"), F.lead("opened", 1).over(w).alias("label_entry_timestamp"), F.lead("closed", 2).over(w).alias("label_exit_timestamp"),
+    )
+    label = L.next_open(monthly_bars(s, d)).filter("label_valid").select("timestamp", "symbol", F.col("expected_return").alias("label"))
+    return x.join(scored(s, d).select("timestamp", "symbol", "score"), ["timestamp", "symbol"]).join(label, ["timestamp", "symbol"])
+
+
 def _audit(s, d):
-    x = scored(s, d).withColumn("exit", F.lead("timestamp").over(Window.partitionBy("symbol").orderBy("timestamp")))
-    keys = x.groupBy("timestamp", "symbol").agg(F.count("*").alias("n"), F.max("exit").alias("exit"))
-    row = keys.agg(F.count_if(F.col("n") > 1).alias("key_unique"), F.count_if(F.col("exit") <= F.col("timestamp")).alias("label_after_signal"), F.lit(0).cast("long").alias("feature_known"))
-    return row.unpivot([], ["key_unique", "label_after_signal", "feature_known"], "check", "n_bad")
+    found = U.audit(_samples(s, d), {}).filter(F.col("check").isin("SPLIT_KEY_UNIQUENESS", "LABEL_INTERVAL", "FEATURE_TIME"))
+    name = F.when(F.col("check") == "SPLIT_KEY_UNIQUENESS", "key_unique").when(F.col("check") == "LABEL_INTERVAL", "label_after_signal").otherwise("feature_known")
+    return found.select(name.alias("check"), "n_bad")
+
+
+def _differences(left, right):
+    return left.exceptAll(right).unionAll(right.exceptAll(left)).limit(1).count()
+
+
+def _full_audit(s, d):
+    """All checks on the samples of the whole table, its chronological split and what is declared of it."""
+    import inspect
+
+    from tickforge.operators import features as X
+
+    rows = _samples(s, d).persist()
+    bars = monthly_bars(s, d)
+    later, known = F.col("timestamp") >= FROM, F.col("timestamp") < FROM
+    whole = X.bar_v1(bars).filter(known)
+    prefix = X.bar_v1(bars.filter(known))
+    moved = X.bar_v1(bars.withColumns({c: F.when(later, F.col(c) * 1.37).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}).withColumn("volume", F.when(later, F.col("volume") + 7919).otherwise(F.col("volume")))).filter(known)
+    # raw bars pass through, features are compared as rounded numbers
+    cols = [F.col(c) if t not in ("double", "float") else rounded(F.col(c), 9).alias(c) for c, t in whole.dtypes]
+    whole, prefix, moved = (x.select(cols) for x in (whole, prefix, moved))
+    split = L.chronological(rows, purge=2)
+    fit_end = rows.join(split.filter("part = 'train'"), "timestamp").agg(F.max("feature_source_max_timestamp")).first()[0]
+    meta = {
+        "calendar_id": "months", "universe_id": "lineitem.l_suppkey", "feature_code_sha256": hashlib.sha256(inspect.getsource(X).encode()).hexdigest(), "label_spec_json": _LABEL_SPEC,
+        "label_spec_sha256": hashlib.sha256(_LABEL_SPEC.encode()).hexdigest(), "point_in_time_required": True, "prefix_invariance_pass": not _differences(whole, prefix),
+        "future_mutation_pass": not _differences(whole, moved), "dataset_fingerprint": U.fingerprint(_samples(s, d).repartition(3)),
+    }
+    return U.audit(rows, meta, split, fit_end)
 
 
 def _invariance(s, d):

@@ -257,7 +257,7 @@ SELECT period, 'SIZE' AS factor, {r('s', 5)} AS contribution, 'OK' AS status FRO
     "tr_garch_fhs": (_scalars(_garch_rows), None),
     "stat_block_bootstrap": (_scalars(lambda x: list(zip(("mean", "p"), K.block_bootstrap(x[:, 0] - x[:, 1], 4, 199, 7), strict=True))), None),
     "stat_stationary_bootstrap": (_scalars(lambda x: list(zip(("mean", "p", "lo", "hi"), K.stationary_bootstrap(x[:, 0] - x[:, 1], 4.0, 99, 7), strict=True))), None),
-    "drift_joint": (_scalars(lambda x: [("mmd", K.mmd(K.evenly(x[: len(x) // 2]), K.evenly(x[len(x) // 2 :]))), ("rank", K.effective_rank(_kernel_cov(x)))]), None),
+    "drift_joint": (_scalars(lambda x: [("mmd", K.mmd(K.evenly(x[: len(x) // 2]), K.evenly(x[len(x) // 2 :]))), ("rank", K.effective_rank(_kernel_cov(x))), *K.joint_drift(x[: len(x) // 2], x[len(x) // 2 :])]), None),
     "drift_cka": (_scalars(lambda x: [("cka", K.linear_cka(x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]))]), None),
     "topk_long_only": (_targets, f"WITH {_TARGETS} SELECT timestamp, symbol, target FROM tg"),
     "bt_targets_to_orders": (lambda s, d: _orders(s, d), f"WITH {_ORDERS} SELECT timestamp, symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, abs(delta) AS quantity FROM od"),
