@@ -338,3 +338,27 @@ def test_joint_drift_tells_samples_apart():
     assert same["correlation_distance"] == same["eigenvalue_distance"] == 0 and same["reference_rank"] == same["current_rank"]
     assert moved["auc"] > 0.95 and moved["mmd_rbf"] > 0.1 and moved["correlation_distance"] < 0.3
     assert wide["correlation_distance"] > 0.4 and wide["eigenvalue_distance"] > 15 and wide["current_rank"] < wide["reference_rank"]
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 60, 1300])
+def test_mmd_takes_all_rows(monkeypatch, n):
+    monkeypatch.setattr(K, "BLOCK", 7 if n < 100 else 500)
+    rng = np.random.default_rng(n)
+    a, b = rng.normal(size=(n, 4)), rng.normal(0.3, 1, size=(n + 1, 4))
+    b[: n // 3] = a[0]  # equal rows
+    assert K.mmd_whole(a, b) == pytest.approx(K.mmd(a, b), abs=1e-10)
+    z, w = np.unique(np.vstack((a, b)), axis=0, return_counts=True)
+    d = ((np.repeat(z, w, axis=0)[:, None] - np.repeat(z, w, axis=0)[None]) ** 2).sum(-1)
+    assert K.median_distance(z, w.astype(float), bins=16, most=8) == pytest.approx(np.median(d[d > 0]), rel=1e-9)
+
+
+def test_drift_embedding_counts_vectors_beyond_512(spark, tmp_path):
+    from tickforge import registry
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2600, 3)) + np.arange(2600)[:, None] / 2000
+    spark.createDataFrame([(i, [float(k) for k in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {(r.panel, r.name): r.value for r in registry.queries()["drift_embedding"](spark, str(tmp_path)).collect()}
+    for panel in (0, 1):
+        y = x[panel::2].astype(np.float32).astype(float)
+        assert found[panel, "mmd"] == pytest.approx(K.mmd(y[:650], y[650:]), abs=2e-6)

@@ -402,6 +402,72 @@ def mmd(a: np.ndarray, b: np.ndarray) -> float:
     return float(k[:n, :n].mean() + k[n:, n:].mean() - 2 * k[:n, n:].mean())
 
 
+#: Rows of a block of pairs.
+BLOCK = 2048
+
+
+def _pairs(x: np.ndarray, w: np.ndarray):
+    """Blocks of squared distances of different rows, each pair once, with the product of their weights."""
+    norms = (x * x).sum(1)
+    for i in range(0, len(x), BLOCK):
+        for j in range(i, len(x), BLOCK):
+            d = norms[i : i + BLOCK, None] + norms[None, j : j + BLOCK] - 2 * (x[i : i + BLOCK] @ x[j : j + BLOCK].T)
+            ww = w[i : i + BLOCK, None] * w[None, j : j + BLOCK]
+            if i == j:
+                upper = np.triu_indices(len(d), 1)
+                d, ww = d[upper], ww[upper]
+            yield np.maximum(d, 0).ravel(), ww.ravel()
+
+
+def median_distance(x: np.ndarray, w: np.ndarray, bins: int = 1 << 16, most: int = 1 << 22) -> float:
+    """The median of the squared distances of all pairs of different rows, of weight ``w``: exact, in blocks.
+
+    Histograms tell the interval of the middle, until its distances can be held at once.
+    """
+    n = len(x) * (len(x) - 1) // 2
+    if not n:
+        return 1.0
+    total = int(round((w.sum() ** 2 - (w * w).sum()) / 2))
+    # one distance, or the mean of two; the first sum of weights that reaches it
+    middle = ((total - 1) // 2 + 0.5, total // 2 + 0.5)
+    lo, hi = 0.0, float(4 * (x * x).sum(1).max() * (1 + 1e-9) + 1e-300)
+    while n > most:
+        step, below = (hi - lo) / bins, 0.0
+        weight, count = np.zeros(bins), np.zeros(bins)
+        for d, ww in _pairs(x, w):
+            below += ww[d < lo].sum()
+            inside = (d >= lo) & (d < hi)
+            at = np.minimum(((d[inside] - lo) / step).astype(np.int64), bins - 1)
+            weight += np.bincount(at, ww[inside], bins)
+            count += np.bincount(at, minlength=bins)
+        first, last = (int(np.searchsorted(below + np.cumsum(weight), m)) for m in middle)
+        # a bin more on either side, for rounding
+        first, last = max(0, first - 1), min(bins - 1, last + 1)
+        if (first, last) == (0, bins - 1) or lo + (last - first + 1) * step <= np.nextafter(lo, np.inf):
+            break
+        n, lo, hi = int(count[first : last + 1].sum()), lo + first * step, lo + (last + 1) * step
+    below, kept = 0.0, []
+    for d, ww in _pairs(x, w):
+        below += ww[d < lo].sum()
+        inside = (d >= lo) & (d < hi)
+        kept.append((d[inside], ww[inside]))
+    d, ww = (np.concatenate(v) for v in zip(*kept, strict=True))
+    order = np.argsort(d, kind="stable")
+    upto = below + np.cumsum(ww[order])
+    return float(np.mean([d[order[min(int(np.searchsorted(upto, m)), len(d) - 1)]] for m in middle]))
+
+
+def mmd_whole(a: np.ndarray, b: np.ndarray) -> float:
+    """``mmd`` over any number of rows: equal rows are one of some weight, kernel sums are taken in blocks."""
+    z, at = np.unique(np.vstack((a, b)), axis=0, return_inverse=True)
+    at = at.ravel()
+    wa, wb = np.bincount(at[: len(a)], minlength=len(z)).astype(float), np.bincount(at[len(a) :], minlength=len(z)).astype(float)
+    scale = median_distance(z, wa + wb)
+    # the squared norm of the difference of the mean embeddings: one weight a row
+    c = wa / len(a) - wb / len(b)
+    return float((c * c).sum() + 2 * sum((np.exp(-d / scale) * ww).sum() for d, ww in _pairs(z, c)))
+
+
 def effective_rank(cov: np.ndarray) -> float:
     v = np.maximum(np.linalg.eigvalsh(cov), 0)
     p = v[v > 0] / v.sum()

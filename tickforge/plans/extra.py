@@ -120,9 +120,18 @@ def _deflated(s, d):
 
 
 def _embedding(s, d):
-    e = table(s, d, "embeddings").select(F.expr("vec_id % 2").cast("int").alias("panel"), F.col("vec_id").alias("timestamp"), F.posexplode("embedding"))
-    rows = e.select("panel", "timestamp", F.lpad(F.col("pos").cast("string"), 2, "0").alias("symbol"), F.col("col").cast("double").alias("r"))
-    return K.per_group(rows, lambda x, names: [("rank", K.effective_rank(K.sample_cov(x))), ("mmd", K.mmd(K.evenly(x[: len(x) // 2]), K.evenly(x[len(x) // 2 :])))]).select("panel", "name", rounded(F.col("value")).alias("value"))
+    """Effective rank, and the discrepancy of the halves, of all vectors of a panel."""
+    e = table(s, d, "embeddings").select(F.expr("vec_id % 2").cast("int").alias("panel"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    whole = e.filter(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+
+    def run(pdf):
+        import pandas as pd
+
+        x = np.stack(pdf.sort_values("id")["v"].to_list()) if len(pdf) > 2 else None
+        rows = [] if x is None else [("rank", K.effective_rank(K.sample_cov(x))), ("mmd", K.mmd_whole(x[: len(x) // 2], x[len(x) // 2 :]))]
+        return pd.DataFrame([(pdf["panel"].iloc[0], k, float(v)) for k, v in rows], columns=["panel", "name", "value"])
+
+    return whole.groupBy("panel").applyInPandas(run, "panel int, name string, value double").select("panel", "name", rounded(F.col("value")).alias("value"))
 
 
 def _engine(prices, plan, rules, actions=None):
