@@ -362,3 +362,31 @@ def test_drift_embedding_counts_vectors_beyond_512(spark, tmp_path):
     for panel in (0, 1):
         y = x[panel::2].astype(np.float32).astype(float)
         assert found[panel, "mmd"] == pytest.approx(K.mmd(y[:650], y[650:]), abs=2e-6)
+
+
+def test_queries_read_whole_tables(spark, tiny):
+    from tickforge import registry
+    from tickforge.sources.tables import fills, monthly_bars
+
+    q = {k: lambda k=k: registry.queries()[k](spark, tiny) for k in registry.queries()}
+    n_fills, bars = fills(spark, tiny).count(), monthly_bars(spark, tiny).cache()
+    symbols, n_bars, n_times = bars.select("symbol").distinct().count(), bars.count(), bars.select("timestamp").distinct().count()
+    assert q["src_wire_decoder"]().agg(F.sum("n"), F.count_distinct("symbol")).first()[:] == (n_fills, symbols)
+    assert {r.kind: r.n for r in q["bt_runner"]().collect()}["equity"] == n_times
+    limits = q["bt_limit_order_tables"]()
+    assert limits.select("symbol").distinct().count() > symbols / 2 and limits.filter("price > open + 1e-6 or price < low - 1e-6").count() == 0
+    reserve = q["bt_cash_reserve_tables"]()
+    assert reserve.agg(F.sum("n")).first()[0] == 2 * n_bars and {r.status for r in reserve.select("status").distinct().collect()} == {"REJECTED"}
+    assert q["bt_sell_reserve_tables"]().agg(F.sum("n")).first()[0] == n_bars
+    actions = q["bt_corporate_action_tables"]()
+    assert actions.count() == symbols and actions.filter("equity is null").count() == 0
+    orders = q["order_planner_sort_tables"]()
+    assert q["bt_decision_log_tables"]().count() == orders.count() and orders.select("timestamp").distinct().count() > 1
+
+
+def test_run_groups_applies_corporate_actions(spark):
+    rows = [("r", t, "A", p, p, p, p, 1000, m, 0.1) for t, p, m in ((1, 10.0, None), (2, 10.0, None), (3, 5.0, 2.0))]
+    bars = spark.createDataFrame(rows, "run string, timestamp long, symbol string, open double, high double, low double, close double, volume long, share_multiplier double, cash_dividend_per_share double")
+    wish = lambda ts, *_: [{"symbol": "A", "side": "BUY", "quantity": 100}] if ts == 1 else []
+    out = B.run_groups(bars, lambda _: wish, B.Rules(cash=10_000, participation=1, slippage_bps=0, fee_rate=0)).filter("kind = 'equity'").orderBy("timestamp").collect()
+    assert [r.value for r in out] == [10_000, 10_000, 10_000 - 1000 + 10 + 200 * 5]

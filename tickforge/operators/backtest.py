@@ -299,6 +299,8 @@ def _facts(name: str, out: dict[str, list[dict]]) -> list[tuple]:
 def run_groups(bars: DataFrame, strategy_of: Callable[[str], Strategy], rules: Rules, run: str = "run") -> DataFrame:
     """Fold each run's bars through an engine: fills, closed orders, round trips and equity points as rows of RUN.
 
+    A bar with a ``share_multiplier`` (and ``cash_dividend_per_share``) begins with that corporate action.
+
     Partitions hold whole runs, sorted; a task streams through them and keeps
     one engine and one cross-section, however many runs and bars there are.
     """
@@ -320,7 +322,7 @@ def run_groups(bars: DataFrame, strategy_of: Callable[[str], Strategy], rules: R
             for key, values in zip(incoming[run].to_pylist(), zip(*columns, strict=True), strict=True):
                 if key != name or values[at[0]] != ts:
                     if section:
-                        engine.step(ts, section)
+                        engine.step(ts, section, [b for b in section.values() if b.get("share_multiplier")])
                         section = {}
                     if key != name:
                         if engine is not None:
@@ -334,7 +336,7 @@ def run_groups(bars: DataFrame, strategy_of: Callable[[str], Strategy], rules: R
                 yield batch(out)
         if engine is not None:
             if section:
-                engine.step(ts, section)
+                engine.step(ts, section, [b for b in section.values() if b.get("share_multiplier")])
             if rows := _facts(name, engine.finish()):
                 yield batch(rows)
 

@@ -22,10 +22,10 @@ from tickforge.operators import risk as K
 from tickforge.operators import scan as S
 from tickforge.plans.common import FROM, SCORED, r, rounded_columns, scored
 from tickforge.plans.features import _V1
-from tickforge.plans.feeds import _lake, _reports
-from tickforge.plans.portfolio import NATIONS, _nations, _panel, _returns, _scalars, _weights
+from tickforge.plans.feeds import _lake, _recordings, _reports
+from tickforge.plans.portfolio import _ORDERS, NATIONS, _nations, _panel, _returns, _scalars, _weights
+from tickforge.plans.portfolio import _orders as _all_orders
 from tickforge.sources import files
-from tickforge.sources import generate as G
 from tickforge.sources.tables import BARS, FILLS, fills, monthly_bars, table
 from tickforge.streaming import features as SF
 from tickforge.streaming import feed
@@ -207,40 +207,118 @@ def _report(s, d):
     return m.select("symbol", F.to_json(F.struct("symbol", "n", rounded(F.col("cumulative_return"), 4).alias("c"))).alias("report")).withColumn("digest", F.sha2("report", 256)).select("symbol", "digest")
 
 
+def _read_frames(frames):
+    import pandas as pd
+
+    for frame in frames:
+        for content in frame["content"]:
+            at, out, content = 0, [], bytes(content)
+            while at < len(content):
+                n = int.from_bytes(content[at : at + 4], "big")
+                payload = content[at + 12 : at + 12 + n]
+                if hashlib.blake2b(payload, digest_size=8).digest() != content[at + 4 : at + 12]:
+                    raise ValueError(f"bad checksum at {at}")
+                out.append(payload.decode())
+                at += 12 + n
+            yield pd.DataFrame({"payload": out})
+
+
 def _log(s, d):
     """Frames of length, checksum and payload, written and read again."""
     rows = [json.dumps({"kind": "target", "n": i}).encode() for i in range(100)]
     data = b"".join(len(x).to_bytes(4, "big") + hashlib.blake2b(x, digest_size=8).digest() + x for x in rows)
     blob = s.createDataFrame([(bytearray(data),)], "content binary")
+    return blob.mapInPandas(_read_frames, "payload string").select(F.get_json_object("payload", "$.kind").alias("kind"), F.get_json_object("payload", "$.n").cast("long").alias("n"))
 
-    def read(frames):
-        import pandas as pd
 
-        for frame in frames:
-            for content in frame["content"]:
-                at, out, content = 0, [], bytes(content)
-                while at < len(content):
-                    n = int.from_bytes(content[at : at + 4], "big")
-                    payload = content[at + 12 : at + 12 + n]
-                    if hashlib.blake2b(payload, digest_size=8).digest() != content[at + 4 : at + 12]:
-                        raise ValueError(f"bad checksum at {at}")
-                    out.append(payload.decode())
-                    at += 12 + n
-                yield pd.DataFrame({"payload": out})
-
-    return blob.mapInPandas(read, "payload string").select(F.get_json_object("payload", "$.kind").alias("kind"), F.get_json_object("payload", "$.n").cast("long").alias("n"))
-
-
-
-def _minute_run(s, d, rules=B.Rules(cash=1e7)):
-    """1,000 symbols, 240 minutes, one portfolio: moving averages cross, market orders at the next open."""
-    bars = G.minute_fixture(s, 1000, 1, 240)
-    wave = F.sin(F.col("timestamp") / 60e9 / 7 + F.col("symbol").cast("long")) / 10
-    bars = bars.withColumn("close", F.col("close") + wave).withColumns({c: F.col("close") for c in ("open", "high", "low")}).withColumn("run", F.lit("5-20"))
+
+def _whole_run(s, d, rules=B.Rules(cash=1e7)):
+    """All bars of all symbols, one portfolio: moving averages cross, market orders at the next open."""
+    bars = monthly_bars(s, d).withColumn("run", F.lit("5-20"))
     out = B.run_groups(bars, lambda name: B.cross_strategy(*map(int, name.split("-")), 10), rules)
     return out.groupBy("kind").agg(F.count("*").alias("n"), rounded(F.max_by("value", "timestamp"), 2).alias("last"))
 
 
+def _by_symbol_run(s, d, wishes, rules):
+    """Each symbol's bars through an engine of its own: closed orders and fills."""
+    return B.run_groups(monthly_bars(s, d).withColumn("run", F.col("symbol")), lambda _: wishes, rules)
+
+
+def _limit_wish(ts, bars, held, cash):
+    """A resting buy 2 % below each close."""
+    return [{"symbol": x, "side": "BUY", "quantity": 1, "limit": bar["close"] * 0.98} for x, bar in sorted(bars.items())]
+
+
+def _reserve_wish(ts, bars, held, cash):
+    """A buy for twice the cash and a sell of more than is held."""
+    return [w for x, bar in sorted(bars.items()) for w in ({"symbol": x, "side": "BUY", "quantity": int(2 * cash / bar["close"]) + 1}, {"symbol": x, "side": "SELL", "quantity": held.get(x, 0) + 1})]
+
+
+def _limit_bars(s, d):
+    """Limit fills of all symbols and bars, against the bar that filled them."""
+    out = _by_symbol_run(s, d, _limit_wish, B.Rules(cash=1e12, participation=1)).filter("kind = 'fill'").select("timestamp", "symbol", "order_id", "quantity", rounded(F.col("price")).alias("price"))
+    return out.join(monthly_bars(s, d).select("timestamp", "symbol", "open", "low"), ["timestamp", "symbol"])
+
+
+def _reserve_bars(s, d):
+    return _by_symbol_run(s, d, _reserve_wish, B.Rules(cash=1000)).filter("kind = 'order'").groupBy("symbol", "side", "status").agg(F.count("*").alias("n"))
+
+
+def _action_wish(ts, bars, held, cash):
+    return [{"symbol": x, "side": "BUY", "quantity": 10} for x in sorted(bars)]
+
+
+def _action_bars(s, d):
+    """A purchase at every bar; each bar whose volume 50 divides begins with a two for one split and a dividend of 0.1."""
+    split = F.col("volume") % 50 == 0
+    bars = monthly_bars(s, d).withColumns({"run": F.col("symbol"), "share_multiplier": F.when(split, 2.0), "cash_dividend_per_share": F.when(split, 0.1)})
+    out = B.run_groups(bars, lambda _: _action_wish, B.Rules(cash=1e9, slippage_bps=0, fee_rate=0))
+    return out.groupBy("run").agg(F.count_if(F.col("status") == "CANCELED").alias("canceled"), F.count_if(F.col("kind") == "fill").alias("fills"), rounded(F.max_by("value", F.when(F.col("kind") == "equity", F.col("timestamp"))), 2).alias("equity"))
+
+
+def _frames(rows, key):
+    """Frames of length, checksum and payload of each key's payloads (``key, n, payload``), written and read again."""
+
+    def write(pdf):
+        import pandas as pd
+
+        payloads = [x.encode() for x in pdf.sort_values("n")["payload"]]
+        return pd.DataFrame({"content": [b"".join(len(x).to_bytes(4, "big") + hashlib.blake2b(x, digest_size=8).digest() + x for x in payloads)]})
+
+    return rows.groupBy(key).applyInPandas(write, "content binary").mapInPandas(_read_frames, "payload string")
+
+
+def _decisions(s, d):
+    """All target orders as a log a symbol."""
+    rows = _all_orders(s, d).select("symbol", F.col("timestamp").alias("n"), F.to_json(F.struct(F.lit("target").alias("kind"), "timestamp", "symbol", "side", "quantity")).alias("payload"))
+    return _frames(rows, "symbol").select(F.from_json("payload", "kind string, timestamp long, symbol string, side string, quantity long").alias("x")).select("x.*").drop("kind")
+
+
+def _replay_log(s, d):
+    """All events as a log a type."""
+    rows = table(s, d, "events").select("event_type", F.col("event_id").alias("n"), F.to_json(F.struct("event_id", "event_type", "value")).alias("payload"))
+    return _frames(rows, "event_type").select(F.from_json("payload", "event_id long, event_type string, value double").alias("x")).select("x.*")
+
+
+def _captured(s, d):
+    """Every recording decoded in pieces of 17 bytes and at once."""
+
+    def compare(frames):
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for symbol, content in zip(frame["symbol"], frame["content"], strict=True):
+                data, rest, found = bytes(content), b"", []
+                for at in range(0, len(data), 17):
+                    part, rest = feed.decode(rest + data[at : at + 17])
+                    found += part
+                out.append((symbol, len(found), found == feed.decode(data)[0] and not rest))
+            yield pd.DataFrame(out, columns=["symbol", "n", "same"])
+
+    return _recordings(s, d).select("symbol", "content").mapInPandas(compare, "symbol string, n long, same boolean").groupBy("symbol").agg(F.sum("n").alias("n"), F.min("same").alias("same"))
+
+
 def _model_strategy(s, d):
     """Scores to targets to orders to fills, each a DataFrame stage; the risk gate stands before execution."""
     px = scored(s, d, "close").select("timestamp", "symbol", "score", "close")
@@ -283,7 +361,15 @@ _REPLAYED = f"WITH {_V1} SELECT timestamp, symbol, {', '.join(f'{r(f'coalesce({c
 QUERIES = {
     "feat_bar_v1_stream": (_replayed, _REPLAYED),
     "st_features": (_replayed, _REPLAYED),
-    "bt_runner": (_minute_run, None),
+    "bt_runner": (_whole_run, None),
+    "bt_limit_order_tables": (_limit_bars, None),
+    "bt_corporate_action_tables": (_action_bars, None),
+    "bt_cash_reserve_tables": (_reserve_bars, None),
+    "bt_sell_reserve_tables": (lambda s, d: _reserve_bars(s, d).filter("side = 'SELL'"), None),
+    "bt_decision_log_tables": (_decisions, None),
+    "src_replay_log_tables": (_replay_log, "SELECT event_id, event_type, value FROM events"),
+    "st_capture_replay_tables": (_captured, f"WITH {FILLS} SELECT symbol, count(*) AS n, true AS same FROM fills GROUP BY 1"),
+    "order_planner_sort_tables": (lambda s, d: _all_orders(s, d).select("timestamp", "side", "symbol"), f"WITH {_ORDERS} SELECT timestamp, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, symbol FROM od"),
     "bt_model_strategy": (_model_strategy, None),
     "eval_portfolio_benchmark": (_portfolio_grid, None),
     "st_capture_replay": (_recorded, "SELECT CAST(200 AS BIGINT) AS n, true AS same"),

@@ -84,10 +84,30 @@ def _reports(s, d):
     return o.select("order_id", F.explode(steps).alias("s")).select("order_id", "s.*")
 
 
+def _messages(s, d):
+    """All fills as trades of the wire format, one feed per symbol in the order of trades: ``symbol, sequence, timestamp, price, size, side``."""
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("symbol").orderBy("timestamp", "order_id", "l_linenumber", "l_partkey", "quantity", "price", "side")
+    return fills(s, d).select("symbol", F.row_number().over(order).cast("long").alias("sequence"), "timestamp", "price", F.col("quantity").alias("size"), F.substring("side", 1, 1).alias("side"))
+
+
+def _recordings(s, d):
+    """The wire bytes of each symbol's messages, at most 10,000 a recording, as rows of ``symbol, part, content``."""
+
+    def run(rows):
+        import pandas as pd
+
+        messages = rows.sort_values("sequence").to_dict("records")
+        return pd.DataFrame({"symbol": [messages[0]["symbol"]], "part": [messages[0]["part"]], "content": [feed.encode({"kind": "T", **m} for m in messages)]})
+
+    keyed = _messages(s, d).withColumn("part", F.expr("(sequence - 1) div 10000"))
+    return keyed.groupBy("symbol", "part").applyInPandas(run, "symbol string, part long, content binary")
+
+
 def _wire(s, d):
-    rows = [{"kind": "Q", "sequence": i, "timestamp": 1000 + i, "symbol": f"S{i % 5}", "bid": 10 + i / 100, "ask": 10.5 + i / 100, "bid_size": i, "ask_size": 2 * i} if i % 3 else {"kind": "T", "sequence": i, "timestamp": 1000 + i, "symbol": f"S{i % 5}", "price": 10 + i / 100, "size": i, "side": "B"} for i in range(500)]
-    blob = s.createDataFrame([(bytearray(feed.encode(rows)),)], "content binary")
-    return feed.decode_files(blob).groupBy("kind", "symbol").agg(F.count("*").alias("n"), rounded(F.sum(F.coalesce("bid", "price")), 4).alias("total"))
+    """Every fill through the wire format and back."""
+    return feed.decode_files(_recordings(s, d)).groupBy("kind", "symbol").agg(F.count("*").alias("n"), rounded(F.sum("price"), 4).alias("total"))
 
 
 QUERIES = {
