@@ -426,6 +426,23 @@ def test_decontamination(spark, nothing):
     assert not any(r.contaminated for r in decontaminate.decontaminate(frame, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 6, 8, 15, 20, 40, 100])
+def test_decontamination_finds_all_that_passes_the_rule(length):
+    """Every fifth word or random words substituted, and whole short items, against the rule on the planted diagonal."""
+    rng = random.Random(length)
+    item = [f"item{i}" for i in range(length)]
+    bench = decontaminate.Benchmark([(7, " ".join(item).encode())])
+    for trial in range(60):
+        away = set(range(trial % 5, length, 5)) if trial < 5 else set(rng.sample(range(length), rng.randint(0, length // 3)))
+        equal = np.array([i not in away for i in range(length)])
+        a, b = decontaminate.overlap(equal)
+        n = int(equal[a:b].sum())
+        passes = n >= min(13, math.ceil(0.75 * length)) and n >= 0.75 * (b - a)
+        words = ["before"] * 4 + [f"other{i}" if i in away else w for i, w in enumerate(item)] + ["after"] * 4
+        found = list(bench.found(*decontaminate.normal_words([" ".join(words).encode()]), 1))
+        assert [f[1:] for f in found] == ([(7, a + 4, b - a, n)] if passes else []), (length, away)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
     items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(30)]

@@ -1,21 +1,22 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by seed hashing.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
 lower-cased.  A mask is a fixed pattern of word positions that count or do not;
-a seed is the hash of the words at the positions that count.  Seeds of documents
+a seed is the hash of the words at the positions that count.  Three words in a
+row are a seed; items of one or two words are one as a whole.  Seeds of documents
 are joined with seeds of the benchmark.  Each hit names a diagonal (document,
 item, offset), on which the words are then compared one by one: the overlap is
 the stretch with the best score, +1 for an equal word and -2 for another, so
 substitutions are tolerated.  An item is found in a document if the overlap has
 at least ``min(13, 3/4 of the item's words, rounded up)`` equal words and three
-quarters of it are equal.
+quarters of it are equal.  No overlap is missed: without three equal words in a
+row no stretch scores more than 2, and the first of that score is two words.
 
 The benchmark is a stated query set: it is taken in blocks of at most
 ``BLOCK_BYTES`` of text (an item longer than that: a block by itself), of which
 each is broadcast and compared with all documents.
 
-Null and empty texts are clean.  Items of fewer than seven words have no seed
-and are never found.  Null ids come back null; rows that share an id are judged
+Null and empty texts are clean, and items without words are never found.  Null ids come back null; rows that share an id are judged
 by themselves.  Extra columns are ignored.  Whole texts are compared, however
 long.
 """
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from tickforge.llm.storage import durable
 from tickforge.llm.words import LOWER, U, hash_words, mix
 
-#: Word positions that count.
-MASKS = ("1111111", "110110111", "11101001101", "10110011011")
+#: Word positions that count; but the first, only for items of that many words.
+MASKS = ("111", "11", "1")
+#: Words that are compared at once.
+COMPARED = 1 << 22
 BLOCK_BYTES = 16 << 20
 #: Bytes of documents that are hashed at once (a longer text: all of it).
 BATCH_BYTES = 2 << 20
@@ -80,7 +83,14 @@ class Benchmark:
         self.ids = [i for i, _ in items]
         self.hashes, doc = normal_words([t for _, t in items])
         self.first = np.searchsorted(doc, np.arange(len(items) + 1))
-        found = [seeds(self.hashes, doc, mask) for mask in MASKS]
+        words = np.diff(self.first)
+        self.masks, found = [], []
+        for mask in MASKS:
+            keys, place = seeds(self.hashes, doc, mask)
+            own = (words[doc[place]] >= len(mask)) if mask == MASKS[0] else words[doc[place]] == len(mask)
+            if own.any():
+                self.masks.append(mask)
+            found.append((keys[own], place[own]))
         keys, place = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(keys, kind="stable")
         self.keys, self.place, self.item = keys[order], place[order], doc[place[order]] if len(place) else place
@@ -89,8 +99,8 @@ class Benchmark:
 
     def hits(self, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Distinct (text, item, offset of the item's start in the words) of all seed hits."""
-        out = []
-        for mask in MASKS:
+        out = [np.zeros((0, 3), np.int64)]
+        for mask in self.masks:
             keys, place = seeds(hashes, doc, mask)
             sel = np.flatnonzero(self.maybe[(keys >> U(64 - _BITS)).astype(np.int64)])
             lo, hi = (np.searchsorted(self.keys, keys[sel], side=s) for s in ("left", "right"))
@@ -100,10 +110,24 @@ class Benchmark:
             out.append(np.stack((doc[here], self.item[at], here - (self.place[at] - self.first[self.item[at]])), axis=1))
         return np.unique(np.concatenate(out), axis=0)
 
+    def likely(self, hits: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The hits whose diagonal has enough equal words, wherever they are."""
+        text, item, offset = hits.T
+        lo, hi = self.first[item], self.first[item + 1]
+        begin, end = np.maximum(offset, first[text]), np.minimum(offset + (hi - lo), first[text + 1])
+        need, n = np.minimum(MOST_NEEDED, np.ceil(SHARE * (hi - lo))), end - begin
+        keep, cut = np.zeros(len(hits), bool), np.cumsum(n) // COMPARED
+        for a, b in zip(*(np.searchsorted(cut, np.unique(cut), side=s) for s in ("left", "right")), strict=True):
+            starts = np.cumsum(n[a:b]) - n[a:b]
+            step = np.arange(int(n[a:b].sum())) - np.repeat(starts, n[a:b])
+            equal = hashes[np.repeat(begin[a:b], n[a:b]) + step] == self.hashes[np.repeat(lo[a:b] + begin[a:b] - offset[a:b], n[a:b]) + step]
+            keep[a:b] = np.add.reduceat(equal.astype(np.int64), starts) >= need[a:b]
+        return hits[keep]
+
     def found(self, hashes: np.ndarray, doc: np.ndarray, texts: int) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item id, first word in the text, words, equal words) of every overlap that counts."""
         first = np.searchsorted(doc, np.arange(texts + 1))
-        for text, item, offset in self.hits(hashes, doc).tolist():
+        for text, item, offset in self.likely(self.hits(hashes, doc), hashes, first).tolist():
             lo, hi = self.first[item], self.first[item + 1]
             begin, end = max(offset, first[text]), min(offset + (hi - lo), first[text + 1])
             equal = hashes[begin:end] == self.hashes[lo + begin - offset : lo + end - offset]
