@@ -343,6 +343,21 @@ def test_jaccard_null_ids_and_repeats(spark):
     assert got == sorted([(None, 2, 7), (7, 2, 7), (7, 2, 7), (8, 1, 8)], key=str)
 
 
+def test_jaccard_sends_copies_of_a_chunk_once():
+    """5,000 copies, some texts more than once and empty texts: one row for each distinct set, of the smallest id."""
+    import pyarrow as pa
+
+    from tickforge.llm import chunks
+
+    texts = ["one two three four five six"] * 5000 + ["", "a b", "A  b", "x y z"]
+    ids = np.arange(len(texts), dtype=np.int64)[::-1].copy()
+    body = "\n".join([*texts, ""]).encode()
+    row = {"chunk": [3], "ids": [ids.tobytes()], "ends": [np.cumsum([len(t) + 1 for t in texts], dtype=np.int64).tobytes()], "body": [chunks.zstandard.compress(body)]}
+    (out,) = list(jaccard._collapsed(5, 4)(iter([pa.RecordBatch.from_pydict(row)])))
+    asked = np.concatenate([np.frombuffer(x["vals"], jaccard._ROW) for x in out["asked"][0].as_py()])
+    assert sorted(asked["id"].tolist()) == [0, 1, 4] and sorted(asked["nth"].tolist()) == [0, 1, 2]
+
+
 # 7 ------------------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ A document's set holds its distinct shingles of ``n`` words (A-Z lower-cased;
 with fewer words the whole sequence is the one shingle; without words it is
 empty).  Two documents link when ``100 * |A & B| >= percent * |A | B|``.
 
-1. Documents with equal sets collapse to the one with the smallest id.
+1. Documents with equal sets collapse to the one with the smallest id: first in
+   their chunk, which sends one row for each distinct set, then over all chunks.
 2. A count sketch of fixed size says roughly how frequent a shingle is.  Each
    global order sorts by that level first and by a hash of its own second, so
    every order puts rare shingles in front.  Any order is valid for a prefix
@@ -12,8 +13,9 @@ empty).  Two documents link when ``100 * |A & B| >= percent * |A | B|``.
    shingles.
 3. Under the first order, documents are listed by prefix shingle.  Each list
    names its smallest document the pivot and proposes (pivot, document) only.
-   Links must share prefix shingles under the other orders as well, before the
-   whole sets are compared.
+   Of proposed pairs, those stay that share a prefix shingle under every other
+   order too: the filters are intersected on 32-bit prefix shingles.  Only then
+   the texts of the pairs move, and the whole sets are compared.
 4. Linked pairs give first components.  Pairs of one list that lie in different
    components are the only ones that could still change anything.  The places of
    the shingle in both, and what each shares with the list's pivot, bound what
@@ -94,49 +96,67 @@ class _Sets:
         return mix(a + self.size.astype(U)), b
 
 
-_ROW = np.dtype([("key", "<u8"), ("check", "<u8"), ("id", "<i8"), ("at", "<i4"), ("size", "<i8")])
+_ROW = np.dtype([("key", "<u8"), ("check", "<u8"), ("id", "<i8"), ("nth", "<i4")])
 
+SETS = "chunk long, ids binary, sizes binary, sets binary, asked array<struct<bucket:int,vals:binary>>"
+
+
+def collapse(s: _Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct sets of a chunk: both digests, the row that stands for each (smallest id, then first), and the set of every row (-1: empty)."""
+    key, check = s.digests()
+    some = np.flatnonzero(s.size > 0)
+    order = some[np.lexsort((s.chunk.ids[some], check[some], key[some]))]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (key[order[1:]] != key[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+    of = np.full(len(s.size), -1, np.int32)
+    of[order] = np.cumsum(fresh) - 1
+    one = order[fresh]
+    return key[one], check[one], one, of
+
+
+def _collapsed(n: int, buckets: int):
+    """Each chunk's rows by set, and one row to ask for each distinct set."""
 
-def _ask_equal(n: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
         for chunk in C.unpack(batches, lower=True):
             s = _Sets(chunk, n)
-            rows = np.empty(len(s.size), _ROW)
-            rows["key"], rows["check"] = s.digests()
-            empty = s.size == 0
-            rows["key"][empty] = mix(chunk.ids[empty].astype(U) + U(7))
-            rows["id"], rows["at"], rows["size"] = chunk.ids, np.arange(len(s.size)), s.size
-            # of equal sets in a chunk, one asks for all: the smallest id, then the first row
-            order = np.lexsort((rows["at"], rows["id"], rows["check"], rows["key"]))
-            rows = rows[order]
-            bucket = (rows["key"] % U(buckets)).astype(np.int64)
+            key, check, one, of = collapse(s)
+            rows = np.empty(len(one), _ROW)
+            rows["key"], rows["check"], rows["id"], rows["nth"] = key, check, chunk.ids[one], np.arange(len(one))
+            bucket = (key % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
-            at = list(zip(*runs(bucket), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(bucket[a]) for a, _ in at], pa.int32()), pa.array([chunk.key] * len(at), pa.int64()), pa.array([None] * len(at), pa.binary()), pa.array([rows[a : a + k].tobytes() for a, k in at], pa.binary())],
-                ["bucket", "chunk", "keys", "vals"],
-            )
+            asked = [{"bucket": int(bucket[order[a]]), "vals": rows[order[a : a + k]].tobytes()} for a, k in zip(*runs(bucket[order]), strict=True)]
+            blobs = [pa.array([squeeze.compress(np.ascontiguousarray(x).tobytes())], pa.binary()) for x in (chunk.ids, s.size.astype(np.int64), of)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk.key], pa.int64()), *blobs, pa.array([asked], pa.list_(pa.struct([("bucket", pa.int32()), ("vals", pa.binary())])))], ["chunk", "ids", "sizes", "sets", "asked"])
 
     return run
 
 
+EQUAL = "chunk long, nth int, rep long, stands boolean"
+
+
 def _equal(table: pa.Table) -> pa.Table:
-    """For every row the smallest id with its set, and whether this very row stands for it."""
+    """For every chunk's set the smallest id that has it, and whether this chunk stands for it."""
     blobs = table["vals"].to_pylist()
     rows = np.frombuffer(b"".join(blobs), _ROW)
     chunk = np.repeat(table["chunk"].to_numpy(), [len(b) // _ROW.itemsize for b in blobs])
-    order = np.lexsort((rows["at"], chunk, rows["id"], rows["check"], rows["key"]))
+    order = np.lexsort((chunk, rows["id"], rows["check"], rows["key"]))
     rows, chunk = rows[order], chunk[order]
     fresh = np.ones(len(rows), bool)
     fresh[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["check"][1:] != rows["check"][:-1])
-    empty = rows["size"] == 0
-    fresh |= empty
-    rep = rows["id"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-    return pa.table({"chunk": chunk, "at": rows["at"], "id": rows["id"], "size": rows["size"], "rep": rep, "stands": fresh & ~empty})
+    return pa.table({"chunk": chunk, "nth": rows["nth"], "rep": rows["id"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1], "stands": fresh})
 
 
-EQUAL = "chunk long, at int, id long, size long, rep long, stands boolean"
+def _expand(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A chunk's rows with the component of their set; a row without shingles is alone."""
+    open_ = zstandard.ZstdDecompressor()
+    row = left.to_pylist()[0]
+    ids, size, of = (np.frombuffer(open_.decompress(row[k]), t) for k, t in (("ids", np.int64), ("sizes", np.int64), ("sets", np.int32)))
+    component = np.empty(right.num_rows, np.int64)
+    component[right["nth"].to_numpy()] = right["component"].to_numpy()
+    own = np.where(of >= 0, component[of], ids) if len(component) else ids
+    return pa.table({"doc_id": C.id_array(ids), "n_shingles": size, "component_id": C.id_array(own)})
 
 
 def _squeezed(counts: np.ndarray) -> bytes:
@@ -189,7 +209,7 @@ def _list(n: int, buckets: int, percent: int, level):
     def run(chunk: C.Chunk, table: pa.Table) -> pa.Table:
         s = _Sets(chunk, n)
         stands = np.zeros(len(chunk.ids), bool)
-        stands[table["at"].to_numpy()] = table["stands"].to_numpy(zero_copy_only=False)
+        stands[collapse(s)[2][table["nth"].to_numpy()]] = table["stands"].to_numpy(zero_copy_only=False)
         keep = np.repeat(stands, s.size)
         grams, size, ids = s.grams[keep], s.size[stands], chunk.ids[stands]
         nth = prefixes(grams, size, level.value, ORDERS[0], percent)
@@ -268,12 +288,35 @@ def _alike(percent: int, size_x: Column, place_x: Column, size_y: Column, place_
     return 100 * most >= percent * (size_x + size_y - most)
 
 
-def _extract(chunk: C.Chunk, table: pa.Table) -> pa.Table:
-    """The texts of the documents that some pair needs, compressed."""
-    wanted = np.flatnonzero(np.isin(chunk.ids, table["id"].to_numpy()))
-    squeeze = zstandard.ZstdCompressor(level=6)
-    raw = chunk.buf.tobytes()
-    return pa.table({"id": pa.array(chunk.ids[wanted]), "body": pa.array([squeeze.compress(raw[chunk.starts[i] : chunk.ends[i]]) for i in wanted], pa.binary())})
+PREFIXED = "id long, " + ", ".join(f"prefix_{k} binary" for k in range(1, len(ORDERS))) + ", body binary"
+
+
+def _text_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of lower-cased texts that end with white space, sizes, and where each text's begin."""
+    ends = np.cumsum([len(x) for x in texts])
+    start, _, hashes = hash_words(np.frombuffer(b"".join(texts), np.uint8))
+    grams, size = shingles(hashes, np.searchsorted(ends, start, side="right"), n, len(texts))
+    return grams, size, np.concatenate(([0], np.cumsum(size)))
+
+
+def _extract(n: int, percent: int, level):
+    """Of the documents that some list has: 32 bits of their prefix shingles under the other orders, sorted, and the compressed text."""
+
+    def run(chunk: C.Chunk, table: pa.Table) -> pa.Table:
+        wanted = np.flatnonzero(np.isin(chunk.ids, table["id"].to_numpy()))
+        squeeze = zstandard.ZstdCompressor(level=6)
+        raw = chunk.buf.tobytes()
+        texts = [raw[chunk.starts[i] : chunk.ends[i]] for i in wanted]
+        grams, size, at = _text_sets(texts, n)
+        out = {"id": pa.array(chunk.ids[wanted])}
+        for k, seed in enumerate(ORDERS[1:], 1):
+            sel = np.flatnonzero(prefixes(grams, size, level.value, seed, percent) >= 0)
+            cut = np.searchsorted(sel, at)
+            short = (grams[sel] & U(0xFFFFFFFF)).astype(np.uint32)
+            out[f"prefix_{k}"] = pa.array([np.unique(short[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+        return pa.table(out | {"body": pa.array([squeeze.compress(x) for x in texts], pa.binary())})
+
+    return run
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -284,18 +327,21 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
 
 
-def _verify(n: int, percent: int, level, count: bool):
-    """Whether pairs link, and how many shingles they share: for all, or only for those that pass the filters."""
+def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that share a prefix shingle under each of the other orders."""
+    for batch in batches:
+        passed = np.ones(batch.num_rows, bool)
+        for k in range(1, len(ORDERS)):
+            for i, (x, y) in enumerate(zip(batch[f"prefix_{k}_a"].to_pylist(), batch[f"prefix_{k}_b"].to_pylist(), strict=True)):
+                passed[i] = passed[i] and _common(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) > 0
+        yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(passed)), batch["b"].filter(pa.array(passed))], ["a", "b"])
 
-    def sets(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        open_ = zstandard.ZstdDecompressor()
-        texts = [open_.decompress(x) for x in bodies]
-        ends = np.cumsum([len(x) for x in texts])
-        start, _, hashes = hash_words(np.frombuffer(b"".join(texts), np.uint8))
-        grams, size = shingles(hashes, np.searchsorted(ends, start, side="right"), n, len(texts))
-        return grams, size, np.concatenate(([0], np.cumsum(size)))
+
+def _verify(n: int, percent: int):
+    """Whether pairs link, and how many shingles they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
         for whole in batches:
             weight = np.cumsum([len(x) for x in whole["body_a"].to_pylist()])
             cuts = np.unique(np.concatenate(([0], np.searchsorted(weight, np.arange(1 << 19, int(weight[-1]) if len(weight) else 0, 1 << 19)), [whole.num_rows])))
@@ -304,19 +350,13 @@ def _verify(n: int, percent: int, level, count: bool):
                 a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
                 bodies = batch["body_a"].to_pylist() + batch["body_b"].to_pylist()
                 uniq = {x: i for i, x in enumerate(dict.fromkeys(bodies))}
-                grams, size, at = sets(list(uniq))
-                masks = [prefixes(grams, size, level.value, seed, percent) >= 0 for seed in ORDERS[1:]]
-                linked, shared = np.zeros(len(a), bool), np.full(len(a), -1)
+                grams, size, at = _text_sets([open_.decompress(x) for x in uniq], n)
+                linked, shared = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
                 for k in range(len(a)):
                     i, j = uniq[bodies[k]], uniq[bodies[len(a) + k]]
-                    if 100 * min(size[i], size[j]) < percent * max(size[i], size[j]):
-                        continue
-                    x, y = slice(at[i], at[i + 1]), slice(at[j], at[j + 1])
-                    passed = all(_common(grams[x][m[x]], grams[y][m[y]]) for m in masks)
-                    if passed or count:
-                        shared[k] = _common(grams[x], grams[y])
-                        linked[k] = passed and 100 * shared[k] >= percent * (size[i] + size[j] - shared[k])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(linked), pa.array(shared, mask=shared < 0)], ["a", "b", "linked", "shared"])
+                    shared[k] = _common(grams[at[i] : at[i + 1]], grams[at[j] : at[j + 1]])
+                    linked[k] = 100 * shared[k] >= percent * (size[i] + size[j] - shared[k])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(linked), pa.array(shared)], ["a", "b", "linked", "shared"])
 
     return run
 
@@ -345,10 +385,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     packed = C.pack(docs, id_col, text_col, name="jaccard-chunks")
     buckets = C.buckets_for(packed, 0.05)
     spark = docs.sparkSession
-    n_docs = C.buckets_for(packed, 0.002)
-    equal = durable(packed.mapInArrow(_ask_equal(n, n_docs), C.REQUEST).groupBy("bucket").applyInArrow(_equal, EQUAL), "jaccard-equal")
+    sets = durable(packed.mapInArrow(_collapsed(n, C.buckets_for(packed, 0.002)), SETS), "jaccard-sets")
+    asked = sets.select("chunk", F.explode("asked").alias("r")).select("chunk", "r.bucket", "r.vals")
+    equal = durable(asked.groupBy("bucket").applyInArrow(_equal, EQUAL), "jaccard-equal")
     level = spark.sparkContext.broadcast(levels(packed, n))
-    asked = C.gather(packed, equal.select("chunk", "at", "stands"), _list(n, buckets, percent, level), C.REQUEST, lower=True)
+    asked = C.gather(packed, equal.select("chunk", "nth", "stands"), _list(n, buckets, percent, level), C.REQUEST, lower=True)
     listed = durable(asked.groupBy("bucket").applyInArrow(_pivots(percent), LISTED), "jaccard-lists")
     stars = durable(
         listed.filter("id <> pivot").filter(_alike(percent, F.col("size"), F.col("place"), F.col("pivot_size"), F.col("pivot_place")))
@@ -356,21 +397,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
         "jaccard-stars",
     )
     wanted = listed.select("chunk", "id").distinct()
-    bodies = durable(C.gather(packed, wanted, _extract, "id long, body binary", lower=True), "jaccard-bodies")
+    known = durable(C.gather(packed, wanted, _extract(n, percent, level), PREFIXED, lower=True), "jaccard-known")
+    orders = [f"prefix_{k}" for k in range(1, len(ORDERS))]
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Of pairs, those that pass the filters of the other orders, compared as whole sets."""
 
-    def verified(pairs: DataFrame, name: str, count: bool) -> DataFrame:
-        texts = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
-        return durable(texts.select("a", "b", "body_a", "body_b").mapInArrow(_verify(n, percent, level, count), "a long, b long, linked boolean, shared long"), name)
+        def beside(pairs: DataFrame, columns: list[str]) -> DataFrame:
+            x, y = (known.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "ab")
+            return pairs.join(y, "b").join(x, "a")
 
-    first = verified(stars, "jaccard-first", True)
+        passed = durable(beside(pairs, orders).select("a", "b", *(f"{c}_{s}" for c in orders for s in "ab")).mapInArrow(_pass, "a long, b long").distinct(), name + "-passed")
+        texts = beside(passed, ["body"]).select("a", "b", "body_a", "body_b")
+        return durable(texts.mapInArrow(_verify(n, percent), "a long, b long, linked boolean, shared long"), name)
+
+    first = verified(stars, "jaccard-first")
     links = first.filter("linked").select("a", "b")
     labels = components(links)
     # lists whose documents lie in several components
     lists = listed.groupBy("token", "id", "size", "pivot").agg(F.min("place").alias("place"))
     placed = lists.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2").select("token")
-    known = first.groupBy(F.col("a").alias("pivot"), F.col("b").alias("id")).agg(F.max("shared").alias("shared"))
-    rest = placed.join(mixed, "token", "left_semi").join(known, ["pivot", "id"], "left")
+    counted = first.groupBy(F.col("a").alias("pivot"), F.col("b").alias("id")).agg(F.max("shared").alias("shared"))
+    rest = placed.join(mixed, "token", "left_semi").join(counted, ["pivot", "id"], "left")
     rest = rest.withColumn("shared", F.when(F.col("id") == F.col("pivot"), F.col("size")).otherwise(F.col("shared")))
     x, y = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "place", "component", "shared"))) for s in "xy")
     # what both share with the pivot, and what both may share beyond it
@@ -378,18 +427,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     close = F.coalesce(100 * most >= percent * (x.size_x + y.size_y - most), F.lit(True))
     alike = _alike(percent, x.size_x, x.place_x, y.size_y, y.place_y)
     pairs = x.join(y, (x.token == y.token) & (x.id_x < y.id_y) & (x.component_x != y.component_y) & alike & close)
-    pairs = pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     pairs = durable(pairs, "jaccard-pairs")
     if pairs.limit(1).count():
-        second = verified(pairs, "jaccard-second", False).filter("linked").select("a", "b")
+        second = verified(pairs, "jaccard-second").filter("linked").select("a", "b")
         if second.limit(1).count():
             labels = components(links.union(second))
-    null = F.lit(int(C.NULL_ID))
-    out = equal.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return out.select(
-        F.when(F.col("id") != null, F.col("id")).alias("doc_id"), F.col("size").alias("n_shingles"),
-        F.nullif(F.coalesce("component", "rep"), null).alias("component_id"),
-    )
+    # one row a chunk and set, however many documents have it
+    placed = equal.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("chunk", "nth", F.coalesce("component", "rep").alias("component"))
+    return sets.select("chunk", "ids", "sizes", "sets").groupBy("chunk").cogroup(placed.groupBy("chunk")).applyInArrow(_expand, "doc_id long, n_shingles long, component_id long")
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
