@@ -86,15 +86,54 @@ def test_tokenizer_blocks_equal_whole_texts():
         at = stop
 
 
-def test_local_search_saves_bins():
-    lengths = np.random.default_rng(0).integers(300, 1200, 3000)
-    bins = packing.best_fit(lengths, 2048)
-    before = sum(1 for x in bins.items if x)
-    squares = sum(f * f for f in bins.fill)
-    packing.improve(bins, lengths)
-    assert sum(1 for x in bins.items if x) < before
-    assert sum(f * f for f in bins.fill) > squares
+@pytest.mark.parametrize("start", [packing.Bins.arrival, packing.Bins.single])
+def test_local_search_empties_bins(start):
+    lengths = np.random.default_rng(0).integers(300, 1200, 3000).tolist()
+    bins = start(lengths, 2048)
+    before, squares = bins.used(), sum(f * f for f in bins.fill)
+    packing.search(bins)
+    assert bins.used() < 0.85 * before and sum(f * f for f in bins.fill) > squares
     assert max(bins.fill) <= 2048 and sorted(itertools.chain(*bins.items)) == list(range(3000))
+    assert all(bins.fill[b] == sum(lengths[i] for i in items) for b, items in enumerate(bins.items))
+
+
+def test_every_step_raises_the_squared_fills(monkeypatch):
+    lengths = np.random.default_rng(1).integers(1, 900, 400).tolist()
+    kinds = Counter()
+    swap = packing.Bins._swap
+
+    def checked(self, i, dst, back):
+        before = sum(f * f for f in self.fill)
+        out = swap(self, i, dst, back)
+        assert sum(f * f for f in self.fill) > before
+        kinds[len(back)] += 1
+        return out
+
+    monkeypatch.setattr(packing.Bins, "_swap", checked)
+    packing.arrange(lengths, 1024)
+    assert set(kinds) == {0, 1, 2}  # moves, one for one, two for one
+
+
+def test_search_reaches_the_bound_on_documents():
+    import pyarrow.parquet as pq
+
+    texts = [(t or "").encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    _, stops = packing.BlockTokenizer(TOKENIZER)(texts, 0)
+    sizes = [n for n in (np.diff(stops, prepend=0) % 2048).tolist() if n]
+    assert packing.arrange(sizes, 2048).used() == -(-sum(sizes) // 2048)
+    assert packing.arrange([], 2048).used() == 0
+
+
+def test_packing_of_repeated_rows_and_clashing_names(spark):
+    rows = [(None, "", 1, 2, 3), (None, None, 1, 2, 3)] * 50 + [(5, "a b c", 1, 2, 3)] * 40
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, length int, part int, sequence_id int").repartition(3), TOKENIZER, 64).collect()
+    assert len(out) == 140 and sorted(Counter(r.doc_id for r in out).items(), key=str) == [(5, 40), (None, 100)]
+    by_sequence = defaultdict(list)
+    for r in out:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for parts in by_sequence.values():
+        assert [o for o, _ in sorted(parts)] == list(itertools.accumulate([0] + [n for _, n in sorted(parts)]))[:-1]
+        assert sum(n for _, n in parts) <= 64
 
 
 # 2 ------------------------------------------------------------------------------------------------

@@ -4,10 +4,16 @@ Documents are tokenized, ended by ``end_id`` and cut only where they are longer
 than a sequence.  Full pieces are sequences of their own.  All others are dealt
 by hash into groups of about ``GROUP`` pieces (an unbounded corpus gives more
 groups, not larger ones; a group costs less than one sequence over a packing of
-everything at once).  In a group, best fit over falling lengths gives a first
-packing; then the underfull bins are improved by moving a piece, exchanging one
-for one and two for one, each step raising the sum of squared fills, until bins
-empty or no step helps.
+everything at once).  In a group, pieces first go into bins as they arrive (next
+fit).  Then a local search over underfull bins: the emptiest ones, as many as a
+perfect packing would save, give their pieces to other bins, the longest piece
+first, by moves, then by exchanges of one for one or two for one.  Each step takes
+the tightest place there is and raises the sum of squared fills.  Where a round
+saves no bin, twice as many give, and two come back for one where nothing else is
+left.  The search ends when as many bins are left as
+the tokens need at least, or when all underfull bins have given in vain; then it
+is repeated from the arrangement in which every piece has a bin of its own, and
+the better result counts.
 
 Null and empty texts are the end token alone.  Ids may be null or repeat: a
 piece is a piece of its row.  Extra columns are ignored.  Texts of any length
@@ -17,6 +23,7 @@ are tokenized whole.
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +41,6 @@ GROUP = 20_000
 REMEMBERED = 700_000
 #: Bytes of text that are tokenized at once (a longer text: all of it).
 BLOCK = 4 << 20
-#: Most rounds of local search in a group; a round without a step ends it sooner.
-ROUNDS = 100
 
 
 def _part_marks(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,113 +170,225 @@ def _cut(path: str, capacity: int, end_id: int):
     return run
 
 
-class _Bins:
-    """Bins with free room, found by the size they lack."""
+class Bins:
+    """Bins of pieces.  Underfull bins that take pieces are found by their free room, and their pieces by reach.
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
-        self.items: list[list[int]] = []
-        self.fill: list[int] = []
+    The reach of a piece is its size and the room beside it: the largest piece that can take its place.
+    """
 
+    def __init__(self, sizes: list[int], capacity: int):
+        self.size, self.capacity = sizes, capacity
+        self.items: list[dict[int, None]] = []
+        self.fill: list[int] = []
+        self.where = [0] * len(sizes)
+        self.open: list[bool] = []
+        self.by_room: dict[int, dict[int, None]] = {}
+        self.by_reach: dict[int, dict[int, dict[int, None]]] = {}  # by reach, then by size
+        self.rooms: list[int] = []  # keys of by_room, sorted
+        self.reaches: list[int] = []
+        self.sorted: dict[int, list[int]] = {}
+        self.in_vain: set[int] = set()  # sizes for which this round has found no two pieces
+
+    @classmethod
+    def arrival(cls, sizes: list[int], capacity: int) -> Bins:
+        """Next fit: a piece that does not fit into the last bin opens one."""
+        bins = cls(sizes, capacity)
+        for i, n in enumerate(sizes):
+            if not bins.fill or bins.fill[-1] + n > capacity:
+                bins.items.append({})
+                bins.fill.append(0)
+            bins.items[-1][i] = None
+            bins.fill[-1] += n
+            bins.where[i] = len(bins.fill) - 1
+        bins.open = [False] * len(bins.fill)
+        return bins
+
+    @classmethod
+    def single(cls, sizes: list[int], capacity: int) -> Bins:
+        """Every piece alone."""
+        bins = cls(sizes, capacity)
+        bins.items, bins.fill, bins.where = [{i: None} for i in range(len(sizes))], list(sizes), list(range(len(sizes)))
+        bins.open = [False] * len(sizes)
+        return bins
+
+    def used(self) -> int:
+        return sum(1 for x in self.items if x)
+
+    @staticmethod
+    def _put(table: dict[int, dict[int, None]], keys: list[int], key: int, value: int) -> None:
+        if key not in table:
+            table[key] = {}
+            bisect.insort(keys, key)
+        table[key][value] = None
+
+    @staticmethod
+    def _take(table: dict[int, dict[int, None]], keys: list[int], key: int, value: int) -> None:
+        del table[key][value]
+        if not table[key]:
+            del table[key], keys[bisect.bisect_left(keys, key)]
+
+    def enter(self, b: int) -> None:
+        """From now on the bin takes pieces, if it has room."""
+        self.open[b] = True
+        if room := self.capacity - self.fill[b]:
+            self._put(self.by_room, self.rooms, room, b)
+            for i in self.items[b]:
+                n = self.size[i]
+                if room + n not in self.by_reach:
+                    self.by_reach[room + n] = {}
+                    bisect.insort(self.reaches, room + n)
+                self.by_reach[room + n].setdefault(n, {})[i] = None
+
+    def leave(self, b: int) -> None:
+        self.open[b] = False
+        if room := self.capacity - self.fill[b]:
+            self._take(self.by_room, self.rooms, room, b)
+            for i in self.items[b]:
+                n = self.size[i]
+                sizes = self.by_reach[room + n]
+                del sizes[n][i]
+                if not sizes[n]:
+                    del sizes[n]
+                if not sizes:
+                    del self.by_reach[room + n], self.reaches[bisect.bisect_left(self.reaches, room + n)]
+
+    def _swap(self, i: int, dst: int, back: list[int]) -> list[int]:
+        """Piece ``i`` goes to ``dst``, the pieces ``back`` go the other way."""
+        src = self.where[i]
+        self.sorted.pop(src, None)
+        self.sorted.pop(dst, None)
+        opened = self.open[src]
+        if opened:
+            self.leave(src)
+        self.leave(dst)
+        for j in back:
+            del self.items[dst][j]
+            self.items[src][j] = None
+            self.where[j] = src
+        del self.items[src][i]
+        self.items[dst][i] = None
+        self.where[i] = dst
+        delta = self.size[i] - sum(self.size[j] for j in back)
+        self.fill[src] -= delta
+        self.fill[dst] += delta
+        self.enter(dst)
+        if opened:
+            self.enter(src)
+        return back
+
+    def move(self, i: int) -> bool:
+        """Move a piece to the tightest other bin that has room.
+
+        Here and in an exchange the squared fills rise, as the bin that takes the piece ends fuller than the one that gives it was.
+        """
+        n, src = self.size[i], self.where[i]
+        for k in range(bisect.bisect_left(self.rooms, n), len(self.rooms)):
+            if self.rooms[k] - n >= self.capacity - self.fill[src]:
+                break
+            dst = next((b for b in self.by_room[self.rooms[k]] if b != src), None)
+            if dst is not None:
+                self._swap(i, dst, [])
+                return True
+        return False
 
-def best_fit(lengths: np.ndarray, capacity: int) -> _Bins:
-    """Best fit over falling lengths; the bins hold indices."""
-    bins = _Bins(capacity)
-    room: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by free room
-    rooms: list[int] = []  # sizes of which a bin exists, sorted
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
-        k = bisect.bisect_left(rooms, n)
-        if k < len(rooms):
-            free = rooms[k]
-            b = room[free].pop()
-            if not room[free]:
-                rooms.pop(k)
-            bins.items[b].append(i)
-            bins.fill[b] += n
+    def exchange(self, i: int, two_too: bool) -> list[int] | None:
+        """The piece, or else (``two_too``) the two pieces, that come back for piece ``i`` where that leaves the least room; None if no exchange is left."""
+        n, src = self.size[i], self.where[i]
+        most = self.capacity - self.fill[src]  # the room that may be left
+        for k in range(bisect.bisect_left(self.reaches, n), len(self.reaches)):
+            if self.reaches[k] - n >= most:
+                break
+            for size, pieces in self.by_reach[self.reaches[k]].items():
+                if size < n and (j := next((j for j in pieces if self.where[j] != src), None)) is not None:
+                    return self._swap(i, self.where[j], [j])
+        two = None if not two_too or n in self.in_vain else self._two(n, src, most)
+        if two is None:
+            self.in_vain.add(n)
+            return None
+        return self._swap(i, self.where[two[0]], two)
+
+    def _two(self, n: int, src: int, most: int) -> list[int] | None:
+        """Two pieces of another bin, smaller together than ``n``, for which it leaves the least room."""
+        best, pair = most, None
+        for room, bins in self.by_room.items():
+            for b in bins:
+                if b == src or len(self.items[b]) < 2:
+                    continue
+                own = self.ordered(b)
+                lo, hi = 0, len(own) - 1
+                while lo < hi:
+                    left = self.size[own[lo]] + self.size[own[hi]] + room - n
+                    if left < 0:
+                        lo += 1
+                        continue
+                    if left < room and left < best:
+                        best, pair = left, [own[lo], own[hi]]
+                        if not left:
+                            return pair
+                    hi -= 1
+        return pair
+
+    def ordered(self, b: int) -> list[int]:
+        """The pieces of a bin, small ones first."""
+        if b not in self.sorted:
+            self.sorted[b] = sorted(self.items[b], key=self.size.__getitem__)
+        return self.sorted[b]
+
+
+def search(bins: Bins, wider: int = 1) -> Bins:
+    """Local search: rounds in which the emptiest bins give their pieces away, until none can be saved or no step is left."""
+    least = -(-sum(bins.size) // bins.capacity)
+    for b, fill in enumerate(bins.fill):
+        if fill < bins.capacity:
+            bins.enter(b)
+    used = bins.used()
+    while (spare := used - least) > 0:
+        under = sorted((b for x in bins.by_room.values() for b in x if bins.items[b]), key=lambda b: (bins.fill[b], b))
+        givers = under[: spare * wider]
+        bins.in_vain.clear()
+        for b in [b for x in bins.by_room.values() for b in x if not bins.items[b]]:
+            bins.leave(b)
+        for b in givers:
+            bins.leave(b)
+        heap = [(-bins.size[i], i) for b in givers for i in bins.items[b]]
+        heapq.heapify(heap)
+        rest = []
+        while heap:
+            _, i = heapq.heappop(heap)
+            if not bins.move(i):
+                rest.append((-bins.size[i], i))
+                if not bins.open[bins.where[i]]:
+                    bins.enter(bins.where[i])
+        heapq.heapify(rest)
+        while rest:
+            _, i = heapq.heappop(rest)
+            for j in () if bins.move(i) else bins.exchange(i, wider > 1) or ():
+                heapq.heappush(rest, (-bins.size[j], j))
+        for b in givers:
+            if not bins.open[b]:
+                bins.enter(b)
+        before, used = used, bins.used()
+        if used < before:
+            wider = 1
+        elif spare * wider >= len(under):
+            break
         else:
-            free, b = capacity, len(bins.items)
-            bins.items.append([i])
-            bins.fill.append(n)
-        if left := free - n:
-            if not room[left]:
-                bisect.insort(rooms, left)
-            room[left].append(b)
+            wider *= 2
     return bins
 
 
-def improve(bins: _Bins, lengths: np.ndarray, rounds: int = ROUNDS) -> _Bins:
-    """Local search among underfull bins: the emptiest ones, as many as a perfect packing would save, give their pieces away.
-
-    A piece moves into a fuller bin with room; or it is exchanged for a smaller
-    piece, or for two that are smaller together, of a fuller bin that has room
-    for the difference.  Each step moves weight from an emptier to a fuller bin
-    and so raises the sum of squared fills; the tightest result wins.
-    """
-    size = lengths.tolist()
-    least = -(-sum(size) // bins.capacity)
-    for _ in range(rounds):
-        under = sorted((b for b in range(len(bins.items)) if bins.items[b] and bins.fill[b] < bins.capacity), key=lambda b: bins.fill[b])
-        spare = sum(1 for x in bins.items if x) - least
-        if spare <= 0:
-            break
-        changed = False
-        for n_th, src in enumerate(under[:spare]):
-            for i in sorted(bins.items[src], key=lambda x: -size[x]):
-                if _give(bins, size, src, i, under[n_th + 1 :]):
-                    changed = True
-        if not changed:
-            break
+def arrange(sizes: list[int], capacity: int) -> Bins:
+    """The better of two searches: from pieces as they arrive, and, if that misses the bound, from every piece alone."""
+    bins = search(Bins.arrival(sizes, capacity))
+    if bins.used() > -(-sum(sizes) // capacity):
+        bins = min(bins, search(Bins.single(sizes, capacity), len(sizes)), key=Bins.used)
     return bins
 
 
-def _give(bins: _Bins, size: list[int], src: int, i: int, others: list[int]) -> bool:
-    n = size[i]
-    best, how = None, None
-    for dst in others:
-        if not bins.items[dst] or bins.fill[dst] < bins.fill[src]:
-            continue
-        free = bins.capacity - bins.fill[dst]
-        if free >= n:  # move
-            if best is None or free - n < best:
-                best, how = free - n, (dst, ())
-        else:
-            own = sorted(bins.items[dst], key=lambda x: size[x])
-            # the piece that comes may be larger than what goes by at most the free room
-            low = n - free
-            for x, j in enumerate(own):
-                if size[j] >= n:
-                    break
-                if size[j] >= low and (best is None or free - (n - size[j]) < best):
-                    best, how = free - (n - size[j]), (dst, (j,))
-                for k in own[x + 1 :]:
-                    two = size[j] + size[k]
-                    if two >= n:
-                        break
-                    if two >= low and (best is None or free - (n - two) < best):
-                        best, how = free - (n - two), (dst, (j, k))
-        if best == 0:
-            break
-    if how is None:
-        return False
-    dst, back = how
-    gone = sum(size[j] for j in back)
-    if not n > gone:
-        return False
-    bins.items[src].remove(i)
-    bins.items[dst].append(i)
-    for j in back:
-        bins.items[dst].remove(j)
-        bins.items[src].append(j)
-    bins.fill[src] += gone - n
-    bins.fill[dst] += n - gone
-    return True
-
-
 def _pack(capacity: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy()
-        bins = improve(best_fit(lengths, capacity), lengths)
+        bins = arrange(lengths.tolist(), capacity)
         number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         used = 0
         for items in bins.items:
@@ -295,7 +412,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     groups = max(1, -(-loose.count() // GROUP))
     # group -1 - n: a full piece, which is a sequence by itself
     full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", -F.lit(1).cast("long") - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int").alias("part")
+    # by row, so that repeated rows part: the pieces are a written table, whose row numbers stay
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("part")
     packed = loose.select("*", part).groupBy("part").applyInArrow(_pack(capacity), PIECE + ", sequence_id long, offset long")
     return packed.unionByName(full)
 
