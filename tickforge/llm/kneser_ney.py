@@ -12,15 +12,16 @@ documents; byte n-grams do, need no vocabulary and treat all languages alike.)
    distinct grams of the corpus only.
 3. Buckets answer every chunk with its grams' log probabilities, from which
    each document's perplexity follows.
-4. A document is kept if its perplexity is at most ``margin`` times the
-   ``quantile`` of the trusted documents of its language (of all languages,
-   where a language has fewer than ``LEAST`` trusted documents).  The quantile
-   is taken with a relative rank error of 1e-4.
+4. One trusted document in ``HELD_OUT`` (by hash of id and text) is not trained
+   on.  A document is kept if its perplexity is at most the ``quantile`` of these
+   held-out documents of its language (of all languages, where a language has
+   fewer than ``LEAST`` of them; of all trusted documents, where there are fewer
+   in all).  The quantile is taken with a relative rank error of 1e-4.
 
 Null and empty texts have perplexity null and are not kept.  A null language is
 a language of its own; a null or repeated id is judged row by row.  Without any
 trusted document no threshold exists and every non-empty text is kept.  Extra
-columns are ignored.
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,12 +39,14 @@ from tickforge.llm.storage import discard, durable
 from tickforge.llm.words import U
 
 ORDER = 5
-#: Trusted documents from which a language gets a threshold of its own.
-LEAST = 20
-#: Log probabilities travel in 16 bits, in steps of 1/STEPS up to 64: a perplexity is exact to 0.05 %.
-STEPS = 1024
+#: Held-out trusted documents from which a language gets a threshold of its own (a hundredth needs a hundred).
+LEAST = 100
+#: One trusted document in so many sets thresholds instead of being trained on.
+HELD_OUT = 10
+#: Log probabilities travel in 24 bits, in steps of 1/STEPS up to 64: no coarser than single precision is above 32.
+STEPS = 1 << 18
 #: Text bytes of a chunk: larger ones ask for the same gram less often.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 24 << 20
 #: Trusted ids up to which they are broadcast rather than the texts shuffled to them (16 bytes each).
 BROADCAST_ROWS = 2_000_000
 #: Bytes that are turned into grams at once (a longer document: all of it).
@@ -148,15 +151,34 @@ def probabilities(totals: DataFrame, order: int = ORDER) -> DataFrame:
     return lower.select(F.col("low").alias("gram"), F.col("q").alias("p"))
 
 
+def _planes(log: np.ndarray) -> bytes:
+    """24-bit values, their high bytes first."""
+    return zstandard.compress(np.ascontiguousarray(log.astype("<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1].T).tobytes())
+
+
+def _values(blob: bytes) -> np.ndarray:
+    high, mid, low = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(3, -1).astype(np.int32)
+    return high << 16 | mid << 8 | low
+
+
 def _reply(left: pa.Table, right: pa.Table) -> pa.Table:
     """Negative log probabilities in the order of each chunk's request."""
     gram = right["gram"].to_numpy().view(U)
     order = np.argsort(gram)
-    gram, log = gram[order], np.rint(-np.log(right["p"].to_numpy()[order]) * STEPS).astype(np.uint16)
-    out = [log[np.searchsorted(gram, C.open_keys(k))].tobytes() for k in left["keys"].to_pylist()]
+    gram, log = gram[order], np.rint(-np.log(right["p"].to_numpy()[order]) * STEPS).astype(np.int32)
+    out = [_planes(log[np.searchsorted(gram, C.open_keys(k))]) for k in left["keys"].to_pylist()]
     return pa.table({"chunk": left["chunk"], "bucket": left["bucket"], "vals": pa.array(out, pa.binary())})
 
 
+def _answers(table: pa.Table, keys: np.ndarray, n: int) -> np.ndarray:
+    """The replies to a chunk, in the order of its distinct sorted keys."""
+    order, _ = C.by_bucket(keys, n)
+    out = np.empty(len(keys))
+    rows = sorted(zip(table["bucket"].to_pylist(), table["vals"].to_pylist(), strict=True))
+    out[order] = np.concatenate([_values(v) for _, v in rows])
+    return out / -STEPS
+
+
 def _perplexity(n: int):
     def run(chunk: C.Chunk, table: pa.Table) -> pa.Table:
         d = len(chunk.ids)
@@ -167,38 +189,46 @@ def _perplexity(n: int):
                 uniq, inverse = np.unique(grams, return_inverse=True)
                 blocks.append((uniq, inverse.astype(np.int32), first, sizes))
             keys = np.unique(np.concatenate([uniq for uniq, _, _, _ in blocks]))
-            log = C.replies(table, np.uint16, keys, n) / -STEPS
+            log = _answers(table, keys, n)
             for uniq, inverse, first, sizes in blocks:
                 sums = np.concatenate(([0], np.cumsum(log[np.searchsorted(keys, uniq)][inverse])))
                 stop = np.cumsum(sizes)
                 total[first : first + len(sizes)] = sums[stop] - sums[stop - sizes]
                 count[first : first + len(sizes)] = sizes
         value = np.exp(-total / np.maximum(count, 1))
-        return pa.table({"doc_id": C.id_array(chunk.ids), "lang": pa.array(chunk.row["lang"], pa.string()), "trusted": pa.array(chunk.row["trusted"], pa.bool_()), "n_symbols": count, "perplexity": pa.array(value, pa.float64(), mask=count == 0)})
+        flags = {k: pa.array(chunk.row[k], pa.bool_()) for k in ("trusted", "held_out")}
+        return pa.table({"doc_id": C.id_array(chunk.ids), "lang": pa.array(chunk.row["lang"], pa.string()), **flags, "n_symbols": count, "perplexity": pa.array(value, pa.float64(), mask=count == 0)})
 
     return run
 
 
 def score_kneser_ney(docs: DataFrame, trusted: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, lang, trusted, n_symbols, perplexity`` of every document under the model of the trusted ones."""
-    extras = {"lang": docs[lang_col].cast("string"), "trusted": F.coalesce(trusted, F.lit(False))}
+    """``doc_id, lang, trusted, held_out, n_symbols, perplexity`` of every document under the model of the trusted ones that are not held out."""
+    good = F.coalesce(trusted, F.lit(False))
+    held = good & (F.pmod(F.xxhash64(docs[id_col], docs[text_col]), F.lit(HELD_OUT)) == 0)
+    extras = {"lang": docs[lang_col].cast("string"), "trusted": good & ~held, "held_out": held}
     packed = C.pack(docs, id_col, text_col, extras, chunk_bytes=CHUNK_BYTES, name="kn-chunks", level=12)
     n = C.buckets_for(packed, 0.02)
     asked = durable(packed.mapInArrow(_ask(n), C.REQUEST), "kn-asked")
     totals = durable(asked.groupBy("bucket").applyInArrow(_totals, "bucket int, gram long, c long"), "kn-totals")
     known = probabilities(totals).join(totals.select("gram", "bucket"), "gram")
     reply = asked.select("bucket", "chunk", "keys").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_reply, C.REPLY)
-    return C.gather(packed, reply, _perplexity(n), "doc_id long, lang string, trusted boolean, n_symbols long, perplexity double")
+    return C.gather(packed, reply, _perplexity(n), "doc_id long, lang string, trusted boolean, held_out boolean, n_symbols long, perplexity double")
 
 
-def classify(scored: DataFrame, quantile: float = 0.99, margin: float = 1.5) -> DataFrame:
+def classify(scored: DataFrame, quantile: float = 0.99) -> DataFrame:
     """``scored`` with ``threshold`` and ``kept``."""
     lang = F.coalesce(F.col("lang"), F.lit(""))
-    trusted = scored.filter("trusted and perplexity is not null")
-    cut = F.percentile_approx("perplexity", quantile, 10_000) * margin
-    by_lang = trusted.groupBy(lang.alias("l")).agg(F.count("*").alias("n"), cut.alias("own")).filter(F.col("n") >= LEAST).select("l", "own")
-    overall = trusted.agg(cut.alias("overall"))
-    out = scored.withColumn("l", lang).join(by_lang, "l", "left").crossJoin(F.broadcast(overall))  # one row
+    judges = scored.filter("(trusted or held_out) and perplexity is not null")
+
+    def cut(which: Column) -> Column:
+        return F.percentile_approx(F.when(which, F.col("perplexity")), quantile, 10_000)
+
+    held, anyone = F.col("held_out"), F.lit(True)
+    by_lang = judges.groupBy(lang.alias("l")).agg(F.count_if(held).alias("n"), cut(held).alias("own")).filter(F.col("n") >= LEAST).select("l", "own")
+    overall = judges.agg(F.when(F.count_if(held) >= LEAST, cut(held)).otherwise(cut(anyone)).alias("overall"))
+    # a written table: Spark knows its size and broadcasts it below its threshold; beyond, a skewed language is split by the adaptive join
+    out = scored.withColumn("l", lang).join(durable(by_lang, "kn-languages"), "l", "left").crossJoin(F.broadcast(overall))  # one row
     out = out.withColumn("threshold", F.coalesce("own", "overall"))
     return out.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).drop("l", "own", "overall")
 
@@ -210,4 +240,4 @@ def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
         labels = F.broadcast(labels)
     scored = durable(score_kneser_ney(docs.join(labels, "doc_id", "left"), F.col("good")), "kn-scored")
     out = classify(scored)
-    return out.select("doc_id", "lang", "trusted", F.col("n_symbols").alias("n_bytes"), F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
+    return out.select("doc_id", "lang", "trusted", "held_out", F.col("n_symbols").alias("n_bytes"), F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
