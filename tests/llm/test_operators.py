@@ -234,6 +234,24 @@ def test_quality_plan_is_native(documents):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_quality_order_is_conditional():
+    """Rule 1 rejects most, but nothing beyond rule 0, which is cheap: after rule 0, rule 2 comes first."""
+    patterns = {0b011: 50, 0b001: 10, 0b100: 5, 0b000: 100}
+    assert quality.greedy([1.0, 1.0, 1.0], patterns) == [0, 2, 1]
+    assert quality.greedy([100.0, 1.0, 0.01], patterns) == [2, 1, 0]
+    assert quality.greedy([1.0, 1.0], {}) == [0, 1]
+
+
+def test_quality_nulls_repeats_and_sample_over_the_table(spark):
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, good, 1), (None, good, 1), (1, None, 1), (1, "a", 1)]
+    out = quality.cascade(spark.createDataFrame(rows, "doc_id long, text string, kept int")).collect()
+    assert sorted([(r.doc_id, r.kept) for r in out], key=str) == sorted([(None, True), (None, True), (1, False), (1, False)], key=str)
+    many = spark.range(4000).repartition(8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, good).otherwise("x").alias("text"))
+    (share,) = [s for rule, _, s in quality.order_rules(many, quality.RULES) if rule[0] == "few_words"]
+    assert 0.4 < share < 0.6
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
@@ -284,12 +302,15 @@ def kneser_ney_by_hand(trusted, queries, order):
 def test_kneser_ney(documents, nothing):
     rows = documents.collect()
     trusted = F.col("doc_id") % 2 == 0
-    got = {r.doc_id: r.perplexity for r in kneser_ney.score_kneser_ney(documents, trusted).collect()}
+    scored = kneser_ney.score_kneser_ney(documents, trusted).collect()
+    got = {r.doc_id: r for r in scored}
+    assert all((r.trusted or r.held_out) == (r.doc_id % 2 == 0) and not (r.trusted and r.held_out) for r in scored)
+    assert any(r.held_out for r in scored)
     texts = [r.text or "" for r in rows]
-    want = kneser_ney_by_hand([r.text or "" for r in rows if r.doc_id % 2 == 0], texts, kneser_ney.ORDER)
+    want = kneser_ney_by_hand([r.text or "" for r in rows if got[r.doc_id].trusted], texts, kneser_ney.ORDER)
     for r, w in zip(rows, want, strict=True):
-        assert (got[r.doc_id] is None) == (w is None)
-        assert w is None or got[r.doc_id] == pytest.approx(w, rel=1e-3)
+        assert (got[r.doc_id].perplexity is None) == (w is None)
+        assert w is None or got[r.doc_id].perplexity == pytest.approx(w, rel=3e-6)
     judged = kneser_ney.classify(kneser_ney.score_kneser_ney(documents, trusted)).collect()
     assert all(r.kept == (r.perplexity is not None and r.perplexity <= r.threshold) for r in judged)
     nobody = kneser_ney.classify(kneser_ney.score_kneser_ney(documents, F.lit(False))).collect()
@@ -297,6 +318,26 @@ def test_kneser_ney(documents, nothing):
     assert kneser_ney.score_kneser_ney(nothing, trusted).collect() == []
 
 
+def test_classifier_thresholds(spark, monkeypatch):
+    """Thresholds are quantiles of held-out documents of a language; null languages are one; few of them: all languages."""
+    monkeypatch.setattr(kneser_ney, "LEAST", 20)
+    rows = [(i, lang, False, True, 5, float(i)) for lang, lo in ((None, 0), ("en", 100)) for i in range(lo, lo + 30)]
+    rows += [(200 + i, "de", True, False, 5, 500.0 + i) for i in range(30)] + [(300, "de", False, False, 0, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, trusted boolean, held_out boolean, n_symbols long, perplexity double")
+    got = {r.doc_id: (r.threshold, r.kept) for r in kneser_ney.classify(frame, quantile=0.5).collect()}
+    assert got[0] == (14.0, True) and got[29] == (14.0, False) and got[100] == (114.0, True) and got[129] == (114.0, False)
+    assert got[200] == (29.0, False) and got[300] == (29.0, False)
+    monkeypatch.setattr(kneser_ney, "LEAST", 1000)
+    assert {r.threshold for r in kneser_ney.classify(frame, quantile=1.0).collect()} == {529.0}
+
+
+def test_kneser_ney_nulls_and_repeats(spark):
+    rows = [(None, "a b", None, 1), (None, "a b", None, 1), (3, "a b", "en", 1), (3, "", "en", 1), (4, None, None, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, trusted int")
+    got = kneser_ney.classify(kneser_ney.score_kneser_ney(frame, F.lit(True))).collect()
+    assert sorted([(r.doc_id, r.lang, r.n_symbols, r.kept) for r in got], key=str) == sorted([(None, None, 3, True)] * 2 + [(3, "en", 3, True), (3, "en", 0, False), (4, None, 0, False)], key=str)
+
+
 # 5 ------------------------------------------------------------------------------------------------
 
 
