@@ -521,7 +521,7 @@ def test_decontamination(spark, nothing):
     assert not any(r.contaminated for r in decontaminate.decontaminate(frame, bench.limit(0)).collect())
 
 
-@pytest.mark.parametrize("length", [1, 2, 3, 5, 6, 8, 15, 20, 40, 100])
+@pytest.mark.parametrize("length", [1, 2, 3, 4, 5, 6, 8, 15, 20, 40, 100])
 def test_decontamination_finds_all_that_passes_the_rule(length):
     """Every fifth word or random words substituted, and whole short items, against the rule on the planted diagonal."""
     rng = random.Random(length)
@@ -538,6 +538,59 @@ def test_decontamination_finds_all_that_passes_the_rule(length):
         assert [f[1:] for f in found] == ([(7, a + 4, b - a, n)] if passes else []), (length, away)
 
 
+def fits(equal, mask):
+    return any(all(equal[i + k] for k, c in enumerate(mask) if c == "1") for i in range(len(equal) - len(mask) + 1))
+
+
+def test_spaced_mask_misses_no_overlap():
+    """All ways in which the words of short items can be equal; beyond, the most equal words that a stretch without a place for the mask can have."""
+    for length in range(1, 13):
+        (mask,) = [m for m, least, most in decontaminate.MASKS if least <= length <= most]
+        for bits in itertools.product([False, True], repeat=length):
+            need = math.ceil(0.75 * length)
+            if sum(bits) >= need and not fits(bits, mask):
+                a, b = decontaminate.overlap(np.array(bits))
+                assert sum(bits[a:b]) < need, bits
+    (mask,) = [m for m, _, most in decontaminate.MASKS if most == math.inf]
+    assert "0" in mask
+    best = {bits: sum(bits) for bits in itertools.product([0, 1], repeat=len(mask) - 1)}
+    for length in range(len(mask), 200):
+        after: dict = {}
+        for bits, n in best.items():
+            for x in (0, 1):
+                now = (*bits, x)
+                if not fits(now, mask):
+                    after[now[1:]] = max(after.get(now[1:], 0), n + x)
+        best = after
+        assert length < 13 or max(best.values()) < 13 or max(best.values()) < 0.75 * length, length
+
+
+def test_decontamination_equals_all_diagonals(spark):
+    """Every document against every item at every offset, without seeds; repeated rows, null ids and clashing columns too."""
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 12, 20])))) for i in range(25)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(None, items[7][1]), (3, items[9][1]), (3, items[9][1])]
+    want = Counter()
+    for d, text in docs:
+        w, found = text.split(), set()
+        for i, item in items:
+            x = item.split()
+            need = min(13, math.ceil(0.75 * len(x)))
+            for offset in range(1 - len(x), len(w)):
+                equal = np.array([0 <= offset + k < len(w) and w[offset + k] == x[k] for k in range(len(x))])
+                lo, hi = max(0, -offset), min(len(x), len(w) - offset)
+                a, b = decontaminate.overlap(equal[lo:hi])
+                n = int(equal[lo:hi][a:b].sum())
+                if n >= need and n >= 0.75 * (b - a):
+                    found.add(i)
+        want[d, text, tuple(sorted(found))] += 1
+    frame = spark.createDataFrame([(d, t, 1, True) for d, t in docs], "doc_id long, text string, row int, contaminated boolean").repartition(3)
+    got = decontaminate.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text, tuple(r["items"])) for r in got) == want
+    assert all(r.row == 1 and r.contaminated == bool(r["items"]) for r in got)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
     items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(30)]

@@ -1,24 +1,26 @@
-"""Benchmark decontamination by seed hashing.
+"""Benchmark decontamination by spaced-seed hashing.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
 lower-cased.  A mask is a fixed pattern of word positions that count or do not;
-a seed is the hash of the words at the positions that count.  Three words in a
-row are a seed; items of one or two words are one as a whole.  Seeds of documents
-are joined with seeds of the benchmark.  Each hit names a diagonal (document,
-item, offset), on which the words are then compared one by one: the overlap is
-the stretch with the best score, +1 for an equal word and -2 for another, so
-substitutions are tolerated.  An item is found in a document if the overlap has
-at least ``min(13, 3/4 of the item's words, rounded up)`` equal words and three
-quarters of it are equal.  No overlap is missed: without three equal words in a
-row no stretch scores more than 2, and the first of that score is two words.
+a seed is the hash of the words at the positions that count.  The mask of items
+of five words and more ignores its third word; shorter items have masks of three,
+two and one words in a row.  Seeds of documents are joined with seeds of the
+benchmark.  Each hit names a diagonal (document, item, offset), on which the words
+are then compared one by one: the overlap is the stretch with the best score, +1
+for an equal word and -2 for another, so substitutions are tolerated.  An item is
+found in a document if the overlap has at least ``min(13, 3/4 of the item's words,
+rounded up)`` equal words and three quarters of it are equal.  No such overlap is
+missed: every one of 13 words and more, and every one of a shorter item, has a
+place where its mask fits (the tests count them out).
 
 The benchmark is a stated query set: it is taken in blocks of at most
 ``BLOCK_BYTES`` of text (an item longer than that: a block by itself), of which
 each is broadcast and compared with all documents.
 
-Null and empty texts are clean, and items without words are never found.  Null ids come back null; rows that share an id are judged
-by themselves.  Extra columns are ignored.  Whole texts are compared, however
-long.
+Null and empty texts are clean, and items without words are never found.  Null
+ids come back null; rows that share an id are judged by themselves.  Extra columns
+are kept, the added ones win over equally named ones.  Whole texts are compared,
+however long.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from tickforge.llm.storage import durable
 from tickforge.llm.words import LOWER, U, hash_words, mix
 
-#: Word positions that count; but the first, only for items of that many words.
-MASKS = ("111", "11", "1")
+#: Word positions that count, and the least and most words of the items that have the mask.
+MASKS = (("1101", 5, math.inf), ("111", 3, 4), ("11", 2, 2), ("1", 1, 1))
 #: Words that are compared at once.
 COMPARED = 1 << 22
 BLOCK_BYTES = 16 << 20
@@ -85,9 +87,9 @@ class Benchmark:
         self.first = np.searchsorted(doc, np.arange(len(items) + 1))
         words = np.diff(self.first)
         self.masks, found = [], []
-        for mask in MASKS:
+        for mask, least, most in MASKS:
             keys, place = seeds(self.hashes, doc, mask)
-            own = (words[doc[place]] >= len(mask)) if mask == MASKS[0] else words[doc[place]] == len(mask)
+            own = (words[doc[place]] >= least) & (words[doc[place]] <= most)
             if own.any():
                 self.masks.append(mask)
             found.append((keys[own], place[own]))
@@ -189,11 +191,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFr
     """``docs`` with ``contaminated``, ``items`` (ids of the items found) and ``n_equal`` (equal words of the best overlap)."""
     id_col, text_col = names.get("id_col", "doc_id"), names.get("text_col", "text")
     found = find_items(docs, benchmark, **names).groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("n_equal").alias("n_equal"))
-    docs = docs.drop("contaminated", "items", "n_equal").withColumn("_row", F.xxhash64(id_col, text_col))
-    out = docs.join(found.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
-    return out.withColumns({
-        "contaminated": F.col("n_equal").isNotNull(), "items": F.coalesce("items", F.array().cast("array<long>")), "n_equal": F.coalesce("n_equal", F.lit(0).cast("long")),
-    })
+    rows = docs.drop("contaminated", "items", "n_equal").select(F.struct("*").alias("doc"), F.xxhash64(id_col, text_col).alias("row"))
+    return rows.join(found, "row", "left").select(
+        "doc.*", F.col("n_equal").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("n_equal", F.lit(0).cast("long")).alias("n_equal")
+    )
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
