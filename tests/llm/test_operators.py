@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickforge.llm import chat, decontaminate, hmm, html, jaccard, kneser_ney, packing, quality, substring, toxicity
+from tickforge.llm.words import hash_words
 from tests.llm.conftest import SCHEMA
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -483,6 +484,17 @@ def test_toxicity_learns_and_tolerates_gaps(spark):
     assert all(out[i] > 0.5 for i in (1000, 1001, 1002)) and out[1003] < 0.5 and out[1004] < 0.5
 
 
+def test_toxicity_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    """One id a thousand times and long texts: no more rows and bytes than the parameters say are learnt from."""
+    rows = [(1, "clean words here", 0)] * 1000 + [(2, "an idiot here", 1), (3, "x" * 3000, 1), (None, "idiot", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = frame.select("doc_id", F.col("toxic").alias("label")).distinct()
+    for sample, size in ((10, 1 << 20), (2000, 200)):
+        machine = toxicity.train(frame, labels, sample, size)
+        scores = toxicity.score(frame, machine).collect()
+        assert len(scores) == len(rows) and all(0 <= r.score <= 1 for r in scores)
+
+
 def test_toxicity_without_labels(spark, nothing):
     machine = toxicity.train(nothing, nothing.select("doc_id", F.lit(1).alias("label")))
     assert toxicity.score(nothing, machine).collect() == []
@@ -665,7 +677,8 @@ def test_hmm_recursions_match_enumeration():
     for own, lengths, block in hmm._batches(flat, first, size):
         got = got + hmm.expected(model, lengths, block)
         logs[own] = hmm.forward(model, lengths, block)
-    assert np.allclose(got, want, atol=1e-5) and np.allclose(logs, likelihood)
+    assert np.allclose(got[:-1], want, atol=1e-5) and np.allclose(logs, likelihood)
+    assert got[-1] == pytest.approx(likelihood.sum(), rel=1e-5)
 
 
 def test_hmm(documents, nothing):
@@ -685,6 +698,43 @@ def test_hmm(documents, nothing):
     assert hmm.score_hmm(nothing, train).collect() == []
 
 
+def test_hmm_likelihood_rises_with_rounds_and_score_is_the_model(spark, monkeypatch):
+    """Two alternating word classes: training finds them, and scores are the forward recursion of the model it returns, by hand."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(("a", "b", "c") if j % 2 else ("x", "y", "z")) for j in range(rng.randint(2, 30))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {}
+    train = hmm.baum_welch
+
+    def watched(classes, unigram, states, rounds):
+        kept["model"], kept["likelihoods"] = train(classes, unigram, states, rounds)
+        kept["unigram"] = unigram
+        return kept["model"], kept["likelihoods"]
+
+    monkeypatch.setattr(hmm, "baum_welch", watched)
+    scores = {r.doc_id: r.score for r in hmm.score_hmm(frame, F.lit(True), states=3, rounds=12).collect()}
+    rises = np.diff(kept["likelihoods"])
+    assert (rises > -1e-3 * abs(kept["likelihoods"][0])).all() and rises.sum() > 0.05 * abs(kept["likelihoods"][0])
+    model, tokens = kept["model"], [[*t.split(), None] for t in texts]
+    hashes = {w: hash_words(np.frombuffer(w.encode(), np.uint8))[2][0] for w in "abcxyz"}
+    order = sorted(hashes, key=lambda w: hashes[w])
+    kind = {w: order.index(w) for w in order} | {None: hmm._KINDS - 1}
+    for d in range(20):
+        a, total = model.start, 0.0
+        for t, w in enumerate(tokens[d]):
+            a = (a @ model.move if t else a) * model.emit[kind[w]]
+            total += math.log10(a.sum())
+            a = a / a.sum()
+        assert scores[d] == pytest.approx(total, rel=1e-6)
+
+
+def test_hmm_nulls_repeats_and_clashing_names(spark):
+    rows = [(None, "a b", 1), (None, None, 1), (5, "a b", 1), (5, "a b", 1), (2, "a" * 5000 + " b" * 5000, 1)]
+    out = hmm.score_hmm(spark.createDataFrame(rows, "doc_id long, text string, held_out int"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2, states=2, rounds=2).collect()
+    assert sorted((r.n_tokens for r in out)) == [1, 3, 3, 3, 5002] and all(r.score < 0 for r in out)
+    assert len({r.score for r in out if r.n_tokens == 3}) == 1 and all(r.held_out in (True, False) for r in out)
+
+
 def test_hmm_is_a_distribution(spark):
     """The probabilities of all texts of one word, known or not, and of no word, sum to at most 1 and near it with more words."""
     rows = [(i, t) for i, t in enumerate(["a b", "a", "b b a", "", "c a"])]

@@ -14,7 +14,8 @@ with the corpus, are joined by key.
 2. The classes of all training documents are written once, two bytes a token.
    Each Baum-Welch round broadcasts the parameters; tasks run the scaled
    forward-backward recursion over all training documents and add up expected
-   counts, which are summed by slot and normalised on the driver.
+   counts, which are summed by slot and normalised on the driver, and the log
+   likelihood under the parameters so far, which is logged.
 3. The scaled forward recursion gives each document's exact log likelihood.
 
 Null and empty texts are the end alone.  A null id counts as a training
@@ -24,6 +25,7 @@ train on, every count is 0 and the model is uniform.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,7 @@ SLOTS = 16
 CELLS, HELD = 1_000_000, 2_000_000
 END = mix(np.array([0x656E64], U))[0]
 _KINDS = TOP + HASHED + 1
+_LOG = logging.getLogger(__name__)
 
 
 def _tokens(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +200,7 @@ def forward(model: Model, n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
 
 
 def expected(model: Model, n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Expected counts of starts, moves and emissions, flat (single precision inside, the sums double)."""
+    """Expected counts of starts, moves and emissions, flat, and last the log likelihood (single precision inside, the sums double)."""
     longest, count = kinds.shape
     k = len(model.start)
     start, move, emit = (x.astype(np.float32) for x in (model.start, model.move, model.emit))
@@ -214,6 +217,7 @@ def expected(model: Model, n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         s = a.sum(1)
         a /= s[:, None]
         scaled[here], alphas[here] = s, a
+    likelihood = np.log(scaled, dtype=float).sum()
     seen /= scaled[:, None]
     back = np.ascontiguousarray(move.T)
     for t in range(longest - 1, -1, -1):
@@ -232,7 +236,7 @@ def expected(model: Model, n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         part = slice(at, at + (1 << 16))
         counts += alphas[before[part]].T.astype(float) @ ahead[follows[part]].astype(float)
     out = np.stack([np.bincount(flat, weights=gamma[:, j], minlength=len(emit)) for j in range(k)], axis=1)
-    return np.concatenate((gamma[:count].sum(0, dtype=float), (model.move * counts).ravel(), out.ravel()))
+    return np.concatenate((gamma[:count].sum(0, dtype=float), (model.move * counts).ravel(), out.ravel(), [likelihood]))
 
 
 def _classes(vocabulary):
@@ -304,6 +308,21 @@ def _score(n_buckets: int, vocabulary, model):
     return run
 
 
+def baum_welch(classes: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
+    """The model after ``rounds`` rounds over all written class sequences, and the log likelihood before each round."""
+    spark = classes.sparkSession
+    model, likelihoods = Model.initial(unigram, states), []
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast(model)
+        parts = classes.mapInArrow(_expect(sent), "part int, vals binary")
+        flat = _summed(parts, F.col("part"), float, states + states * states + len(unigram) * states + 1)
+        model = Model.of_counts(flat[:-1], unigram, states)
+        likelihoods.append(float(flat[-1]))
+        _LOG.info("round %d of %d: log likelihood %.6g", k + 1, rounds, flat[-1])
+        sent.unpersist()
+    return model, likelihoods
+
+
 def score_hmm(docs: DataFrame, train: Column, states: int = STATES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10).
 
@@ -314,14 +333,9 @@ def score_hmm(docs: DataFrame, train: Column, states: int = STATES, rounds: int
     n = C.buckets_for(packed, 0.05)
     reply = C.durable(packed.mapInArrow(_ask(n), C.REQUEST).groupBy("bucket").applyInArrow(_total, C.REPLY), "hmm-counts")
     voc = Vocabulary(reply)
-    model = Model.initial(voc.unigram, states)
     shared = spark.sparkContext.broadcast(voc)
     written = C.durable(packed.mapInArrow(_classes(shared), "kinds binary, sizes binary"), "hmm-classes")
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(model)
-        parts = written.mapInArrow(_expect(sent), "part int, vals binary")
-        model = Model.of_counts(_summed(parts, F.col("part"), float, states + states * states + _KINDS * states), voc.unigram, states)
-        sent.unpersist()
+    model, _ = baum_welch(written, voc.unigram, states, rounds)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return C.gather(packed, reply.filter("chunk >= 0"), _score(n, shared, spark.sparkContext.broadcast(model)), schema, lower=True)
 
