@@ -359,9 +359,9 @@ def dedup_by_hand(docs, k=13):
     return out
 
 
-@pytest.mark.parametrize("frequent", [4096, 0])
+@pytest.mark.parametrize("frequent", [4096, 3, 0])
 def test_substring(documents, nothing, monkeypatch, frequent):
-    monkeypatch.setattr(substring, "FREQUENT", frequent)  # 0: every prefix is lengthened
+    monkeypatch.setattr(substring, "FREQUENT", frequent)  # 0: every prefix is lengthened up to the window; 3: some are
     got = {r.doc_id: r for r in substring.dedup_substrings(documents, keep=("kept", "chunk", "lang")).collect()}
     want = dedup_by_hand([(r.doc_id, r.text) for r in documents.collect()])
     assert {d: (r.n_words, r.n_removed, r.kept_text) for d, r in got.items()} == want
@@ -370,6 +370,25 @@ def test_substring(documents, nothing, monkeypatch, frequent):
     assert substring.dedup_substrings(nothing).collect() == []
 
 
+def test_suffix_array_and_deep_nodes():
+    rng = np.random.default_rng(0)
+    words_, cut = rng.integers(0, 3, 300).astype(np.uint64), np.sort(rng.choice(np.arange(1, 300), 20, replace=False))
+    left = np.concatenate([np.arange(n, 0, -1) for n in np.diff([0, *cut, 300])])
+    starts = np.flatnonzero(left >= 4)
+    order, shared = substring.suffix_array(words_, left, starts)
+    suffix = [words_[i : i + left[i]].tolist() for i in starts]
+    rank = {w: k for k, w in enumerate(sorted(set(words_.tolist())))}
+    assert [[rank[w] for w in suffix[i]] for i in order] == sorted([rank[w] for w in x] for x in suffix)
+    for k in range(1, len(order)):
+        a, b = suffix[order[k - 1]], suffix[order[k]]
+        assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    groups = {tuple(sorted(starts[order[a : a + n]])) for a, n in zip(*substring.deep_nodes(shared, 4))}
+    by_hand = defaultdict(list)
+    for i, x in zip(starts, suffix):
+        by_hand[tuple(x[:4])].append(i)
+    assert groups == {tuple(v) for v in by_hand.values()}
+
+
 def test_substring_nulls_and_repeats(spark):
     text = " ".join(f"x{i}" for i in range(20))
     rows = [(None, text), (5, text), (5, text), (3, text + " end"), (None, None)]

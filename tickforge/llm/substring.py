@@ -9,15 +9,21 @@ short word prefixes, so equal windows have equal anchors at equal offsets and
 about one suffix in five needs a place of its own.
 
 1. Each chunk sends its distinct anchors to buckets, which answer whether an
-   anchor occurs in two documents at all, and whether it is frequent.
-2. Windows under a shared anchor form the candidate suffixes.  They are
-   partitioned by a prefix of variable length: the short anchor, or a longer
-   one (which splits the group) where the short one is frequent.  Equal pieces
-   of a chunk travel once, with their smallest document id.
-3. Each partition builds its subtrees from the words themselves: suffixes are
-   ranked by prefix doubling up to depth ``min_words``, which yields the
-   internal nodes at that depth and the smallest document below each.
+   anchor occurs in two documents at all, and whether it is frequent.  Under
+   frequent anchors the prefix is lengthened, and the longer ones are asked for in
+   the same way, until a prefix is rare enough for one group or is the window
+   itself (whose group is one entry a chunk).
+2. Windows under a shared prefix form the candidate suffixes.  They are
+   partitioned by that prefix of variable length.  Equal pieces of a chunk travel
+   once, with their smallest document id.
+3. Each partition builds its subtrees from the words themselves: a suffix array by
+   prefix doubling and the words that neighbours share.  A run of suffixes that
+   share ``min_words`` words and more is a deep internal node; its repeat is
+   maximal in depth where the run branches, and all its suffixes learn the smallest
+   document of the run.
 4. Back in the chunk, every window learns the smallest document below its node.
+   Maximal repeats longer than a piece come together there, from the overlapping
+   windows of neighbouring pieces (``removed_spans``).
 
 Null and empty texts have no words and keep an empty text; a null id counts as
 larger than any other; rows that share an id are one document for the test
@@ -39,11 +45,14 @@ from tickforge.llm import chunks as C
 from tickforge.llm.storage import durable
 from tickforge.llm.words import U, fold, hash_words, mix, runs
 
-#: Prefix lengths, in words, of the anchored suffixes.
-SHORT, LONG = 5, 9
-#: Occurrences from which an anchor gets the longer prefix.
+#: Prefix lengths, in words, of the anchored suffixes; beyond the last, the window itself.
+PREFIXES = (5, 9)
+#: Occurrences from which the suffixes under a prefix are more than one group may hold, and the prefix is lengthened.
 FREQUENT = 4096
 
+#: The level of replies about pieces.
+_NODES = -1
+
 PIECES = "bucket int, chunk long, keys binary, windows binary, docs binary, body binary"
 
 
@@ -62,40 +71,57 @@ def _anchors(hashes: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.nda
 
 
 class _Windows:
-    """The windows of a chunk and their short anchors."""
+    """The windows of a chunk, and the prefix that each has so far."""
 
     def __init__(self, chunk: C.Chunk, width: int):
         self.chunk, self.width = chunk, width
         self.start, self.end, self.hash, self.doc = chunk.words()
-        self.grams, at = _anchors(self.hash, width, SHORT)
-        n = len(at)
-        self.ok = np.flatnonzero(self.doc[:n] == self.doc[width - 1 : width - 1 + n]) if n else np.zeros(0, np.int64)
-        self.at = at[self.ok]
-        self.place = np.unique(self.at)
-        self.keys, self.inverse = np.unique(self.grams[self.place], return_inverse=True)
-
-    def asked(self) -> np.ndarray:
-        """For each key: its occurrences, doubled, plus 1 if two documents of the chunk have it."""
-        ids = self.chunk.ids[self.doc[self.place]]
-        order = np.lexsort((ids, self.inverse))
-        first, size = runs(self.inverse[order])
-        several = ids[order][first] < ids[order][first + size - 1]
-        return (size * 2 + several).astype(np.uint32)
-
-    def pieces(self, kind: np.ndarray) -> dict[str, np.ndarray]:
-        """Runs of candidate windows with one anchor; ``kind`` tells for each key: 0 unshared, 1 shared, 2 frequent."""
-        of = np.zeros(len(self.hash) + 1, np.uint8)
-        of[self.place] = kind[self.inverse]
-        kinds = of[self.at]
-        sel = np.flatnonzero(kinds)
-        window, at, kinds = self.ok[sel], self.at[sel], kinds[sel]
-        key = self.grams[at] if len(at) else np.zeros(0, U)
-        if (often := kinds == 2).any():
-            long, place = _anchors(self.hash, self.width, LONG)
-            at = np.where(often, place[window], at)
-            key = np.where(often, long[np.minimum(at, len(long) - 1)], key)
+        n = max(0, len(self.hash) - width + 1)
+        self.ok = np.flatnonzero(self.doc[:n] == self.doc[width - 1 : width - 1 + n])
+        self.level = np.zeros(len(self.ok), np.int8)  # which prefix; -1: unshared
+        self.at, self.key = np.zeros(len(self.ok), np.int64), np.zeros(len(self.ok), U)
+        self._anchor(0, np.arange(len(self.ok)))
+
+    def _anchor(self, level: int, which: np.ndarray) -> None:
+        """Give windows the prefix of a level."""
+        if not len(which):
+            return
+        if level < len(PREFIXES):
+            grams, at = _anchors(self.hash, self.width, PREFIXES[level])
+        else:
+            grams = fold(self.hash, self.width)
+            at = np.arange(len(grams))
+        self.at[which] = at[self.ok[which]]
+        self.key[which] = mix(grams[self.at[which]] + U(level))
+        self.level[which] = level
+
+    def asked(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct prefixes of a level, their occurrences, doubled, plus 1 if two documents of the chunk have it; and the windows' prefixes."""
+        which = np.flatnonzero(self.level == level)
+        place, first = np.unique(self.at[which], return_index=True)
+        keys, inverse = np.unique(self.key[which[first]], return_inverse=True)
+        ids = self.chunk.ids[self.doc[place]]
+        order = np.lexsort((ids, inverse))
+        at, size = runs(inverse[order])
+        several = ids[order][at] < ids[order][at + size - 1] if len(at) else np.zeros(0, bool)
+        return keys, (size * 2 + several).astype(np.uint32), which
+
+    def answered(self, level: int, table: pa.Table, n: int) -> None:
+        """Drop the windows with unshared prefixes, lengthen frequent prefixes."""
+        keys, _, which = self.asked(level)
+        if not len(keys):
+            return
+        kind = C.replies(table, np.uint8, keys, n)[np.searchsorted(keys, self.key[which])]
+        self.level[which[kind == 0]] = -1
+        self._anchor(level + 1, which[kind == 2])
+
+    def pieces(self) -> dict[str, np.ndarray]:
+        """Runs of candidate windows with one prefix."""
+        sel = np.flatnonzero(self.level >= 0)
+        window, at, level = self.ok[sel], self.at[sel], self.level[sel]
+        key = self.key[sel]
         fresh = np.ones(len(window), bool)
-        fresh[1:] = (window[1:] != window[:-1] + 1) | (at[1:] != at[:-1]) | (kinds[1:] != kinds[:-1])
+        fresh[1:] = (window[1:] != window[:-1] + 1) | (at[1:] != at[:-1]) | (level[1:] != level[:-1])
         first = np.flatnonzero(fresh)
         size = np.diff(np.concatenate((first, [len(window)])))
         path = fold(self.hash, self.width)[window] if len(window) else np.zeros(0, U)
@@ -113,13 +139,36 @@ class _Windows:
 def _ask(width: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in C.unpack(batches):
-            w = _Windows(chunk, width)
-            if len(w.keys):
-                yield C.requests(chunk.key, w.keys, w.asked(), n)
+            keys, counts, _ = _Windows(chunk, width).asked(0)
+            if len(keys):
+                yield C.requests(chunk.key, keys, counts, n)
+
+    return run
+
+
+def _level(table: pa.Table, level: int) -> pa.Table:
+    """The replies about the prefixes of a level."""
+    return table.filter(pa.compute.equal(table["level"], level)) if "level" in table.column_names else table
+
+
+def _ask_longer(width: int, n: int, level: int):
+    """Ask for the longer prefixes of windows whose prefix of the level before is frequent."""
+
+    def run(chunk: C.Chunk, table: pa.Table) -> pa.Table:
+        w = _Windows(chunk, width)
+        for k in range(level):
+            w.answered(k, _level(table, k), n)
+        keys, counts, _ = w.asked(level)
+        return pa.Table.from_batches([C.requests(chunk.key, keys, counts, n)])
 
     return run
 
 
+def _some_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    some = any(np.frombuffer(x, np.uint8).max(initial=0) == 2 for batch in batches for x in batch["vals"].to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([some])], ["some"])
+
+
 def _shared(keys: np.ndarray, vals: np.ndarray, part: np.ndarray) -> np.ndarray:
     _, inverse = np.unique(keys, return_inverse=True)
     count = np.bincount(inverse)
@@ -128,16 +177,12 @@ def _shared(keys: np.ndarray, vals: np.ndarray, part: np.ndarray) -> np.ndarray:
     return np.where((count > 1) | several, 1 + often, 0).astype(np.uint8)[inverse]
 
 
-def _split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
-    """Replies about anchors, and replies about pieces (which have negative buckets)."""
-    about = pa.compute.greater_equal(table["bucket"], 0)
-    return table.filter(about), table.filter(pa.compute.invert(about))
-
-
 def _send(width: int, n: int, n_pieces: int):
     def run(chunk: C.Chunk, table: pa.Table) -> pa.Table:
         w = _Windows(chunk, width)
-        p = w.pieces(C.replies(table, np.uint8, w.keys, n))
+        for k in range(len(PREFIXES)):
+            w.answered(k, _level(table, k), n)
+        p = w.pieces()
         squeeze = zstandard.ZstdCompressor(level=6)
         bucket = (p["key"] % U(n_pieces)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -157,21 +202,42 @@ def _send(width: int, n: int, n_pieces: int):
     return run
 
 
-def deep_nodes(hashes: np.ndarray, depth: int) -> np.ndarray:
-    """The node at ``depth`` words that each position's suffix passes, by prefix doubling.
+def suffix_array(hashes: np.ndarray, left: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``starts`` in order (as indices of ``starts``), and how many words each shares with the one before.
 
-    Positions get equal numbers exactly if their next ``depth`` words are equal;
-    positions nearer than that to the end get numbers without meaning.
+    ``left`` tells for every position how many words its piece has from there;
+    suffixes end with their piece.  Ranks by 1, 2, 4, ... words come from prefix
+    doubling; shared words are found by descending through them.
     """
-    rank = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
+    longest = int(left.max(initial=0))
+    ranks = [np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1]
     length = 1
-    while length < depth:
-        step = min(length, depth - length)
-        ahead = np.zeros_like(rank)
-        ahead[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + ahead, return_inverse=True)[1].astype(np.int64)
-        length += step
-    return rank
+    while length < longest:
+        before = ranks[-1]
+        ahead = np.zeros_like(before)
+        ahead[: len(before) - length] = before[length:]
+        ahead[left <= length] = 0
+        ranks.append(np.unique(before * (int(before.max(initial=0)) + 1) + ahead, return_inverse=True)[1].astype(np.int64) + 1)
+        length *= 2
+    order = np.argsort(ranks[-1][starts], kind="stable")
+    here = starts[order]
+    shared = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        a, b = here[:-1].copy(), here[1:].copy()
+        most = np.minimum(left[a], left[b])
+        same = np.zeros(len(a), np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            go = same + (1 << k) <= most
+            x, y = np.minimum(a + same, len(left) - 1), np.minimum(b + same, len(left) - 1)
+            same += np.where(go & (ranks[k][x] == ranks[k][y]), 1 << k, 0)
+        shared[1:] = same
+    return order, shared
+
+
+def deep_nodes(shared: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of suffixes that share ``depth`` words: the topmost nodes that are so deep (single suffixes: leaves)."""
+    first = np.flatnonzero(shared < depth)
+    return first, np.diff(np.concatenate((first, [len(shared)])))
 
 
 def _trees(width: int):
@@ -182,17 +248,18 @@ def _trees(width: int):
         docs = np.frombuffer(b"".join(open_.decompress(x) for x in table["docs"].to_pylist()), np.int64)
         body = np.frombuffer(b"\n".join(open_.decompress(x) for x in table["body"].to_pylist()), np.uint8)
         hashes = hash_words(body)[2]
-        node = deep_nodes(hashes, width)
-        first = np.cumsum(windows + width - 1) - (windows + width - 1)
+        words = windows + width - 1
+        first = np.cumsum(words) - words
+        left = np.repeat(first + words, words) - np.arange(len(hashes))
         starts = np.repeat(first, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        node, doc = node[starts], np.repeat(docs, windows)
-        least = np.full(int(node.max(initial=-1)) + 1, C.NULL_ID)
-        np.minimum.at(least, node, doc)
+        order, shared = suffix_array(hashes, left, starts)
+        least = np.empty(len(starts), np.int64)
+        if len(starts):
+            at, count = deep_nodes(shared, width)
+            least[order] = np.repeat(np.minimum.reduceat(np.repeat(docs, windows)[order], at), count)
         ends = np.cumsum([int(x.sum()) for x in sizes])
-        least = least[node]
         out = [squeeze.compress(least[e - int(x.sum()) : e].tobytes()) for x, e in zip(sizes, ends, strict=True)]
-        bucket = pa.compute.subtract(pa.scalar(-1, pa.int32()), table["bucket"])
-        return pa.table({"chunk": table["chunk"], "bucket": bucket, "vals": pa.array(out, pa.binary())})
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "vals": pa.array(out, pa.binary())})
 
     return run
 
@@ -200,7 +267,7 @@ def _trees(width: int):
 def _covered(w: _Windows, p: dict[str, np.ndarray], table: pa.Table, n_pieces: int) -> np.ndarray:
     """Which words of the chunk a window with a smaller document covers."""
     open_ = zstandard.ZstdDecompressor()
-    rows = sorted(zip(table["bucket"].to_pylist(), table["vals"].to_pylist(), strict=True), reverse=True)
+    rows = sorted(zip(table["bucket"].to_pylist(), table["vals"].to_pylist(), strict=True))
     least = np.frombuffer(b"".join(open_.decompress(v) for _, v in rows), np.int64)
     order = np.argsort((p["key"] % U(n_pieces)).astype(np.int64), kind="stable")
     m = p["size"][p["one"]][order]
@@ -231,12 +298,12 @@ def kept_text(chunk: C.Chunk, start: np.ndarray, end: np.ndarray, doc: np.ndarra
 
 def _finish(width: int, n: int, n_pieces: int, keep: list[str], kinds: list[pa.DataType]):
     def run(chunk: C.Chunk, table: pa.Table) -> pa.Table:
-        anchors, pieces = _split(table)
         w = _Windows(chunk, width)
+        for k in range(len(PREFIXES)):
+            w.answered(k, _level(table, k), n)
         gone = np.zeros(len(w.hash), bool)
-        if len(w.keys):
-            p = w.pieces(C.replies(anchors, np.uint8, w.keys, n))
-            gone = _covered(w, p, pieces, n_pieces)
+        if (w.level >= 0).any():
+            gone = _covered(w, w.pieces(), _level(table, _NODES), n_pieces)
         d = len(chunk.ids)
         words = np.bincount(w.doc, minlength=d)
         removed = np.bincount(w.doc[gone], minlength=d)
@@ -261,10 +328,10 @@ def _finish(width: int, n: int, n_pieces: int, keep: list[str], kinds: list[pa.D
 def dedup_substrings(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_text, removed_spans`` and the columns in ``keep``.
 
-    ``removed_spans`` are the maximal repeats as (first word, number of words).
+    ``removed_spans`` are the covered words as maximal runs (first word, number of words).
     """
-    if min_words < LONG or min_words > 255:
-        raise ValueError(f"min_words must be {LONG} to 255")
+    if min_words < max(PREFIXES) or min_words > 255:
+        raise ValueError(f"min_words must be {max(PREFIXES)} to 255")
     from pyspark.sql.pandas.types import to_arrow_type
 
     extras = {f"keep_{i}": docs[k] for i, k in enumerate(keep)}
@@ -273,9 +340,15 @@ def dedup_substrings(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id
     n = C.buckets_for(packed, 0.04)
     n_pieces = C.buckets_for(packed, 0.04)
     asked = packed.mapInArrow(_ask(min_words, n), C.REQUEST)
-    about = C.answer(asked, _shared, np.uint32, "substring-anchors")
+    about = C.answer(asked, _shared, np.uint32, "substring-anchors").withColumn("level", F.lit(0))
+    for level in range(1, len(PREFIXES)):
+        last = about.filter(F.col("level") == level - 1)
+        if not last.select("vals").mapInArrow(_some_frequent, "some boolean").agg(F.max("some")).first()[0]:
+            break
+        asked = C.gather(packed, about, _ask_longer(min_words, n, level), C.REQUEST)
+        about = about.unionByName(C.answer(asked, _shared, np.uint32, "substring-anchors").withColumn("level", F.lit(level)))
     pieces = C.gather(packed, about, _send(min_words, n, n_pieces), PIECES)
-    nodes = durable(pieces.groupBy("bucket").applyInArrow(_trees(min_words), C.REPLY), "substring-nodes")
+    nodes = durable(pieces.groupBy("bucket").applyInArrow(_trees(min_words), C.REPLY), "substring-nodes").withColumn("level", F.lit(_NODES))
     schema = "doc_id long, n_words long, n_removed long, kept_text string, removed_spans array<struct<start:long,n:long>>"
     schema += "".join(f", `{k}` {t.simpleString()}" for k, t in zip(extras, types, strict=True))
     out = C.gather(packed, about.unionByName(nodes), _finish(min_words, n, n_pieces, list(extras), [to_arrow_type(t) for t in types]), schema)
