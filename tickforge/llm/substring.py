@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,7 +149,7 @@ def _ask(width: int, n: int):
 
 def _level(table: pa.Table, level: int) -> pa.Table:
     """The replies about the prefixes of a level."""
-    return table.filter(pa.compute.equal(table["level"], level)) if "level" in table.column_names else table
+    return table.filter(pc.equal(table["level"], level)) if "level" in table.column_names else table
 
 
 def _ask_longer(width: int, n: int, level: int):
