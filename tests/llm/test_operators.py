@@ -79,6 +79,7 @@ def test_tokenizer_blocks_equal_whole_texts():
     rng = random.Random(3)
     pieces = [*"abc ABC'sStT'rEe\n\t.,!?;-éßüİΣσς٣Ⅷ²½漢字👍 　_#1", "<|endoftext|>", "<|ENDOFTEXT|>", "\ń", "'LL", "é."]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    texts += ["a" + "-!" * 40 + " b", "-" * 100, "é" + "." * 70, ""]
     tokenizer = packing.BlockTokenizer(TOKENIZER)
     ids, stops = tokenizer([t.encode() for t in texts], 0)
     at = 0
@@ -91,9 +92,9 @@ def test_tokenizer_blocks_equal_whole_texts():
 def test_local_search_empties_bins(start):
     lengths = np.random.default_rng(0).integers(300, 1200, 3000).tolist()
     bins = start(lengths, 2048)
-    before, squares = bins.used(), sum(f * f for f in bins.fill)
+    before, squares = bins.used, sum(f * f for f in bins.fill)
     packing.search(bins)
-    assert bins.used() < 0.85 * before and sum(f * f for f in bins.fill) > squares
+    assert bins.used < 0.85 * before and sum(f * f for f in bins.fill) > squares
     assert max(bins.fill) <= 2048 and sorted(itertools.chain(*bins.items)) == list(range(3000))
     assert all(bins.fill[b] == sum(lengths[i] for i in items) for b, items in enumerate(bins.items))
 
@@ -121,8 +122,8 @@ def test_search_reaches_the_bound_on_documents():
     texts = [(t or "").encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
     _, stops = packing.BlockTokenizer(TOKENIZER)(texts, 0)
     sizes = [n for n in (np.diff(stops, prepend=0) % 2048).tolist() if n]
-    assert packing.arrange(sizes, 2048).used() == -(-sum(sizes) // 2048)
-    assert packing.arrange([], 2048).used() == 0
+    assert packing.arrange(sizes, 2048).used == -(-sum(sizes) // 2048)
+    assert packing.arrange([], 2048).used == 0
 
 
 def test_packing_of_repeated_rows_and_clashing_names(spark):

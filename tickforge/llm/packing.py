@@ -48,11 +48,18 @@ def _part_marks(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     The tokenizer parts such marks from the word anyway, and drops the space.
     """
-    place = np.arange(len(buf))
     space = SPACE[buf]
     last = np.flatnonzero(space[1:] & ~space[:-1])  # last byte of each word
-    solid = np.maximum.accumulate(np.where(_MARK[buf], -1, place))
-    at = solid[last]
+    marked = last[_MARK[buf[last]]]  # only words that end in a mark can be cut
+    at = marked - 1
+    go = np.flatnonzero((at >= 0) & _MARK[buf[np.maximum(at, 0)]])
+    for _ in range(32):  # back over the marks before
+        at[go] -= 1
+        go = go[(at[go] >= 0) & _MARK[buf[np.maximum(at[go], 0)]]]
+    if len(go):
+        solid = np.maximum.accumulate(np.where(_MARK[buf], -1, np.arange(len(buf))))
+        at[go] = solid[at[go]]
+    last = marked
     before = buf[np.maximum(at - 1, 0)]
     letter = _PLAIN[buf[at]] | ((before == 0xC3) & (buf[at] >= 0x80) & (buf[at] != 0x97) & (buf[at] != 0xB7))
     cut = at[(at < last) & (at >= 0) & ~space[at] & letter] + 1
@@ -106,7 +113,9 @@ class BlockTokenizer:
         buf, ends = _part_marks(buf, ends)
         raw = buf.tobytes()
         start, end, hashes = hash_words(buf)
-        uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        coded = pa.array(hashes).dictionary_encode()  # by first appearance
+        uniq, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, keys = self.known, uniq.tolist()
@@ -126,7 +135,10 @@ class BlockTokenizer:
         order = np.insert(inverse, np.cumsum(count), len(size) - 1)
         n = size[order]
         stop = np.cumsum(n)
-        out = ids[np.repeat(at[order] - (stop - n), n) + np.arange(stop[-1])] if len(stop) else ids[:0]
+        if not len(stop):
+            return ids[:0], stop
+        kind = np.int32 if stop[-1] < 1 << 31 and len(ids) < 1 << 31 else np.int64
+        out = ids[np.repeat((at[order] - (stop - n)).astype(kind), n) + np.arange(stop[-1], dtype=kind)]
         return out, stop[np.cumsum(count + 1) - 1]
 
 
@@ -182,6 +194,7 @@ class Bins:
         self.fill: list[int] = []
         self.where = [0] * len(sizes)
         self.open: list[bool] = []
+        self.used = 0  # bins with pieces
         self.by_room: dict[int, dict[int, None]] = {}
         self.by_reach: dict[int, dict[int, dict[int, None]]] = {}  # by reach, then by size
         self.rooms: list[int] = []  # keys of by_room, sorted
@@ -200,7 +213,7 @@ class Bins:
             bins.items[-1][i] = None
             bins.fill[-1] += n
             bins.where[i] = len(bins.fill) - 1
-        bins.open = [False] * len(bins.fill)
+        bins.used, bins.open = len(bins.fill), [False] * len(bins.fill)
         return bins
 
     @classmethod
@@ -208,12 +221,9 @@ class Bins:
         """Every piece alone."""
         bins = cls(sizes, capacity)
         bins.items, bins.fill, bins.where = [{i: None} for i in range(len(sizes))], list(sizes), list(range(len(sizes)))
-        bins.open = [False] * len(sizes)
+        bins.used, bins.open = len(sizes), [False] * len(sizes)
         return bins
 
-    def used(self) -> int:
-        return sum(1 for x in self.items if x)
-
     @staticmethod
     def _put(table: dict[int, dict[int, None]], keys: list[int], key: int, value: int) -> None:
         if key not in table:
@@ -268,6 +278,7 @@ class Bins:
         del self.items[src][i]
         self.items[dst][i] = None
         self.where[i] = dst
+        self.used -= not self.items[src]
         delta = self.size[i] - sum(self.size[j] for j in back)
         self.fill[src] -= delta
         self.fill[dst] += delta
@@ -341,8 +352,8 @@ def search(bins: Bins, wider: int = 1) -> Bins:
     for b, fill in enumerate(bins.fill):
         if fill < bins.capacity:
             bins.enter(b)
-    used = bins.used()
-    while (spare := used - least) > 0:
+    while (spare := bins.used - least) > 0:
+        before = bins.used
         under = sorted((b for x in bins.by_room.values() for b in x if bins.items[b]), key=lambda b: (bins.fill[b], b))
         givers = under[: spare * wider]
         bins.in_vain.clear()
@@ -353,22 +364,21 @@ def search(bins: Bins, wider: int = 1) -> Bins:
         heap = [(-bins.size[i], i) for b in givers for i in bins.items[b]]
         heapq.heapify(heap)
         rest = []
-        while heap:
+        while heap and bins.used > least:
             _, i = heapq.heappop(heap)
             if not bins.move(i):
                 rest.append((-bins.size[i], i))
                 if not bins.open[bins.where[i]]:
                     bins.enter(bins.where[i])
         heapq.heapify(rest)
-        while rest:
+        while rest and bins.used > least:
             _, i = heapq.heappop(rest)
             for j in () if bins.move(i) else bins.exchange(i, wider > 1) or ():
                 heapq.heappush(rest, (-bins.size[j], j))
         for b in givers:
             if not bins.open[b]:
                 bins.enter(b)
-        before, used = used, bins.used()
-        if used < before:
+        if bins.used < before:
             wider = 1
         elif spare * wider >= len(under):
             break
@@ -380,8 +390,8 @@ def search(bins: Bins, wider: int = 1) -> Bins:
 def arrange(sizes: list[int], capacity: int) -> Bins:
     """The better of two searches: from pieces as they arrive, and, if that misses the bound, from every piece alone."""
     bins = search(Bins.arrival(sizes, capacity))
-    if bins.used() > -(-sum(sizes) // capacity):
-        bins = min(bins, search(Bins.single(sizes, capacity), len(sizes)), key=Bins.used)
+    if bins.used > -(-sum(sizes) // capacity):
+        bins = min(bins, search(Bins.single(sizes, capacity), len(sizes)), key=lambda b: b.used)
     return bins
 
 
