@@ -211,6 +211,66 @@ def test_html_matches_every_stream_it_was_inferred_from():
             assert at is not None and [steps[k] for k in at] == [("token", t) for t in s]
 
 
+def test_html_keeps_what_belongs_to_the_article(spark):
+    body = '<header><h1>Title {n}</h1><nav>x</nav></header><p class="related">Para {n}</p><div class="search-results"><p>Found {n}</p></div><math><mi>x</mi>={n}</math><ul><li class="share">item {n}</ul>'
+    drop = '<div class="ad">Buy {n}</div><div class="comments"><p>Nice {n}</p></div><aside>side {n}</aside><form><textarea>write {n}</textarea></form><header>top {n}</header>'
+    out = extracted(spark, [(i, "http://h/x", f"<header><h2>Site</h2></header><article>{body}{drop}</article>".replace("{n}", str(i))) for i in range(5)])
+    assert out == {i: f"Title {i} Para {i} Found {i} x={i} item {i}" for i in range(5)}
+
+
+@pytest.mark.parametrize("box", ["article", "div"])
+def test_html_wrapper_decides_at_the_edges(spark, monkeypatch, box):
+    """Strings that never mismatch at the edges are template text, in an article too; without the wrapper's places they would stay."""
+    page = f"<{box}><p>Our daily paper</p><h1>Head {{n}}</h1><h2>Summary</h2><p>Text {{n}}</p><p>Printed on paper</p></{box}>"
+    pages = [(i, "http://h/x", page.replace("{n}", str(i))) for i in range(4)]
+    inner = "Summary " if box == "article" else ""
+    assert extracted(spark, pages) == {i: f"Head {i} {inner}Text {i}" for i in range(4)}
+    paths = {"article/p", "article/h1"} if box == "article" else {"div/p", "div/h1"}
+    stats = [{"block": 0, "path": p, "chars": 9, "linked": 0, "least": 1, "most": 2, "pages": [1, 2, 3]} for p in paths]
+    assert len(html.choose(stats)[0]) == 2  # one place for all: nothing is template text
+
+
+def test_html_random_sites_against_their_makers(spark):
+    """Sites with a template each, of which the main text of every page is known exactly."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    pages, want = [], {}
+    for host in range(12):
+        box = rng.choice(['<article class="story">', "<main>", '<div class="main">'])
+        menu, foot, lead = say(4), say(5), rng.choice(["", f"<p>{say(5)}</p>"])
+        for k in range(rng.randint(4, 7)):
+            i = host * 10 + k
+            blocks, text = [], []
+            for _ in range(rng.randint(1, 5)):
+                a, b, c = say(6), say(2), say(3)
+                kind = rng.randrange(4)
+                if kind == 0:
+                    blocks.append(f"<p>{a}  <b>{b}</b>\n{c}")
+                    text.append(f"{a} {b} {c}")
+                elif kind == 1:
+                    blocks.append(f"<ul><li>{a}</li><li>{b} &amp; {c}</li></ul>")
+                    text += [a, f"{b} & {c}"]
+                elif kind == 2:
+                    blocks.append(f"<h2>{b}</h2><div class=ad>{c}</div><blockquote>{a}</blockquote>")
+                    text += [b, a]
+                else:
+                    blocks.append(f"<table><tr><td>{a}<td>{b}</table>")
+                    text += [a, b]
+            title = say(3)
+            tag = box[1:].split()[0].rstrip(">")
+            pages.append((i, f"https://site{host}.example/{i}", f"<html><head><title>{title}</title></head><body><nav><a href=/>{menu}</a></nav>{box}{lead}<h1>{title}</h1>{''.join(blocks)}</{tag}><aside>{say(3)}</aside><footer>{foot}</footer></body></html>"))
+            want[i] = " ".join([title, *text])
+    assert extracted(spark, pages) == want
+
+
+def test_html_deep_unclosed_and_repeated(spark):
+    deep = "<article>" + "<div>" * 20000 + "deep" + "<i>" * 5000 + " text"
+    pages = [(1, "http://h/1", deep), (1, "http://h/1", deep), (None, None, "<article><p>one<p>two"), (2, "http://i/2", "<article>" + "<p>x</p>" * 20000 + "</article>")]
+    rows = html.extract(spark.createDataFrame([(*p, "a", "b") for p in pages], "page_id long, url string, html string, host string, text string")).collect()
+    assert Counter((r.page_id, len(r.text), r.text[:7]) for r in rows) == {(1, 9, "deep te"): 2, (None, 7, "one two"): 1, (2, 39999, "x x x x"): 1}
+
+
 def test_html_empty(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

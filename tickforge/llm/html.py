@@ -15,18 +15,22 @@ template has its own wrapper.  Every page's stream is matched against it, which
 gives each text its place in the wrapper.
 
 Texts under menus, headers, footers, sidebars, notices, adverts, forms and
-comments (by element, role, class or id) are not main text.  Of the others, those
-inside the article or main elements are, if the template has them; else those
-inside the element that holds most text outside links.  There the wrapper
-decides: a block is constant if three or more pages of different texts have it
-and all the same.  Constant blocks before the first and after the last varying
-block are template text, and so are those between them whose element never
-varies.  A page that would lose all its text keeps what is inside the element.
+comments (by element, role, class or id) are not main text; inside an article or
+main element, a header's headings are, and class words of paragraphs, headings
+and list items do not count.  Of the others, those inside the article or main
+elements are main text, if the template has them; else those inside the element
+that holds most text outside links.  There the wrapper decides: a place whose
+strings mismatch between pages is a text slot, one where three or more pages of
+different texts have the same is template text.  Template text before the first
+and after the last slot goes, and outside article and main elements also that
+between slots whose element never varies.  A page that would lose all its text
+keeps what is inside the element.
 
 Null and empty html give the empty text; null urls are one host.  Repeated ids
 are extracted row by row; extra columns are ignored.  Character references are
 decoded, white space in a block becomes one space, blocks are joined by one
-space.  Pages are parsed whole.
+space.  Pages are parsed whole, in time and memory in proportion to their length;
+elements nested deeper than ``DEPTH`` count as part of the one at that depth.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,17 +53,24 @@ from tickforge.llm.storage import durable
 FAN = 256
 #: Longest group of tokens that is looked for as a repetition.
 FOLD = 24
+#: Deepest nesting of elements that paths tell apart.
+DEPTH = 256
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style noscript template iframe textarea title svg select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow msub msup mfrac msqrt".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 BAD_TAGS = frozenset("nav header footer aside form button menu dialog head".split()) | RAW
+#: Words of boilerplate anywhere in a class, id or role, and those that must be all of one.
 BAD_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
-    "copyright disclaimer disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain pagination pager popup "
-    "promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
+    "disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter outbrain pagination pager popup "
+    "promo promoted sharing sidebar signup sponsor sponsored subscribe taboola toolbar topbar".split()
 )
+BAD_WHOLE = frozenset("copyright disclaimer header login notice notices notification promotion related reply replies respond search share skip social subscription widget widgets related-posts related-articles social-share share-buttons search-form skip-link site-header page-header cookie-notice site-notice legal-notice".split())
+#: Elements of running text, whose class words do not count inside an article.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 MAIN_WORDS = frozenset("main articlebody".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)", re.DOTALL)
@@ -74,13 +86,35 @@ def _signature(tag: str, attributes: str) -> str:
     return ".".join([tag, *(re.sub(r"[./\s]", "-", w) for w in words)])
 
 
-def parse(page: str) -> Iterator[tuple[str, str, bool]]:
-    """("<sig", path, block), (">sig", path, block) and ("#", path, text) in page order.
+def parse(page: str) -> Iterator[tuple[str, str, str]]:
+    """("<sig", "", ""), (">sig", "", "") and ("#", path, text) in page order.
 
     Elements that HTML closes by itself are closed; raw elements are skipped.
     """
-    stack: list[tuple[str, str]] = []
-    path = ""
+    stack: list[tuple[str, str, str]] = []  # tag, signature, path
+    opened: dict[str, int] = {}
+    inline = 0  # inline elements at the end of the stack
+
+    def push(tag: str, sig: str) -> None:
+        nonlocal inline
+        before = stack[-1][2] if stack else ""
+        if len(stack) < DEPTH or tag in BAD_TAGS and not is_bad(before):
+            before = f"{before}/{sig}" if before else sig
+        stack.append((tag, sig, before))
+        opened[tag] = opened.get(tag, 0) + 1
+        inline = inline + 1 if tag in INLINE else 0
+
+    def pop() -> str:
+        nonlocal inline
+        tag, sig, _ = stack.pop()
+        opened[tag] -= 1
+        if inline:
+            inline -= 1
+        else:
+            while inline < len(stack) and stack[-1 - inline][0] in INLINE:
+                inline += 1
+        return ">" + sig
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -89,47 +123,32 @@ def parse(page: str) -> Iterator[tuple[str, str, bool]]:
         at = m.end()
         closing, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if m[7] is not None:
-            yield "#", path, m[7]
+            yield "#", stack[-1][2] if stack else "", m[7]
             continue
         if not tag:
             continue
         tag = tag.lower()
-        block = tag not in INLINE
         if closing:
-            if any(t == tag for t, _ in stack):
-                while True:
-                    top, sig = stack.pop()
-                    path = "/".join(s for _, s in stack)
-                    yield ">" + sig, path, top not in INLINE
-                    if top == tag:
-                        break
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    yield pop(), "", ""
+                yield pop(), "", ""
             continue
         while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-            top, sig = stack.pop()
-            path = "/".join(s for _, s in stack)
-            yield ">" + sig, path, True
+            yield pop(), "", ""
         # a paragraph also ends where only inline elements are open inside it
-        if tag in CLOSED_BY["p"]:
-            k = len(stack)
-            while k and stack[k - 1][0] in INLINE:
-                k -= 1
-            if k and stack[k - 1][0] == "p" and k < len(stack):
-                while len(stack) >= k:
-                    top, sig = stack.pop()
-                    path = "/".join(s for _, s in stack)
-                    yield ">" + sig, path, top not in INLINE
+        if inline and tag in CLOSED_BY["p"] and len(stack) > inline and stack[-1 - inline][0] == "p":
+            for _ in range(inline + 1):
+                yield pop(), "", ""
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             if not rest.rstrip().endswith("/"):
                 at = end.end() if end else n
             continue
         sig = _signature(tag, rest)
-        if tag in VOID or rest.rstrip().endswith("/") and tag not in INLINE | {"p", "div"}:
-            yield "<" + sig, path, block
-            continue
-        stack.append((tag, sig))
-        path = "/".join(s for _, s in stack)
-        yield "<" + sig, path, block
+        if not (tag in VOID or rest.rstrip().endswith("/") and tag not in INLINE | {"p", "div"}):
+            push(tag, sig)
+        yield "<" + sig, "", ""
 
 
 # A wrapper is a list of nodes: a token, ["+", nodes] (repeated) or ["?", nodes] (optional).
@@ -315,8 +334,22 @@ def _words(sig: str) -> set[str]:
     return {p for w in words for p in re.split(r"[-_:]+", w)} | set(words)
 
 
+def _bad_words(sig: str) -> bool:
+    whole = set(sig.split(".")[1:])
+    return bool(whole & BAD_WHOLE or _words(sig) & BAD_WORDS)
+
+
+@lru_cache(1 << 14)
 def is_bad(path: str) -> bool:
-    return any(s.split(".")[0] in BAD_TAGS or _words(s) & BAD_WORDS for s in path.split("/"))
+    parts = path.split("/")
+    inside = False
+    for k, sig in enumerate(parts):
+        tag = sig.split(".")[0]
+        heading = inside and tag == "header" and any(x.split(".")[0] in HEADINGS for x in parts[k + 1 :])
+        if not heading and (tag in BAD_TAGS or not (inside and tag in TEXT_TAGS) and _bad_words(sig)):
+            return True
+        inside = inside or _is_main(sig)
+    return False
 
 
 def _is_main(sig: str) -> bool:
@@ -364,16 +397,16 @@ def choose(stats: list[dict]) -> tuple[set[tuple[int, str]], set[tuple[int, str]
     """
     good, declared = _good({r["path"] for r in stats})
     if declared:
-        kept = {(r["block"], r["path"]) for r in stats if r["path"] in good}
-        return kept, kept
-    weight: dict[str, int] = {}
-    for r in stats:
-        if r["path"] in good:
-            weight[_box(r["path"])] = weight.get(_box(r["path"]), 0) + r["chars"] - 2 * r["linked"]
-    if not weight:
-        return set(), set()
-    box = max(sorted(weight), key=lambda k: weight[k])
-    inside = [r for r in stats if r["path"] in good and (r["path"] == box or not box or r["path"].startswith(box + "/"))]
+        inside = [r for r in stats if r["path"] in good]
+    else:
+        weight: dict[str, int] = {}
+        for r in stats:
+            if r["path"] in good:
+                weight[_box(r["path"])] = weight.get(_box(r["path"]), 0) + r["chars"] - 2 * r["linked"]
+        if not weight:
+            return set(), set()
+        box = max(sorted(weight), key=lambda k: weight[k])
+        inside = [r for r in stats if r["path"] in good and (r["path"] == box or not box or r["path"].startswith(box + "/"))]
     texts: dict[int, set] = {}
     pages: dict[int, set] = {}
     for r in inside:
@@ -382,7 +415,7 @@ def choose(stats: list[dict]) -> tuple[set[tuple[int, str]], set[tuple[int, str]
     varying = {b for b in texts if len(texts[b]) > 1 or len(pages[b]) < 3}
     elements = {_element(r["path"]) for r in inside if r["block"] in varying}
     all_inside = {(r["block"], r["path"]) for r in inside}
-    kept = {(b, p) for b, p in all_inside if b in varying or varying and min(varying) < b < max(varying) and _element(p) in elements}
+    kept = {(b, p) for b, p in all_inside if b in varying or varying and min(varying) < b < max(varying) and (declared or _element(p) in elements)}
     return kept or all_inside, all_inside
 
 
@@ -426,7 +459,7 @@ def _joined(tokens: list[str]) -> list[str]:
 
 
 class _Matcher:
-    """The block in the wrapper of each text of a page (-1: blank, or no match)."""
+    """The place in the wrapper of each text of a page: its block, three numbers a block (-1: blank, or no match)."""
 
     def __init__(self) -> None:
         self.wrappers: dict[str, tuple[list, list[int]]] = {}
@@ -445,14 +478,22 @@ class _Matcher:
         items = json.loads(tokens)
         at = match(steps, _joined(items))
         out, k, last = [], -1, ""
+        entered: dict[int, int] = {}  # rounds of each block
+        now = -1
         for t in items:
             if t == " ":
-                out.append(-1)
+                out.append((-1, 0))
                 continue
             k += not (t == "#" and last == "#")
             last = t
+            block = -1 if at is None else blocks[at[k]]
+            if block != now:
+                entered[block] = entered.get(block, -1) + 1
+                now = block
             if t == "#":
-                out.append(-1 if at is None else blocks[at[k]])
+                out.append((block, entered[block]))
+        # in a repetition, the first and the last round are places of their own
+        out = [b if b < 0 else 3 * b + (0 if r == 0 else 2 if r == entered[b] else 1) for b, r in out]
         self.known[nodes, tokens] = out
         return out
 
