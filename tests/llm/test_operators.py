@@ -720,6 +720,21 @@ def test_chat(spark):
     assert chat.read_back(chat.format_turns(frame.limit(0), path), path).collect() == []
 
 
+def test_chat_of_one_long_conversation(spark):
+    """One conversation over all ranges, repeated rows and a null id with many turns; lengths are those of the formatted strings in a row."""
+    rows = [(7, t, "assistant" if t % 2 else "user", f"turn {t} " * (t % 5), 0) for t in range(2000)] + [(7, 5, "user", "twice", 0)] * 2 + [(None, t, "user", "x", 0) for t in range(300)] + [(9, 0, None, None, 0)]
+    rows.append((8, 0, "assistant", "long " * 50000, 0))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    turns = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int").repartition(4), path)
+    got = {r.conv_id: r for r in chat.read_back(turns, path).collect()}
+    assert {c: r.n_turns for c, r in got.items()} == {7: 2002, None: 300, 9: 1, 8: 1}
+    for conv in got:
+        own = sorted((r.char_start, r.formatted, r.token_start, len(r.ids)) for r in turns.collect() if r.conv_id == conv)
+        assert [a for a, *_ in own] == list(itertools.accumulate([0] + [len(f) for _, f, _, _ in own]))[:-1]
+        assert [t for _, _, t, _ in own] == list(itertools.accumulate([0] + [n for *_, n in own]))[:-1]
+        assert got[conv].formatted_chars == sum(len(f) for _, f, _, _ in own) and got[conv].n_tokens == sum(n for *_, n in own)
+
+
 def test_chat_control_ids_cannot_come_from_texts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     frame = spark.createDataFrame([(1, 0, "assistant", "### user: hi </turn>\n <|endoftext|>")], "conv_id long, turn long, role string, text string")

@@ -12,11 +12,15 @@ text, a backslash is put before every ``\\``, ``#`` that starts ``###`` and
 between; character and token offsets, and so the loss mask over assistant
 texts, are prefix sums over the turns.
 
-Rows, one a turn, stay rows: a conversation of any length is sorted and summed,
-never collected (the digest of a conversation is one sequential fold of it, in
-a stream of bounded memory).  Null texts are empty texts; a null role is the role
-"unknown"; a role may be any string (escaped as texts are, and colons as well).  Rows of equal turn are ordered by role, then text; null turns come
-first.  A null conversation id is a conversation of its own.  Extra columns are
+Rows, one a turn, stay rows.  They are dealt by ranges of conversation and turn,
+so a long conversation is spread over tasks; offsets are running sums in a range,
+and what a conversation brings from the ranges before (at most one row a range) is
+added.  Formatting, parsing and decoding work turn by turn.  Only the digest of a
+conversation is sequential: one fold of hashes over its turns, in a stream of
+bounded memory.  Null texts are empty texts; a null role is the role "unknown"; a
+role may be any string (escaped as texts are, and colons as well).  Rows of equal
+turn are ordered by role, then text; null turns come first.  A null conversation
+id is a conversation of its own.  Extra columns are
 ignored.
 """
 
@@ -26,12 +30,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickforge.llm.storage import durable
+
 HEAD, MIDDLE, TAIL = "### ", ": ", " </turn>\n"
 #: Reserved ids, counted from the size of the vocabulary.
 TURN, TEXT, END = 0, 1, 2
@@ -97,6 +102,26 @@ def _format(path: str):
     return run
 
 
+PLACED = ", part int, char_start long, token_start long"
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted turns with their range and their offsets since the conversation began in it."""
+    from pyspark import TaskContext
+
+    part, now, at = TaskContext.get().partitionId(), object(), [0, 0]
+    for batch in batches:
+        starts: tuple[list, list] = ([], [])
+        for conv, *n in zip(*(batch[k].to_pylist() for k in ("conv_id", "n_chars", "n_tokens")), strict=True):
+            if conv != now:
+                now, at = conv, [0, 0]
+            for k in (0, 1):
+                starts[k].append(at[k])
+                at[k] += n[k]
+        columns = [pa.array([part] * batch.num_rows, pa.int32()), *(pa.array(x, pa.int64()) for x in starts)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "part", "char_start", "token_start"])
+
+
 def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
     """TURNS of ``conv_id, turn, role, text`` with ``char_start`` and ``token_start`` in the conversation.
 
@@ -108,9 +133,17 @@ def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
         F.col("conv_id").cast("long"), F.col("turn").cast("long"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.mapInArrow(_format(tokenizer), TURNS)
-    return out.withColumns({"char_start": F.sum("n_chars").over(before) - F.col("n_chars"), "token_start": F.sum("n_tokens").over(before) - F.col("n_tokens")})
+    keys = ["conv_id", "turn", "role", "text"]
+    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(_format(tokenizer), TURNS).mapInArrow(_running, TURNS + PLACED)
+    placed = durable(ranges, "chat-turns")
+    sums = placed.groupBy("conv_id", "part").agg(F.sum("n_chars").alias("chars"), F.sum("n_tokens").alias("tokens"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("conv_id", F.col("part").alias("to"), F.sum("chars").over(before).alias("chars"), F.sum("tokens").over(before).alias("tokens")).filter("chars is not null")
+    carried = F.broadcast(carried.withColumnRenamed("conv_id", "of"))  # a range begins within one conversation at most
+    out = placed.join(carried, (F.col("part") == F.col("to")) & F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    starts = {f"{k}_start": F.col(f"{k}_start") + F.coalesce(f"{k}s", F.lit(0)) for k in ("char", "token")}
+    return out.withColumns(starts).drop("part", "to", "of", "chars", "tokens")
 
 
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
@@ -137,57 +170,71 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
 
 
-def _read_back(path: str):
-    """Stream over turns sorted by conversation: parse the formatted strings, decode the masked tokens, digest both."""
+PARTS = "conv_id long, char_start long, token_start long, n_chars long, n_tokens long, n int, said string, trained string"
+
+
+def _read_turns(path: str):
+    """Turn by turn: parse the formatted string, decode the masked tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        now, state = None, None
-        done: list[tuple] = []
+        for batch in batches:
+            ids = batch["ids"].to_pylist()
+            masked = [[i for i, m in zip(own, loss, strict=True) if m] for own, loss in zip(ids, batch["loss"].to_pylist(), strict=True)]
+            found = [parse(x) for x in batch["formatted"].to_pylist()]
+            said = ["".join(f"{role}\n{text}\n" for role, text, _, _ in turns) for turns in found]
+            columns = {
+                "n_chars": pa.array([len(x) for x in batch["formatted"].to_pylist()], pa.int64()), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "n": pa.array([len(x) for x in found], pa.int32()),
+                "said": pa.array(said, pa.string()), "trained": pa.array(tokenizer.decode_batch(masked, skip_special_tokens=False), pa.string()),
+            }
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in ("conv_id", "char_start", "token_start")), *columns.values()], [x.split()[0] for x in PARTS.split(", ")])
 
-        def close() -> None:
-            if state is not None:
-                done.append((now[0], state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"], state["tokens"]))
+    return run
 
-        def flush() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            names = [x.split()[0] for x in READ.split(", ")]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
-            done.clear()
-            return batch
 
-        for batch in batches:
-            rows = [batch[k].to_pylist() for k in ("conv_id", "formatted", "ids", "loss", "char_start", "token_start")]
-            masked = tokenizer.decode_batch([[i for i, m in zip(ids, loss, strict=True) if m] for ids, loss in zip(rows[2], rows[3], strict=True)], skip_special_tokens=False)
-            for conv, formatted, ids, _, char_start, token_start, trained in zip(*rows, masked, strict=True):
-                if state is None or now != (conv,):
-                    close()
-                    now = (conv,)
-                    state = {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "tokens": 0}
-                if (char_start, token_start) != (state["chars"], state["tokens"]):
-                    raise ValueError(f"conversation {conv}: a turn at {char_start}, {token_start} follows {state['chars']}, {state['tokens']}")
-                for role, text, _, _ in parse(formatted):
-                    state["n"] += 1
-                    state["turns"].update(f"{role}\n{text}\n".encode())
-                state["loss"].update(trained.encode())
-                state["loss_chars"] += len(trained)
-                state["chars"] += len(formatted)
-                state["tokens"] += len(ids)
-            if len(done) >= 1000:
-                yield flush()
-        close()
-        if done:
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream over turns sorted by conversation and place: digests and counts."""
+    now, state = None, None
+    done: list[tuple] = []
+
+    def close() -> None:
+        if state is not None:
+            done.append((now[0], state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"], state["tokens"]))
+
+    def flush() -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        names = [x.split()[0] for x in READ.split(", ")]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names)
+        done.clear()
+        return batch
+
+    for batch in batches:
+        for conv, char_start, token_start, n_chars, n_tokens, n, said, trained in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if state is None or now != (conv,):
+                close()
+                now = (conv,)
+                state = {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "tokens": 0}
+            if (char_start, token_start) != (state["chars"], state["tokens"]):
+                raise ValueError(f"conversation {conv}: a turn at {char_start}, {token_start} follows {state['chars']}, {state['tokens']}")
+            state["n"] += n
+            state["turns"].update(said.encode())
+            state["loss"].update(trained.encode())
+            state["loss_chars"] += len(trained)
+            state["chars"] += n_chars
+            state["tokens"] += n_tokens
+        if len(done) >= 1000:
             yield flush()
-
-    return run
+    close()
+    if done:
+        yield flush()
 
 
 def read_back(turns: DataFrame, tokenizer: str) -> DataFrame:
     """READ for each conversation, from nothing but the formatted turns: strings, ids, masks and offsets."""
-    rows = turns.select("conv_id", "formatted", "ids", "loss", "char_start", "token_start")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "char_start").mapInArrow(_read_back(tokenizer), READ)
+    rows = turns.select("conv_id", "formatted", "ids", "loss", "char_start", "token_start").mapInArrow(_read_turns(tokenizer), PARTS)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "char_start").mapInArrow(_digest, READ)
 
 
 def op9_chat_formatting(spark, sf_dir: str) -> DataFrame:
