@@ -64,6 +64,28 @@ def test_rejections_and_expiry():
         engine.step(2, {})
 
 
+def test_open_orders_reserve_cash_and_shares():
+    buy = {"symbol": "A", "side": "BUY", "quantity": 60}
+    engine, out = run({1: [buy, buy], 3: [{"symbol": "A", "side": "SELL", "quantity": 40, "limit": 99.0}] * 2}, [10, 10, 10, 10], B.Rules(cash=1000, participation=1, slippage_bps=0), volume=1000)
+    assert [(o["side"], o["status"], o["reason"]) for o in out["order"]] == [
+        ("BUY", "REJECTED", "INSUFFICIENT_CASH"), ("BUY", "FILLED", ""), ("SELL", "REJECTED", "INSUFFICIENT_POSITION"), ("SELL", "EXPIRED", ""),
+    ]
+    assert engine.reserved == pytest.approx(0) and engine.promised["A"] == 0
+
+
+def test_cash_is_checked_again_at_the_fill():
+    _, out = run({1: [{"symbol": "A", "side": "BUY", "quantity": 90}]}, [10, 12], B.Rules(cash=1000, participation=1), volume=1000)
+    assert not out["fill"] and [(o["status"], o["reason"]) for o in out["order"]] == [("REJECTED", "INSUFFICIENT_CASH")]
+    _, out = run({1: [{"symbol": "A", "side": "BUY", "quantity": 90}]}, [10, 10, 40], B.Rules(cash=1000, participation=1), volume=50)
+    assert [f["quantity"] for f in out["fill"]] == [50] and [(o["status"], o["left"]) for o in out["order"]] == [("CANCELED", 40)]
+
+
+def test_close_mode_fills_on_the_bar_and_the_rest_at_the_next_open():
+    engine, out = run({1: [{"symbol": "A", "side": "BUY", "quantity": 30}, {"symbol": "A", "side": "BUY", "quantity": 5, "limit": 9.0}]}, [10, 12, 8], B.Rules(cash=1000, participation=1, slippage_bps=0, fee_rate=0, fill_timing="CLOSE"), volume=20)
+    assert [(f["timestamp"], f["quantity"], f["price"]) for f in out["fill"]] == [(1, 20, 10), (2, 10, 12), (3, 5, 8)]
+    assert engine.cash == 1000 - 200 - 120 - 40
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_engine_invariants(seed):
     rng = np.random.default_rng(seed)

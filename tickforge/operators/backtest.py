@@ -54,6 +54,11 @@ def targets_to_orders(targets: DataFrame, positions: DataFrame) -> DataFrame:
     return out.select("timestamp", "symbol", F.when(F.col("delta") > 0, "BUY").otherwise("SELL").alias("side"), F.abs("delta").alias("quantity")).orderBy("timestamp", F.desc("side"), "symbol")
 
 
+def held_before(targets: DataFrame) -> DataFrame:
+    """Positions that earlier targets have left: ``timestamp, symbol, position`` of every target."""
+    return targets.select("timestamp", "symbol", F.lag("target", 1, 0).over(Window.partitionBy("symbol").orderBy("timestamp")).alias("position"))
+
+
 def next_open_fills(orders: DataFrame, bars: DataFrame, participation: float = 0.25, basis_points: float = 10.0) -> DataFrame:
     """Unconstrained market orders at the next bar's open, at most ``participation`` of its volume."""
     following = bars.select("symbol", F.col("timestamp").alias("fill_at"), F.lag("timestamp").over(Window.partitionBy("symbol").orderBy("timestamp")).alias("timestamp"), "open", "volume")
@@ -89,9 +94,10 @@ class Order:
     side: str
     quantity: int
     limit: float | None = None
-    status: str = "ACCEPTED"
+    status: str = "NEW"
     reason: str = ""
     left: int = field(default=0)
+    reserve: float = 0.0  # cash that an accepted buy holds back
 
 
 @dataclass
@@ -115,6 +121,8 @@ class Rules:
     stamp: float = 0.0
     same_day_sell: bool = True
     allow_short: bool = False
+    market_buffer_bps: float = 0.0  # more that a market buy reserves
+    fill_timing: str = "OPEN"  # of market orders: the next open, or the close of the bar that brought them
 
 
 Strategy = Callable[[int, dict[str, dict], dict[str, int], float], list[dict]]
@@ -122,7 +130,12 @@ Strategy = Callable[[int, dict[str, dict], dict[str, int], float], list[dict]]
 
 class Engine:
     """One portfolio.  Per timestamp: roll the day, corporate actions, pending orders at the open in order of
-    submission, resting limits (best price first, then age), mark at the close, then the strategy."""
+    submission, resting limits (best price first, then age), mark at the close, then the strategy.
+
+    An accepted buy reserves its cost and fee, an accepted sell its shares, until it fills or closes; an order
+    that asks for more than is free is rejected.  What a fill would cost is checked again at its price: if cash
+    no longer covers the rest of the order, it is rejected, or canceled where part of it has been filled.
+    """
 
     def __init__(self, rules: Rules, strategy: Strategy):
         self.rules, self.strategy = rules, strategy
@@ -131,6 +144,9 @@ class Engine:
         self.pending: list[Order] = []
         self.resting: list[Order] = []
         self.last: dict[str, float] = {}
+        self.reserved = 0.0  # cash of open buys
+        self.promised: dict[str, int] = {}  # shares of open sells
+        self.used: dict[str, int] = {}  # volume taken from the current bars
         self.day: int | None = None
         self.now: int | None = None
         self.next_id = 1
@@ -140,26 +156,38 @@ class Engine:
         return max(notional * self.rules.fee_rate, self.rules.least_fee) + (notional * self.rules.stamp if sell else 0.0)
 
     def _close(self, order: Order, status: str, reason: str = "") -> None:
+        if order.status == "ACCEPTED":
+            self._release(order, order.left)
         order.status, order.reason = status, reason
         self.out["order"].append({"timestamp": self.now, "order_id": order.order_id, "symbol": order.symbol, "side": order.side, "quantity": order.quantity, "left": order.left, "status": status, "reason": reason})
 
-    def _room(self, order: Order, price: float, most: int) -> int:
-        """How much of an order cash or holdings allow."""
+    def _release(self, order: Order, n: int) -> None:
+        """Give back what ``n`` of an accepted order's open shares hold."""
         if order.side == "SELL":
-            p = self.positions.get(order.symbol, Position())
-            return most if self.rules.allow_short else min(most, p.quantity if self.rules.same_day_sell else p.sellable)
-        if self.cash <= 0:
-            return 0
-        most = min(most, int(self.cash / price))
-        while most > 0 and most * price + self._fee(most * price, False) > self.cash + 1e-9:
-            most -= 1
-        return most
-
-    def _fill(self, order: Order, bar: dict, price: float, used: dict[str, int]) -> None:
-        cap = int(bar["volume"] * self.rules.participation + 1e-9) - used.get(order.symbol, 0)
-        n = self._room(order, price, min(order.left, cap))
+            self.promised[order.symbol] -= n
+        elif order.left:
+            part = order.reserve * n / order.left
+            order.reserve -= part
+            self.reserved -= part
+
+    def _cost(self, n: int, price: float) -> float:
+        return n * price + self._fee(n * price, False)
+
+    def _sellable(self, symbol: str) -> int:
+        p = self.positions.get(symbol)
+        return 0 if p is None else max(0, p.quantity if self.rules.same_day_sell else p.sellable)
+
+    def _fill(self, order: Order, bar: dict, price: float) -> None:
+        used = self.used
+        n = min(order.left, int(bar["volume"] * self.rules.participation + 1e-9) - used.get(order.symbol, 0))
+        if order.side == "SELL" and not self.rules.allow_short:
+            n = min(n, self._sellable(order.symbol))
         if n <= 0:
             return
+        if order.side == "BUY" and self._cost(order.left, price) > self.cash - self.reserved + order.reserve + 1e-9:
+            self._close(order, "REJECTED" if order.left == order.quantity else "CANCELED", "INSUFFICIENT_CASH")
+            return
+        self._release(order, n)
         used[order.symbol] = used.get(order.symbol, 0) + n
         notional = n * price
         fee = self._fee(notional, order.side == "SELL")
@@ -204,7 +232,7 @@ class Engine:
                 p.sellable = p.quantity
         for a in actions:
             self._action(a)
-        used: dict[str, int] = {}
+        self.used = {}
         waiting = []
         for order in self.pending:
             bar = bars.get(order.symbol)
@@ -213,11 +241,9 @@ class Engine:
                 continue
             if order.limit is None:
                 sign = 1 if order.side == "BUY" else -1
-                self._fill(order, bar, bar["open"] * (1 + sign * self.rules.slippage_bps / 1e4), used)
-                if order.left:
+                self._fill(order, bar, bar["open"] * (1 + sign * self.rules.slippage_bps / 1e4))
+                if not self._done(order):
                     waiting.append(order)
-                else:
-                    self._close(order, "FILLED")
             else:
                 self.resting.append(order)
         self.pending = waiting
@@ -227,18 +253,23 @@ class Engine:
             if bar is None or self._blocked(order, bar):
                 continue
             if order.side == "BUY" and bar["low"] <= order.limit:
-                self._fill(order, bar, min(bar["open"], order.limit), used)
+                self._fill(order, bar, min(bar["open"], order.limit))
             elif order.side == "SELL" and bar["high"] >= order.limit:
-                self._fill(order, bar, max(bar["open"], order.limit), used)
-            if not order.left:
-                self._close(order, "FILLED")
-        self.resting = [o for o in self.resting if o.left]
+                self._fill(order, bar, max(bar["open"], order.limit))
+            self._done(order)
+        self.resting = [o for o in self.resting if o.status == "ACCEPTED"]
         for symbol, bar in bars.items():
             self.last[symbol] = bar["close"]
         for wish in self.strategy(timestamp, bars, {s: p.quantity for s, p in self.positions.items()}, self.cash):
             self._submit(wish, bars)
         self.out["equity"].append({"timestamp": timestamp, "cash": self.cash, "equity": self.equity()})
 
+    def _done(self, order: Order) -> bool:
+        """Whether an order has closed; one without open shares closes as filled."""
+        if order.status == "ACCEPTED" and not order.left:
+            self._close(order, "FILLED")
+        return order.status != "ACCEPTED"
+
     def equity(self) -> float:
         return self.cash + sum(p.quantity * self.last.get(s, p.cost) for s, p in self.positions.items())
 
@@ -251,11 +282,35 @@ class Engine:
             self._close(order, "REJECTED", "INVALID_LIMIT")
         elif order.symbol not in self.last and order.symbol not in bars:
             self._close(order, "REJECTED", "UNKNOWN_SYMBOL")
-        elif order.side == "SELL" and not self.rules.allow_short and self.positions.get(order.symbol, Position()).quantity - sum(o.left for o in self.pending + self.resting if o.symbol == order.symbol and o.side == "SELL") < order.quantity:
+        elif order.side == "SELL" and not self.rules.allow_short and self._sellable(order.symbol) - self.promised.get(order.symbol, 0) < order.quantity:
             self._close(order, "REJECTED", "INSUFFICIENT_POSITION")
-        elif order.side == "BUY" and order.quantity * (order.limit or self.last.get(order.symbol, 0.0)) > self.cash + 1e-9:
+        elif order.side == "BUY" and self._estimate(order, bars.get(order.symbol)) > self.cash - self.reserved + 1e-9:
             self._close(order, "REJECTED", "INSUFFICIENT_CASH")
         else:
+            self._accept(order, bars.get(order.symbol))
+
+    def _estimate(self, order: Order, bar: dict | None) -> float:
+        """What a buy may cost: at its limit, or at the last price with slippage and buffer, the upper limit at least."""
+        price = order.limit
+        if price is None:
+            price = self.last.get(order.symbol, 0.0) * (1 + (self.rules.slippage_bps + self.rules.market_buffer_bps) / 1e4)
+            price = max(price, (bar or {}).get("upper_limit") or 0.0)
+        return self._cost(order.quantity, price)
+
+    def _accept(self, order: Order, bar: dict | None) -> None:
+        order.status = "ACCEPTED"
+        if order.side == "BUY":
+            order.reserve = self._estimate(order, bar)
+            self.reserved += order.reserve
+        else:
+            self.promised[order.symbol] = self.promised.get(order.symbol, 0) + order.left
+        if self.rules.fill_timing == "CLOSE" and bar is not None and not self._blocked(order, bar):
+            sign = 1 if order.side == "BUY" else -1
+            if order.limit is None:
+                self._fill(order, bar, bar["close"] * (1 + sign * self.rules.slippage_bps / 1e4))
+            elif sign * (order.limit - bar["close"]) >= 0:
+                self._fill(order, bar, bar["close"])
+        if not self._done(order):
             self.pending.append(order)
 
     def _action(self, a: dict) -> None:
@@ -346,8 +401,11 @@ def run_groups(bars: DataFrame, strategy_of: Callable[[str], Strategy], rules: R
     return keyed.repartition(n, run).sortWithinPartitions(run, "timestamp", "symbol").mapInArrow(fold, RUN)
 
 
-def cross_strategy(short: int, long: int, lots: int = 100) -> Strategy:
-    """Buy when the short average rises over the long one, sell all when it falls below; sums run along."""
+def cross_strategy(short: int, long: int, lots: int = 100, budget: float | None = None) -> Strategy:
+    """Buy when the short average rises over the long one, sell all when it falls below; sums run along.
+
+    A purchase is of ``lots`` shares, or, with a ``budget`` for each symbol, of as many as it pays for.
+    """
     seen: dict[str, list] = {}  # closes, short sum, long sum, short above long
 
     def act(ts: int, bars: dict[str, dict], held: dict[str, int], cash: float) -> list[dict]:
@@ -367,8 +425,9 @@ def cross_strategy(short: int, long: int, lots: int = 100) -> Strategy:
             above = state[1] * long > state[2] * short
             if above is not state[3]:
                 if state[3] is not None:
-                    if above and cash >= close * lots:
-                        out.append({"symbol": s, "side": "BUY", "quantity": lots})
+                    n = lots if budget is None else int(budget / close)
+                    if above and n and cash >= close * n:
+                        out.append({"symbol": s, "side": "BUY", "quantity": n})
                     elif not above and held.get(s, 0) > 0:
                         out.append({"symbol": s, "side": "SELL", "quantity": held[s]})
                 state[3] = above

@@ -23,7 +23,7 @@ from tickforge.operators import scan as S
 from tickforge.plans.common import FROM, SCORED, r, rounded_columns, scored
 from tickforge.plans.features import _V1
 from tickforge.plans.feeds import _lake, _recordings, _reports
-from tickforge.plans.portfolio import _ORDERS, NATIONS, _nations, _panel, _returns, _scalars, _weights
+from tickforge.plans.portfolio import _ORDERS, _TARGETS, NATIONS, _nations, _panel, _returns, _scalars, _weights
 from tickforge.plans.portfolio import _orders as _all_orders
 from tickforge.sources import files
 from tickforge.sources.tables import BARS, FILLS, fills, monthly_bars, table
@@ -134,37 +134,12 @@ def _embedding(s, d):
     return whole.groupBy("panel").applyInPandas(run, "panel int, name string, value double").select("panel", "name", rounded(F.col("value")).alias("value"))
 
 
-def _engine(prices, plan, rules, actions=None):
-    engine = B.Engine(rules, lambda ts, *_: plan.get(ts, []))
-    for t, p in enumerate(prices, 1):
-        engine.step(t, {"A": {"open": p, "high": p * 1.01, "low": p * 0.99, "close": p, "volume": 1000}}, (actions or {}).get(t, []))
-    out = engine.finish()
-    return engine, out
-
-
-def _rows(s, out, kind, columns, schema):
-    return s.createDataFrame([tuple(x[c] for c in columns) for x in out[kind]], schema)
-
-
-def _limit(s, d):
-    _, out = _engine([10, 9.8, 9.4, 9.9], {1: [{"symbol": "A", "side": "BUY", "quantity": 50, "limit": 9.5}]}, B.Rules(cash=10_000))
-    return _rows(s, out, "fill", ("timestamp", "quantity", "price"), "timestamp long, quantity long, price double").select("timestamp", "quantity", rounded(F.col("price")).alias("price"))
-
-
-def _action(s, d):
-    engine, _ = _engine([10, 10, 5], {1: [{"symbol": "A", "side": "BUY", "quantity": 100}]}, B.Rules(cash=10_000, slippage_bps=0, fee_rate=0), {3: [{"symbol": "A", "cash_dividend_per_share": 0.1, "share_multiplier": 2.0}]})
-    p = engine.positions["A"]
-    return s.createDataFrame([(p.quantity, p.cost, engine.cash)], "quantity long, cost double, cash double")
-
-
-def _reserve(s, d):
-    _, out = _engine([10, 10], {1: [{"symbol": "A", "side": "BUY", "quantity": 5000}, {"symbol": "A", "side": "SELL", "quantity": 1}]}, B.Rules(cash=1000))
-    return _rows(s, out, "order", ("side", "status", "reason"), "side string, status string, reason string")
-
-
-def _shared(s, d):
-    bars = monthly_bars(s, d).withColumn("run", F.lit("shared"))
-    return B.run_groups(bars, lambda _: B.cross_strategy(3, 8, 20), B.Rules(cash=50_000.0)).filter("kind = 'equity'").agg(F.count("*").alias("n"), rounded(F.max_by("value", "timestamp"), 2).alias("equity"))
+def _shared(s, d, cash=1e6):
+    """All symbols in one portfolio, each with an equal share of the cash as its budget."""
+    bars = monthly_bars(s, d)
+    n = max(1, bars.select("symbol").distinct().count())
+    out = B.run_groups(bars.withColumn("run", F.lit("shared")), lambda _: B.cross_strategy(3, 8, budget=cash / n), B.Rules(cash=cash))
+    return out.filter("kind = 'equity'").agg(F.count("*").alias("n"), rounded(F.max_by("value", "timestamp"), 2).alias("equity"))
 
 
 def _proxy(s, d):
@@ -223,13 +198,6 @@ def _read_frames(frames):
             yield pd.DataFrame({"payload": out})
 
 
-def _log(s, d):
-    """Frames of length, checksum and payload, written and read again."""
-    rows = [json.dumps({"kind": "target", "n": i}).encode() for i in range(100)]
-    data = b"".join(len(x).to_bytes(4, "big") + hashlib.blake2b(x, digest_size=8).digest() + x for x in rows)
-    blob = s.createDataFrame([(bytearray(data),)], "content binary")
-    return blob.mapInPandas(_read_frames, "payload string").select(F.get_json_object("payload", "$.kind").alias("kind"), F.get_json_object("payload", "$.n").cast("long").alias("n"))
-
 
 
 def _whole_run(s, d, rules=B.Rules(cash=1e7)):
@@ -249,19 +217,66 @@ def _limit_wish(ts, bars, held, cash):
     return [{"symbol": x, "side": "BUY", "quantity": 1, "limit": bar["close"] * 0.98} for x, bar in sorted(bars.items())]
 
 
-def _reserve_wish(ts, bars, held, cash):
-    """A buy for twice the cash and a sell of more than is held."""
-    return [w for x, bar in sorted(bars.items()) for w in ({"symbol": x, "side": "BUY", "quantity": int(2 * cash / bar["close"]) + 1}, {"symbol": x, "side": "SELL", "quantity": held.get(x, 0) + 1})]
+_AMPLE = {"cash": 1e12, "participation": 1e6}
 
 
 def _limit_bars(s, d):
-    """Limit fills of all symbols and bars, against the bar that filled them."""
-    out = _by_symbol_run(s, d, _limit_wish, B.Rules(cash=1e12, participation=1)).filter("kind = 'fill'").select("timestamp", "symbol", "order_id", "quantity", rounded(F.col("price")).alias("price"))
-    return out.join(monthly_bars(s, d).select("timestamp", "symbol", "open", "low"), ["timestamp", "symbol"])
+    """Limit fills of all symbols and bars: the order of the n-th bar fills at the first later bar that reaches it."""
+    return _by_symbol_run(s, d, _limit_wish, B.Rules(**_AMPLE)).filter("kind = 'fill'").select("timestamp", "symbol", "order_id", "quantity", rounded(F.col("price")).alias("price"))
+
+
+_NUMBERED = BARS + ", n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) AS k FROM bars)"
+
+_LIMITS = (
+    _NUMBERED
+    + ", f AS (SELECT o.symbol, o.k AS order_id, o.close * 0.98 AS lim, min(b.k) AS at FROM n o JOIN n b ON b.symbol = o.symbol AND b.k > o.k AND b.low <= o.close * 0.98 GROUP BY ALL)"
+    f" SELECT n.timestamp, f.symbol, f.order_id, CAST(1 AS BIGINT) AS quantity, {r('least(n.open, f.lim)')} AS price FROM f JOIN n ON n.symbol = f.symbol AND n.k = f.at"
+)
+
+
+def _cash_wish(ts, bars, held, cash):
+    """Each bar a buy far below the market that takes 30 % of the cash: the fourth finds it reserved."""
+    return [{"symbol": x, "side": "BUY", "quantity": int(0.3 * cash / (bar["close"] * 1e-6)) + 1, "limit": bar["close"] * 1e-6} for x, bar in sorted(bars.items())]
+
+
+def _share_wish():
+    """Ten shares at the first bar, then each bar a sell of six far above the market: the second finds four free."""
+    seen = set()
+
+    def act(ts, bars, held, cash):
+        out = []
+        for x, bar in sorted(bars.items()):
+            out.append({"symbol": x, "side": "SELL", "quantity": 6, "limit": bar["close"] * 1e6} if x in seen else {"symbol": x, "side": "BUY", "quantity": 10})
+            seen.add(x)
+        return out
+
+    return act
+
 
+def _statuses(out):
+    return out.filter("kind = 'order'").groupBy("symbol", "side", "status").agg(F.count("*").alias("n"))
 
-def _reserve_bars(s, d):
-    return _by_symbol_run(s, d, _reserve_wish, B.Rules(cash=1000)).filter("kind = 'order'").groupBy("symbol", "side", "status").agg(F.count("*").alias("n"))
+
+def _cash_bars(s, d):
+    return _statuses(_by_symbol_run(s, d, _cash_wish, B.Rules(cash=1e7)))
+
+
+def _share_bars(s, d):
+    bars = monthly_bars(s, d).withColumn("run", F.col("symbol"))
+    return _statuses(B.run_groups(bars, lambda _: _share_wish(), B.Rules(**_AMPLE)))
+
+
+_COUNTED = BARS + ", c AS (SELECT symbol, count(*) AS n FROM bars GROUP BY 1)"
+
+
+def _timed(s, d):
+    """A market order a bar: filled at the next open, or, in the other mode, at the close that brought it."""
+    out = None
+    for timing in ("OPEN", "CLOSE"):
+        rows = _by_symbol_run(s, d, lambda ts, bars, held, cash: [{"symbol": x, "side": "BUY", "quantity": 1} for x in sorted(bars)], B.Rules(**_AMPLE, slippage_bps=0, fill_timing=timing))
+        part = rows.filter("kind = 'fill'").select(F.lit(timing).alias("timing"), "timestamp", "symbol", "order_id", "price")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _action_wish(ts, bars, held, cash):
@@ -272,8 +287,20 @@ def _action_bars(s, d):
     """A purchase at every bar; each bar whose volume 50 divides begins with a two for one split and a dividend of 0.1."""
     split = F.col("volume") % 50 == 0
     bars = monthly_bars(s, d).withColumns({"run": F.col("symbol"), "share_multiplier": F.when(split, 2.0), "cash_dividend_per_share": F.when(split, 0.1)})
-    out = B.run_groups(bars, lambda _: _action_wish, B.Rules(cash=1e9, slippage_bps=0, fee_rate=0))
-    return out.groupBy("run").agg(F.count_if(F.col("status") == "CANCELED").alias("canceled"), F.count_if(F.col("kind") == "fill").alias("fills"), rounded(F.max_by("value", F.when(F.col("kind") == "equity", F.col("timestamp"))), 2).alias("equity"))
+    out = B.run_groups(bars, lambda _: _action_wish, B.Rules(**_AMPLE, slippage_bps=0, fee_rate=0))
+    last = F.max_by("value", F.when(F.col("kind") == "equity", F.col("timestamp")))
+    return out.groupBy(F.col("run").alias("symbol")).agg(F.count_if(F.col("status") == "CANCELED").alias("canceled"), F.count_if(F.col("kind") == "fill").alias("fills"), rounded(last - 1e12, 1).alias("gain"))
+
+
+_ACTIONS = (
+    _NUMBERED
+    + ", c AS (SELECT *, volume % 50 = 0 AS split, sum(CASE WHEN volume % 50 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY k) AS splits, max(k) OVER (PARTITION BY symbol) AS m FROM n),"
+    " f AS (SELECT * FROM c WHERE k > 1 AND NOT split),"
+    " dv AS (SELECT c.symbol, sum(0.1 * 10 * pow(2, c.splits - 1 - f.splits)) AS paid FROM c JOIN f ON f.symbol = c.symbol AND f.k < c.k WHERE c.split GROUP BY 1),"
+    " e AS (SELECT f.symbol, sum(10 * pow(2, l.splits - f.splits) * l.close - 10 * f.open) AS made FROM f JOIN c l ON l.symbol = f.symbol AND l.k = l.m GROUP BY 1)"
+    f" SELECT c.symbol, count(*) FILTER (split AND k > 1) AS canceled, count(*) FILTER (NOT split AND k > 1) AS fills, {r('coalesce(any_value(made), 0) + coalesce(any_value(paid), 0)', 1)} AS gain"
+    " FROM c LEFT JOIN e USING (symbol) LEFT JOIN dv USING (symbol) GROUP BY 1"
+)
 
 
 def _frames(rows, key):
@@ -320,16 +347,25 @@ def _captured(s, d):
 
 
 def _model_strategy(s, d):
-    """Scores to targets to orders to fills, each a DataFrame stage; the risk gate stands before execution."""
+    """Scores to targets to orders for what changes, to fills, each a DataFrame stage; the risk gate stands before execution."""
     px = scored(s, d, "close").select("timestamp", "symbol", "score", "close")
     targets = B.top_k_targets(px, 5, 1_000_000.0, 0.1, 10)
-    none = targets.select("timestamp", "symbol", F.lit(0).cast("long").alias("position"))
-    orders = B.targets_to_orders(targets, none)
+    orders = B.targets_to_orders(targets, B.held_before(targets))
     bars = monthly_bars(s, d).select("timestamp", "symbol", F.lit(True).alias("is_trusted"), (F.col("volume") % 50 == 0).alias("is_suspended"))
     passed = P.risk_gate(orders, bars, 1_000_000, 10).filter("decision = 'ACCEPT'").drop("decision")
     return B.next_open_fills(passed, monthly_bars(s, d)).groupBy("side").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
 
 
+_MODEL = (
+    _TARGETS
+    + ", ps AS (SELECT timestamp, symbol, target, coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY timestamp), 0) AS held FROM tg),"
+    " od AS (SELECT timestamp, symbol, target - held AS delta FROM ps JOIN bars USING (timestamp, symbol) WHERE target <> held AND volume % 50 <> 0 AND abs(target - held) <= 1000000 AND abs(target - held) % 10 = 0),"
+    " nb AS (SELECT symbol, lag(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) AS timestamp, volume FROM bars),"
+    " x AS (SELECT CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, least(abs(delta), CAST(floor(volume * 0.25) AS BIGINT)) AS quantity FROM od JOIN nb USING (timestamp, symbol))"
+    " SELECT side, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity FROM x WHERE quantity > 0 GROUP BY 1"
+)
+
+
 def _portfolio_grid(s, d):
     """Rule x slippage, replayed as independent runs, and the metrics of each."""
     out = None
@@ -341,16 +377,6 @@ def _portfolio_grid(s, d):
     return rounded_columns(out.select("run", "slippage", "total_return", "max_drawdown", "n_days"))
 
 
-def _recorded(s, d):
-    """Messages decoded in pieces of any size equal those decoded at once."""
-    rows = [{"kind": "T", "sequence": i, "timestamp": i, "symbol": "A", "price": 1 + i / 100, "size": i, "side": "S"} for i in range(200)]
-    data, rest, found = feed.encode(rows), b"", []
-    for at in range(0, len(data), 17):
-        part, rest = feed.decode(rest + data[at : at + 17])
-        found += part
-    return s.createDataFrame([(len(found), found == feed.decode(data)[0])], "n long, same boolean")
-
-
 def _replayed(s, d):
     out = SF.replay(monthly_bars(s, d))
     return out.select("timestamp", "symbol", *(rounded(F.when(F.isnan(c) | F.col(c).isNull(), 0.0).otherwise(F.col(c)), 5).alias(c) for c in SF.NUMBERS))
@@ -362,17 +388,24 @@ QUERIES = {
     "feat_bar_v1_stream": (_replayed, _REPLAYED),
     "st_features": (_replayed, _REPLAYED),
     "bt_runner": (_whole_run, None),
-    "bt_limit_order_tables": (_limit_bars, None),
-    "bt_corporate_action_tables": (_action_bars, None),
-    "bt_cash_reserve_tables": (_reserve_bars, None),
-    "bt_sell_reserve_tables": (lambda s, d: _reserve_bars(s, d).filter("side = 'SELL'"), None),
-    "bt_decision_log_tables": (_decisions, None),
-    "src_replay_log_tables": (_replay_log, "SELECT event_id, event_type, value FROM events"),
-    "st_capture_replay_tables": (_captured, f"WITH {FILLS} SELECT symbol, count(*) AS n, true AS same FROM fills GROUP BY 1"),
-    "order_planner_sort_tables": (lambda s, d: _all_orders(s, d).select("timestamp", "side", "symbol"), f"WITH {_ORDERS} SELECT timestamp, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, symbol FROM od"),
-    "bt_model_strategy": (_model_strategy, None),
+    "bt_limit_order": (_limit_bars, f"WITH {_LIMITS}"),
+    "bt_corporate_action": (_action_bars, f"WITH {_ACTIONS}"),
+    "bt_cash_reserve": (_cash_bars, f"WITH {_COUNTED} SELECT symbol, 'BUY' AS side, 'EXPIRED' AS status, least(n, 3) AS n FROM c UNION ALL SELECT symbol, 'BUY', 'REJECTED', n - 3 FROM c WHERE n > 3"),
+    "bt_sell_reserve": (
+        _share_bars,
+        f"WITH {_COUNTED} SELECT symbol, 'BUY' AS side, CASE WHEN n > 1 THEN 'FILLED' ELSE 'EXPIRED' END AS status, CAST(1 AS BIGINT) AS n FROM c"
+        " UNION ALL SELECT symbol, 'SELL', 'EXPIRED', 1 FROM c WHERE n > 1 UNION ALL SELECT symbol, 'SELL', 'REJECTED', n - 2 FROM c WHERE n > 2",
+    ),
+    "bt_fill_timing": (
+        _timed,
+        f"WITH {_NUMBERED}, p AS (SELECT *, lead(timestamp) OVER w AS next_ts, lead(open) OVER w AS next_open FROM n WINDOW w AS (PARTITION BY symbol ORDER BY timestamp))"
+        " SELECT 'OPEN' AS timing, next_ts AS timestamp, symbol, k AS order_id, next_open AS price FROM p WHERE next_ts IS NOT NULL UNION ALL SELECT 'CLOSE', timestamp, symbol, k, close FROM p",
+    ),
+    "bt_decision_log": (_decisions, f"WITH {_ORDERS} SELECT timestamp, symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, abs(delta) AS quantity FROM od"),
+    "src_replay_log": (_replay_log, "SELECT event_id, event_type, value FROM events"),
+    "st_capture_replay": (_captured, f"WITH {FILLS} SELECT symbol, count(*) AS n, true AS same FROM fills GROUP BY 1"),
+    "bt_model_strategy": (_model_strategy, f"WITH {_MODEL}"),
     "eval_portfolio_benchmark": (_portfolio_grid, None),
-    "st_capture_replay": (_recorded, "SELECT CAST(200 AS BIGINT) AS n, true AS same"),
     "feat_groups": (lambda s, d: s.createDataFrame([(k, n) for k, v in X.GROUPS.items() for n in v], "feature_group string, feature string"), None),
     "pm_research_policy": (_weights(lambda x: _sub_budget(x)), None),
     "model_ridge": (_ridge, f"WITH {SCORED}, s AS (SELECT count(*) AS n, sum(score) AS sx, sum(label) AS sy, sum(score * score) + 1.0 AS sxx, sum(score * label) AS sxy FROM scored) SELECT 'intercept' AS name, {r('(sxx * sy - sx * sxy) / (n * sxx - sx * sx)')} AS value FROM s UNION ALL SELECT 'score', {r('(n * sxy - sx * sy) / (n * sxx - sx * sx)')} FROM s"),
@@ -441,14 +474,6 @@ QUERIES = {
         lambda s, d: scored(s, d).withColumn("batch", F.pmod(F.xxhash64(F.col("timestamp"), F.lit(7)), F.lit(8))).groupBy("batch").agg(F.count_distinct("timestamp").alias("times"), F.count("*").alias("n")),
         None,
     ),
-    "bt_limit_order": (_limit, "SELECT CAST(3 AS BIGINT) AS timestamp, CAST(50 AS BIGINT) AS quantity, CAST(9.4 AS DOUBLE) AS price"),
-    "bt_corporate_action": (_action, "SELECT CAST(200 AS BIGINT) AS quantity, CAST(5.0 AS DOUBLE) AS cost, CAST(9010.0 AS DOUBLE) AS cash"),
-    "bt_cash_reserve": (_reserve, "SELECT * FROM (VALUES ('BUY', 'REJECTED', 'INSUFFICIENT_CASH'), ('SELL', 'REJECTED', 'INSUFFICIENT_POSITION')) t(side, status, reason)"),
-    "bt_sell_reserve": (lambda s, d: _reserve(s, d).filter("side = 'SELL'"), "SELECT 'SELL' AS side, 'REJECTED' AS status, 'INSUFFICIENT_POSITION' AS reason"),
-    "bt_fill_timing": (
-        lambda s, d: monthly_bars(s, d).select("timestamp", "symbol", F.lead("open").over(X.by_symbol()).alias("next_open"), F.col("close").alias("at_close")),
-        f"WITH {BARS} SELECT timestamp, symbol, lead(open) OVER (PARTITION BY symbol ORDER BY timestamp) AS next_open, close AS at_close FROM bars",
-    ),
     "bt_shared_portfolio": (_shared, None),
     "bt_empirical_cvar_binding": (
         _proxy,
@@ -459,8 +484,6 @@ QUERIES = {
         lambda s, d: table(s, d, "events").orderBy("ts", "event_id").select("event_id"),
         "SELECT event_id FROM events",
     ),
-    "bt_decision_log": (_log, "SELECT 'target' AS kind, i AS n FROM range(100) t(i)"),
-    "src_replay_log": (_log, "SELECT 'target' AS kind, i AS n FROM range(100) t(i)"),
     "pa_period_coordinator": (
         _period,
         f"WITH {FILLS} SELECT symbol, timestamp // 7776000000000000 AS period, CAST(sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END) AS BIGINT) AS traded, {r('sum(fee)', 2)} AS fees FROM fills GROUP BY 1, 2",

@@ -120,7 +120,7 @@ QUERIES = {
         lambda s, d: S.duplicate_keys(monthly_bars(s, d)).agg(F.count("*").alias("n_duplicate")).crossJoin(F.broadcast(monthly_bars(s, d).agg(F.count_if(F.isnan("close")).alias("n_bad")))),
         "SELECT CAST(0 AS BIGINT) AS n_duplicate, CAST(0 AS BIGINT) AS n_bad",
     ),
-    "src_wire_decoder": (_wire, None),
+    "src_wire_decoder": (_wire, f"WITH {FILLS} SELECT 'T' AS kind, symbol, count(*) AS n, floor(sum(round_even(price * 10000, 0) / 10000) * 1e4 + 0.5) / 1e4 AS total FROM fills GROUP BY 1, 2"),
     "snk_ingest_file": (lambda s, d: _lake(s, d).scan(columns=_COLS.split(", ")), f"WITH {BARS} SELECT {_COLS} FROM bars"),
     "snk_ingest_many": (lambda s, d: s.createDataFrame([(len(_lake(s, d).snapshot()["sources"]),)], "n_sources long"), "SELECT CAST(2 AS BIGINT) AS n_sources"),
     "snk_partitioned_write": (

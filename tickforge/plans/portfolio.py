@@ -261,7 +261,7 @@ SELECT period, 'SIZE' AS factor, {r('s', 5)} AS contribution, 'OK' AS status FRO
     "drift_cka": (_scalars(lambda x: [("cka", K.linear_cka(x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]))]), None),
     "topk_long_only": (_targets, f"WITH {_TARGETS} SELECT timestamp, symbol, target FROM tg"),
     "bt_targets_to_orders": (lambda s, d: _orders(s, d), f"WITH {_ORDERS} SELECT timestamp, symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, abs(delta) AS quantity FROM od"),
-    "order_planner_sort": (lambda s, d: _orders(s, d).filter(F.col("timestamp") == FROM).select("side", "symbol"), f"WITH {_ORDERS} SELECT CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, symbol FROM od WHERE timestamp = {FROM}"),
+    "order_planner_sort": (lambda s, d: _orders(s, d).select("timestamp", "side", "symbol"), f"WITH {_ORDERS} SELECT timestamp, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, symbol FROM od"),
     "bt_market_order": (
         lambda s, d: rounded_columns(B.next_open_fills(_orders(s, d), monthly_bars(s, d)), 5),
         f"WITH {_ORDERS}, nb AS (SELECT symbol, timestamp AS fill_at, lag(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp) AS timestamp, open, volume FROM bars), x AS (SELECT fill_at, symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, least(abs(delta), CAST(floor(volume * 0.25) AS BIGINT)) AS quantity, open * CASE WHEN delta > 0 THEN 1 + 10.0 / 1e4 ELSE 1 - 10.0 / 1e4 END AS price FROM od JOIN nb USING (timestamp, symbol)) SELECT fill_at, symbol, side, quantity, {r('price', 5)} AS price FROM x WHERE quantity > 0",
