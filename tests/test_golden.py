@@ -412,3 +412,94 @@ def test_run_groups_applies_corporate_actions(spark):
     wish = lambda ts, *_: [{"symbol": "A", "side": "BUY", "quantity": 100}] if ts == 1 else []
     out = B.run_groups(bars, lambda _: wish, B.Rules(cash=10_000, participation=1, slippage_bps=0, fee_rate=0)).filter("kind = 'equity'").orderBy("timestamp").collect()
     assert [r.value for r in out] == [10_000, 10_000, 10_000 - 1000 + 10 + 200 * 5]
+
+
+def test_log_recovers_what_a_crash_leaves():
+    from tickforge.streaming import log
+
+    payloads = [b"one", b"", b"three" * 100]
+    data = log.frames(payloads)
+    assert log.recover(data) == (payloads, 0) and log.recover(b"") == ([], 0)
+    for cut in range(1, len(data) + 1):
+        found, lost = log.recover(data[:-cut])
+        assert found == payloads[: len(found)] and len(log.frames(found)) + lost == len(data) - cut
+    broken = bytearray(data)
+    broken[12] ^= 1
+    with pytest.raises(ValueError):
+        log.recover(bytes(broken))
+    broken = bytearray(data)
+    broken[-1] ^= 1
+    assert log.recover(bytes(broken))[0] == payloads[:2]
+
+
+def test_window_stream_equals_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(s, t, float(t * k)) for k, s in enumerate("ab", 1) for t in range(10)], "symbol string, timestamp long, x double")
+    for k in range(3):
+        rows.filter(F.col("timestamp").between(4 * k, 4 * k + 3)).coalesce(1).write.parquet(f"{tmp_path}/in/p={k}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = sorted(map(tuple, _run(feed.feature_windows_stream(stream, 3), str(tmp_path), "append")))
+    assert got == sorted(map(tuple, feed.feature_windows(rows, 3).collect())) and len(got) == 20
+
+
+def test_terminal_orders_leave_the_state_store(spark, tmp_path):
+    schema = "order_id long, position long, exec_id string, status string, cumulative long"
+    rows = [(k, p, f"e{p}", status, 10 * p) for k in range(20) for p, status in enumerate(["ACCEPTED", "FILLED" if k % 4 else "PARTIAL"])]
+    for i, part in enumerate((rows, [(100, 0, "e0", "ACCEPTED", 0)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = feed.order_states_stream(stream, 1)
+    query = out.writeStream.format("memory").queryName("terminal_orders").option("checkpointLocation", f"{tmp_path}/ck").outputMode("update").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
+    held = [x["numRowsTotal"] for p in query.recentProgress for x in p["stateOperators"]]
+    assert held[0] == 20 and held[-1] == 6  # five open orders and the new one
+
+
+def test_reorder_of_several_feeds_in_one_partition(spark):
+    rows = [(f, s, a) for f in ("x", "y") for s, a in ((1, 1), (3, 2), (2, 3), (2, 4), (5, 5), (4, 6))]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = sorted(map(tuple, feed.reorder(spark.createDataFrame(rows, "feed string, sequence long, arrival long")).select("feed", "sequence", "position").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert out == [(f, k + 1, k) for f in ("x", "y") for k in range(5)]
+
+
+def test_caches_release_what_is_beyond_their_bound(spark):
+    from tickforge.sources.cache import FrameCache
+
+    cache = FrameCache(2000)
+    frames = [cache.get(k, lambda: spark.range(100)) for k in (1, 2, 1, 3, 2)]
+    assert (cache.hits, cache.misses, cache.evicted) == (1, 4, 2) and not frames[1].is_cached
+    assert not cache.get("big", lambda: spark.range(10**6)).is_cached
+    cache.clear()
+    assert not any(f.is_cached for f in frames)
+
+
+def test_contracts(spark):
+    from tickforge.operators import checks as C
+
+    assert C.risk_model_status(["a", "b"], np.array([[1.0, 2.0], [2.0, 1.0]]), 1, 1) == "NOT_POSITIVE"
+    assert C.risk_model_status([], np.zeros((0, 0)), 1, 1) == "BAD_SHAPE" and C.risk_model_status(["a"], np.eye(1), 1, 1) == "OK"
+    rows = spark.createDataFrame([(252.0, 0.02, 0.05, 1e6), (None, 0.0, 0.05, 1.0), (1.0, float("nan"), 0.05, 1.0), (1.0, 0.0, 1.0, 1.0), (1.0, 0.0, 0.5, 0.0)], "periods_per_year double, risk_free double, tail double, initial double")
+    assert [r[0] for r in rows.select(C.performance_spec_status()).collect()] == ["OK", "BAD_PERIODS", "OK", "BAD_TAIL", "BAD_CAPITAL"]
+    loss, sample, prial = K.oracle_loss(np.eye(2) * 1.1, np.eye(2) * 1.2, np.eye(2))
+    assert (loss, sample, prial) == pytest.approx((0.02, 0.08, 75.0))
+
+
+def test_predictions_and_enriched_datasets_refuse_what_is_wrong(spark, tmp_path):
+    from tickforge.sources import datasets
+
+    for name, rows in {"twice": [(1, "a", 0.5), (1, "a", 0.6)], "nan": [(1, "a", float("nan"))], "null": [(1, "a", None)]}.items():
+        spark.createDataFrame(rows, "timestamp long, symbol string, score double").write.parquet(f"{tmp_path}/{name}")
+        with pytest.raises(ValueError):
+            datasets.predictions(spark, f"{tmp_path}/{name}")
+
+
+def test_gate_candidate(spark):
+    from tickforge.operators import models as Y
+
+    def decide(lift, stressed):
+        rows = [(t, 0.1 + lift + 0.01 * (t % 3), 0.1 + 0.01 * (t % 3), stressed) for t in range(60)]
+        return Y.gate_candidate(spark.createDataFrame(rows, "timestamp long, candidate double, baseline double, stressed double"), draws=99).first().decision
+
+    assert decide(0.05, 0.12) == "PASS" and decide(-0.05, 0.05) == "INFERIOR" and decide(0.05, 0.0) == "FRAGILE"

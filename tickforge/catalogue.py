@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tickforge import registry
 
-MODULES = ("scans", "joins", "features", "evaluation", "portfolio", "feeds", "extra")
+MODULES = ("scans", "joins", "features", "evaluation", "portfolio", "feeds", "extra", "artifacts")
 
 
 def register() -> None:

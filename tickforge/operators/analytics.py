@@ -186,3 +186,25 @@ def tail_backtest(rows: DataFrame, *run: str, level: float = 0.95) -> DataFrame:
     p = _zero(ratio(n01 + n11, (n00 + n01 + n10 + n11).cast("double")))
     christoffersen = 2 * F.greatest(F.lit(0.0), ll(n00, 1 - p0) + ll(n01, p0) + ll(n10, 1 - p1) + ll(n11, p1) - ll(n00 + n10, 1 - p) - ll(n01 + n11, p))
     return cells.withColumns({"kupiec_lr": kupiec, "christoffersen_lr": christoffersen})
+
+
+def period_positions(fills: DataFrame, length: int) -> DataFrame:
+    """Fills as periods of ``length``: quantity at the begin and end of each period with a fill, cash paid and fees.
+
+    ``fills``: timestamp, symbol, side, quantity, price, fee; a period holds begin <= timestamp < begin + length.
+    """
+    signed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
+    rows = fills.withColumn("period", F.expr(f"timestamp div {length}")).withColumn("_q", signed)
+    out = rows.groupBy("symbol", "period").agg(F.sum("_q").alias("traded"), F.sum(F.col("_q") * F.col("price")).alias("paid"), F.sum("fee").alias("fees"))
+    end = F.sum("traded").over(Window.partitionBy("symbol").orderBy("period"))
+    return out.withColumn("end_quantity", end).withColumn("begin_quantity", F.col("end_quantity") - F.col("traded"))
+
+
+def shortfall_inputs(orders: DataFrame, fills: DataFrame, marks: DataFrame) -> DataFrame:
+    """Orders and what became of them, for ``shortfall``: ``symbol, timestamp, side, ordered, filled, decision, paid``.
+
+    ``orders``: timestamp, symbol, side, quantity; ``fills``: decided_at, symbol, quantity, price; ``marks``: timestamp, symbol, close.
+    """
+    done = fills.groupBy(F.col("decided_at").alias("timestamp"), "symbol").agg(F.sum("quantity").alias("filled"), F.sum(F.col("quantity") * F.col("price")).alias("paid"))
+    out = orders.withColumnRenamed("quantity", "ordered").join(done, ["timestamp", "symbol"], "left").join(marks.select("timestamp", "symbol", F.col("close").alias("decision")), ["timestamp", "symbol"])
+    return out.select("symbol", "timestamp", "side", "ordered", F.coalesce("filled", F.lit(0)).alias("filled"), "decision", F.coalesce("paid", F.lit(0.0)).alias("paid"))

@@ -70,3 +70,26 @@ def promotion(metrics: DataFrame, least_ic: float = 0.0, least_wins: float = 0.5
     """Gates over one row a window (candidate, baseline): mean, worst, win share and the verdict."""
     row = metrics.agg(F.avg("candidate").alias("mean"), F.min("candidate").alias("worst"), F.avg((F.col("candidate") > F.col("baseline")).cast("double")).alias("wins"), F.count("*").alias("n"))
     return row.withColumn("verdict", F.when(F.col("mean") <= least_ic, "REJECT_MEAN").when(F.col("wins") < least_wins, "REJECT_WINS").otherwise("PROMOTE"))
+
+
+def gate_candidate(rows: DataFrame, block: float = 5.0, draws: int = 999, seed: int = 1, margin: float = 0.0, stress_margin: float = 0.5) -> DataFrame:
+    """Whether a candidate may replace a baseline: ``mean, lo, hi, stress_share, decision`` of paired metrics.
+
+    ``rows``: timestamp, candidate, baseline, stressed (the candidate under stress), one row a timestamp.
+    The stationary bootstrap bounds the mean of the paired deltas; the gate asks that it is not below
+    ``-margin`` and that stress takes no more than ``stress_margin`` of the candidate's mean.
+    """
+    from tickforge.operators import risk
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("timestamp")
+        delta = (pdf["candidate"] - pdf["baseline"]).to_numpy()
+        mean, _, lo, hi = risk.stationary_bootstrap(delta, block, draws, seed)
+        whole = float(np.mean(pdf["candidate"]))
+        lost = (whole - float(np.mean(pdf["stressed"]))) / abs(whole) if whole else 0.0
+        decision = "INFERIOR" if lo < -margin else "FRAGILE" if lost > stress_margin else "PASS"
+        return pd.DataFrame([(float(mean), float(lo), float(hi), lost, decision)], columns=["mean", "lo", "hi", "stress_share", "decision"])
+
+    return rows.groupBy().applyInPandas(run, "mean double, lo double, hi double, stress_share double, decision string")

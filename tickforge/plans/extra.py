@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +25,7 @@ from tickforge.plans.portfolio import _orders as _all_orders
 from tickforge.sources import files
 from tickforge.sources.tables import BARS, FILLS, fills, monthly_bars, table
 from tickforge.streaming import features as SF
-from tickforge.streaming import feed
+from tickforge.streaming import feed, log
 
 _NUMBERS = ["log_return_1", "volatility_20", "ma_deviation_10", "price_position_20"]
 
@@ -142,13 +139,6 @@ def _shared(s, d, cash=1e6):
     return out.filter("kind = 'equity'").agg(F.count("*").alias("n"), rounded(F.max_by("value", "timestamp"), 2).alias("equity"))
 
 
-def _proxy(s, d):
-    """Replay of the top-k targets: portfolio returns of each period, then their tail."""
-    top = M.top_k(scored(s, d), 5).groupBy("timestamp").agg(F.avg("label").alias("r"))
-    losses = top.select((-F.col("r")).alias("loss"), (1 / F.count("*").over(Window.partitionBy())).alias("p"))
-    return rounded_columns(A.empirical_tail(losses, level=0.9), 5)
-
-
 def _period(s, d):
     """Fills assigned to half-open periods of 90 days."""
     f = fills(s, d).withColumn("period", F.expr("timestamp div 7776000000000000"))
@@ -182,24 +172,6 @@ def _report(s, d):
     return m.select("symbol", F.to_json(F.struct("symbol", "n", rounded(F.col("cumulative_return"), 4).alias("c"))).alias("report")).withColumn("digest", F.sha2("report", 256)).select("symbol", "digest")
 
 
-def _read_frames(frames):
-    import pandas as pd
-
-    for frame in frames:
-        for content in frame["content"]:
-            at, out, content = 0, [], bytes(content)
-            while at < len(content):
-                n = int.from_bytes(content[at : at + 4], "big")
-                payload = content[at + 12 : at + 12 + n]
-                if hashlib.blake2b(payload, digest_size=8).digest() != content[at + 4 : at + 12]:
-                    raise ValueError(f"bad checksum at {at}")
-                out.append(payload.decode())
-                at += 12 + n
-            yield pd.DataFrame({"payload": out})
-
-
-
-
 def _whole_run(s, d, rules=B.Rules(cash=1e7)):
     """All bars of all symbols, one portfolio: moving averages cross, market orders at the next open."""
     bars = monthly_bars(s, d).withColumn("run", F.lit("5-20"))
@@ -303,28 +275,20 @@ _ACTIONS = (
 )
 
 
-def _frames(rows, key):
-    """Frames of length, checksum and payload of each key's payloads (``key, n, payload``), written and read again."""
-
-    def write(pdf):
-        import pandas as pd
-
-        payloads = [x.encode() for x in pdf.sort_values("n")["payload"]]
-        return pd.DataFrame({"content": [b"".join(len(x).to_bytes(4, "big") + hashlib.blake2b(x, digest_size=8).digest() + x for x in payloads)]})
-
-    return rows.groupBy(key).applyInPandas(write, "content binary").mapInPandas(_read_frames, "payload string")
-
-
 def _decisions(s, d):
-    """All target orders as a log a symbol."""
-    rows = _all_orders(s, d).select("symbol", F.col("timestamp").alias("n"), F.to_json(F.struct(F.lit("target").alias("kind"), "timestamp", "symbol", "side", "quantity")).alias("payload"))
-    return _frames(rows, "symbol").select(F.from_json("payload", "kind string, timestamp long, symbol string, side string, quantity long").alias("x")).select("x.*").drop("kind")
+    """All target orders as a log a symbol, written and read again."""
+    order = Window.partitionBy("symbol").orderBy("timestamp")
+    rows = _all_orders(s, d).select("symbol", F.row_number().over(order).cast("long").alias("n"), F.to_json(F.struct(F.lit("target").alias("kind"), "timestamp", "symbol", "side", "quantity")).alias("payload"))
+    found = log.read(log.write(rows, "symbol"), "symbol")
+    return found.select(F.from_json("payload", "kind string, timestamp long, symbol string, side string, quantity long").alias("x")).select("x.*").drop("kind")
 
 
 def _replay_log(s, d):
-    """All events as a log a type."""
-    rows = table(s, d, "events").select("event_type", F.col("event_id").alias("n"), F.to_json(F.struct("event_id", "event_type", "value")).alias("payload"))
-    return _frames(rows, "event_type").select(F.from_json("payload", "event_id long, event_type string, value double").alias("x")).select("x.*")
+    """All events as a log a type, written and read again."""
+    order = Window.partitionBy("event_type").orderBy("event_id")
+    rows = table(s, d, "events").select("event_type", F.row_number().over(order).cast("long").alias("n"), F.to_json(F.struct("event_id", "event_type", "value")).alias("payload"))
+    found = log.read(log.write(rows, "event_type"), "event_type")
+    return found.select(F.from_json("payload", "event_id long, event_type string, value double").alias("x")).select("x.*")
 
 
 def _captured(s, d):
@@ -411,7 +375,6 @@ QUERIES = {
     "model_ridge": (_ridge, f"WITH {SCORED}, s AS (SELECT count(*) AS n, sum(score) AS sx, sum(label) AS sy, sum(score * score) + 1.0 AS sxx, sum(score * label) AS sxy FROM scored) SELECT 'intercept' AS name, {r('(sxx * sy - sx * sxy) / (n * sxx - sx * sx)')} AS value FROM s UNION ALL SELECT 'score', {r('(n * sxy - sx * sy) / (n * sxx - sx * sx)')} FROM s"),
     "model_logistic": (_logistic, None),
     "model_rules": (_rules, f"WITH {_RULES} SELECT model, {r('avg(ic)')} AS ic FROM i GROUP BY 1"),
-    "eval_benchmark": (_rules, f"WITH {_RULES} SELECT model, {r('avg(ic)')} AS ic FROM i GROUP BY 1"),
     "eval_walk_forward": (_evaluated, None),
     "feat_ablation": (_ablation, None),
     "eval_promotion": (
@@ -475,11 +438,6 @@ QUERIES = {
         None,
     ),
     "bt_shared_portfolio": (_shared, None),
-    "bt_empirical_cvar_binding": (
-        _proxy,
-        None,
-    ),
-    "bt_proxy_replay": (_proxy, None),
     "bt_event_queue": (
         lambda s, d: table(s, d, "events").orderBy("ts", "event_id").select("event_id"),
         "SELECT event_id FROM events",
@@ -504,7 +462,6 @@ QUERIES = {
     "meta_preview": (lambda s, d: S.normalise(monthly_bars(s, d)).limit(20), None),
     "meta_lineage": (_lineage, "SELECT true AS stable, true AS distinct"),
     "meta_dataset_fingerprint": (lambda s, d: s.createDataFrame([(_fingerprints(s, d),)], "same boolean"), "SELECT true AS same"),
-    "meta_result_cache": (lambda s, d: monthly_bars(s, d).persist().agg(F.count("*").alias("n")), f"WITH {BARS} SELECT count(*) AS n FROM bars"),
     "string": (
         lambda s, d: table(s, d, "part").select("p_partkey", F.trim(F.concat(F.lit(" "), "p_name")).alias("t"), F.lower("p_type").alias("l"), F.col("p_brand").rlike("^[A-Za-z0-9_.#-]+$").alias("m"), F.concat_ws("\x1f", "p_brand", "p_type").alias("c"), F.endswith("p_name", F.lit("ring")).alias("e"), F.rpad("p_brand", 12, "*").alias("p")),
         "SELECT p_partkey, trim(' ' || p_name) AS t, lower(p_type) AS l, regexp_full_match(p_brand, '[A-Za-z0-9_.#-]+') AS m, p_brand || chr(31) || p_type AS c, ends_with(p_name, 'ring') AS e, rpad(p_brand, 12, '*') AS p FROM part",

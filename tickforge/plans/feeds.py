@@ -116,13 +116,8 @@ QUERIES = {
     "src_reference_rows": (_reference, "SELECT s_suppkey AS k, s_nationkey % 2 = 0 AS flag, CAST(s_nationkey AS BIGINT) AS lot FROM supplier"),
     "src_calendar_file": (_calendar, "SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE isodow(ts) < 6"),
     "src_sample_gen": (lambda s, d: generate.sample_daily(s), None),
-    "src_predictions": (
-        lambda s, d: S.duplicate_keys(monthly_bars(s, d)).agg(F.count("*").alias("n_duplicate")).crossJoin(F.broadcast(monthly_bars(s, d).agg(F.count_if(F.isnan("close")).alias("n_bad")))),
-        "SELECT CAST(0 AS BIGINT) AS n_duplicate, CAST(0 AS BIGINT) AS n_bad",
-    ),
     "src_wire_decoder": (_wire, f"WITH {FILLS} SELECT 'T' AS kind, symbol, count(*) AS n, floor(sum(round_even(price * 10000, 0) / 10000) * 1e4 + 0.5) / 1e4 AS total FROM fills GROUP BY 1, 2"),
     "snk_ingest_file": (lambda s, d: _lake(s, d).scan(columns=_COLS.split(", ")), f"WITH {BARS} SELECT {_COLS} FROM bars"),
-    "snk_ingest_many": (lambda s, d: s.createDataFrame([(len(_lake(s, d).snapshot()["sources"]),)], "n_sources long"), "SELECT CAST(2 AS BIGINT) AS n_sources"),
     "snk_partitioned_write": (
         lambda s, d: _lake(s, d).scan().groupBy(F.col("year").cast("int"), F.col("month").cast("int")).agg(F.count("*").alias("n")),
         f'WITH {BARS} SELECT CAST(year(to_timestamp(timestamp / 1000000000 + 28800)) AS INTEGER) AS "year", CAST(month(to_timestamp(timestamp / 1000000000 + 28800)) AS INTEGER) AS "month", count(*) AS n FROM bars GROUP BY 1, 2',
@@ -133,19 +128,11 @@ QUERIES = {
     "snk_feature_cache": (_cache, f"WITH {BARS} SELECT timestamp, symbol, floor(ln(close) * 1e6 + 0.5) / 1e6 AS x FROM bars"),
     "snk_result_store": (lambda s, d: _store(s, d).read("trades").groupBy("run_id").agg(F.count("*").alias("n")), f"WITH {FILLS}, f AS (SELECT * FROM fills) SELECT 'a' AS run_id, count(*) AS n FROM f UNION ALL SELECT 'b', count(*) FROM f WHERE side = 'SELL'"),
     "snk_run_lifecycle": (lambda s, d: _store(s, d).runs(), "SELECT * FROM (VALUES ('b', 'SUCCEEDED', CAST(6 AS BIGINT)), ('a', 'SUCCEEDED', CAST(2 AS BIGINT))) t(run_id, status, created_at)"),
-    "snk_metrics_upsert": (
-        lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")),
-        "SELECT user_id, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY 1",
-    ),
     "st_reorder": (lambda s, d: feed.reorder(_arrivals(s, d)).groupBy("feed").agg(F.count("*").alias("n"), F.max("gaps").alias("gaps"), F.max("duplicate").alias("duplicate")), None),
     "st_order_state": (
         lambda s, d: feed.order_states(_reports(s, d)).groupBy("status", "terminal").agg(F.count("*").alias("n"), F.sum("duplicates").alias("duplicates")),
         "SELECT CASE o_custkey % 3 WHEN 0 THEN 'FILLED' WHEN 1 THEN 'CANCELED' ELSE 'PARTIAL' END AS status, o_custkey % 3 < 2 AS terminal, count(*) AS n, count(*) AS duplicates FROM orders GROUP BY 1, 2",
     ),
-    "st_wal": (
-        lambda s, d: feed.order_states(_reports(s, d).filter("position < 2")).groupBy("status").agg(F.count("*").alias("n")),
-        "SELECT 'PARTIAL' AS status, count(*) AS n FROM orders",
-    ),
     "st_tumbling_session": (
         lambda s, d: feed.sessions(table(s, d, "events")).select(F.col("session"), "n"),
         "SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS session, count(*) AS n FROM events GROUP BY 1",

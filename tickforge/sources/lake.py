@@ -173,6 +173,16 @@ class ResultStore:
         latest = rows.groupBy("run_id").agg(F.max_by("status", F.struct("created_at", "status")).alias("status"), F.max("created_at").alias("created_at"))
         return latest.orderBy(F.desc("created_at"), F.desc("run_id"))
 
+    def save_metrics(self, at: int, rows: DataFrame) -> None:
+        """Insert or replace a row a run: ``rows`` has ``run_id`` and the metrics; the latest ``at`` counts."""
+        rows.withColumn("saved_at", F.lit(at).cast("long")).write.mode("append").parquet(f"{self.root}/metrics")
+
+    def metrics(self) -> DataFrame:
+        """The metrics of each run as saved last (merged on read: files never change)."""
+        rows = self.spark.read.parquet(f"{self.root}/metrics")
+        rest = F.struct(*(c for c in rows.columns if c != "run_id"))
+        return rows.groupBy("run_id").agg(F.max_by(rest, "saved_at").alias("last")).select("run_id", "last.*")
+
     def read(self, name: str) -> DataFrame:
         """A fact table's rows of succeeded runs."""
         ok = self.runs().filter("status = 'SUCCEEDED'").select("run_id")

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # The wire format, big-endian.
 HEADER = struct.Struct(">cIQ")  # kind, sequence, exchange timestamp
@@ -117,15 +118,26 @@ def _fold(name: str, state: Reorder, position: int, rows: Iterable[tuple[int, in
 
 
 def reorder(messages: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Batch twin of the stream: fold each feed's messages in order of arrival."""
+    """Batch twin of the stream: fold each feed's messages in order of arrival.
+
+    A task streams through its sorted feeds and holds one window; a feed is serial by nature.
+    """
     names = [c.split()[0] for c in REORDERED.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("arrival")
-        rows, _ = _fold(pdf["feed"].iloc[0], Reorder(window), 0, zip(pdf["sequence"].tolist(), pdf["arrival"].tolist(), strict=True))
-        return pd.DataFrame(rows, columns=names)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, position = object(), Reorder(window), 0
+        for frame in frames:
+            rows: list[tuple] = []
+            for _, part in frame.groupby(frame["feed"].ne(frame["feed"].shift()).cumsum(), sort=False):
+                name = part["feed"].iloc[0]
+                if name != now:
+                    now, state, position = name, Reorder(window), 0
+                found, position = _fold(name, state, position, zip(part["sequence"].tolist(), part["arrival"].tolist(), strict=True))
+                rows += found
+            yield pd.DataFrame(rows, columns=names)
 
-    return messages.select("feed", "sequence", "arrival").groupBy("feed").applyInPandas(run, REORDERED)
+    n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return messages.select("feed", "sequence", "arrival").repartition(n, "feed").sortWithinPartitions("feed", "arrival").mapInPandas(run, REORDERED)
 
 
 def reorder_stream(messages: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -205,20 +217,67 @@ def order_states(reports: DataFrame) -> DataFrame:
     return reports.repartition(n, "order_id").sortWithinPartitions("order_id", "position").mapInPandas(run, ORDER)
 
 
-def order_states_stream(reports: DataFrame) -> DataFrame:
-    """The state of every order that a micro-batch touches; terminal orders leave the state store."""
+def order_states_stream(reports: DataFrame, keep_ms: int = 600_000) -> DataFrame:
+    """The state of every order that a micro-batch touches.
+
+    A terminal order stays in the state store for ``keep_ms`` of arrival time after its last report,
+    so that late duplicates are known as such, then leaves it; open orders stay as long as they are open.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     schema = "status string, cumulative long, duplicates long, invalid long, seen array<string>"
+    names = [c.split()[0] for c in ORDER.split(", ")]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
-        state = OrderState(*store.get) if store.exists else OrderState()
+        if store.hasTimedOut:
+            store.remove()
+            return
+        state, at = OrderState(*store.get) if store.exists else OrderState(), 0
         for r in pd.concat(list(frames)).sort_values("position").itertuples():
             state.apply(r.exec_id, r.status, int(r.cumulative))
+            at = max(at, int(r.arrived))
         store.update((state.status, state.cumulative, state.duplicates, state.invalid, state.seen))
-        yield pd.DataFrame([(key[0], state.status, state.cumulative, state.duplicates, state.invalid, state.status in TERMINAL)], columns=[c.split()[0] for c in ORDER.split(", ")])
+        if state.status in TERMINAL:
+            store.setTimeoutTimestamp(at + keep_ms)
+        yield pd.DataFrame([(key[0], state.status, state.cumulative, state.duplicates, state.invalid, state.status in TERMINAL)], columns=names)
+
+    arrived = reports.withColumn("_at", F.current_timestamp()).withWatermark("_at", "0 seconds").withColumn("arrived", F.unix_millis("_at"))
+    return arrived.groupBy("order_id").applyInPandasWithState(run, ORDER, schema, "update", GroupStateTimeout.EventTimeTimeout)
+
 
-    return reports.groupBy("order_id").applyInPandasWithState(run, ORDER, schema, "update", GroupStateTimeout.NoTimeout)
+WINDOWS = "symbol string, timestamp long, size int, oldest long, total double"
+
+
+def feature_windows(rows: DataFrame, length: int) -> DataFrame:
+    """After each row of ``symbol, timestamp, x``: how many of the last ``length`` rows the window holds, its oldest timestamp and the sum of x."""
+    w = Window.partitionBy("symbol").orderBy("timestamp").rowsBetween(1 - length, 0)
+    return rows.select("symbol", "timestamp", F.count("*").over(w).cast("int").alias("size"), F.min("timestamp").over(w).alias("oldest"), F.sum("x").over(w).alias("total"))
+
+
+def feature_windows_stream(rows: DataFrame, length: int) -> DataFrame:
+    """The same over a stream: a ring of ``length`` rows a symbol is the state; a timestamp that does not rise is an error."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
+        at, x = (list(v) for v in store.get) if store.exists else ([], [])
+        out = []
+        for r in pd.concat(list(frames)).sort_values("timestamp").itertuples():
+            if at and r.timestamp <= at[-1]:
+                raise ValueError(f"{key[0]}: {r.timestamp} follows {at[-1]}")
+            at, x = [*at, int(r.timestamp)][-length:], [*x, float(r.x)][-length:]
+            out.append((key[0], at[-1], len(at), at[0], sum(x)))
+        store.update((at, x))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOWS.split(", ")])
+
+    return rows.select("symbol", "timestamp", "x").groupBy("symbol").applyInPandasWithState(run, WINDOWS, "at array<long>, x array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def coalesced(events: DataFrame, kind: str, order: list[str], *by: str) -> DataFrame:
+    """Contiguous events of one kind as one batch: ``by, batch, kind, n, first, last`` (first and last of ``order[0]``)."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    fresh = (F.lag(kind).over(w).isNull() | (F.lag(kind).over(w) != F.col(kind))).cast("int")
+    rows = events.withColumn("_fresh", fresh).withColumn("batch", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*by, "batch").agg(F.first(kind).alias("kind"), F.count("*").alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
 
 
 def cross_sections(bars: DataFrame, delay: str = "0 seconds") -> DataFrame:
