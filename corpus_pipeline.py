@@ -3,7 +3,11 @@
 Every stage takes the documents that the stage before kept and, but for the
 last, returns documents with the columns it was given.  Stage results are
 written as Parquet and read again, so a stage's own intermediate tables can go
-when the next one begins.
+when the next one begins, and a stage's result when the next one is written.
+
+In every stage null texts count as empty (quality rules reject them), rows with a
+null id stay, rows that share an id are judged by themselves (near-duplicates: as
+one document), and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,25 +21,30 @@ from tickforge.llm.decontaminate import decontaminate
 from tickforge.llm.jaccard import jaccard_components
 from tickforge.llm.packing import pack_documents
 from tickforge.llm.quality import cascade
-from tickforge.llm.storage import durable, remove, written
+from tickforge.llm.storage import discard, durable, remove, written
 from tickforge.llm.substring import dedup_substrings
 
-#: Tables of the stage that ran last; its result has been written by now.
-_before: list[str] = []
+#: By application, the tables of the stage that ran last; its result has been written when the next one begins.
+_before: dict[str, list[str]] = {}
 
 
 def _stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _before)
+        _clear(spark)
         with written() as paths:
             out = fn(spark, docs, sf_dir)
-        _before.extend(paths)
+        _before[spark.sparkContext.applicationId] = paths
         return out
 
     run.__doc__ = fn.__doc__
     return run
 
 
+def _clear(spark: SparkSession) -> None:
+    """Delete what the stage before has written for itself."""
+    remove(spark, _before.pop(spark.sparkContext.applicationId, []))
+
+
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every quality rule."""
@@ -89,6 +98,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last: list[DataFrame] = []
     for name, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(*last)  # the next stage reads what this one has written
+        last = [docs]
+    _clear(spark)
     return docs
