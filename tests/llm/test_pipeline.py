@@ -55,3 +55,17 @@ def test_run_equals_stages(spark, folder):
     path, _, _ = folder
     rows = corpus_pipeline.run(spark, path).collect()
     assert rows and {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+def test_run_leaves_its_last_table_only_and_takes_nulls_and_empty_tables(spark, tmp_path):
+    import os
+
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+    good = " ".join(f"w{i}" for i in range(40))
+    for name, rows in {"some": [(None, good, None, None, None), (None, None, None, None, 0), (3, good, "en", "s", 1), (3, good, "en", "s", 1)], "none": []}.items():
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in out} <= {None, 3} and (name == "some") == bool(out)
+    left = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))) - before
+    assert len(left) == 2 and all(x.startswith("stage-best-fit-packing") for x in left), left
