@@ -503,3 +503,17 @@ def test_gate_candidate(spark):
         return Y.gate_candidate(spark.createDataFrame(rows, "timestamp long, candidate double, baseline double, stressed double"), draws=99).first().decision
 
     assert decide(0.05, 0.12) == "PASS" and decide(-0.05, 0.05) == "INFERIOR" and decide(0.05, 0.0) == "FRAGILE"
+
+
+def test_running_sums_and_previous_rows_over_ranges(spark):
+    from tickforge.operators import ranges
+
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 40)), int(k), int(rng.integers(0, 9))) for k in range(300)]
+    frame = spark.createDataFrame(rows, "x long, k long, n long").repartition(5)
+    got = sorted((r.x, r.k, r.n_upto) for r in ranges.running_sums(frame, ["x", "k"], "n").collect())
+    ordered = sorted(rows)
+    assert got == [(x, k, int(u)) for (x, k, _), u in zip(ordered, np.cumsum([n for *_, n in ordered]))]
+    before = {r.k: r.before for r in ranges.with_previous(frame, "k", "x", "before").collect()}
+    assert before == {k: None if k == 0 else rows[k - 1][0] for k in range(300)}
+    assert ranges.running_sums(frame.limit(0), ["x"], "n").collect() == []

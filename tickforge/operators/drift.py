@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickforge.operators.ranges import running_sums
+
 
 def psi_terms(p: Column, q: Column) -> Column:
     return (q - p) * F.ln(q / p)
@@ -52,9 +54,9 @@ def ks(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """Kolmogorov-Smirnov distance, from counts per distinct value."""
     sides = reference.select(F.col(column).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(current.select(F.col(column).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     counts = sides.filter("x is not null").groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w, all_ = Window.orderBy("x"), Window.partitionBy()
-    rows = counts.select(F.abs(F.sum("a").over(w) / F.sum("a").over(all_) - F.sum("b").over(w) / F.sum("b").over(all_)).alias("d"))
-    return rows.agg(F.max("d").alias("ks"))
+    rows = running_sums(counts, ["x"], "a", "b")
+    total = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    return rows.crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("a_upto") / F.col("na") - F.col("b_upto") / F.col("nb"))).alias("ks"))
 
 
 def categorical(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:

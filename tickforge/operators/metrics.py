@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickforge.functions.numeric import average_rank, log_add_exp
+from tickforge.operators.ranges import running_sums
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -28,10 +29,10 @@ def auc(df: DataFrame, probability: str = "p", label: str = "y") -> DataFrame:
 
 
 def auc_by_value(df: DataFrame, probability: str = "p", label: str = "y") -> DataFrame:
-    """The same from counts per distinct probability: what is sorted is as long as the distinct values."""
+    """The same from counts per distinct probability, summed up by ranges of it."""
     by = df.groupBy(probability).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(probability).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = by.select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("won"))
+    below = F.col("neg_upto") - F.col("neg")
+    out = running_sums(by, [probability], "neg").select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("won"))
     return out.agg(F.coalesce(F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0)), F.lit(0.5)).alias("auc"))
 
 

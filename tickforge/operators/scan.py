@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickforge.functions.numeric import close_to
+from tickforge.operators.ranges import with_previous
 
 BAR_COLUMNS = ("timestamp", "symbol", "open", "high", "low", "close", "volume")
 KEY = ("timestamp", "symbol")
@@ -130,9 +131,8 @@ def conflicts(staged: DataFrame, existing: DataFrame, *key: str) -> DataFrame:
 
 def order_violations(df: DataFrame, position: str, *key: str) -> DataFrame:
     """Rows whose key does not rise strictly in the order of ``position``, a row number of the stream."""
-    now = F.struct(*(key or KEY))
-    before = F.lag(now).over(Window.orderBy(position))
-    return df.withColumn("_before", before).filter(F.col("_before").isNotNull() & (now <= F.col("_before"))).drop("_before")
+    rows = with_previous(df.withColumn("_now", F.struct(*(key or KEY))), position, "_now", "_before")
+    return rows.filter(F.col("_before").isNotNull() & (F.col("_now") <= F.col("_before"))).drop("_now", "_before")
 
 
 def late_knowledge(df: DataFrame, known_at: str = "known_at", at: str = "timestamp") -> DataFrame:

@@ -111,9 +111,17 @@ def _deflated(s, d):
     x = _returns(s, d)
     m = x.groupBy("symbol").agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"))
     z = (F.col("r") - F.col("m")) / F.col("sd")
-    rows = x.join(m, "symbol").groupBy("symbol", "n", "m", "sd").agg((F.sum(F.pow(z, 3)) / F.col("n")).alias("m3"), (F.sum(F.pow(z, 4)) / F.col("n")).alias("m4")).collect()
-    out = [(k.symbol, *(float(v) for v in D.deflated_sharpe(k.n, k.m, k.sd, k.m3, k.m4, len(rows)))) for k in rows]
-    return s.createDataFrame(out, "symbol string, z double, p double")
+    rows = x.join(m, "symbol").groupBy("symbol", "n", "m", "sd").agg((F.sum(F.pow(z, 3)) / F.col("n")).alias("m3"), (F.sum(F.pow(z, 4)) / F.col("n")).alias("m4"))
+    rows = rows.crossJoin(F.broadcast(m.agg(F.count("*").alias("trials"))))
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            found = [(k.symbol, *(float(v) for v in D.deflated_sharpe(k.n, k.m, k.sd, k.m3, k.m4, k.trials))) for k in frame.itertuples()]
+            yield pd.DataFrame(found, columns=["symbol", "z", "p"])
+
+    return rows.mapInPandas(run, "symbol string, z double, p double")
 
 
 def _embedding(s, d):

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tickforge.functions.numeric import rounded
 from tickforge.operators import scan as S
+from tickforge.operators.ranges import running_sums
 from tickforge.plans.common import FROM, TO, r
 from tickforge.sources import generate as G
 from tickforge.sources.tables import BARS, DAILY, FILLS, daily_bars, fills, monthly_bars, table
@@ -157,8 +157,8 @@ def _diff(spark, sf):
 
 def _sample(spark, sf, most: int = 64):
     """Rows at evenly spaced places of the total order."""
-    o = monthly_bars(spark, sf).select("timestamp", "symbol", "close")
-    o = o.withColumn("i", F.row_number().over(Window.orderBy("close", "timestamp", "symbol")) - 1)
-    n = o.count()
-    wanted = sorted({int(j * (n - 1) / (most - 1)) for j in range(most)})
-    return o.filter(F.col("i").isin(wanted)).drop("i")
+    o = monthly_bars(spark, sf).select("timestamp", "symbol", "close").withColumn("one", F.lit(1))
+    o = running_sums(o, ["close", "timestamp", "symbol"], "one")
+    n = monthly_bars(spark, sf).count()
+    wanted = sorted({int(j * (n - 1) / (most - 1)) + 1 for j in range(most)})
+    return o.filter(F.col("one_upto").isin(wanted)).drop("one", "one_upto")
