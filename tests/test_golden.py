@@ -395,15 +395,15 @@ def test_queries_read_whole_tables(spark, tiny):
     symbols, n_bars, n_times = bars.select("symbol").distinct().count(), bars.count(), bars.select("timestamp").distinct().count()
     assert q["src_wire_decoder"]().agg(F.sum("n"), F.count_distinct("symbol")).first()[:] == (n_fills, symbols)
     assert {r.kind: r.n for r in q["bt_runner"]().collect()}["equity"] == n_times
-    limits = q["bt_limit_order_tables"]()
+    limits = q["bt_limit_order"]().join(bars.select("timestamp", "symbol", "open", "low"), ["timestamp", "symbol"])
     assert limits.select("symbol").distinct().count() > symbols / 2 and limits.filter("price > open + 1e-6 or price < low - 1e-6").count() == 0
-    reserve = q["bt_cash_reserve_tables"]()
-    assert reserve.agg(F.sum("n")).first()[0] == 2 * n_bars and {r.status for r in reserve.select("status").distinct().collect()} == {"REJECTED"}
-    assert q["bt_sell_reserve_tables"]().agg(F.sum("n")).first()[0] == n_bars
-    actions = q["bt_corporate_action_tables"]()
-    assert actions.count() == symbols and actions.filter("equity is null").count() == 0
-    orders = q["order_planner_sort_tables"]()
-    assert q["bt_decision_log_tables"]().count() == orders.count() and orders.select("timestamp").distinct().count() > 1
+    reserve = q["bt_cash_reserve"]()
+    assert reserve.agg(F.sum("n")).first()[0] == n_bars and {r.status for r in reserve.select("status").distinct().collect()} == {"EXPIRED", "REJECTED"}
+    assert q["bt_sell_reserve"]().agg(F.sum("n")).first()[0] == n_bars
+    actions = q["bt_corporate_action"]()
+    assert actions.count() == symbols and actions.filter("gain is null").count() == 0
+    orders = q["order_planner_sort"]()
+    assert q["bt_decision_log"]().count() == orders.count() and orders.select("timestamp").distinct().count() > 1
 
 
 def test_run_groups_applies_corporate_actions(spark):
