@@ -517,3 +517,26 @@ def test_running_sums_and_previous_rows_over_ranges(spark):
     before = {r.k: r.before for r in ranges.with_previous(frame, "k", "x", "before").collect()}
     assert before == {k: None if k == 0 else rows[k - 1][0] for k in range(300)}
     assert ranges.running_sums(frame.limit(0), ["x"], "n").collect() == []
+
+
+def _cross_sections(spark):
+    """Three timestamps: many rows with equal scores, two rows of one relevance, and three rows without gains."""
+    rng = np.random.default_rng(11)
+    rows = [(1, f"{k:03d}", float(rng.integers(-9, 9)) / 4, float(rng.integers(-20, 20)) / 8, int(rng.integers(0, 5))) for k in range(60)]
+    rows += [(2, "a", 0.5, 0.1, 3), (2, "b", 0.25, 0.2, 3), (3, "a", 0.1, 0.5, 0), (3, "b", 0.2, 0.5, -1), (3, "c", 0.3, 0.5, -1)]
+    return rows, spark.createDataFrame(rows, "timestamp long, symbol string, score double, label double, relevance int").repartition(3)
+
+
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_list_mle_adds_up_each_row_once(spark):
+    rows, frame = _cross_sections(spark)
+    losses = []
+    for t in (1, 2, 3):
+        s = np.array([r[2] for r in sorted((r for r in rows if r[0] == t), key=lambda r: (-r[3], r[1]))])
+        losses.append(sum(np.log(np.exp(s[i:]).sum()) - s[i] for i in range(len(s))))
+    out = M.list_mle(frame)
+    assert out.first()[0] == pytest.approx(np.mean(losses), rel=1e-12)
+    assert "currentrow$(), unboundedfollowing$()" not in _plan(out)  # such a frame is added up anew for every row

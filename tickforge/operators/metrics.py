@@ -144,8 +144,12 @@ def score_buckets(df: DataFrame, buckets: int) -> DataFrame:
 
 
 def list_mle(df: DataFrame) -> DataFrame:
-    """Mean over timestamps of the Plackett-Luce loss in order of the label."""
-    w = Window.partitionBy("timestamp").orderBy(F.desc("label"), "symbol").rowsBetween(0, Window.unboundedFollowing)
+    """Mean over timestamps of the Plackett-Luce loss in order of the label.
+
+    The sums over a row and those behind it run from the end: a frame that ends
+    with the partition would be added up anew for every row.
+    """
+    w = Window.partitionBy("timestamp").orderBy(F.asc("label"), F.desc("symbol")).rowsBetween(Window.unboundedPreceding, 0)
     top = F.max("score").over(Window.partitionBy("timestamp"))
     rows = df.withColumn("_m", top).withColumn("_e", F.exp(F.col("score") - F.col("_m")))
     loss = F.ln(F.sum("_e").over(w)) + F.col("_m") - F.col("score")
