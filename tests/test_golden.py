@@ -540,3 +540,19 @@ def test_list_mle_adds_up_each_row_once(spark):
     out = M.list_mle(frame)
     assert out.first()[0] == pytest.approx(np.mean(losses), rel=1e-12)
     assert "currentrow$(), unboundedfollowing$()" not in _plan(out)  # such a frame is added up anew for every row
+
+
+def test_lambda_loss_pairs_rows_with_the_best_only(spark):
+    rows, frame = _cross_sections(spark)
+    k, losses = 5, []
+    for t in (1, 3):  # the relevances of the second timestamp do not differ
+        x = sorted((r for r in rows if r[0] == t), key=lambda r: (-r[2], r[1]))
+        gain, ideal = [2.0 ** r[4] - 1 for r in x], sorted((2.0 ** r[4] - 1 for r in x), reverse=True)
+        discount = [1 / np.log2(i + 2) if i < k else 0.0 for i in range(len(x))]
+        best = sum(g / np.log2(i + 2) for i, g in enumerate(ideal[:k]))
+        pairs = [(abs((gain[i] - gain[j]) * (discount[i] - discount[j])), np.logaddexp(0, x[j][2] - x[i][2])) for i in range(len(x)) for j in range(len(x)) if x[i][4] > x[j][4]]
+        total = sum(w for w, _ in pairs)
+        losses.append(sum(w * l for w, l in pairs) / total if total and best else 0.0)
+    out = M.lambda_loss(frame, k)
+    assert out.first()[0] == pytest.approx(np.mean(losses), rel=1e-12)
+    assert "join" not in _plan(out)  # of all pairs of a cross-section

@@ -159,15 +159,20 @@ def list_mle(df: DataFrame) -> DataFrame:
 def lambda_loss(df: DataFrame, k: int, relevance: str = "relevance") -> DataFrame:
     """Mean over timestamps of the pairwise logistic loss, weighted by the change of NDCG at k.
 
-    Pairs live within one timestamp's cross-section.
+    Pairs live within one timestamp's cross-section.  A pair of which neither is
+    among the k best has weight 0, so each row meets those k only.  A timestamp
+    counts if two of its relevances differ.
     """
     w = Window.partitionBy("timestamp")
-    rows = df.withColumns({"_g": F.pow(F.lit(2.0), F.col(relevance)) - 1, "_p": F.row_number().over(w.orderBy(F.desc("score"), "symbol")), "_i": F.row_number().over(w.orderBy(F.desc(relevance), "symbol"))})
-    rows = rows.withColumn("_d", F.when(F.col("_p") <= k, _discount(F.col("_p"))).otherwise(0.0))
-    rows = rows.withColumn("_best", F.sum(F.when(F.col("_i") <= k, F.col("_g") * _discount(F.col("_i"))).otherwise(0.0)).over(w))
-    a, b = (rows.select("timestamp", *(F.col(c).alias(f"{c}_{x}") for c in ("score", relevance, "_g", "_d")), "_best") for x in "ab")
-    pairs = a.join(b.drop("_best"), "timestamp").filter(F.col(f"{relevance}_a") > F.col(f"{relevance}_b"))
-    weight = F.abs((F.col("_g_a") - F.col("_g_b")) * (F.col("_d_a") - F.col("_d_b"))) / F.nullif(F.col("_best"), F.lit(0.0))
-    loss = log_add_exp(F.lit(0.0), F.col("score_b") - F.col("score_a"))
-    each = pairs.withColumns({"_w": weight, "_l": loss}).groupBy("timestamp").agg((F.sum(F.col("_w") * F.col("_l")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("loss"))
+    rows = df.filter("timestamp is not null").withColumns({"_g": F.pow(F.lit(2.0), F.col(relevance)) - 1, "_p": F.row_number().over(w.orderBy(F.desc("score"), "symbol")), "_i": F.row_number().over(w.orderBy(F.desc(relevance), "symbol"))})
+    rows = rows.withColumn("_d", F.when(F.col("_p") <= k, _discount(F.col("_p"))).otherwise(0.0)).withColumn("_r", F.col(relevance))
+    best = F.sum(F.when(F.col("_i") <= k, F.col("_g") * _discount(F.col("_i"))).otherwise(0.0)).over(w)
+    top = F.collect_list(F.when(F.col("_p") <= k, F.struct("_p", "_r", "_g", "_d", "score"))).over(w)
+    pairs = rows.withColumns({"_best": best, "_top": top}).select("timestamp", "_p", "_r", "_g", "_d", "score", "_best", F.explode_outer("_top").alias("_t"))
+    t = {c: F.col("_t").getField(c) for c in ("_p", "_r", "_g", "_d", "score")}
+    differ = (t["_p"] < F.col("_p")) & (t["_r"] != F.col("_r"))  # two of the k best meet once
+    weight = F.abs((F.col("_g") - t["_g"]) * (F.col("_d") - t["_d"])) / F.nullif(F.col("_best"), F.lit(0.0))
+    ahead = F.when(t["_r"] > F.col("_r"), F.col("score") - t["score"]).otherwise(t["score"] - F.col("score"))
+    pairs = pairs.withColumns({"_w": F.when(differ, weight), "_l": F.when(differ, log_add_exp(F.lit(0.0), ahead))})
+    each = pairs.groupBy("timestamp").agg((F.sum(F.col("_w") * F.col("_l")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("loss"), (F.min("_r") < F.max("_r")).alias("some")).filter("some")
     return each.agg(F.avg(F.coalesce("loss", F.lit(0.0))).alias("lambda_loss"))
