@@ -841,3 +841,14 @@ def test_hmm_is_a_distribution(spark):
 @pytest.mark.parametrize("schema", [SCHEMA])
 def test_schema_has_clashing_names(schema):
     assert {"kept", "chunk"} <= {c.split()[0] for c in schema.split(", ")}
+
+
+def test_a_written_table_asks_for_its_shuffles_to_be_deleted(spark):
+    from tickforge.llm import storage
+
+    before, seen = spark.conf.get(storage._CLEANUP), []
+    with storage.shuffles_deleted(spark):
+        seen.append(spark.conf.get(storage._CLEANUP))
+    assert seen == ["true"] and spark.conf.get(storage._CLEANUP) == before
+    table = storage.durable(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert sorted(r["count"] for r in table.collect()) == [142] * 1 + [143] * 6 and spark.conf.get(storage._CLEANUP) == before
