@@ -7,12 +7,15 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -743,6 +746,53 @@ def test_chat_control_ids_cannot_come_from_texts(spark):
     assert chat.parse(row.formatted)[0][:2] == ("assistant", row.text)
 
 
+CHAT_MEMORY = """
+import re, types
+import public_tokenizers, pyarrow as pa, pyspark
+from tickforge.llm import chat
+
+def peak():
+    return int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+pyspark.TaskContext.get = classmethod(lambda cls: types.SimpleNamespace(partitionId=lambda: 0))
+path = public_tokenizers.path("byte_bpe_50k.json")
+words = [f"word{i}" for i in range(5000)]
+texts = [" ".join(words[(i * 31 + k * 17) % 5000] for k in range(100)) for i in range(10000)]
+batch = pa.RecordBatch.from_arrays([pa.array([i // 8 for i in range(10000)]), pa.array(range(10000)), pa.array(["user", "assistant"] * 5000), pa.array(texts)], ["conv_id", "turn", "role", "text"])
+
+def formatted(batch):
+    whole = pa.concat_batches([*chat._format(path)(iter([batch]))]).select(["conv_id", "formatted", "ids", "loss"])
+    return whole.append_column("char_start", whole["conv_id"]).append_column("token_start", whole["conv_id"])
+
+def read(batch):
+    return sum(x.num_rows for x in chat._read_turns(path)(iter([batch])))
+
+read(formatted(batch.slice(0, 8)))
+before = peak()
+whole = formatted(batch)
+made = peak()
+assert read(whole) == 10000
+print(made - before, peak() - made)
+"""
+
+
+def test_chat_memory_of_a_batch():
+    """Neither 10,000 turns at once nor threads: a worker's memory grows by little more than the batch that comes or goes."""
+    run = subprocess.run([sys.executable, "-c", CHAT_MEMORY], capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr
+    made, read = map(float, run.stdout.split())
+    assert made < 60 and read < 40
+
+
+def test_chat_slices_are_bounded_and_whole():
+    texts = ["x" * n for n in (0, 10, chat.BYTES + 5, 1, chat.BYTES // 2, chat.BYTES // 2, 1)] + [None] * (chat.ROWS + 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["r"] * len(texts))], ["text", "role"])
+    got = list(chat._slices(batch, "text", "role"))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]).combine_chunks()) and all(0 < x.num_rows <= chat.ROWS for x in got)
+    assert all(x.num_rows == 1 or sum(len(t or "") for t in x["text"].to_pylist()) + x.num_rows <= chat.BYTES for x in got)
+    assert list(chat._slices(batch.slice(0, 0), "text")) == []
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 

@@ -17,20 +17,25 @@ so a long conversation is spread over tasks; offsets are running sums in a range
 and what a conversation brings from the ranges before (at most one row a range) is
 added.  Formatting, parsing and decoding work turn by turn.  Only the digest of a
 conversation is sequential: one fold of hashes over its turns, in a stream of
-bounded memory.  Null texts are empty texts; a null role is the role "unknown"; a
-role may be any string (escaped as texts are, and colons as well).  Rows of equal
-turn are ordered by role, then text; null turns come first.  A null conversation
-id is a conversation of its own.  Extra columns are
+bounded memory.  A worker takes a batch in slices of some rows or bytes and keeps
+its tokenizer, which runs in the task's one thread.  Null texts are empty texts; a
+null role is the role "unknown"; a role may be any string (escaped as texts are,
+and colons as well).  Rows of equal turn are ordered by role, then text; null turns
+come first.  A null conversation id is a conversation of its own.  Extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,64 +69,78 @@ TURNS = (
     "conv_id long, turn long, role string, text string, formatted string, text_start int, text_end int, "
     "ids array<int>, loss array<boolean>, n_chars long, n_tokens long"
 )
+PLACED = ", part int, char_start long, token_start long"
+
+#: What is taken from a batch at once: as Python objects, ids and texts are many times as large as in the batch.
+ROWS, BYTES = 512, 1 << 20
+
+
+def _slices(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of ROWS rows and BYTES bytes of these columns at most, or of one row."""
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch[k]), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in texts))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(ends, BYTES + (ends[at - 1] if at else 0), "right"))
+        end = min(max(end, at + 1), at + ROWS)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """A worker's tokenizer, read once for all its tasks.  A task has one core, so it runs in one thread."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
 
 
 def _format(path: str):
+    """Sorted turns as TURNS, with their range and their offsets since the conversation began in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+        from pyspark import TaskContext
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer = _tokenizer(path)
         base = tokenizer.get_vocab_size(with_added_tokens=True)
+        part, now, at = TaskContext.get().partitionId(), object(), [0, 0]
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in _slices(whole, "role", "text"):
                 roles, texts = batch["role"].to_pylist(), batch["text"].to_pylist()
-                segments = [e.ids for e in tokenizer.encode_batch(roles + texts, add_special_tokens=False)]
-                out = {k: [] for k in ("formatted", "text_start", "text_end", "ids", "loss")}
-                for i, (role, text) in enumerate(zip(roles, texts, strict=True)):
+                segments = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(roles + texts, add_special_tokens=False)]
+                out: dict[str, list] = {k: [] for k in ("formatted", "text_start", "text_end", "n_chars", "n_tokens", "char_start", "token_start")}
+                ids, loss = [], []
+                for conv, role, text, who, said in zip(batch["conv_id"].to_pylist(), roles, texts, segments[: len(roles)], segments[len(roles) :], strict=True):
                     head = HEAD + escape_role(role) + MIDDLE
                     body = escape(text)
-                    who, said = segments[i], segments[len(roles) + i]
-                    trained = role == TRAINED
-                    out["formatted"].append(head + body + TAIL)
-                    out["text_start"].append(len(head))
-                    out["text_end"].append(len(head) + len(body))
-                    out["ids"].append([base + TURN, *who, base + TEXT, *said, base + END])
-                    out["loss"].append([False] * (len(who) + 2) + [trained] * len(said) + [False])
-                chars, tokens = [len(x) for x in out["formatted"]], [len(x) for x in out["ids"]]
+                    own = np.concatenate([[base + TURN], who, [base + TEXT], said, [base + END]])
+                    mask = np.zeros(len(own), bool)
+                    mask[len(who) + 2 : -1] = role == TRAINED
+                    ids.append(own)
+                    loss.append(mask)
+                    if conv != now:
+                        now, at = conv, [0, 0]
+                    formatted = head + body + TAIL
+                    for k, x in zip(out, (formatted, len(head), len(head) + len(body), len(formatted), len(own), *at), strict=True):
+                        out[k].append(x)
+                    at = [at[0] + len(formatted), at[1] + len(own)]
+                places = pa.array(np.cumsum([0, *out["n_tokens"]]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["conv_id"], batch["turn"], batch["role"], batch["text"], pa.array(out["formatted"], pa.string()),
-                        pa.array(out["text_start"], pa.int32()), pa.array(out["text_end"], pa.int32()), pa.array(out["ids"], pa.list_(pa.int32())),
-                        pa.array(out["loss"], pa.list_(pa.bool_())), pa.array(chars, pa.int64()), pa.array(tokens, pa.int64()),
+                        pa.array(out["text_start"], pa.int32()), pa.array(out["text_end"], pa.int32()),
+                        pa.ListArray.from_arrays(places, pa.array(np.concatenate(ids), pa.int32())), pa.ListArray.from_arrays(places, pa.array(np.concatenate(loss))),
+                        *(pa.array(out[k], pa.int64()) for k in ("n_chars", "n_tokens")), pa.array([part] * batch.num_rows, pa.int32()),
+                        *(pa.array(out[k], pa.int64()) for k in ("char_start", "token_start")),
                     ],
-                    ["conv_id", "turn", "role", "text", "formatted", "text_start", "text_end", "ids", "loss", "n_chars", "n_tokens"],
+                    [x.split()[0] for x in (TURNS + PLACED).split(", ")],
                 )
 
     return run
 
 
-PLACED = ", part int, char_start long, token_start long"
-
-
-def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted turns with their range and their offsets since the conversation began in it."""
-    from pyspark import TaskContext
-
-    part, now, at = TaskContext.get().partitionId(), object(), [0, 0]
-    for batch in batches:
-        starts: tuple[list, list] = ([], [])
-        for conv, *n in zip(*(batch[k].to_pylist() for k in ("conv_id", "n_chars", "n_tokens")), strict=True):
-            if conv != now:
-                now, at = conv, [0, 0]
-            for k in (0, 1):
-                starts[k].append(at[k])
-                at[k] += n[k]
-        columns = [pa.array([part] * batch.num_rows, pa.int32()), *(pa.array(x, pa.int64()) for x in starts)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "part", "char_start", "token_start"])
-
-
 def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
     """TURNS of ``conv_id, turn, role, text`` with ``char_start`` and ``token_start`` in the conversation.
 
@@ -135,7 +154,7 @@ def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
     )
     keys = ["conv_id", "turn", "role", "text"]
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(_format(tokenizer), TURNS).mapInArrow(_running, TURNS + PLACED)
+    ranges = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(_format(tokenizer), TURNS + PLACED)
     placed = durable(ranges, "chat-turns")
     sums = placed.groupBy("conv_id", "part").agg(F.sum("n_chars").alias("chars"), F.sum("n_tokens").alias("tokens"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -177,19 +196,23 @@ def _read_turns(path: str):
     """Turn by turn: parse the formatted string, decode the masked tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        for batch in batches:
-            ids = batch["ids"].to_pylist()
-            masked = [[i for i, m in zip(own, loss, strict=True) if m] for own, loss in zip(ids, batch["loss"].to_pylist(), strict=True)]
-            found = [parse(x) for x in batch["formatted"].to_pylist()]
-            said = ["".join(f"{role}\n{text}\n" for role, text, _, _ in turns) for turns in found]
-            columns = {
-                "n_chars": pa.array([len(x) for x in batch["formatted"].to_pylist()], pa.int64()), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "n": pa.array([len(x) for x in found], pa.int32()),
-                "said": pa.array(said, pa.string()), "trained": pa.array(tokenizer.decode_batch(masked, skip_special_tokens=False), pa.string()),
-            }
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in ("conv_id", "char_start", "token_start")), *columns.values()], [x.split()[0] for x in PARTS.split(", ")])
+        tokenizer = _tokenizer(path)
+        for whole in batches:
+            for batch in _slices(whole, "formatted"):
+                formatted = batch["formatted"].to_pylist()
+                sizes = pc.list_value_length(batch["ids"])
+                if sizes != pc.list_value_length(batch["loss"]):
+                    raise ValueError("a turn's mask is not as long as its tokens")
+                ids, loss = batch["ids"].flatten().to_numpy(), batch["loss"].flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(sizes.to_numpy())
+                masked = [own[mask].tolist() for own, mask in zip(np.split(ids, ends[:-1]), np.split(loss, ends[:-1]), strict=True)]
+                found = [parse(x) for x in formatted]
+                said = ["".join(f"{role}\n{text}\n" for role, text, _, _ in turns) for turns in found]
+                columns = {
+                    "n_chars": pa.array([len(x) for x in formatted], pa.int64()), "n_tokens": sizes.cast(pa.int64()), "n": pa.array([len(x) for x in found], pa.int32()),
+                    "said": pa.array(said, pa.string()), "trained": pa.array(tokenizer.decode_batch(masked, skip_special_tokens=False), pa.string()),
+                }
+                yield pa.RecordBatch.from_arrays([*(batch[k] for k in ("conv_id", "char_start", "token_start")), *columns.values()], [x.split()[0] for x in PARTS.split(", ")])
 
     return run
 
@@ -210,7 +233,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done.clear()
         return batch
 
-    for batch in batches:
+    for batch in (x for whole in batches for x in _slices(whole, "said", "trained")):
         for conv, char_start, token_start, n_chars, n_tokens, n, said, trained in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if state is None or now != (conv,):
                 close()
