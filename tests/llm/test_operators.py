@@ -746,6 +746,23 @@ def test_chat_control_ids_cannot_come_from_texts(spark):
     assert chat.parse(row.formatted)[0][:2] == ("assistant", row.text)
 
 
+def test_chat_range_keys_are_short_and_in_order(spark, monkeypatch):
+    """Spark samples them to the driver; whole long texts there ended the run."""
+    rng = random.Random(6)
+    roles = ["user", "", "assistant", "r" * 64, "r" * 65, "r" * 64 + "a", "r" * 63]
+    texts = ["", "a", "é", "字", "👍", "\x00", "t" * 63, "t" * 64, "t" * 65, "t" * 64 + "é", "long " * 50000]
+    rows = [(rng.choice([None, 1, 2]), rng.choice([None, 0, 1]), rng.choice(roles), rng.choice(texts)) for _ in range(300)]
+    keys = []
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda self, n, *cols, f=type(spark.range(0)).repartitionByRange: keys.append(cols) or f(self, n, *cols))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r.n_turns for r in chat.read_back(chat.format_turns(frame, path), path).collect()} == set(Counter(c for c, *_ in rows).values())
+    got = [tuple(r) for r in frame.orderBy("conv_id", "turn", "role", "text").select(*keys[0]).collect()]
+    assert max(len(x or "") for r in got for x in r[2:]) <= 64
+    order = [tuple((x is not None, x.encode() if isinstance(x, str) else x or 0) for x in r) for r in got]
+    assert order == sorted(order) and len(set(order)) > 100
+
+
 CHAT_MEMORY = """
 import re, types
 import public_tokenizers, pyarrow as pa, pyspark
