@@ -495,6 +495,38 @@ def test_predictions_and_enriched_datasets_refuse_what_is_wrong(spark, tmp_path)
             datasets.predictions(spark, f"{tmp_path}/{name}")
 
 
+def test_enriched_dataset_is_a_file_a_symbol_and_year(spark, tmp_path):
+    import os
+
+    from tickforge.sources import datasets
+
+    day = 86_400_000_000_000
+    symbols = [None, "", "a b", "a/=%", *(f"{k:04d}" for k in range(100))]
+    rows = [(t * 366 * day + d, s, float(k + t + d)) for k, s in enumerate(symbols) for t in (1, 2, 5) for d in (7, 3)] + [(None, "0007", 1.5)]
+    nation = {s: k for k, s in enumerate(symbols) if s and k % 3}
+    bars = spark.createDataFrame(rows, "timestamp long, symbol string, close double").repartition(3)
+    reference = spark.createDataFrame(list(nation.items()), "symbol string, nation int")
+    report = datasets.write_enriched(bars, reference, f"file://{tmp_path}/set")
+    wanted, expected = {}, []
+    for s in set(symbols):  # a folder's name cannot tell an empty symbol from none
+        before = None
+        for t, x, c in sorted((r for r in rows if r[1] == s), key=lambda r: (r[0] is not None, r[0])):
+            wanted.setdefault((s or None, None if t is None else 1970 + t // (365 * day)), []).append(t)
+            expected.append((t, s or None, c, before, nation.get(s)))
+            before = c
+    assert {(r.symbol, r.year): (r.n, r.first, r.last, r.unknown) for r in report.collect()} == {
+        (s, y): (len(ts), None if y is None else min(ts), None if y is None else max(ts), 0 if s in nation else len(ts)) for (s, y), ts in wanted.items()
+    }
+    root = f"{tmp_path}/set/rows"
+    kept = spark.read.schema("timestamp long, close double, previous_close double, nation int, symbol string, year int").parquet(root)
+    assert sorted((tuple(r) for r in kept.select("timestamp", "symbol", "close", "previous_close", "nation").collect()), key=repr) == sorted(expected, key=repr)
+    # Spark's own writer starts chmod for each file of a local folder and for its checksum
+    assert [names for _, folders, names in os.walk(root) if not folders] == [["part.parquet"]] * len(wanted)
+    assert sorted(os.listdir(f"{tmp_path}/set")) == ["report", "rows"]
+    empty = datasets.write_enriched(bars.limit(0), reference, f"file://{tmp_path}/empty")
+    assert empty.collect() == [] and os.listdir(f"{tmp_path}/empty/rows") == []
+
+
 def test_gate_candidate(spark):
     from tickforge.operators import models as Y
 
