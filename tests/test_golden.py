@@ -527,6 +527,17 @@ def test_enriched_dataset_is_a_file_a_symbol_and_year(spark, tmp_path):
     assert empty.collect() == [] and os.listdir(f"{tmp_path}/empty/rows") == []
 
 
+def test_dependent_tests_count_beyond_a_thousand(spark):
+    from tickforge.operators import drift as D
+
+    n = 1500
+    p = np.random.default_rng(2).permutation(np.arange(1, n + 1)) ** 3 / n**3 / 20
+    rows = D.adjusted(spark.createDataFrame([(f"{k:04d}", float(x)) for k, x in enumerate(p)], "id string, p double"), dependent=True).collect()
+    ordered = np.sort(p)
+    q = np.minimum(np.minimum.accumulate((ordered * n * np.sum(1 / np.arange(1, n + 1)) / np.arange(1, n + 1))[::-1])[::-1], 1)
+    assert [r.q for r in sorted(rows, key=lambda r: r.p)] == pytest.approx(list(q), rel=1e-12)
+
+
 def test_gate_candidate(spark):
     from tickforge.operators import models as Y
 
